@@ -29,9 +29,15 @@ DISTANCE_DIGITS = 6
 # Query vectors plus visits that may be broadcast, in bytes.
 BROADCAST_BYTES = 128 << 20
 
+# What a broadcast visit takes at most, in bytes.
+VISIT_BYTES = 64
+
 # Objects, and visits, in one cell of the grid join.
 CELL_ROWS = 8192
 
+# Visited buckets that are listed in a filter; more of them become a semi join.
+LISTED_KEYS = 2_000
+
 # Bucket statistics that may be broadcast, in rows.
 CATALOG_ROWS = 1_000_000
 
@@ -69,29 +75,31 @@ def broadcast_catalog(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= limit else rows
 
 
-def _broadcast_size(queries: DataFrame, n_visits: int) -> int:
-    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    return row["n"] * (row["d"] or 0) * 8 + n_visits * 32
-
-
 def _scan_candidates(
     visits: DataFrame, queries: DataFrame, objects: DataFrame, k: int, metric: str,
-    per_bucket: bool, digits: int, prune: bool,
+    per_bucket: bool, digits: int, one_bucket: bool,
 ) -> DataFrame:
     """Broadcast the (size-checked) queries and scan the objects in place."""
     spark = objects.sparkSession
     query_rows = queries.select("query_id", "v").toArrow()
     query_ids = query_rows.column("query_id").to_numpy()
     matrix = _vectors(query_rows.column("v"), metric)
-    order = np.argsort(query_ids, kind="stable")
-    visit_rows = visits.select("query_id", "path_key", "bucket_rank").toArrow()
-    visiting = order[np.searchsorted(query_ids[order], visit_rows.column("query_id").to_numpy())]
-    ranks = visit_rows.column("bucket_rank").to_numpy()
-    keys = visit_rows.column("path_key").combine_chunks().dictionary_encode()
-    codes = keys.indices.to_numpy()
-    by_bucket = {
-        key: np.flatnonzero(codes == code) for code, key in enumerate(keys.dictionary.to_pylist())
-    }
+    if one_bucket:
+        visiting = np.arange(len(query_ids))
+        ranks = np.ones(len(query_ids), dtype=np.int64)
+        by_bucket = {ROOT_KEY: visiting}
+    else:
+        visit_rows = visits.select("query_id", "path_key", "bucket_rank").toArrow()
+        order = np.argsort(query_ids, kind="stable")
+        at = np.searchsorted(query_ids[order], visit_rows.column("query_id").to_numpy())
+        visiting = order[at]
+        ranks = visit_rows.column("bucket_rank").to_numpy()
+        keys = visit_rows.column("path_key").combine_chunks().dictionary_encode()
+        codes = keys.indices.to_numpy()
+        by_bucket = {
+            key: np.flatnonzero(codes == code)
+            for code, key in enumerate(keys.dictionary.to_pylist())
+        }
     shared = spark.sparkContext.broadcast((query_ids, matrix, visiting, ranks, by_bucket))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +131,21 @@ def _scan_candidates(
         return _candidate_batch(query_ids[query], rank, neighbor_id, distance)
 
     objects = objects.select("id", "v", "path_key")
-    if prune:
-        # Only visited buckets are read: on a table partitioned by bucket the
-        # semi join becomes dynamic partition pruning.
-        visited = broadcast_catalog(visits.select("path_key").distinct())
-        objects = objects.join(visited, "path_key", "left_semi")
+    if not one_bucket:
+        objects = _visited(objects, list(by_bucket))
     return objects.mapInArrow(scan, CANDIDATES)
 
 
+def _visited(objects: DataFrame, keys: list[str]) -> DataFrame:
+    """Only the objects of visited buckets; on an index this prunes folders."""
+    if len(keys) <= LISTED_KEYS:
+        return objects.filter(F.col("path_key").isin(keys))
+    visited = objects.sparkSession.createDataFrame([(key,) for key in keys], "path_key string")
+    if len(keys) <= CATALOG_ROWS:
+        visited = F.broadcast(visited)
+    return objects.join(visited, "path_key", "left_semi")
+
+
 def _cell_parts(count: Column, cell_rows: int) -> Column:
     return F.greatest(F.ceil(count / F.lit(cell_rows)), F.lit(1)).cast("int")
 
@@ -156,6 +171,7 @@ def _grid_candidates(
         }
         left, right = visits.withColumns(grid), objects.withColumns(grid)
     else:
+        visits = visits.persist()
         visits = visits.join(queries.select("query_id", "v"), "query_id")
         sizes = broadcast_catalog(
             objects.groupBy("path_key").agg(F.count(F.lit(1)).alias("n"))
@@ -218,6 +234,7 @@ def bucket_candidates(
     broadcast_bytes: int | None = None,
     cell_rows: int | None = None,
     one_bucket: bool = False,
+    visits_per_query: int | None = None,
 ) -> DataFrame:
     """Local winners ``(query_id, bucket_rank, neighbor_id, distance)`` of a search.
 
@@ -225,15 +242,23 @@ def bucket_candidates(
     ``(query_id, v)`` and ``objects`` is ``(id, v, path_key)``. With
     ``per_bucket`` the k best of every visited bucket are kept, so that one
     search answers every smaller number of buckets as well. ``one_bucket``
-    says that all rows share one key. The ids of each side must be unique.
+    says that all rows share one key, and ``visits_per_query`` saves counting
+    the visits. The ids of each side must be unique.
     """
     _check_metric(metric)
     if k < 1:
         raise ValueError("k must be at least 1")
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if _broadcast_size(queries, visits.count()) <= limit:
+    if visits_per_query is None and not one_bucket:
+        visits = visits.persist()
+        visits_bytes = visits.count() * VISIT_BYTES
+    else:
+        visits_bytes = 0
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    size = row["n"] * ((row["d"] or 0) * 8 + (visits_per_query or 1) * VISIT_BYTES) + visits_bytes
+    if size <= limit:
         return _scan_candidates(
-            visits, queries, objects, k, metric, per_bucket, digits, prune=not one_bucket
+            visits, queries, objects, k, metric, per_bucket, digits, one_bucket
         )
     return _grid_candidates(
         visits, queries, objects, k, metric, digits, cell_rows or CELL_ROWS, one_bucket

@@ -15,14 +15,10 @@ from pyspark.sql import functions as F
 
 from nearpath.functions.paths import ROOT_KEY, path_key
 from nearpath.operators.knn import broadcast_catalog
-from nearpath.operators.score import nodes_fit_broadcast, predict_proba, score_leaves
+from nearpath.operators.score import SharedTree, predict_proba, score_leaves, share_tree
 
 SCORES = ("conditional", "joint")
 
-# Buckets whose probabilities one task may hold for a slice of queries.
-LEAF_COLUMNS = 100_000
-
-
 def order_keys(probs: Column, score: str = "conditional") -> Column:
     """The sort key of a leaf, to be taken in descending order."""
     if score == "joint":
@@ -77,13 +73,18 @@ def rank_buckets(
 
 def navigate(
     queries: DataFrame, nodes: DataFrame, buckets: DataFrame, n_buckets: int,
-    score: str = "conditional",
+    score: str = "conditional", tree: SharedTree | None = None,
 ) -> DataFrame:
-    """Rank the buckets of an index for every query, keeping ``n_buckets``."""
+    """Rank the buckets of an index for every query, keeping ``n_buckets``.
+
+    A tree that can be broadcast is scored in one pass over the queries; a
+    larger one is scored node by node and its levels are joined.
+    """
     if n_buckets < 1:
         raise ValueError("n_buckets must be at least 1")
-    if nodes_fit_broadcast(nodes) and buckets.count() <= LEAF_COLUMNS:
-        leaves = score_leaves(queries, nodes, buckets, n_buckets, score)
+    tree = tree or share_tree(nodes, buckets)
+    if tree is not None:
+        leaves = score_leaves(queries, tree, n_buckets, score)
     else:
         n_levels = buckets.agg(F.max(F.size("path"))).first()[0]
         leaves = leaf_probabilities(predict_proba(queries, nodes), buckets, n_levels)

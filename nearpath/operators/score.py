@@ -8,9 +8,11 @@ node meets its vectors in a grouped join.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,9 @@ NODE_SCHEMA = T.StructType(
 # Node weights that may be broadcast, in bytes.
 NODE_BYTES = 256 << 20
 
+# Buckets whose probabilities one task may hold for a slice of queries.
+LEAF_COLUMNS = 100_000
+
 # Vectors of one node scored by one group of the grouped join.
 GROUP_ROWS = 8192
 
@@ -44,10 +49,9 @@ SCORES = "query_id long, parent_key string, class int, prob double, class_rank l
 LEAVES = "query_id long, path array<int>, path_key string, probs array<double>"
 
 
-def nodes_fit_broadcast(nodes: DataFrame, limit: int | None = None) -> bool:
-    limit = NODE_BYTES if limit is None else limit
-    total = nodes.agg(F.sum(F.size("weights") * 8 + 256)).first()[0]
-    return (total or 0) <= limit
+def node_bytes(nodes: DataFrame) -> int:
+    """An upper bound of what the node table takes when broadcast."""
+    return nodes.agg(F.sum(F.size("weights") * 8 + 256)).first()[0] or 0
 
 
 def _share_nodes(nodes: DataFrame):
@@ -79,13 +83,13 @@ def _score_rows(ids: np.ndarray, key: str, probs: np.ndarray) -> dict:
 
 
 def predict_proba(
-    queries: DataFrame, nodes: DataFrame, node_bytes: int | None = None
+    queries: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Every class probability of every node for every query, best class first.
 
     Rows are ``(query_id, parent_key, class, prob, class_rank)``.
     """
-    if nodes_fit_broadcast(nodes, node_bytes):
+    if node_bytes(nodes) <= (NODE_BYTES if broadcast_bytes is None else broadcast_bytes):
         shared = _share_nodes(nodes)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +146,14 @@ def predict(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def assign_paths(
-    objects: DataFrame, nodes: DataFrame, node_bytes: int | None = None
+    objects: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Send every object down the tree: ``(id, v, path, path_key)``.
 
     At each level the object follows the most probable class of its node. An
     object stops where no node continues its path.
     """
-    if nodes_fit_broadcast(nodes, node_bytes):
+    if node_bytes(nodes) <= (NODE_BYTES if broadcast_bytes is None else broadcast_bytes):
         shared = _share_nodes(nodes)
 
         def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,31 +241,53 @@ def _descend_level(assigned: DataFrame, nodes: DataFrame, n_paths: int) -> DataF
     )
 
 
-def score_leaves(
-    queries: DataFrame, nodes: DataFrame, buckets: DataFrame, n_buckets: int,
-    score: str = "conditional",
-) -> DataFrame:
-    """Probabilities along the path of every bucket that can be among the best.
+@dataclass
+class SharedTree:
+    """Nodes and buckets of an index, broadcast for scoring whole paths."""
+
+    models: Broadcast
+    leaves: Broadcast
+    n_leaves: int
+
+
+def share_tree(
+    nodes: DataFrame, buckets: DataFrame, size: int | None = None, n_leaves: int | None = None
+) -> SharedTree | None:
+    """Broadcast a tree, or nothing if it is too large for that.
 
-    Rows are ``(query_id, path, path_key, probs)``. The nodes and the bucket
-    list are broadcast, so the caller checks their size. A bucket whose first
-    sort key is below that of the ``n_buckets``-th best is not handed on: it
-    cannot rank among them.
+    ``size`` and ``n_leaves`` save counting where they are known.
     """
-    shared = _share_nodes(nodes)
+    if (node_bytes(nodes) if size is None else size) > NODE_BYTES:
+        return None
+    if (buckets.count() if n_leaves is None else n_leaves) > LEAF_COLUMNS:
+        return None
     paths = sorted(tuple(row["path"]) for row in buckets.select("path").collect())
-    depth = max(map(len, paths))
+    # For each level and node: which columns (buckets) its classes belong to.
     children: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
     for column, path in enumerate(paths):
         for level, step in enumerate(path):
             columns, classes = children.setdefault((level, key_of(path[:level])), ([], []))
             columns.append(column)
             classes.append(step)
-    tree = nodes.sparkSession.sparkContext.broadcast((paths, children))
-    slice_rows = max(1, min(SLICE_ROWS, TILE_CELLS // len(paths)))
+    leaves = nodes.sparkSession.sparkContext.broadcast((paths, children))
+    return SharedTree(_share_nodes(nodes), leaves, len(paths))
+
+
+def score_leaves(
+    queries: DataFrame, tree: SharedTree, n_buckets: int, score: str = "conditional"
+) -> DataFrame:
+    """Probabilities along the path of every bucket that can be among the best.
+
+    Rows are ``(query_id, path, path_key, probs)``. A bucket whose first sort
+    key is below that of the ``n_buckets``-th best is not handed on: it cannot
+    rank among them.
+    """
+    shared, leaves = tree.models, tree.leaves
+    slice_rows = max(1, min(SLICE_ROWS, TILE_CELLS // tree.n_leaves))
 
     def score_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, (paths, children) = shared.value, tree.value
+        models, (paths, children) = shared.value, leaves.value
+        depth = max(map(len, paths))
         path_column = pa.array(paths, pa.list_(pa.int32()))
         key_column = pa.array([key_of(path) for path in paths], pa.string())
         for batch in batches:

@@ -86,7 +86,7 @@ def build_index(
         raise ValueError("there are no objects to index")
     dimension = first["d"]
 
-    cluster_s = 0.0
+    cluster_s, size = 0.0, 0
     tables: list[DataFrame] = []
     for level, parameters in enumerate(config.levels):
         if level == 0:
@@ -107,6 +107,7 @@ def build_index(
             config.parallel_fits,
         )
         cluster_s += sum(node.cluster_s for node in nodes)
+        size += sum(len(node.weights) * 8 + 256 for node in nodes)
         target = f"{folder}/{NODES}/fit_level={level}"
         spark.createDataFrame([node.row() for node in nodes], NODE_SCHEMA).write.parquet(target)
         tables.append(spark.read.schema(NODE_SCHEMA).parquet(target))
@@ -120,6 +121,8 @@ def build_index(
     buckets = spark.read.parquet(f"{folder}/{BUCKETS}")
     write_clustered(placed, buckets, f"{folder}/{OBJECTS}")
     totals = buckets.agg(F.sum("n_objects").alias("n"), F.count(F.lit(1)).alias("b")).first()
-    meta = (config.n_levels, totals["n"], totals["b"], time.time() - started, cluster_s)
+    meta = (
+        config.n_levels, totals["n"], totals["b"], size, time.time() - started, cluster_s,
+    )
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.parquet(f"{folder}/{META}")
     return load_index(spark, folder)

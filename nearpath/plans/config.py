@@ -46,7 +46,7 @@ class BuildConfig:
     n_categories: Sequence[int]
     solver: str = "l-bfgs"
     train_rows: int | None = TRAIN_ROWS
-    parallel_fits: int = 8
+    parallel_fits: int = 16
     levels: list[ModelParameters] = field(init=False, repr=False)
 
     def __post_init__(self):

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from nearpath.functions.paths import path_key
 from nearpath.operators.knn import broadcast_catalog, knn_in_buckets, knn_sweep
 from nearpath.operators.navigate import navigate
-from nearpath.operators.score import NODE_SCHEMA
+from nearpath.operators.score import NODE_SCHEMA, SharedTree, share_tree
 
 NODES, BUCKETS, OBJECTS, META = "nodes", "buckets", "objects", "meta"
 
-META_SCHEMA = "n_levels int, n_objects long, n_buckets long, build_s double, cluster_s double"
+META_SCHEMA = (
+    "n_levels int, n_objects long, n_buckets long, node_bytes long, "
+    "build_s double, cluster_s double"
+)
 
 # Objects that go to one task when the objects table is written.
 FILE_ROWS = 500_000
@@ -61,6 +64,8 @@ class Index:
 
     spark: SparkSession
     folder: str
+    _meta: dict | None = None
+    _tree: SharedTree | None = None
 
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}")
@@ -83,7 +88,9 @@ class Index:
 
     @property
     def meta(self) -> dict:
-        return self._read(META).first().asDict()
+        if self._meta is None:
+            self._meta = self._read(META).first().asDict()
+        return self._meta
 
     @property
     def n_buckets(self) -> int:
@@ -93,7 +100,11 @@ class Index:
         self, queries: DataFrame, n_buckets: int, score: str = "conditional"
     ) -> DataFrame:
         """The buckets every query visits: ``(query_id, bucket_rank, path, path_key, probs)``."""
-        return navigate(queries, self.nodes, self.buckets, n_buckets, score)
+        if self._tree is None:
+            self._tree = share_tree(
+                self.nodes, self.buckets, self.meta["node_bytes"], self.meta["n_buckets"]
+            )
+        return navigate(queries, self.nodes, self.buckets, n_buckets, score, self._tree)
 
     def search(
         self,
@@ -111,9 +122,12 @@ class Index:
         compared with the stored objects. Rows are
         ``(query_id, rank, neighbor_id, distance)``.
         """
-        visits = self.bucket_order(queries, n_buckets, score).persist()
+        visits = self.bucket_order(queries, n_buckets, score)
         searched = queries if queries_search is None else queries_search
-        return knn_in_buckets(visits, searched, self.objects, k, metric=metric, **options)
+        return knn_in_buckets(
+            visits, searched, self.objects, k, metric=metric,
+            visits_per_query=min(n_buckets, self.n_buckets), **options,
+        )
 
     def sweep(
         self,
@@ -126,9 +140,12 @@ class Index:
         **options,
     ) -> DataFrame:
         """:meth:`search` for several numbers of buckets, navigating and comparing once."""
-        visits = self.bucket_order(queries, max(n_buckets), score).persist()
+        visits = self.bucket_order(queries, max(n_buckets), score)
         searched = queries if queries_search is None else queries_search
-        return knn_sweep(visits, searched, self.objects, n_buckets, k, metric=metric, **options)
+        return knn_sweep(
+            visits, searched, self.objects, n_buckets, k, metric=metric,
+            visits_per_query=min(max(n_buckets), self.n_buckets), **options,
+        )
 
     def save(self, folder: str) -> Index:
         """Copy the tables to another folder."""

@@ -458,9 +458,11 @@ def candidates(spark, sf_dir):
 
 
 def _fixture_search(tree: fx.FixtureTree, **options) -> DataFrame:
-    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS).persist()
+    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(tree.vectors, tree.assignments)
-    return knn_in_buckets(visits, tree.queries, placed, K, **options)
+    return knn_in_buckets(
+        visits, tree.queries, placed, K, visits_per_query=N_BUCKETS, **options
+    )
 
 
 BUCKETED = f"WITH {VISITS_TWO}, {PLACED},{_bucketed('t', COSINE)} SELECT {NEIGHBORS} FROM t"
@@ -492,9 +494,9 @@ SELECT query_id, bucket_rank, rank, neighbor_id, distance FROM t""")
 def knn_single_bucket(spark, sf_dir):
     """The k best of every visited bucket, before the merge over buckets."""
     tree = fx.FixtureTree(spark, sf_dir, 2)
-    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS).persist()
+    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(tree.vectors, tree.assignments)
-    found = bucket_candidates(visits, tree.queries, placed, K, per_bucket=True)
+    found = bucket_candidates(visits, tree.queries, placed, K, per_bucket=True, visits_per_query=N_BUCKETS)
     return merge_top_k(found, K, "query_id", "bucket_rank")
 
 
@@ -507,9 +509,10 @@ def knn_two_space(spark, sf_dir):
     """Navigate with the reduced vectors, compare the full ones as they are."""
     tree = fx.FixtureTree(spark, sf_dir, 2, reduced=True)
     compared = fx.scaled_objects(spark, sf_dir)
-    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS).persist()
+    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(compared, tree.assignments)
-    return knn_in_buckets(visits, fx.as_queries(compared), placed, K, metric="inner_product")
+    return knn_in_buckets(visits, fx.as_queries(compared), placed, K, metric="inner_product",
+                          visits_per_query=N_BUCKETS)
 
 
 # --- recall --------------------------------------------------------------------
@@ -540,9 +543,11 @@ GROUP BY n_buckets""")
 def sweep(spark, sf_dir):
     tree = fx.FixtureTree(spark, sf_dir, 2)
     numbers = buckets_to_visit(PERCENTAGES, tree.buckets.count())
-    visits = navigate(tree.queries, tree.nodes, tree.buckets, max(numbers)).persist()
+    visits = navigate(tree.queries, tree.nodes, tree.buckets, max(numbers))
     placed = attach_paths(tree.vectors, tree.assignments)
-    found = knn_sweep(visits, tree.queries, placed, numbers, K)
+    found = knn_sweep(
+        visits, tree.queries, placed, numbers, K, visits_per_query=max(numbers)
+    )
     truth = knn_brute_force(tree.queries, tree.vectors, K)
     return recall_sweep(found, truth, numbers, K)
 
