@@ -120,3 +120,24 @@ class FixtureTree:
         # Both have a row per node or bucket and are used several times.
         self.nodes = centroid_nodes(self.vectors, self.assignments, n_levels).persist()
         self.buckets = bucket_catalog(self.assignments).persist()
+
+
+def perturbed_copies(
+    spark: SparkSession, sf_dir: str, copies: int, partitions: int, amplitude: float = 0.05
+) -> DataFrame:
+    """Every embedding ``copies`` times, each copy moved a little by a fixed rule.
+
+    Ids are new and unique: ``copy * 2^32 + vec_id``.
+    """
+    table = embeddings(spark, sf_dir).withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    )
+    turn = F.col("vec_id") * 37 + F.col("copy") * 101
+    moved = F.transform(
+        as_doubles("embedding"),
+        lambda x, i: x + amplitude * F.sin(turn * (i + 1)),
+    )
+    return table.repartition(partitions, "vec_id", "copy").select(
+        (F.col("copy").cast("long") * F.lit(1 << 32) + F.col("vec_id")).alias("id"),
+        moved.cast("array<float>").alias("v"),
+    )

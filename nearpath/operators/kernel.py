@@ -54,26 +54,33 @@ def rank_in_runs(sorted_groups: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    queries: np.ndarray, ids: np.ndarray, objects: np.ndarray, k: int, digits: int
+    queries: np.ndarray, ids: np.ndarray, objects: np.ndarray, k: int, digits: int,
+    bounds: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best objects of every query by (rounded distance, id).
 
-    Returns query row numbers, ids and distances. Never holds more than
-    ``TILE_CELLS`` distances, and ties at the k-th place are cut by id, so the
-    answer does not depend on how the objects were split over tasks.
+    Returns query row numbers, ids and distances. ``bounds`` holds, per query,
+    a distance above which an object cannot be among its best; those are left
+    out. Never holds more than ``TILE_CELLS`` distances, and ties at the k-th
+    place are cut by id, so the answer does not depend on how the objects were
+    split over tasks.
     """
     order = np.argsort(ids, kind="stable")
     ids, objects = ids[order], objects[order]
     step = max(1, TILE_CELLS // max(len(ids), 1))
     found = []
     for start in range(0, len(queries), step):
-        raw = 1.0 - queries[start : start + step] @ objects.T
-        if len(ids) > k:
-            # One unit of the last digit covers everything that may round to a tie.
-            bound = np.partition(raw, k - 1, axis=1)[:, k - 1 : k] + 10.0**-digits
-            rows, cols = np.nonzero(raw <= bound)
+        raw = queries[start : start + step] @ objects.T
+        np.subtract(1.0, raw, out=raw)
+        if bounds is None:
+            limit = np.full(len(raw), np.inf)
         else:
-            rows, cols = (part.ravel() for part in np.indices(raw.shape))
+            limit = bounds[start : start + step].copy()
+        unknown = np.flatnonzero(np.isinf(limit))
+        if len(unknown) and len(ids) > k:
+            kth = np.partition(raw[unknown], k - 1, axis=1)[:, k - 1]
+            limit[unknown] = kth + tie_slack(digits)
+        rows, cols = np.divmod(np.flatnonzero(raw <= limit[:, None]), max(len(ids), 1))
         distance = round_half_up(raw[rows, cols], digits)
         order = np.lexsort((cols, distance, rows))
         order = order[rank_in_runs(rows[order]) < k]
@@ -83,37 +90,53 @@ def nearest(
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def tie_slack(digits: int) -> float:
+    """One unit of the last digit covers every distance that may round to a tie."""
+    return 10.0**-digits
+
+
 class RunningTopK:
-    """Candidates of one task, kept at k per group and handed on when too many."""
+    """Candidates of one task, kept at k per group and handed on when too many.
+
+    ``bounds`` holds, per group, the distance that a further candidate must
+    not exceed to be among its k best.
+    """
 
-    def __init__(self, k: int, limit: int = 2_000_000):
+    def __init__(self, n_groups: int, k: int, digits: int, limit: int = 2_000_000):
         self.k = k
+        self.digits = digits
         self.limit = limit
+        self.bounds = np.full(n_groups, np.inf)
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.compacted = True
 
     def add(self, group, neighbor_id, distance, *payload) -> None:
-        self.parts.append((group, neighbor_id, distance, *payload))
-        self.size += len(group)
+        if len(group):
+            self.parts.append((group, neighbor_id, distance, *payload))
+            self.compacted = False
 
     def compact(self) -> tuple[np.ndarray, ...]:
-        if not self.parts:
-            return ()
+        if self.compacted:
+            return self.parts[0] if self.parts else ()
         columns = [np.concatenate(part) for part in zip(*self.parts)]
         group, neighbor_id, distance = columns[:3]
         order = np.lexsort((neighbor_id, distance, group))
-        order = order[rank_in_runs(group[order]) < self.k]
+        rank = rank_in_runs(group[order])
+        kth = order[rank == self.k - 1]
+        self.bounds[group[kth]] = np.minimum(
+            self.bounds[group[kth]], distance[kth] + tie_slack(self.digits)
+        )
+        order = order[rank < self.k]
         columns = tuple(column[order] for column in columns)
-        self.parts, self.size = [columns], len(order)
+        self.parts, self.compacted = [columns], True
         return columns
 
-    def overflow(self):
-        """Compact when over the limit; release everything if that frees too little."""
-        if self.size > self.limit:
-            columns = self.compact()
-            if self.size > self.limit // 2:
-                self.parts, self.size = [], 0
-                yield columns
+    def settle(self):
+        """Compact after a batch; release everything if it is still too much."""
+        columns = self.compact()
+        if columns and len(columns[0]) > self.limit:
+            self.parts = []
+            yield columns
 
     def finish(self):
         columns = self.compact()

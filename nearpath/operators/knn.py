@@ -104,7 +104,7 @@ def _scan_candidates(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix, visiting, ranks, by_bucket = shared.value
-        best = RunningTopK(k)
+        best = RunningTopK(len(visiting) if per_bucket else len(query_ids), k, digits)
         for batch in batches:
             keys = batch.column("path_key").dictionary_encode()
             codes = keys.indices.to_numpy()
@@ -115,13 +115,14 @@ def _scan_candidates(
                 if visit is None:
                     continue
                 members = codes == code
+                group = visit if per_bucket else visiting[visit]
                 rows, neighbor_id, distance = nearest(
-                    matrix[visiting[visit]], ids[members], vectors[members], k, digits
+                    matrix[visiting[visit]], ids[members], vectors[members], k, digits,
+                    best.bounds[group],
                 )
                 found = visit[rows]
-                group = found if per_bucket else visiting[found]
-                best.add(group, neighbor_id, distance, visiting[found], ranks[found])
-            for part in best.overflow():
+                best.add(group[rows], neighbor_id, distance, visiting[found], ranks[found])
+            for part in best.settle():
                 yield emit(part, query_ids)
         for part in best.finish():
             yield emit(part, query_ids)

@@ -21,7 +21,7 @@ from nearpath.operators.knn import CATALOG_ROWS
 from nearpath.operators.score import NODE_SCHEMA, assign_paths
 from nearpath.plans.config import BuildConfig, ModelParameters
 from nearpath.plans.index import (
-    BUCKETS, META, META_SCHEMA, NODES, OBJECTS, Index, bucket_catalog, load_index,
+    BUCKETS, FILE_ROWS, META, META_SCHEMA, NODES, OBJECTS, Index, bucket_catalog, load_index,
     write_clustered,
 )
 from nearpath.plans.models import Node, fit_node
@@ -36,7 +36,7 @@ def _training_rows(
     scale = 1 << 30
     rows = [
         (key, scale if train_rows is None else min(scale, train_rows * scale // n),
-         max(1, min(n, train_rows or n) // 100_000))
+         max(1, min(n, train_rows or n) // FILE_ROWS))
         for key, n in counts.items()
     ]
     shares = spark.createDataFrame(rows, "path_key string, share long, tasks int")

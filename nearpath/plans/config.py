@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 from nearpath.plans.clustering import ClusteringAlgorithm, clustering_algorithm
 
-# Rows a node model is trained on at most. The model then places every row.
-TRAIN_ROWS = 1_000_000
+# Rows a node model is trained on at most, so that the cost of training does
+# not grow with the data; about what 200 epochs of one batch of 256 rows see.
+# The model then places every row. ``None`` trains on all rows.
+TRAIN_ROWS = 50_000
 
 
 @dataclass(frozen=True)

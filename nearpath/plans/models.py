@@ -35,6 +35,9 @@ COVERAGE_ROUNDS = 5
 
 BLOCK_ROWS = 256
 
+# Rows of one task while a node is fitted, as long as there are tasks to have.
+TASK_ROWS = 5_000
+
 
 def hidden_layers(model_type: str) -> list[int]:
     if model_type not in HIDDEN_LAYERS:
@@ -108,6 +111,9 @@ def fit_node(
     k = n_clusters_for(n_rows, parameters.n_categories)
     if k == 1:
         return constant_node(path, dimension)
+    tasks = min(-(-n_rows // TASK_ROWS), vectors.sparkSession.sparkContext.defaultParallelism)
+    if tasks > 1:
+        vectors = vectors.repartition(tasks, "id")
     started = time.time()
     labelled = cluster_rows(vectors, parameters, k, n_rows).select("features", LABEL).persist()
     try:

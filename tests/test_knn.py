@@ -181,17 +181,16 @@ def test_nearest_does_not_depend_on_the_split(n, k, pieces, seed):
     objects = rng.integers(-1, 2, size=(n, 3)).astype(float)
     queries = rng.integers(-1, 2, size=(5, 3)).astype(float)
     ids = rng.permutation(n)
-    whole = RunningTopK(k)
+    whole = RunningTopK(5, k, 6)
     rows, found, distance = nearest(queries, ids, objects, k, 6)
     whole.add(rows, found, distance)
-    split = RunningTopK(k, limit=20)
+    split = RunningTopK(5, k, 6, limit=20)
     parts = []
     for part in np.array_split(np.arange(n), pieces):
-        rows, found, distance = nearest(queries, ids[part], objects[part], k, 6)
-        split.add(rows, found, distance)
-        parts += list(split.overflow())
+        split.add(*nearest(queries, ids[part], objects[part], k, 6, split.bounds))
+        parts += list(split.settle())
     parts += list(split.finish())
-    merged = RunningTopK(k)
+    merged = RunningTopK(5, k, 6)
     for part in parts:
         merged.add(*part)
     for a, b in zip(whole.compact(), merged.compact()):
