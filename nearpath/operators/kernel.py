@@ -53,6 +53,17 @@ def rank_in_runs(sorted_groups: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
 
 
+def rows_by_key(keys: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """Row numbers of each distinct key."""
+    if isinstance(keys, pa.ChunkedArray):
+        keys = keys.combine_chunks()
+    encoded = keys.dictionary_encode()
+    codes = encoded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(encoded.dictionary)))
+    return dict(zip(encoded.dictionary.to_pylist(), np.split(order, ends[:-1])))
+
+
 def nearest(
     queries: np.ndarray, ids: np.ndarray, objects: np.ndarray, k: int, digits: int,
     bounds: np.ndarray | None = None,

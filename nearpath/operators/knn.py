@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpath.functions.paths import ROOT_KEY
-from nearpath.operators.kernel import RunningTopK, nearest, to_matrix, unit_rows
+from nearpath.operators.kernel import RunningTopK, nearest, rows_by_key, to_matrix, unit_rows
 from nearpath.operators.topk import merge_top_k
+from nearpath.sources.workdir import settle
 
 METRICS = ("cosine", "inner_product")
 
@@ -94,27 +95,19 @@ def _scan_candidates(
         at = np.searchsorted(query_ids[order], visit_rows.column("query_id").to_numpy())
         visiting = order[at]
         ranks = visit_rows.column("bucket_rank").to_numpy()
-        keys = visit_rows.column("path_key").combine_chunks().dictionary_encode()
-        codes = keys.indices.to_numpy()
-        by_bucket = {
-            key: np.flatnonzero(codes == code)
-            for code, key in enumerate(keys.dictionary.to_pylist())
-        }
+        by_bucket = rows_by_key(visit_rows.column("path_key"))
     shared = spark.sparkContext.broadcast((query_ids, matrix, visiting, ranks, by_bucket))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix, visiting, ranks, by_bucket = shared.value
         best = RunningTopK(len(visiting) if per_bucket else len(query_ids), k, digits)
         for batch in batches:
-            keys = batch.column("path_key").dictionary_encode()
-            codes = keys.indices.to_numpy()
             ids = batch.column("id").to_numpy()
             vectors = _vectors(batch.column("v"), metric)
-            for code, key in enumerate(keys.dictionary.to_pylist()):
+            for key, members in rows_by_key(batch.column("path_key")).items():
                 visit = by_bucket.get(key)
                 if visit is None:
                     continue
-                members = codes == code
                 group = visit if per_bucket else visiting[visit]
                 rows, neighbor_id, distance = nearest(
                     matrix[visiting[visit]], ids[members], vectors[members], k, digits,
@@ -153,7 +146,7 @@ def _cell_parts(count: Column, cell_rows: int) -> Column:
 
 def _grid_candidates(
     visits: DataFrame, queries: DataFrame, objects: DataFrame, k: int, metric: str,
-    digits: int, cell_rows: int, one_bucket: bool,
+    digits: int, cell_rows: int, one_bucket: bool, buckets: DataFrame | None,
 ) -> DataFrame:
     """Join visits and objects over cells of at most about ``cell_rows`` rows a side.
 
@@ -172,17 +165,23 @@ def _grid_candidates(
         }
         left, right = visits.withColumns(grid), objects.withColumns(grid)
     else:
-        visits = visits.persist()
-        visits = visits.join(queries.select("query_id", "v"), "query_id")
-        sizes = broadcast_catalog(
+        object_counts = (
             objects.groupBy("path_key").agg(F.count(F.lit(1)).alias("n"))
-            .join(visits.groupBy("path_key").agg(F.count(F.lit(1)).alias("q")), "path_key")
-            .select(
-                "path_key",
-                _cell_parts(F.col("n"), cell_rows).alias("o_parts"),
-                _cell_parts(F.col("q"), cell_rows).alias("q_parts"),
+            if buckets is None
+            else buckets.select("path_key", F.col("n_objects").alias("n"))
+        )
+        visit_counts = visits.groupBy("path_key").agg(F.count(F.lit(1)).alias("q"))
+        sizes = broadcast_catalog(
+            settle(
+                object_counts.join(visit_counts, "path_key").select(
+                    "path_key",
+                    _cell_parts(F.col("n"), cell_rows).alias("o_parts"),
+                    _cell_parts(F.col("q"), cell_rows).alias("q_parts"),
+                ),
+                "sizes",
             )
         )
+        visits = visits.join(queries.select("query_id", "v"), "query_id")
         left, right = visits.join(sizes, "path_key"), objects.join(sizes, "path_key")
 
     def block(key: str, n: str) -> Column:
@@ -236,6 +235,7 @@ def bucket_candidates(
     cell_rows: int | None = None,
     one_bucket: bool = False,
     visits_per_query: int | None = None,
+    buckets: DataFrame | None = None,
 ) -> DataFrame:
     """Local winners ``(query_id, bucket_rank, neighbor_id, distance)`` of a search.
 
@@ -244,25 +244,27 @@ def bucket_candidates(
     ``per_bucket`` the k best of every visited bucket are kept, so that one
     search answers every smaller number of buckets as well. ``one_bucket``
     says that all rows share one key, and ``visits_per_query`` saves counting
-    the visits. The ids of each side must be unique.
+    the visits and ``buckets`` (path_key, n_objects) counting the objects. The
+    ids of each side must be unique.
     """
     _check_metric(metric)
     if k < 1:
         raise ValueError("k must be at least 1")
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    visits_bytes = 0
     if visits_per_query is None and not one_bucket:
-        visits = visits.persist()
+        visits = settle(visits, "visits")
         visits_bytes = visits.count() * VISIT_BYTES
-    else:
-        visits_bytes = 0
     row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     size = row["n"] * ((row["d"] or 0) * 8 + (visits_per_query or 1) * VISIT_BYTES) + visits_bytes
     if size <= limit:
         return _scan_candidates(
             visits, queries, objects, k, metric, per_bucket, digits, one_bucket
         )
+    if visits_per_query is not None and not one_bucket:
+        visits = settle(visits, "visits")
     return _grid_candidates(
-        visits, queries, objects, k, metric, digits, cell_rows or CELL_ROWS, one_bucket
+        visits, queries, objects, k, metric, digits, cell_rows or CELL_ROWS, one_bucket, buckets
     )
 
 

@@ -11,6 +11,7 @@ from nearpath.plans.clustering import ClusteringAlgorithm, clustering_algorithm
 # not grow with the data; about what 200 epochs of one batch of 256 rows see.
 # The model then places every row. ``None`` trains on all rows.
 TRAIN_ROWS = 50_000
+MIN_TRAIN_ROWS = 32
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,8 @@ class BuildConfig:
             raise ValueError("n_categories must name at least one level")
         if any(n < 1 for n in self.n_categories):
             raise ValueError("n_categories must be positive")
+        if self.train_rows is not None and self.train_rows < MIN_TRAIN_ROWS:
+            raise ValueError(f"train_rows must be at least {MIN_TRAIN_ROWS}")
         names = ("clustering_algorithms", "epochs", "model_types", "lrs")
         given = [getattr(self, name) for name in names]
         lists = [isinstance(value, (list, tuple)) for value in given]

@@ -16,7 +16,7 @@ from nearpath.operators.recall import recall_sweep
 from nearpath.plans.build import build_index
 from nearpath.plans.config import BuildConfig
 from nearpath.sources.results import append_runs, write_neighbors
-from nearpath.sources.workdir import work_dir
+from nearpath.sources.workdir import settle
 
 INDEX_TYPES = ("baseline", "learned-index")
 
@@ -54,13 +54,6 @@ def normalized(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", l2_normalize("v"))
 
 
-def _settle(rows: DataFrame, label: str) -> DataFrame:
-    """Write rows to the shared working folder and read them back."""
-    folder = work_dir(rows.sparkSession, label)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
-
-
 def run_experiment(
     objects: DataFrame,
     queries: DataFrame,
@@ -113,12 +106,12 @@ def run_experiment(
     if not numbers:
         raise ValueError("the shares asked for are less than one bucket")
     if truth is None:
-        truth = _settle(
+        truth = settle(
             knn_brute_force(comparing, compared, config.k, metric=config.metric_search), "truth"
         )
 
     started = time.time()
-    found = _settle(
+    found = settle(
         index.sweep(
             queries, numbers, config.k, queries_search=comparing,
             metric=config.metric_search, score=config.score,

@@ -126,7 +126,7 @@ class Index:
         searched = queries if queries_search is None else queries_search
         return knn_in_buckets(
             visits, searched, self.objects, k, metric=metric,
-            visits_per_query=min(n_buckets, self.n_buckets), **options,
+            visits_per_query=min(n_buckets, self.n_buckets), buckets=self.buckets, **options,
         )
 
     def sweep(
@@ -144,7 +144,7 @@ class Index:
         searched = queries if queries_search is None else queries_search
         return knn_sweep(
             visits, searched, self.objects, n_buckets, k, metric=metric,
-            visits_per_query=min(max(n_buckets), self.n_buckets), **options,
+            visits_per_query=min(max(n_buckets), self.n_buckets), buckets=self.buckets, **options,
         )
 
     def save(self, folder: str) -> Index:

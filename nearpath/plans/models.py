@@ -95,7 +95,8 @@ def keep_share(rows: DataFrame, share: float) -> DataFrame:
     if share >= 1:
         return rows
     buckets = 1 << 30
-    return rows.filter(F.pmod(F.xxhash64("id"), F.lit(buckets)) < int(share * buckets))
+    # A salt of its own: the rows may be a sample by the plain hash already.
+    return rows.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(buckets)) < int(share * buckets))
 
 
 def fit_node(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -20,3 +20,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="nearpath-")
     return f"{root.rstrip('/')}/nearpath-{label}-{uuid.uuid4().hex}"
+
+
+def settle(rows: DataFrame, label: str) -> DataFrame:
+    """Write rows to the working folder and read them back: they are computed once."""
+    folder = work_dir(rows.sparkSession, label)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
