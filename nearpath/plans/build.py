@@ -15,13 +15,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nearpath.functions.paths import ROOT_KEY
 from nearpath.operators.knn import CATALOG_ROWS
 from nearpath.operators.score import NODE_SCHEMA, assign_paths
 from nearpath.plans.config import BuildConfig, ModelParameters
 from nearpath.plans.index import (
-    BUCKETS, FILE_ROWS, META, META_SCHEMA, NODES, OBJECTS, Index, bucket_catalog, load_index,
+    BUCKET_SCHEMA, BUCKETS, FILE_ROWS, META, META_SCHEMA, NODES, OBJECTS, Index, bucket_catalog, load_index,
     write_clustered,
 )
 from nearpath.plans.models import Node, fit_node
@@ -54,12 +55,12 @@ def _training_rows(
 
 
 def _fit_level(
-    spark: SparkSession, folder: str, paths: dict[str, tuple[int, ...]], counts: dict[str, int],
+    spark: SparkSession, folder: str, schema: StructType, paths: dict[str, tuple[int, ...]], counts: dict[str, int],
     parameters: ModelParameters, train_rows: int | None, dimension: int, parallel: int,
 ) -> list[Node]:
     def fit(key: str) -> Node:
         n = counts[key] if train_rows is None else min(counts[key], train_rows)
-        vectors = spark.read.parquet(f"{folder}/path_key={key}")
+        vectors = spark.read.schema(schema).parquet(f"{folder}/path_key={key}")
         return fit_node(vectors, paths[key], parameters, n, dimension)
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(counts)))) as pool:
@@ -103,7 +104,7 @@ def build_index(
         training = work_dir(spark, "training")
         _training_rows(placed, counts, config.train_rows, training)
         nodes = _fit_level(
-            spark, training, paths, counts, parameters, config.train_rows, dimension,
+            spark, training, objects.select("id", "v").schema, paths, counts, parameters, config.train_rows, dimension,
             config.parallel_fits,
         )
         cluster_s += sum(node.cluster_s for node in nodes)
@@ -118,11 +119,12 @@ def build_index(
         # The placements are narrow; they are joined with the wide vectors once.
         placed = search_objects.select("id", "v").join(placements, "id")
     bucket_catalog(placements).coalesce(1).write.parquet(f"{folder}/{BUCKETS}")
-    buckets = spark.read.parquet(f"{folder}/{BUCKETS}")
+    buckets = spark.read.schema(BUCKET_SCHEMA).parquet(f"{folder}/{BUCKETS}")
     write_clustered(placed, buckets, f"{folder}/{OBJECTS}")
     totals = buckets.agg(F.sum("n_objects").alias("n"), F.count(F.lit(1)).alias("b")).first()
     meta = (
-        config.n_levels, totals["n"], totals["b"], size, time.time() - started, cluster_s,
+        config.n_levels, totals["n"], totals["b"], size,
+        placed.schema["v"].dataType.elementType.simpleString(), time.time() - started, cluster_s,
     )
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.parquet(f"{folder}/{META}")
     return load_index(spark, folder)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ from nearpath.operators.score import NODE_SCHEMA, SharedTree, share_tree
 
 NODES, BUCKETS, OBJECTS, META = "nodes", "buckets", "objects", "meta"
 
+BUCKET_SCHEMA = "path array<int>, path_key string, n_objects long"
 META_SCHEMA = (
-    "n_levels int, n_objects long, n_buckets long, node_bytes long, "
+    "n_levels int, n_objects long, n_buckets long, node_bytes long, value_type string, "
     "build_s double, cluster_s double"
 )
 
@@ -64,34 +66,33 @@ class Index:
 
     spark: SparkSession
     folder: str
-    _meta: dict | None = None
-    _tree: SharedTree | None = None
+    _tree: SharedTree | None = field(default=None, repr=False)
 
-    def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}")
+    def _read(self, table: str, schema) -> DataFrame:
+        # With the schema given, no job looks into the files first.
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
 
-    @property
+    @cached_property
+    def meta(self) -> dict:
+        return self._read(META, META_SCHEMA).first().asDict()
+
+    @cached_property
     def nodes(self) -> DataFrame:
-        return self._read(NODES).select(*NODE_SCHEMA.names)
+        return self._read(NODES, NODE_SCHEMA).select(*NODE_SCHEMA.names)
 
-    @property
+    @cached_property
     def buckets(self) -> DataFrame:
-        return self._read(BUCKETS)
+        return self._read(BUCKETS, BUCKET_SCHEMA)
 
-    @property
+    @cached_property
     def objects(self) -> DataFrame:
-        return self._read(OBJECTS)
+        vector = f"v array<{self.meta['value_type']}>"
+        return self._read(OBJECTS, f"id long, {vector}, path array<int>, path_key string")
 
     @property
     def assignments(self) -> DataFrame:
         return self.objects.select("id", "path", "path_key")
 
-    @property
-    def meta(self) -> dict:
-        if self._meta is None:
-            self._meta = self._read(META).first().asDict()
-        return self._meta
-
     @property
     def n_buckets(self) -> int:
         return self.meta["n_buckets"]
@@ -150,9 +151,10 @@ class Index:
     def save(self, folder: str) -> Index:
         """Copy the tables to another folder."""
         self.nodes.write.parquet(f"{folder}/{NODES}")
-        for table in (BUCKETS, META):
-            self._read(table).write.parquet(f"{folder}/{table}")
-        write_clustered(self.objects, self.buckets, f"{folder}/{OBJECTS}")
+        self.buckets.write.parquet(f"{folder}/{BUCKETS}")
+        self._read(META, META_SCHEMA).write.parquet(f"{folder}/{META}")
+        # A scan takes whole folders or pieces of one, so nothing is shuffled.
+        self.objects.write.partitionBy("path_key").parquet(f"{folder}/{OBJECTS}")
         return load_index(self.spark, folder)
 
 

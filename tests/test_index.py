@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearpath import fixtures as fx
+from nearpath.operators.kernel import round_half_up
 from nearpath.operators.knn import knn_brute_force
 from nearpath.plans import models
 from nearpath.plans.build import build_index
@@ -87,6 +88,23 @@ def test_recall_grows_with_buckets(index, queries, truth):
     assert recalls[len(recalls) // 4] > 0.4
 
 
+def test_search_is_exact_inside_the_visited_buckets(index, queries, objects):
+    found = {}
+    for q, rank, neighbor, distance in rows(index.search(queries, 3, 4)):
+        found.setdefault(q, []).append((distance, neighbor))
+    bucket = {r["id"]: r["path_key"] for r in index.assignments.collect()}
+    reach = {}
+    for r in index.bucket_order(queries, 3).collect():
+        reach.setdefault(r["query_id"], set()).add(r["path_key"])
+    vectors = {r["id"]: np.array(r["v"], dtype=float) for r in objects.collect()}
+    for q, x in vectors.items():
+        pairs = [
+            (float(round_half_up(1 - np.array([x @ y / np.linalg.norm(x) / np.linalg.norm(y)]), 6)[0]), i)
+            for i, y in vectors.items() if bucket[i] in reach[q]
+        ]
+        assert found[q] == sorted(pairs)[:4]
+
+
 def test_save_and_load(index, queries, spark):
     folder = work_dir(spark, "saved")
     index.save(folder)
