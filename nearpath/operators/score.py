@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from nearpath.functions.paths import ROOT_KEY, key_of, path_key
 from nearpath.operators.kernel import TILE_CELLS, forward, to_matrix
 from nearpath.operators.knn import CATALOG_ROWS
+from nearpath.sources.workdir import settle
 
 NODE_SCHEMA = T.StructType(
     [
@@ -194,6 +195,9 @@ def assign_paths(
     for level in range(shape["depth"] + 1):
         at_level = nodes.filter(F.col("level") == level)
         assigned = _descend_level(assigned, at_level, shape["paths"])
+        if level < shape["depth"]:
+            # The next level reads its input twice.
+            assigned = settle(assigned, "placed")
     return assigned
 
 
@@ -216,6 +220,7 @@ def _descend_level(assigned: DataFrame, nodes: DataFrame, n_paths: int) -> DataF
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
     kind = assigned.schema["v"].dataType.simpleString()
+
     def follow(rows: pa.Table, node: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return rows.select(["id", "v", "path"]).append_column(

@@ -22,7 +22,16 @@ from nearpath.operators.knn import CATALOG_ROWS
 from nearpath.operators.score import NODE_SCHEMA, assign_paths
 from nearpath.plans.config import BuildConfig, ModelParameters
 from nearpath.plans.index import (
-    BUCKET_SCHEMA, BUCKETS, FILE_ROWS, META, META_SCHEMA, NODES, OBJECTS, Index, bucket_catalog, load_index,
+    BUCKET_SCHEMA,
+    BUCKETS,
+    FILE_ROWS,
+    META,
+    META_SCHEMA,
+    NODES,
+    OBJECTS,
+    Index,
+    bucket_catalog,
+    load_index,
     write_clustered,
 )
 from nearpath.plans.models import Node, fit_node
@@ -55,15 +64,25 @@ def _training_rows(
 
 
 def _fit_level(
-    spark: SparkSession, folder: str, schema: StructType, paths: dict[str, tuple[int, ...]], counts: dict[str, int],
-    parameters: ModelParameters, train_rows: int | None, dimension: int, parallel: int,
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    paths: dict[str, tuple[int, ...]],
+    counts: dict[str, int],
+    parameters: ModelParameters,
+    config: BuildConfig,
+    dimension: int,
 ) -> list[Node]:
+    """Fit the nodes of a level, several at once, on the rows written for them."""
+    train_rows = config.train_rows
+
     def fit(key: str) -> Node:
         n = counts[key] if train_rows is None else min(counts[key], train_rows)
         vectors = spark.read.schema(schema).parquet(f"{folder}/path_key={key}")
         return fit_node(vectors, paths[key], parameters, n, dimension)
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(counts)))) as pool:
+    workers = max(1, min(config.parallel_fits, len(counts)))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
         return list(pool.map(fit, sorted(counts)))
 
 
@@ -103,9 +122,9 @@ def build_index(
         paths = {row["path_key"]: tuple(row["path"]) for row in rows}
         training = work_dir(spark, "training")
         _training_rows(placed, counts, config.train_rows, training)
+        schema = objects.select("id", "v").schema
         nodes = _fit_level(
-            spark, training, objects.select("id", "v").schema, paths, counts, parameters, config.train_rows, dimension,
-            config.parallel_fits,
+            spark, training, schema, paths, counts, parameters, config, dimension
         )
         cluster_s += sum(node.cluster_s for node in nodes)
         size += sum(len(node.weights) * 8 + 256 for node in nodes)

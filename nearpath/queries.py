@@ -496,7 +496,9 @@ def knn_single_bucket(spark, sf_dir):
     tree = fx.FixtureTree(spark, sf_dir, 2)
     visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(tree.vectors, tree.assignments)
-    found = bucket_candidates(visits, tree.queries, placed, K, per_bucket=True, visits_per_query=N_BUCKETS)
+    found = bucket_candidates(
+        visits, tree.queries, placed, K, per_bucket=True, visits_per_query=N_BUCKETS
+    )
     return merge_top_k(found, K, "query_id", "bucket_rank")
 
 
@@ -511,8 +513,10 @@ def knn_two_space(spark, sf_dir):
     compared = fx.scaled_objects(spark, sf_dir)
     visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(compared, tree.assignments)
-    return knn_in_buckets(visits, fx.as_queries(compared), placed, K, metric="inner_product",
-                          visits_per_query=N_BUCKETS)
+    return knn_in_buckets(
+        visits, fx.as_queries(compared), placed, K, metric="inner_product",
+        visits_per_query=N_BUCKETS,
+    )
 
 
 # --- recall --------------------------------------------------------------------

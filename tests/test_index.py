@@ -97,12 +97,11 @@ def test_search_is_exact_inside_the_visited_buckets(index, queries, objects):
     for r in index.bucket_order(queries, 3).collect():
         reach.setdefault(r["query_id"], set()).add(r["path_key"])
     vectors = {r["id"]: np.array(r["v"], dtype=float) for r in objects.collect()}
-    for q, x in vectors.items():
-        pairs = [
-            (float(round_half_up(1 - np.array([x @ y / np.linalg.norm(x) / np.linalg.norm(y)]), 6)[0]), i)
-            for i, y in vectors.items() if bucket[i] in reach[q]
-        ]
-        assert found[q] == sorted(pairs)[:4]
+    unit = {i: v / np.linalg.norm(v) for i, v in vectors.items()}
+    for q, x in unit.items():
+        inside = [i for i in unit if bucket[i] in reach[q]]
+        distances = round_half_up(1 - np.array([x @ unit[i] for i in inside]), 6)
+        assert found[q] == sorted(zip(distances.tolist(), inside))[:4]
 
 
 def test_save_and_load(index, queries, spark):
