@@ -70,10 +70,9 @@ def _candidate_batch(query_id, bucket_rank, neighbor_id, distance) -> pa.RecordB
     )
 
 
-def broadcast_catalog(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def broadcast_catalog(rows: DataFrame) -> DataFrame:
     """Hint a broadcast for per-bucket rows, if there are few enough of them."""
-    limit = CATALOG_ROWS if limit is None else limit
-    return F.broadcast(rows) if rows.count() <= limit else rows
+    return F.broadcast(rows) if rows.count() <= CATALOG_ROWS else rows
 
 
 def _scan_candidates(
@@ -171,16 +170,19 @@ def _grid_candidates(
             else buckets.select("path_key", F.col("n_objects").alias("n"))
         )
         visit_counts = visits.groupBy("path_key").agg(F.count(F.lit(1)).alias("q"))
-        sizes = broadcast_catalog(
-            settle(
-                object_counts.join(visit_counts, "path_key").select(
-                    "path_key",
-                    _cell_parts(F.col("n"), cell_rows).alias("o_parts"),
-                    _cell_parts(F.col("q"), cell_rows).alias("q_parts"),
-                ),
-                "sizes",
-            )
+        sizes = settle(
+            object_counts.join(visit_counts, "path_key").select(
+                "path_key",
+                _cell_parts(F.col("n"), cell_rows).alias("o_parts"),
+                _cell_parts(F.col("q"), cell_rows).alias("q_parts"),
+            ),
+            "sizes",
         )
+        n_sizes = sizes.count()
+        if n_sizes <= LISTED_KEYS:
+            objects = _visited(objects, [row["path_key"] for row in sizes.collect()])
+        if n_sizes <= CATALOG_ROWS:
+            sizes = F.broadcast(sizes)
         visits = visits.join(queries.select("query_id", "v"), "query_id")
         left, right = visits.join(sizes, "path_key"), objects.join(sizes, "path_key")
 

@@ -35,6 +35,9 @@ COVERAGE_ROUNDS = 5
 
 BLOCK_ROWS = 256
 
+# Relative gain of an iteration below which a fit has converged.
+TOLERANCE = 1e-4
+
 # Rows of one task while a node is fitted, as long as there are tasks to have.
 TASK_ROWS = 5_000
 
@@ -154,7 +157,7 @@ def _fit_classifier(
         layers = [dimension, *hidden, n_classes]
         estimator = MultilayerPerceptronClassifier(
             layers=layers, maxIter=parameters.epochs, blockSize=BLOCK_ROWS, seed=SEED,
-            solver=parameters.solver, stepSize=parameters.lr,
+            solver=parameters.solver, stepSize=parameters.lr, tol=TOLERANCE,
         )
         for _ in range(COVERAGE_ROUNDS):
             model = estimator.fit(training)
