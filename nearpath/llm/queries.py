@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nearpath.llm import bpe
 from nearpath.llm.fingerprint import edited_fingerprints
+from nearpath.llm.jaccard_join import jaccard_classes
 from nearpath.llm.lattice_lm import lattice_scores
 from nearpath.llm.license_scan import license_scan
 from nearpath.llm.packing import pack_documents
@@ -72,3 +73,8 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(documents(spark, sf_dir), vocabulary).drop("ids")
+
+
+@register
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir)).withColumn("node", F.hex("node"))
