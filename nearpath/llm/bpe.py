@@ -67,8 +67,8 @@ def encode(
             found.update(words(text))
         return exchange.by_shard(map(str.encode, found), shards)
 
-    def ask(block: exchange.Block) -> Iterator[tuple[int, bytes]]:
-        asked = distinct(block[2])
+    def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        asked = distinct(rows.column("text").to_pylist())
         # a block without a word still needs an answer to meet
         for shard, own in (asked or {0: []}).items():
             yield shard, exchange.pack_bytes(own)
@@ -90,13 +90,14 @@ def encode(
                     [pa.array([block], pa.binary()), pa.array([shard], pa.int32()),
                      pa.array([packed], pa.binary())], names=["block", "shard", "payload"])
 
-    def finish(ids: list, texts: list[str], got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(rows: pa.Table, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        texts = rows.column("text").to_pylist()
         known: dict[str, bytes] = {}
         for shard, own in distinct(texts).items():
             known.update(zip(map(bytes.decode, own), exchange.unpack_bytes(got[shard])))
         out = [b"".join(map(known.__getitem__, words(text))) for text in texts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
+            [rows.column("doc_id").combine_chunks(), pa.array(out, pa.binary())], schema=ENCODED)
 
     answers = (
         exchange.requests(docs, ask)

@@ -34,19 +34,15 @@ BLOCK_BYTES = 32 << 20
 REQUESTS = "block binary, shard int, payload binary"
 DOCUMENTS = "block binary, payload binary"
 
-Block = tuple[bytes, list, list[str]]
-
-
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
-    """Name, ids and texts of each block in a task's rows of ``doc_id, text``."""
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.RecordBatch]]:
+    """Name and rows of each block in a task's rows (``doc_id``, ``text`` and others)."""
     for batch in batches:
-        for part in slices(batch, "text", BLOCK_BYTES):
-            ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-            name = xxhash.xxh3_128(np.array([i or 0 for i in ids], np.int64).tobytes())
-            for text in texts:
-                name.update(text.encode())
+        for rows in slices(batch, "text", BLOCK_BYTES):
+            name = xxhash.xxh3_128(repr(rows.column("doc_id").to_pylist()).encode())
+            for text in rows.column("text"):
+                name.update(text.as_buffer())
                 name.update(b"\0")
-            yield name.digest(), ids, texts
+            yield name.digest(), rows
 
 
 def pack_bytes(items: list[bytes]) -> bytes:
@@ -72,29 +68,28 @@ def by_shard(words: Iterable[bytes], shards: int) -> dict[int, list[bytes]]:
     return {shard: sorted(own) for shard, own in sorted(out.items())}
 
 
-def pack_documents(ids: list, texts: list[str]) -> bytes:
+def pack_rows(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    with pa.ipc.new_stream(
-        sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
-    ) as writer:
-        writer.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts)], schema))
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+        writer.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
 
-def unpack_documents(packed: bytes) -> tuple[list, list[str]]:
-    rows = pa.ipc.open_stream(packed).read_all()
-    return rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+def unpack_rows(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
 
 
-def requests(docs: DataFrame, ask: Callable[[Block], Iterable[tuple[int, bytes]]]) -> DataFrame:
-    """What each block asks: ``ask`` gives (shard, payload) of a block."""
+def requests(
+    docs: DataFrame, ask: Callable[[pa.RecordBatch], Iterable[tuple[int, bytes]]]
+) -> DataFrame:
+    """What each block asks: ``ask`` gives (shard, payload) for a block's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            asked = list(ask(block))
+        for name, rows in blocks(batches):
+            asked = list(ask(rows))
             yield pa.RecordBatch.from_arrays([
-                pa.array([block[0]] * len(asked), pa.binary()),
+                pa.array([name] * len(asked), pa.binary()),
                 pa.array([shard for shard, _ in asked], pa.int32()),
                 pa.array([payload for _, payload in asked], pa.binary()),
             ], names=["block", "shard", "payload"])
@@ -104,9 +99,9 @@ def requests(docs: DataFrame, ask: Callable[[Block], Iterable[tuple[int, bytes]]
 
 def packed_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, texts in blocks(batches):
+        for name, rows in blocks(batches):
             yield pa.RecordBatch.from_arrays([
-                pa.array([name], pa.binary()), pa.array([pack_documents(ids, texts)], pa.binary()),
+                pa.array([name], pa.binary()), pa.array([pack_rows(rows)], pa.binary()),
             ], names=["block", "payload"])
 
     return docs.mapInArrow(run, DOCUMENTS)
@@ -115,18 +110,18 @@ def packed_blocks(docs: DataFrame) -> DataFrame:
 def with_answers(
     docs: DataFrame,
     answers: DataFrame,
-    finish: Callable[[list, list[str], dict[int, bytes]], Iterator[pa.RecordBatch]],
+    finish: Callable[[pa.Table, dict[int, bytes]], Iterator[pa.RecordBatch]],
     schema: pa.Schema,
     spark_schema: str,
 ) -> DataFrame:
-    """``finish`` gets the ids and texts of a block and the answers by shard."""
+    """``finish`` gets the rows of a block and the answers by shard."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist()))
         out = [
             batch
             for payload in left.column("payload").to_pylist()
-            for batch in finish(*unpack_documents(payload), got)
+            for batch in finish(unpack_rows(payload), got)
         ]
         return pa.Table.from_batches(out, schema)
 

@@ -46,7 +46,7 @@ FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) +
 SHIFTS = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 SIGNED = pa.schema([
-    ("doc_id", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()),
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()),
     ("signature", pa.binary()),
 ])
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
@@ -195,10 +195,11 @@ def jaccard_classes(
 
     ``n_links`` counts the other documents at the threshold or above, copies
     included. A class holds what links connect; ``class_id`` is its smallest
-    ``doc_id``, ``class_size`` its number of documents. ``node`` is a hash of
-    the shingle set, equal for copies.
+    ``doc_id``, ``class_size`` its number of documents; ``class`` names it too, if
+    no document of it has an id. ``node`` is a hash of the shingle set, equal for
+    copies, ``text_key`` one of the text.
     """
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     parts = 4 * input_tasks(docs)
     limits = [fewest_matches(n, threshold, tolerance) for n in range(STEP, HASHES + 1, STEP)]
 
@@ -208,6 +209,7 @@ def jaccard_classes(
             sets = [shingler.shingles(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([signature(s).tobytes() for s in sets], pa.binary()),
@@ -300,7 +302,7 @@ def jaccard_classes(
     named = placed.groupBy("class").agg(
         F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     placed = placed.join(named, "class").select(
-        "node", "class_id", "class_size",
+        "node", "class", "class_id", "class_size",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node", "n_shingles").join(placed, "node").select(
-        "doc_id", "class_id", "n_links", "class_size", "n_shingles", "node")
+    return signed.select("doc_id", "text_key", "node", "n_shingles").join(placed, "node").select(
+        "doc_id", "class_id", "n_links", "class_size", "n_shingles", "class", "node", "text_key")

@@ -145,17 +145,16 @@ def lattice_scores(
     with open(model_path, "rb") as file:
         model = file.read()  # a vocabulary's size, not the data's
 
-    def count(block: exchange.Block) -> dict[bytes, int]:
+    def count(rows: pa.RecordBatch) -> dict[bytes, int]:
         """Training count of each distinct word, 0 for held-out words."""
-        _, ids, texts = block
         held: set[bytes] = set()
         counts: Counter[bytes] = Counter()
-        for doc_id, text in zip(ids, texts):
+        for doc_id, text in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "text"))):
             (held if is_held_out(doc_id) else counts).update(words(text))
         return dict.fromkeys(held, 0) | counts
 
-    def ask(block: exchange.Block) -> Iterator[tuple[int, bytes]]:
-        counts = count(block)
+    def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        counts = count(rows)
         for shard, own in (exchange.by_shard(counts, shards) or {0: []}).items():
             numbers = np.fromiter(map(counts.__getitem__, own), "<u4", len(own))
             yield shard, exchange.pack_bytes(
@@ -217,7 +216,8 @@ def lattice_scores(
             "payload": pa.array(out, pa.binary()),
         })
 
-    def finish(ids: list, texts: list[str], got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def finish(rows: pa.Table, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        ids, texts = (rows.column(name).to_pylist() for name in ("doc_id", "text"))
         number: dict[bytes, int] = {}
         found_counts, found_scores = [], []
         distinct = set()
@@ -231,14 +231,14 @@ def lattice_scores(
         c = np.concatenate(found_counts) if found_counts else np.zeros(0, np.int64)
         score = np.concatenate(found_scores) if found_scores else np.zeros(0)
         base = np.log10(c + SMOOTHING)
-        rows = []
+        out = []
         for doc_id, text in zip(ids, texts):
             own = words(text)
             at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            rows.append((doc_id, is_held_out(doc_id), len(own) + 1, int((c[at] > 0).sum()),
-                         float(base[at].sum()), float(score[at].sum())))
+            out.append((doc_id, is_held_out(doc_id), len(own) + 1, int((c[at] > 0).sum()),
+                        float(base[at].sum()), float(score[at].sum())))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(column), f.type) for column, f in zip(zip(*rows), SCORED)],
+            [pa.array(list(column), f.type) for column, f in zip(zip(*out), SCORED)],
             schema=SCORED)
 
     answers = asked.groupBy("shard").applyInArrow(answer, exchange.REQUESTS)

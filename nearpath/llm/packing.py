@@ -190,11 +190,11 @@ class Line:
             before += n
         return np.concatenate(places).tolist(), np.concatenate(penalties).tolist()
 
-    def pack(self, first_sequence: int) -> tuple[dict[str, list], int]:
+    def pack(self, first_sequence: int, schema: pa.Schema = SCHEMA) -> tuple[dict[str, list], int]:
         """Rows of the pieces, and how many sequences there are."""
         places, penalties = self.candidates()
         cuts = [places[i] for i in choose_cuts(places, penalties, self.length)]
-        out = {name: [] for name in SCHEMA.names}
+        out = {name: [] for name in schema.names}
         sequence, begin = 0, 0
         for doc_id, ids, _ in self.documents:
             n, start = len(ids) // 4, 0
@@ -203,7 +203,7 @@ class Line:
                     sequence += 1
                 stop = min(n, cuts[sequence + 1] - begin)
                 piece = ids[4 * start:4 * stop]
-                for name, value in zip(SCHEMA.names, (
+                for name, value in zip(schema.names, (
                     doc_id, start, stop - start, zlib.crc32(piece), n,
                     first_sequence + sequence, begin + start - cuts[sequence],
                     cuts[sequence + 1] - cuts[sequence], piece,
@@ -219,13 +219,15 @@ def pack_documents(
     vocabulary_path: str,
     length: int = LENGTH,
     end_id: int = END_ID,
+    with_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The pieces of all documents with their ids and places.
+    """The pieces of all documents with their places and, last, their ids.
 
     ``sequence_id`` is unique, not gapless: the task's number above 2**33.
     """
+    schema = SCHEMA if with_ids else SCHEMA.remove(SCHEMA.get_field_index("ids"))
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()  # a vocabulary's size, not the data's
 
@@ -237,10 +239,10 @@ def pack_documents(
                 words, ids = encoder.words(text)
                 line.add(doc_id, b"".join(ids) + encoder.end, sentence_ends(words, ids))
                 if line.tokens >= LINE_TOKENS:
-                    out, n = line.pack(sequence)
+                    out, n = line.pack(sequence, schema)
                     line, sequence = Line(length), sequence + n
-                    yield table(SCHEMA, out)
+                    yield table(schema, out)
         if line.documents:
-            yield table(SCHEMA, line.pack(sequence)[0])
+            yield table(schema, line.pack(sequence, schema)[0])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, spark_schema(SCHEMA))
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, spark_schema(schema))

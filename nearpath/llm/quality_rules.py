@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearpath.llm.rows import id_and_text, spark_schema
+from nearpath.llm.rows import id_and_text, slices, spark_schema
 from nearpath.llm.suffixes import covered, longest_repeats, neighbour_prefixes, suffix_order
 
 WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 BLANK = " \t\n\v\f\r"
-CHUNK_WORDS = 1 << 20
+CHUNK_BYTES = 5 << 20
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
@@ -116,17 +116,23 @@ def quality_rules(
     """The measures and the verdict of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-                if size >= CHUNK_WORDS * 5:
-                    yield judge(ids, texts, rules)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield judge(ids, texts, rules)
+            for part in slices(batch, "text", CHUNK_BYTES):
+                yield judge(part.column(0).to_pylist(), part.column(1).to_pylist(), rules)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, spark_schema(SCHEMA))
 
+
+def keep_good(
+    docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text"
+) -> DataFrame:
+    """The rows the rules keep, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, CHUNK_BYTES):
+                texts = [text or "" for text in part.column(text_col).to_pylist()]
+                verdict = judge([None] * len(texts), texts, rules).column("kept")
+                yield part.filter(verdict)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from nearpath.llm import bpe
 from nearpath.llm.fingerprint import edited_fingerprints
+from nearpath.llm.html_extract import extract_main_text
 from nearpath.llm.jaccard_join import jaccard_classes
+from nearpath.llm.language_id import identify
 from nearpath.llm.lattice_lm import lattice_scores
 from nearpath.llm.license_scan import license_scan
 from nearpath.llm.packing import pack_documents
@@ -30,6 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
 @register
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -47,8 +54,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_blank = F.regexp_replace("kept_text", "[\\x20\\x09-\\x0D]+", " ")
     return repeated_passages(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+        "doc_id", "n_words", "n_removed", F.sha2(F.trim(one_blank), 256).alias("kept_sha256"))
 
 
 @register
@@ -69,12 +77,27 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@register
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), pages(spark, sf_dir))
+
+
 @register
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return pack_documents(documents(spark, sf_dir), vocabulary).drop("ids")
+    return pack_documents(documents(spark, sf_dir), vocabulary, with_ids=False)
 
 
 @register
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(documents(spark, sf_dir)).withColumn("node", F.hex("node"))
+    return jaccard_classes(documents(spark, sf_dir)).drop("class", "node", "text_key")
+
+
+@register
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(pages(spark, sf_dir))
+
+
+@register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")

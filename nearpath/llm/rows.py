@@ -9,15 +9,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_and_text(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """Only ``doc_id`` and ``text``: other columns, whatever their names, stay out.
-    A null text is an empty one."""
-    return docs.select(
+    A null text is an empty one. ``carry`` packs the whole row but its text into
+    ``rest``, for an operator that gives all columns back."""
+    columns = [
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+    ]
+    if carry:
+        others = [F.col(f"`{name}`") for name in docs.columns if name != text_col]
+        columns.append(F.to_json(F.struct(*others)).alias("rest"))
+    return docs.select(*columns)
+
+
+def unpack_rest(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` of ``text`` and ``rest`` with the columns of ``docs`` again."""
+    others = StructType([f for f in docs.schema if f.name != text_col])
+    return rows.withColumn("rest", F.from_json("rest", others)).select(*(
+        F.col("text").alias(name) if name == text_col else F.col(f"rest.`{name}`").alias(name)
+        for name in docs.columns
+    ))
 
 
 def input_tasks(frame: DataFrame, least: int = 8) -> int:
@@ -29,7 +46,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
     """Parts of a batch with at most ``limit`` bytes in a string column, or one row."""
     if not batch.num_rows:
         return
-    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:

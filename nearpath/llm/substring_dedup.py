@@ -51,14 +51,10 @@ DOCUMENT, PASSAGE, BLOCK = 0, 1, 2
 FOUND = pa.schema([
     ("kind", pa.int32()), ("block", pa.binary()), ("passage", pa.binary()), ("shard", pa.int32()),
     ("place", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("payload", pa.binary()),
-    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()),
-    ("n_removed", pa.int64()), ("kept_text", pa.string()),
+    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
+    ("kept_text", pa.string()), ("rest", pa.string()),
 ])
-KEPT = pa.schema([FOUND.field(n) for n in ("doc_id", "text_key", "n_words", "n_removed", "kept_text")])
-
-
-def text_key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+KEPT = pa.schema([FOUND.field(n) for n in ("doc_id", "n_words", "n_removed", "kept_text", "rest")])
 
 
 def window_keys(hashes: np.ndarray) -> np.ndarray:
@@ -105,14 +101,14 @@ def repeated_passages(
 ) -> DataFrame:
     """Every row with its text less the words of repeated passages.
 
-    ``kept_text`` joins the kept words by one blank; ``text_key`` is a hash of
-    the text that came in.
+    ``kept_text`` joins the kept words by one blank; a text of which nothing is
+    taken stays as it is. ``rest`` holds the other columns as JSON.
     """
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col, carry=True)
     shards = input_tasks(docs)
 
-    def ask(block: exchange.Block) -> Iterator[tuple[int, bytes]]:
-        asked = list(asked_keys(keys_of_block(block[2])[1], shards))
+    def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        asked = list(asked_keys(keys_of_block(rows.column("text").to_pylist())[1], shards))
         for shard, keys, here in asked or [(0, np.zeros(0, np.uint64), np.zeros(0, bool))]:
             yield shard, zstandard.compress(pickle.dumps((keys, np.packbits(here))), 1)
 
@@ -128,7 +124,8 @@ def repeated_passages(
             "payload": pa.array([np.packbits(part).tobytes() for part in parts], pa.binary()),
         })
 
-    def candidates(ids: list, texts: list[str], got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def candidates(rows: pa.Table, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        ids, texts, rests = (rows.column(n).to_pylist() for n in ("doc_id", "text", "rest"))
         words, keys = keys_of_block(texts)
         again = [np.zeros(0, np.uint64)]
         for shard, own, _ in asked_keys(keys, shards):
@@ -143,7 +140,7 @@ def repeated_passages(
 
         passages: dict[bytes, list] = {}
         held = []
-        for doc_id, text, own, key in zip(ids, texts, words, keys):
+        for doc_id, text, rest, own, key in zip(ids, texts, rests, words, keys):
             refs = []
             if doc_id is not None and len(key) and len(again):
                 first, last = runs(key)
@@ -157,10 +154,10 @@ def repeated_passages(
                     seen[2], seen[3] = min(seen[2], doc_id), max(seen[3], doc_id)
                     refs.append((a, seen[0]))
             if refs:
-                held.append((doc_id, text, refs))
+                held.append((doc_id, text, rest, refs))
             else:
-                add(kind=DOCUMENT, doc_id=doc_id, text_key=text_key(text), n_words=len(own),
-                    n_removed=0, kept_text=b" ".join(own).decode())
+                add(kind=DOCUMENT, doc_id=doc_id, n_words=len(own), n_removed=0, kept_text=text,
+                    rest=rest)
         if held:
             block = xxhash.xxh3_128_digest(b"".join(passages) + pickle.dumps([h[0] for h in held]))
             add(kind=BLOCK, block=block, payload=zstandard.compress(pickle.dumps(held), 3))
@@ -202,7 +199,7 @@ def repeated_passages(
         }
         out = {name: [] for name in KEPT.names}
         for payload in left.column("payload").to_pylist():
-            for doc_id, text, refs in pickle.loads(zstandard.decompress(payload)):
+            for doc_id, text, rest, refs in pickle.loads(zstandard.decompress(payload)):
                 words = text.encode().split()
                 starts = [
                     at + found[found[:, 1] < doc_id, 0]
@@ -212,8 +209,10 @@ def repeated_passages(
                 gone = covered(starts, np.full(len(starts), WINDOW), len(words))
                 kept = [word for word, off in zip(words, gone.tolist()) if not off]
                 for name, value in (
-                    ("doc_id", doc_id), ("text_key", text_key(text)), ("n_words", len(words)),
-                    ("n_removed", len(words) - len(kept)), ("kept_text", b" ".join(kept).decode()),
+                    ("doc_id", doc_id), ("n_words", len(words)),
+                    ("n_removed", len(words) - len(kept)),
+                    ("kept_text", b" ".join(kept).decode() if len(starts) else text),
+                    ("rest", rest),
                 ):
                     out[name].append(value)
         return pa.Table.from_batches([table(KEPT, out)])
