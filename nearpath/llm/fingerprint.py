@@ -171,7 +171,8 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranged = (
         Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket", handleInvalid="keep")
         .transform(docs.withColumn("as_double", F.col("doc_id").cast("double")))
-        .select("doc_id", "text", F.col("bucket").cast("int").alias("range"))
+        .select("doc_id", "text",
+                F.coalesce(F.col("bucket").cast("int"), F.lit(len(splits))).alias("range"))
     )
     # one row a range
     firsts = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"))
