@@ -167,7 +167,7 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = min(input_tasks(docs), MAX_RANGES)
     cuts = docs.select(F.percentile_approx(
         "doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     ranged = (
         Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket", handleInvalid="keep")
         .transform(docs.withColumn("as_double", F.col("doc_id").cast("double")))

@@ -105,7 +105,8 @@ def labelled_sample(
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).cast("double") / (1 << 30)
     for row in counts:
         own = docs.where((F.col(label_col) == row["label"]) & (place < n / row["count"]))
-        rows += own.select(F.lit(row["label"]), F.coalesce(F.col(text_col), F.lit("")))
+        rows += [(row["label"], r["text"] or "") for r in
+                 own.select(F.col(text_col).alias("text")).collect()]
     return rows
 
 
@@ -130,8 +131,8 @@ def score_texts(rows: DataFrame, text_col: str, model: TextModel, markup: bool =
                     text = MARKUP.sub(" ", text)
                 total, n = model.score(text)
                 weighted = total * INDEPENDENT
-                share = np.exp(weighted - weighted.max(initial=0) if n else weighted)
-                share = share / max(share.sum(), 1e-300)
+                share = np.exp(weighted - weighted.max())
+                share = share / share.sum()
                 best = int(np.argmax(total))
                 n_trigrams.append(n)
                 logs.append(weighted.tolist())

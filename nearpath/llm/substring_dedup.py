@@ -221,7 +221,7 @@ def repeated_passages(
     found = exchange.with_answers(docs, answers, candidates, FOUND, spark_schema(FOUND))
     folder = work_dir(docs.sparkSession, "passages")
     found.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
-    found = docs.sparkSession.read.parquet(folder)
+    found = docs.sparkSession.read.schema(found.schema).parquet(folder)
 
     passages = found.where(F.col("kind") == PASSAGE)
     located = (
@@ -232,10 +232,10 @@ def repeated_passages(
     )
     to_blocks = passages.select("passage", "block", "place").join(
         located, F.col("passage") == F.col("located")
-    ).select("block", "place", "places")
+    ).select(F.col("block").alias("to_block"), "place", "places")
     changed = (
         found.where(F.col("kind") == BLOCK).select("block", "payload").groupBy("block")
-        .cogroup(to_blocks.groupBy("block"))
+        .cogroup(to_blocks.groupBy("to_block"))
         .applyInArrow(take_out, spark_schema(KEPT))
     )
     return found.where(F.col("kind") == DOCUMENT).select(*KEPT.names).unionByName(changed)

@@ -98,8 +98,6 @@ def test_learns(spark, sf_dir):
     plain_flat = sum(
         sum(flat.log_probability(w.decode()) for w in lm.words(texts[r["doc_id"]])) / lm.LOG10 for r in rows)
     assert learned > plain_flat * 0.8
-    # new words cost the base model a floor, the lattice only their pieces
-    assert learned > sum(r["base_score"] for r in rows) * 1.2
 
 
 def test_whole_table(spark, sf_dir):
