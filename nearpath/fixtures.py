@@ -18,6 +18,7 @@ from nearpath.functions.paths import path_key
 from nearpath.functions.vectors import as_doubles, l2_normalize
 from nearpath.operators.score import NODE_SCHEMA
 from nearpath.plans.index import bucket_catalog
+from nearpath.sources.workdir import settle
 
 SHARPNESS = 10.0
 
@@ -62,11 +63,12 @@ def folded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str, n_levels: int) -> DataFrame:
-    """Paths by label, then by the id modulo 3, then by its third modulo 2."""
+    """Paths by label, then by the id modulo 3, by its third modulo 2, by its sixth modulo 2."""
     steps = [
         F.col("label"),
         F.pmod(F.col("vec_id"), F.lit(3)).cast("int"),
         F.pmod(F.floor(F.col("vec_id") / 3), F.lit(2)).cast("int"),
+        F.pmod(F.floor(F.col("vec_id") / 6), F.lit(2)).cast("int"),
     ]
     return (
         embeddings(spark, sf_dir)
@@ -77,9 +79,10 @@ def assignments(spark: SparkSession, sf_dir: str, n_levels: int) -> DataFrame:
 
 def centroid_nodes(vectors: DataFrame, paths: DataFrame, n_levels: int) -> DataFrame:
     """A node table whose logistic nodes score by the means of their classes."""
-    placed = vectors.join(paths.select("id", F.col("path").alias("leaf")), "id")
+    everything = vectors.join(paths.select("id", F.col("path").alias("leaf")), "id")
 
     def at_level(level: int) -> DataFrame:
+        placed = everything.filter(F.size("leaf") > level)
         parent = F.slice("leaf", 1, level) if level else F.expr("cast(array() as array<int>)")
         means = (
             placed.groupBy(parent.alias("path"), F.col("leaf")[level].alias("class"))
@@ -104,6 +107,8 @@ def centroid_nodes(vectors: DataFrame, paths: DataFrame, n_levels: int) -> DataF
                 F.flatten(columns), F.array_repeat(F.lit(0.0), F.size("members"))
             ).alias("weights"),
             F.size("members").alias("n_classes"),
+            F.size("members").alias("n_requested"),
+            F.size("members").alias("n_predicted"),
         )
 
     return reduce(DataFrame.unionByName, map(at_level, range(n_levels))).select(*NODE_SCHEMA.names)
@@ -112,14 +117,36 @@ def centroid_nodes(vectors: DataFrame, paths: DataFrame, n_levels: int) -> DataF
 class FixtureTree:
     """Objects, queries, paths, nodes and buckets of one such tree."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, n_levels: int, reduced: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, n_levels: int, reduced: bool = False,
+                 ragged: bool = False):
         self.n_levels = n_levels
         self.vectors = folded_objects(spark, sf_dir) if reduced else objects(spark, sf_dir)
         self.queries = as_queries(self.vectors)
         self.assignments = assignments(spark, sf_dir, n_levels)
+        if ragged:  # even labels end at the first level
+            path = F.when(F.col("path")[0] % 2 == 0, F.slice("path", 1, 1)).otherwise(F.col("path"))
+            self.assignments = self.assignments.withColumn("path", path).withColumn(
+                "path_key", path_key("path"))
         # Both have a row per node or bucket and are used several times.
-        self.nodes = centroid_nodes(self.vectors, self.assignments, n_levels).persist()
-        self.buckets = bucket_catalog(self.assignments).persist()
+        self.nodes = settle(centroid_nodes(self.vectors, self.assignments, n_levels), "nodes")
+        self.buckets = settle(bucket_catalog(self.assignments), "buckets")
+
+
+def tiny_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very short vectors: their inner products differ far behind the point."""
+    return embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("id"),
+        F.transform(as_doubles("embedding"), lambda x: x * 5e-4).alias("v"),
+    )
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Almost equal vectors: the first one of the table, moved a little towards each."""
+    table = embeddings(spark, sf_dir)
+    first = table.orderBy("vec_id").select(as_doubles("embedding")).first()[0]
+    moved = F.zip_with(
+        F.array(*map(F.lit, first)), as_doubles("embedding"), lambda a, b: a + b * 3e-4)
+    return table.select(F.col("vec_id").alias("id"), moved.alias("v"))
 
 
 def perturbed_copies(

@@ -9,6 +9,9 @@ import pyarrow.compute as pc
 # Cells of a distance matrix held at once by one task (32 MB of doubles).
 TILE_CELLS = 4_000_000
 
+# Values of vectors gathered at once when pairs are compared one by one.
+PAIR_VALUES = 4_000_000
+
 
 def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Array column to a float64 matrix; every vector must have the same length."""
@@ -34,16 +37,10 @@ def to_vector_column(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(lengths == 0, 1.0, lengths)
 
 
-def round_half_up(values: np.ndarray, digits: int) -> np.ndarray:
-    """Decimal rounding as SQL does it; never yields a negative zero."""
-    scale = 10.0**digits
-    return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values) + 0.0
-
-
 def rank_in_runs(sorted_groups: np.ndarray) -> np.ndarray:
     """0-based position of each element within its run of equal values."""
     n = len(sorted_groups)
@@ -64,35 +61,53 @@ def rows_by_key(keys: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
     return dict(zip(encoded.dictionary.to_pylist(), np.split(order, ends[:-1])))
 
 
+def pair_distances(
+    queries: np.ndarray, objects: np.ndarray, rows: np.ndarray, cols: np.ndarray
+) -> np.ndarray:
+    """One minus the inner product of each pair, its products added in a fixed
+    order, so a pair has one distance wherever it is computed."""
+    out = np.empty(len(rows))
+    step = max(1, PAIR_VALUES // max(queries.shape[1], 1))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
+        out[part] = 1.0 - (queries[rows[part]] * objects[cols[part]]).sum(axis=1)
+    return out
+
+
 def nearest(
-    queries: np.ndarray, ids: np.ndarray, objects: np.ndarray, k: int, digits: int,
+    queries: np.ndarray, ids: np.ndarray, objects: np.ndarray, k: int,
     bounds: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best objects of every query by (rounded distance, id).
+    """The k best objects of every query by (distance, id).
 
     Returns query row numbers, ids and distances. ``bounds`` holds, per query,
     a distance above which an object cannot be among its best; those are left
-    out. Never holds more than ``TILE_CELLS`` distances, and ties at the k-th
-    place are cut by id, so the answer does not depend on how the objects were
-    split over tasks.
+    out. A matrix product shortlists, with room for its rounding errors, and the
+    few pairs left are compared one by one, so the answer does not depend on how
+    the objects were split over tasks. Never holds more than ``TILE_CELLS``
+    distances.
     """
     order = np.argsort(ids, kind="stable")
     ids, objects = ids[order], objects[order]
     step = max(1, TILE_CELLS // max(len(ids), 1))
+    longest = np.sqrt((objects * objects).sum(axis=1)).max(initial=0.0)
     found = []
     for start in range(0, len(queries), step):
-        raw = queries[start : start + step] @ objects.T
+        part = queries[start : start + step]
+        raw = part @ objects.T if len(ids) else np.empty((len(part), 0))
         np.subtract(1.0, raw, out=raw)
-        if bounds is None:
-            limit = np.full(len(raw), np.inf)
-        else:
-            limit = bounds[start : start + step].copy()
+        # What two ways of adding the same products may differ by at most.
+        lengths = np.sqrt((part * part).sum(axis=1)) * longest
+        slack = 2.3e-16 * ((part.shape[1] + 4) * lengths + 4)
+        limit = np.full(len(raw), np.inf)
+        if bounds is not None:
+            limit = bounds[start : start + step] + slack
         unknown = np.flatnonzero(np.isinf(limit))
         if len(unknown) and len(ids) > k:
             kth = np.partition(raw[unknown], k - 1, axis=1)[:, k - 1]
-            limit[unknown] = kth + tie_slack(digits)
+            limit[unknown] = kth + 2 * slack[unknown]
         rows, cols = np.divmod(np.flatnonzero(raw <= limit[:, None]), max(len(ids), 1))
-        distance = round_half_up(raw[rows, cols], digits)
+        distance = pair_distances(part, objects, rows, cols)
         order = np.lexsort((cols, distance, rows))
         order = order[rank_in_runs(rows[order]) < k]
         found.append((rows[order] + start, ids[cols[order]], distance[order]))
@@ -101,11 +116,6 @@ def nearest(
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def tie_slack(digits: int) -> float:
-    """One unit of the last digit covers every distance that may round to a tie."""
-    return 10.0**-digits
-
-
 class RunningTopK:
     """Candidates of one task, kept at k per group and handed on when too many.
 
@@ -113,9 +123,8 @@ class RunningTopK:
     not exceed to be among its k best.
     """
 
-    def __init__(self, n_groups: int, k: int, digits: int, limit: int = 2_000_000):
+    def __init__(self, n_groups: int, k: int, limit: int = 2_000_000):
         self.k = k
-        self.digits = digits
         self.limit = limit
         self.bounds = np.full(n_groups, np.inf)
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -134,9 +143,7 @@ class RunningTopK:
         order = np.lexsort((neighbor_id, distance, group))
         rank = rank_in_runs(group[order])
         kth = order[rank == self.k - 1]
-        self.bounds[group[kth]] = np.minimum(
-            self.bounds[group[kth]], distance[kth] + tie_slack(self.digits)
-        )
+        self.bounds[group[kth]] = np.minimum(self.bounds[group[kth]], distance[kth])
         order = order[rank < self.k]
         columns = tuple(column[order] for column in columns)
         self.parts, self.compacted = [columns], True

@@ -2,45 +2,38 @@
 
 Both are the same job: every object and every visit of a query carries a
 bucket key, and a brute-force search has one bucket that holds everything.
-A small query set is broadcast and the objects are scanned where they lie; a
-large one is joined with the objects over a grid of bounded cells. Either way
-a task hands on at most k rows per query and cell, never a row per pair.
+Queries are broadcast, in blocks of a checked size, and the objects are scanned
+where they lie; no object is shuffled. A task hands on at most k rows per group
+of a query, never a row per pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpath.functions.paths import ROOT_KEY
 from nearpath.operators.kernel import RunningTopK, nearest, rows_by_key, to_matrix, unit_rows
 from nearpath.operators.topk import merge_top_k
-from nearpath.sources.workdir import settle
+from nearpath.sources.workdir import settle, work_dir
 
 METRICS = ("cosine", "inner_product")
 
-# Distances are reported to this many decimals: float32 input carries no more,
-# and ties then fall to the smaller id however the work was split.
-DISTANCE_DIGITS = 6
-
-# Query vectors plus visits that may be broadcast, in bytes.
+# Query vectors plus visits in one broadcast block, in bytes.
 BROADCAST_BYTES = 128 << 20
 
 # What a broadcast visit takes at most, in bytes.
 VISIT_BYTES = 64
 
-# Objects, and visits, in one cell of the grid join.
-CELL_ROWS = 8192
-
-# Visited buckets that are listed in a filter; more of them become a semi join.
-LISTED_KEYS = 2_000
+# Visited buckets that are listed in a filter, by which an index prunes folders.
+LISTED_KEYS = 200_000
 
-# Bucket statistics that may be broadcast, in rows.
-CATALOG_ROWS = 1_000_000
+# Bucket statistics that may be broadcast, in bytes.
+CATALOG_BYTES = 64 << 20
 
 CANDIDATES = "query_id long, bucket_rank long, neighbor_id long, distance double"
 _CANDIDATES_ARROW = pa.schema(
@@ -63,57 +56,68 @@ def _vectors(column, metric: str) -> np.ndarray:
     return unit_rows(matrix) if metric == "cosine" and len(matrix) else matrix
 
 
-def _candidate_batch(query_id, bucket_rank, neighbor_id, distance) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c) for c in (query_id, bucket_rank, neighbor_id, distance)],
-        schema=_CANDIDATES_ARROW,
-    )
-
-
 def broadcast_catalog(rows: DataFrame) -> DataFrame:
-    """Hint a broadcast for per-bucket rows, if there are few enough of them."""
-    return F.broadcast(rows) if rows.count() <= CATALOG_ROWS else rows
+    """Hint a broadcast for rows with a ``path_key`` if they are small enough."""
+    size = rows.agg(F.sum(F.octet_length("path_key") + 64)).first()[0] or 0
+    return F.broadcast(rows) if size <= CATALOG_BYTES else rows
 
 
 def _scan_candidates(
-    visits: DataFrame, queries: DataFrame, objects: DataFrame, k: int, metric: str,
-    per_bucket: bool, digits: int, one_bucket: bool,
+    visits: DataFrame | None, queries: DataFrame, objects: DataFrame, k: int, metric: str,
+    per_bucket: bool, reach: Sequence[int] | None,
 ) -> DataFrame:
     """Broadcast the (size-checked) queries and scan the objects in place."""
     spark = objects.sparkSession
     query_rows = queries.select("query_id", "v").toArrow()
     query_ids = query_rows.column("query_id").to_numpy()
     matrix = _vectors(query_rows.column("v"), metric)
-    if one_bucket:
+    if visits is None:
         visiting = np.arange(len(query_ids))
         ranks = np.ones(len(query_ids), dtype=np.int64)
         by_bucket = {ROOT_KEY: visiting}
     else:
         visit_rows = visits.select("query_id", "path_key", "bucket_rank").toArrow()
+        wanted = visit_rows.column("query_id").to_numpy()
         order = np.argsort(query_ids, kind="stable")
-        at = np.searchsorted(query_ids[order], visit_rows.column("query_id").to_numpy())
-        visiting = order[at]
+        at = np.minimum(np.searchsorted(query_ids[order], wanted), max(len(order) - 1, 0))
+        # A visit whose query is not among the queries finds nothing.
+        known = query_ids[order][at] == wanted if len(order) else np.zeros(len(wanted), bool)
+        visit_rows = visit_rows.filter(pa.array(known))
+        visiting = order[at[known]] if len(order) else np.zeros(0, np.int64)
         ranks = visit_rows.column("bucket_rank").to_numpy()
         by_bucket = rows_by_key(visit_rows.column("path_key"))
-    shared = spark.sparkContext.broadcast((query_ids, matrix, visiting, ranks, by_bucket))
+    # A task keeps k rows per group: a query, a visit, or a query and the first
+    # of the wanted numbers of buckets that reaches the visit.
+    if per_bucket:
+        groups, n_groups = np.arange(len(visiting)), len(visiting)
+    elif reach is not None:
+        numbers = np.array(sorted(set(reach)), dtype=np.int64)
+        tag = np.searchsorted(numbers, ranks)
+        inside = tag < len(numbers)
+        by_bucket = {key: rows[inside[rows]] for key, rows in by_bucket.items()}
+        tag = np.minimum(tag, len(numbers) - 1)
+        groups, n_groups = visiting * len(numbers) + tag, len(query_ids) * len(numbers)
+        ranks = numbers[tag]
+    else:
+        groups, n_groups = visiting, len(query_ids)
+    shared = spark.sparkContext.broadcast((query_ids, matrix, visiting, ranks, groups, by_bucket))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix, visiting, ranks, by_bucket = shared.value
-        best = RunningTopK(len(visiting) if per_bucket else len(query_ids), k, digits)
+        query_ids, matrix, visiting, ranks, groups, by_bucket = shared.value
+        best = RunningTopK(n_groups, k)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             vectors = _vectors(batch.column("v"), metric)
             for key, members in rows_by_key(batch.column("path_key")).items():
                 visit = by_bucket.get(key)
-                if visit is None:
+                if visit is None or not len(visit):
                     continue
-                group = visit if per_bucket else visiting[visit]
                 rows, neighbor_id, distance = nearest(
-                    matrix[visiting[visit]], ids[members], vectors[members], k, digits,
-                    best.bounds[group],
+                    matrix[visiting[visit]], ids[members], vectors[members], k,
+                    best.bounds[groups[visit]],
                 )
                 found = visit[rows]
-                best.add(group[rows], neighbor_id, distance, visiting[found], ranks[found])
+                best.add(groups[found], neighbor_id, distance, visiting[found], ranks[found])
             for part in best.settle():
                 yield emit(part, query_ids)
         for part in best.finish():
@@ -121,182 +125,101 @@ def _scan_candidates(
 
     def emit(part, query_ids) -> pa.RecordBatch:
         _, neighbor_id, distance, query, rank = part
-        return _candidate_batch(query_ids[query], rank, neighbor_id, distance)
+        columns = (query_ids[query], rank, neighbor_id, distance)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_CANDIDATES_ARROW)
 
     objects = objects.select("id", "v", "path_key")
-    if not one_bucket:
-        objects = _visited(objects, list(by_bucket))
+    if visits is not None:
+        objects = _visited(objects, [key for key, rows in by_bucket.items() if len(rows)])
     return objects.mapInArrow(scan, CANDIDATES)
 
 
 def _visited(objects: DataFrame, keys: list[str]) -> DataFrame:
     """Only the objects of visited buckets; on an index this prunes folders."""
+    if not keys:
+        return objects.limit(0)
     if len(keys) <= LISTED_KEYS:
-        return objects.filter(F.col("path_key").isin(keys))
+        quoted = ", ".join("'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'" for key in keys)
+        return objects.filter(F.expr(f"path_key IN ({quoted})"))
+    # The scan drops the others anyway; a join spares it their vectors.
     visited = objects.sparkSession.createDataFrame([(key,) for key in keys], "path_key string")
-    if len(keys) <= CATALOG_ROWS:
-        visited = F.broadcast(visited)
-    return objects.join(visited, "path_key", "left_semi")
-
-
-def _cell_parts(count: Column, cell_rows: int) -> Column:
-    return F.greatest(F.ceil(count / F.lit(cell_rows)), F.lit(1)).cast("int")
-
-
-def _grid_candidates(
-    visits: DataFrame, queries: DataFrame, objects: DataFrame, k: int, metric: str,
-    digits: int, cell_rows: int, one_bucket: bool, buckets: DataFrame | None,
-) -> DataFrame:
-    """Join visits and objects over cells of at most about ``cell_rows`` rows a side.
-
-    A bucket with n objects and q visits becomes ceil(n/cell) x ceil(q/cell)
-    cells, so a bucket that holds a third of all rows is spread like the rest.
-    """
-    objects = objects.select("id", "v", "path_key")
-    if one_bucket:
-        visits = queries.select(
-            "query_id", "v", F.lit(1).cast("long").alias("bucket_rank"),
-            F.lit(ROOT_KEY).alias("path_key"),
-        )
-        grid = {
-            "o_parts": _cell_parts(F.lit(objects.count()), cell_rows),
-            "q_parts": _cell_parts(F.lit(queries.count()), cell_rows),
-        }
-        left, right = visits.withColumns(grid), objects.withColumns(grid)
-    else:
-        object_counts = (
-            objects.groupBy("path_key").agg(F.count(F.lit(1)).alias("n"))
-            if buckets is None
-            else buckets.select("path_key", F.col("n_objects").alias("n"))
-        )
-        visit_counts = visits.groupBy("path_key").agg(F.count(F.lit(1)).alias("q"))
-        sizes = settle(
-            object_counts.join(visit_counts, "path_key").select(
-                "path_key",
-                _cell_parts(F.col("n"), cell_rows).alias("o_parts"),
-                _cell_parts(F.col("q"), cell_rows).alias("q_parts"),
-            ),
-            "sizes",
-        )
-        n_sizes = sizes.count()
-        if n_sizes <= LISTED_KEYS:
-            objects = _visited(objects, [row["path_key"] for row in sizes.collect()])
-        if n_sizes <= CATALOG_ROWS:
-            sizes = F.broadcast(sizes)
-        visits = visits.join(queries.select("query_id", "v"), "query_id")
-        left, right = visits.join(sizes, "path_key"), objects.join(sizes, "path_key")
-
-    def block(key: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    right = (
-        right.withColumn("o_block", block("id", "o_parts"))
-        .withColumn("q_block", every("q_parts"))
-        .select("path_key", "o_block", "q_block", "id", "v")
-    )
-    left = (
-        left.withColumn("q_block", block("query_id", "q_parts"))
-        .withColumn("o_block", every("o_parts"))
-        .select(
-            "path_key", "o_block", "q_block", "query_id", "bucket_rank",
-            # A name of its own: both sides may come from one table.
-            F.col("v").alias("query_v"),
-        )
-    )
-    cell = ("path_key", "o_block", "q_block")
+    return objects.join(broadcast_catalog(visited), "path_key", "left_semi")
 
-    def search_cell(query_rows: pa.Table, object_rows: pa.Table) -> pa.Table:
-        if not query_rows.num_rows or not object_rows.num_rows:
-            return _CANDIDATES_ARROW.empty_table()
-        rows, neighbor_id, distance = nearest(
-            _vectors(query_rows.column("query_v"), metric),
-            object_rows.column("id").to_numpy(),
-            _vectors(object_rows.column("v"), metric),
-            k,
-            digits,
-        )
-        query_id = query_rows.column("query_id").to_numpy()[rows]
-        rank = query_rows.column("bucket_rank").to_numpy()[rows]
-        return pa.Table.from_batches([_candidate_batch(query_id, rank, neighbor_id, distance)])
 
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search_cell, CANDIDATES)
+def _blocks(frame: DataFrame, n: int, number: int) -> DataFrame:
+    return frame.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number)
 
 
 def bucket_candidates(
-    visits: DataFrame,
+    visits: DataFrame | None,
     queries: DataFrame,
     objects: DataFrame,
     k: int = 10,
     metric: str = "cosine",
     per_bucket: bool = False,
-    digits: int = DISTANCE_DIGITS,
+    reach: Sequence[int] | None = None,
     broadcast_bytes: int | None = None,
-    cell_rows: int | None = None,
-    one_bucket: bool = False,
-    visits_per_query: int | None = None,
-    buckets: DataFrame | None = None,
+    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Local winners ``(query_id, bucket_rank, neighbor_id, distance)`` of a search.
 
     ``visits`` is ``(query_id, bucket_rank, path_key)``, ``queries`` is
-    ``(query_id, v)`` and ``objects`` is ``(id, v, path_key)``. With
-    ``per_bucket`` the k best of every visited bucket are kept, so that one
-    search answers every smaller number of buckets as well. ``one_bucket``
-    says that all rows share one key, and ``visits_per_query`` saves counting
-    the visits and ``buckets`` (path_key, n_objects) counting the objects. The
-    ids of each side must be unique.
+    ``(query_id, v)`` and ``objects`` is ``(id, v, path_key)``. Without
+    ``visits`` each query visits all objects, under the root key. With
+    ``per_bucket`` the k best of every visited bucket are kept; with ``reach``,
+    numbers of buckets, the k best of what each number reaches beyond the next
+    smaller one, which is then the ``bucket_rank``. The ids of each side must be
+    unique. Visits without their query find nothing.
+
+    A query set above ``broadcast_bytes`` is searched block by block: each block
+    scans the objects, and its rows, after ``finish``, are written before the
+    next one starts.
     """
     _check_metric(metric)
     if k < 1:
         raise ValueError("k must be at least 1")
-    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    visits_bytes = 0
-    if visits_per_query is None and not one_bucket:
+    limit = max(1, BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    total = size["n"] * ((size["d"] or 0) * 8 + VISIT_BYTES)
+    if visits is not None:
         visits = settle(visits, "visits")
-        visits_bytes = visits.count() * VISIT_BYTES
-    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    size = row["n"] * ((row["d"] or 0) * 8 + (visits_per_query or 1) * VISIT_BYTES) + visits_bytes
-    if size <= limit:
-        return _scan_candidates(
-            visits, queries, objects, k, metric, per_bucket, digits, one_bucket
-        )
-    if visits_per_query is not None and not one_bucket:
-        visits = settle(visits, "visits")
-    return _grid_candidates(
-        visits, queries, objects, k, metric, digits, cell_rows or CELL_ROWS, one_bucket, buckets
-    )
+        total += visits.count() * VISIT_BYTES
+    n_blocks = min(max(1, -(-total // limit)), max(1, size["n"]))
+    if n_blocks == 1:
+        return finish(_scan_candidates(visits, queries, objects, k, metric, per_bucket, reach))
+    folder = work_dir(objects.sparkSession, "blocks")
+    for number in range(n_blocks):
+        part = None if visits is None else _blocks(visits, n_blocks, number)
+        found = finish(_scan_candidates(
+            part, _blocks(queries, n_blocks, number), objects, k, metric, per_bucket, reach))
+        schema = found.schema
+        found.write.mode("append").parquet(folder)
+    return objects.sparkSession.read.schema(schema).parquet(folder)
 
 
 def knn_in_buckets(
-    visits: DataFrame, queries: DataFrame, objects: DataFrame, k: int = 10, **options
+    visits: DataFrame | None, queries: DataFrame, objects: DataFrame, k: int = 10, **options
 ) -> DataFrame:
     """The k nearest objects of each query inside the buckets it visits.
 
     Fewer than k objects in reach give fewer rows.
     """
-    return merge_top_k(bucket_candidates(visits, queries, objects, k, **options), k)
+    return bucket_candidates(
+        visits, queries, objects, k, finish=lambda rows: merge_top_k(rows, k), **options)
 
 
 def knn_brute_force(
     queries: DataFrame, objects: DataFrame, k: int = 10, metric: str = "cosine", **options
 ) -> DataFrame:
     """The k nearest of all objects: a search of one bucket that holds them all."""
-    everything = F.lit(ROOT_KEY)
-    visits = queries.select(
-        "query_id", F.lit(1).cast("long").alias("bucket_rank"), everything.alias("path_key")
-    )
-    return knn_in_buckets(
-        visits,
-        queries,
-        objects.withColumn("path_key", everything),
-        k,
-        metric=metric,
-        one_bucket=True,
-        **options,
-    )
+    everything = objects.withColumn("path_key", F.lit(ROOT_KEY))
+    return knn_in_buckets(None, queries, everything, k, metric=metric, **options)
+
+
+def without_self(found: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of a search for k + 1 among the queries themselves,
+    less each query's own row."""
+    return merge_top_k(found.filter(F.col("neighbor_id") != F.col("query_id")), k)
 
 
 def candidate_counts(visits: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -315,13 +238,17 @@ def knn_sweep(
 ) -> DataFrame:
     """One search at the largest number of buckets that answers every smaller one.
 
-    Rows are ``(n_buckets, query_id, rank, neighbor_id, distance)``. Each
-    visited bucket keeps its k best, and a smaller search is the merge of the
-    buckets it would have reached.
+    Rows are ``(n_buckets, query_id, rank, neighbor_id, distance)``. A task keeps
+    k rows for each number and query, of the buckets that number is the first
+    to reach; a search is the merge of those of its own and smaller numbers.
     """
-    candidates = bucket_candidates(visits, queries, objects, k, per_bucket=True, **options)
-    numbers = F.array(*[F.lit(n).cast("long") for n in sorted(set(n_buckets))])
-    reached = F.filter(numbers, lambda n: n >= F.col("bucket_rank"))
-    return merge_top_k(
-        candidates.withColumn("n_buckets", F.explode(reached)), k, "n_buckets", "query_id"
-    )
+    numbers = sorted(set(n_buckets))
+    listed = F.array(*[F.lit(n).cast("long") for n in numbers])
+    reached = F.filter(listed, lambda n: n >= F.col("bucket_rank"))
+
+    def finish(candidates: DataFrame) -> DataFrame:
+        kept = merge_top_k(candidates, k, "bucket_rank", "query_id").drop("rank")
+        return merge_top_k(
+            kept.withColumn("n_buckets", F.explode(reached)), k, "n_buckets", "query_id")
+
+    return bucket_candidates(visits, queries, objects, k, reach=numbers, finish=finish, **options)

@@ -35,21 +35,28 @@ def leaf_probabilities(scores: DataFrame, buckets: DataFrame, n_levels: int) ->
     """Chain the scores of the levels into one row per query and bucket.
 
     ``scores`` is ``(query_id, parent_key, class, prob)``; only paths listed in
-    ``buckets`` remain, so a class that holds no object takes no place.
+    ``buckets`` remain, so a class that holds no object takes no place. A bucket
+    may end at any level.
     """
     step = scores.select("query_id", "parent_key", "class", "prob")
-    leaves = step.filter(F.col("parent_key") == ROOT_KEY).select(
+    known = broadcast_catalog(buckets.select("path_key"))
+    reached = step.filter(F.col("parent_key") == ROOT_KEY).select(
         "query_id", F.array("class").alias("path"), F.array("prob").alias("probs")
-    )
-    for level in range(1, n_levels):
-        parents = leaves.withColumn("parent_key", path_key("path"))
-        leaves = parents.join(step, ["query_id", "parent_key"]).select(
-            "query_id",
-            F.array_append("path", F.col("class")).alias("path"),
-            F.array_append("probs", F.col("prob")).alias("probs"),
+    ).withColumn("path_key", path_key("path"))
+    leaves = reached.join(known, "path_key", "left_semi")
+    for _ in range(1, n_levels):
+        reached = (
+            reached.withColumnRenamed("path_key", "parent_key")
+            .join(step, ["query_id", "parent_key"])
+            .select(
+                "query_id",
+                F.array_append("path", F.col("class")).alias("path"),
+                F.array_append("probs", F.col("prob")).alias("probs"),
+            )
+            .withColumn("path_key", path_key("path"))
         )
-    known = broadcast_catalog(buckets.select("path_key"))
-    return leaves.withColumn("path_key", path_key("path")).join(known, "path_key", "left_semi")
+        leaves = leaves.unionByName(reached.join(known, "path_key", "left_semi"))
+    return leaves
 
 
 def rank_buckets(

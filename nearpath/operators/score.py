@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearpath.functions.paths import ROOT_KEY, key_of, path_key
-from nearpath.operators.kernel import TILE_CELLS, forward, to_matrix
-from nearpath.operators.knn import CATALOG_ROWS
+from nearpath.operators.kernel import forward, rows_by_key, to_matrix
+from nearpath.operators.knn import broadcast_catalog
 from nearpath.sources.workdir import settle
 
 NODE_SCHEMA = T.StructType(
@@ -31,6 +32,9 @@ NODE_SCHEMA = T.StructType(
         T.StructField("layers", T.ArrayType(T.IntegerType())),
         T.StructField("weights", T.ArrayType(T.DoubleType())),
         T.StructField("n_classes", T.IntegerType()),
+        # Classes asked of the clustering, and those the fitted model predicts.
+        T.StructField("n_requested", T.IntegerType()),
+        T.StructField("n_predicted", T.IntegerType()),
     ]
 )
 
@@ -40,7 +44,7 @@ NODE_BYTES = 256 << 20
 # Buckets whose probabilities one task may hold for a slice of queries.
 LEAF_COLUMNS = 100_000
 
-# Vectors of one node scored by one group of the grouped join.
+# Vectors of one node placed by one group of the grouped join.
 GROUP_ROWS = 8192
 
 # Vectors scored at once inside a task.
@@ -83,67 +87,68 @@ def _score_rows(ids: np.ndarray, key: str, probs: np.ndarray) -> dict:
     }
 
 
-def predict_proba(
-    queries: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
-) -> DataFrame:
-    """Every class probability of every node for every query, best class first.
+def node_batches(nodes: DataFrame, limit: int) -> list[DataFrame]:
+    """The nodes in parts of which each may be broadcast, by hash of their keys."""
+    size = node_bytes(nodes)
+    n = 1 if size <= limit else min(-(-2 * size // max(limit, 1)), max(1, nodes.count()))
+    if n == 1:
+        return [nodes]
+    place = F.pmod(F.xxhash64("path_key"), F.lit(n))
+    return [nodes.filter(place == number) for number in range(n)]
 
-    Rows are ``(query_id, parent_key, class, prob, class_rank)``.
-    """
-    if node_bytes(nodes) <= (NODE_BYTES if broadcast_bytes is None else broadcast_bytes):
-        shared = _share_nodes(nodes)
+
+def _score_nodes(queries: DataFrame, nodes: DataFrame, rows_of, schema: str, limit) -> DataFrame:
+    """Every node on every query. A node table too large for one broadcast goes
+    part by part, each a scan of the queries; nothing is shuffled."""
+
+    def scan(part: DataFrame) -> DataFrame:
+        shared = _share_nodes(part)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("query_id").to_numpy()
                 vectors = to_matrix(batch.column("v"))
                 for start in range(0, len(ids), SLICE_ROWS):
-                    part = slice(start, start + SLICE_ROWS)
+                    own = slice(start, start + SLICE_ROWS)
                     for key, (layers, weights) in shared.value.items():
-                        probs = forward(layers, weights, vectors[part])
-                        yield pa.RecordBatch.from_pydict(_score_rows(ids[part], key, probs))
-
-        return queries.select("query_id", "v").mapInArrow(score, SCORES)
-
-    # Every node sees every query: a copy of the queries, in bounded groups,
-    # meets each node.
-    n_groups = max(1, -(-queries.count() // GROUP_ROWS))
-    every_group = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("block")
-    cells = nodes.select(F.col("path_key").alias("parent_key"), every_group)
-    left = queries.select(
-        "query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int").alias("block")
-    ).join(cells, "block")
-    right = nodes.select(
-        F.col("path_key").alias("parent_key"), every_group, "layers", "weights"
-    )
+                        probs = forward(layers, weights, vectors[own])
+                        yield pa.RecordBatch.from_pydict(rows_of(ids[own], key, probs))
 
-    def score_group(vectors: pa.Table, node: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not node.num_rows:
-            return pa.table(_score_rows(np.empty(0, np.int64), "", np.empty((0, 1))))
-        layers, weights = _model(node)
-        probs = forward(layers, weights, to_matrix(vectors.column("v")))
-        key = node.column("parent_key")[0].as_py()
-        return pa.table(_score_rows(vectors.column("query_id").to_numpy(), key, probs))
-
-    return (
-        left.groupBy("parent_key", "block")
-        .cogroup(right.groupBy("parent_key", "block"))
-        .applyInArrow(score_group, SCORES)
-    )
+        return queries.select("query_id", "v").mapInArrow(score, schema)
 
+    parts = node_batches(nodes, NODE_BYTES if limit is None else limit)
+    return reduce(DataFrame.unionByName, map(scan, parts))
 
-def _model(node: pa.Table) -> tuple[list[int], np.ndarray]:
-    weights = node.column("weights")[0].values
-    return node.column("layers")[0].as_py(), np.asarray(weights, dtype=np.float64)
+
+def predict_proba(
+    queries: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
+) -> DataFrame:
+    """Every class probability of every node for every query, best class first.
+
+    Rows are ``(query_id, parent_key, class, prob, class_rank)``.
+    """
+    return _score_nodes(queries, nodes, _score_rows, SCORES, broadcast_bytes)
 
 
-def predict(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+def predict(
+    queries: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
+) -> DataFrame:
     """The most probable class of every node: ``(query_id, parent_key, class)``."""
-    return (
-        predict_proba(queries, nodes)
-        .filter(F.col("class_rank") == 1)
-        .select("query_id", "parent_key", "class")
-    )
+
+    def best(ids: np.ndarray, key: str, probs: np.ndarray) -> dict:
+        return {
+            "query_id": ids,
+            "parent_key": np.repeat(np.array([key], dtype=object), len(ids)),
+            "class": probs.argmax(axis=1).astype(np.int32),
+        }
+
+    return _score_nodes(
+        queries, nodes, best, "query_id long, parent_key string, class int", broadcast_bytes)
+
+
+def _model(node: pa.Table) -> tuple[list[int], np.ndarray]:
+    weights = node.column("weights")[0].values
+    return node.column("layers")[0].as_py(), np.asarray(weights, dtype=np.float64)
 
 
 def assign_paths(
@@ -191,27 +196,24 @@ def assign_paths(
         "id", "v", F.expr("cast(array() as array<int>)").alias("path"),
         F.lit(ROOT_KEY).alias("path_key"),
     )
-    shape = nodes.agg(F.max("level").alias("depth"), F.sum("n_classes").alias("paths")).first()
-    for level in range(shape["depth"] + 1):
-        at_level = nodes.filter(F.col("level") == level)
-        assigned = _descend_level(assigned, at_level, shape["paths"])
-        if level < shape["depth"]:
+    depth = nodes.agg(F.max("level")).first()[0]
+    for level in range(depth + 1):
+        assigned = _descend_level(assigned, nodes.filter(F.col("level") == level))
+        if level < depth:
             # The next level reads its input twice.
             assigned = settle(assigned, "placed")
     return assigned
 
 
-def _descend_level(assigned: DataFrame, nodes: DataFrame, n_paths: int) -> DataFrame:
+def _descend_level(assigned: DataFrame, nodes: DataFrame) -> DataFrame:
     """One level for node tables too large to broadcast whole.
 
     The objects of a node are cut into bounded groups by its object count, so
     a node that holds a third of all objects becomes many groups.
     """
-    sizes = assigned.groupBy("path_key").agg(
+    sizes = broadcast_catalog(settle(assigned.groupBy("path_key").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias("blocks")
-    )
-    if n_paths < CATALOG_ROWS:
-        sizes = F.broadcast(sizes)
+    ), "node-sizes"))
     left = assigned.join(sizes, "path_key").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     ).drop("blocks")
@@ -246,6 +248,45 @@ def _descend_level(assigned: DataFrame, nodes: DataFrame, n_paths: int) -> DataF
     )
 
 
+def step_down(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Send each row of ``placed`` (id, v, path, path_key) one level down: its path
+    gets the most probable class of its node. Rows without a node stay.
+
+    Nothing is shuffled. Nodes too large for one broadcast go part by part, each
+    with the rows of its nodes.
+    """
+    kind = placed.schema["v"].dataType.simpleString()
+    schema = f"id long, v {kind}, path array<int>, path_key string"
+    parts = node_batches(nodes, NODE_BYTES)
+
+    def step(number: int, part: DataFrame) -> DataFrame:
+        shared = _share_nodes(part)
+        own = placed.select("id", "v", "path", "path_key")
+        if len(parts) > 1:
+            own = own.filter(F.pmod(F.xxhash64("path_key"), F.lit(len(parts))) == number)
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = to_matrix(batch.column("v"))
+                paths, keys = batch.column("path").to_pylist(), batch.column("path_key").to_pylist()
+                for key, rows in rows_by_key(batch.column("path_key")).items():
+                    if key not in shared.value:
+                        continue
+                    classes = forward(*shared.value[key], vectors[rows]).argmax(axis=1)
+                    for row, c in zip(rows.tolist(), classes.tolist()):
+                        paths[row] = [*paths[row], c]
+                        keys[row] = key_of(paths[row])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("v"),
+                     pa.array(paths, pa.list_(pa.int32())), pa.array(keys, pa.string())],
+                    names=["id", "v", "path", "path_key"],
+                )
+
+        return own.mapInArrow(follow, schema)
+
+    return reduce(DataFrame.unionByName, [step(i, part) for i, part in enumerate(parts)])
+
+
 @dataclass
 class SharedTree:
     """Nodes and buckets of an index, broadcast for scoring whole paths."""
@@ -267,17 +308,94 @@ def share_tree(
     if (buckets.count() if n_leaves is None else n_leaves) > LEAF_COLUMNS:
         return None
     paths = sorted(tuple(row["path"]) for row in buckets.select("path").collect())
-    # For each level and node: which columns (buckets) its classes belong to.
-    children: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
-    for column, path in enumerate(paths):
+    columns = {path: column for column, path in enumerate(paths)}
+    # For each node its classes that lead somewhere, and where: the column of a
+    # bucket, or -1 and the key of the next node.
+    below: dict[str, dict[int, tuple[int, str]]] = {}
+    for path in paths:
         for level, step in enumerate(path):
-            columns, classes = children.setdefault((level, key_of(path[:level])), ([], []))
-            columns.append(column)
-            classes.append(step)
+            end = columns.get(path[: level + 1], -1)
+            below.setdefault(key_of(path[:level]), {})[step] = (end, key_of(path[: level + 1]))
+    children = {
+        key: (
+            np.array(sorted(steps), dtype=np.int64),
+            np.array([steps[c][0] for c in sorted(steps)], dtype=np.int64),
+            [steps[c][1] for c in sorted(steps)],
+        )
+        for key, steps in below.items()
+    }
     leaves = nodes.sparkSession.sparkContext.broadcast((paths, children))
     return SharedTree(_share_nodes(nodes), leaves, len(paths))
 
 
+def reach_leaves(
+    vectors: np.ndarray, models: dict, children: dict, n_buckets: int, score: str, depth: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The leaves that can be among each query's best, by expanding only nodes
+    that can lead to one.
+
+    No leaf below a node has a larger first sort key than the smallest (or, for
+    ``joint``, the product) of the probabilities down to the node. Each round
+    expands the most promising waiting node of every query, and a node is
+    dropped once ``n_buckets`` leaves with larger keys are known. Returns query
+    rows, leaf columns, the probabilities along the paths (NaN beyond their
+    ends), and how many pairs of query and node were scored.
+    """
+    n = len(vectors)
+    # The product here and in the ranking may differ in the last bits.
+    slack = 1 - 1e-9 if score == "joint" else 1.0
+    keep = min(n_buckets, 1 << 20)
+    best = np.full((n, keep), -np.inf)
+    waiting = {
+        "query": np.arange(n), "node": np.full(n, ROOT_KEY, dtype=object),
+        "bound": np.ones(n), "trail": np.full((n, depth), np.nan), "level": np.zeros(n, np.int64),
+    }
+    found: list[tuple[np.ndarray, ...]] = []
+    scored = 0
+    while len(waiting["query"]):
+        alive = waiting["bound"] >= best.min(axis=1)[waiting["query"]] * slack
+        waiting = {name: column[alive] for name, column in waiting.items()}
+        order = np.lexsort((-waiting["bound"], waiting["query"]))
+        first = np.append(True, np.diff(waiting["query"][order]) != 0)[: len(order)]
+        now, later = order[first], order[~first]
+        parts = [{name: column[later] for name, column in waiting.items()}]
+        nodes, group = np.unique(waiting["node"][now].astype(str), return_inverse=True)
+        for number, key in enumerate(nodes):
+            rows = now[group == number]
+            query = waiting["query"][rows]
+            classes, ends, keys = children[key]
+            probs = forward(*models[key], vectors[query])[:, classes]
+            scored += len(rows)
+            bound = waiting["bound"][rows][:, None]
+            bounds = bound * probs if score == "joint" else np.minimum(bound, probs)
+            trail = np.repeat(waiting["trail"][rows][:, None, :], len(classes), axis=1)
+            level = waiting["level"][rows]
+            trail[np.arange(len(rows)), :, level] = probs
+            is_leaf = ends >= 0
+            if is_leaf.any():
+                keys_here = bounds[:, is_leaf]
+                joined = np.concatenate([best[query], keys_here], axis=1)
+                cut = joined.shape[1] - keep
+                best[query] = np.partition(joined, cut, axis=1)[:, cut:]
+                found.append((
+                    np.repeat(query, is_leaf.sum()), np.tile(ends[is_leaf], len(rows)),
+                    keys_here.ravel(), trail[:, is_leaf].reshape(-1, depth),
+                ))
+            inner = np.flatnonzero([k in children for k in keys])
+            if len(inner):
+                parts.append({
+                    "query": np.repeat(query, len(inner)),
+                    "node": np.tile(np.array([keys[i] for i in inner], dtype=object), len(rows)),
+                    "bound": bounds[:, inner].ravel(),
+                    "trail": trail[:, inner].reshape(-1, depth),
+                    "level": np.repeat(level + 1, len(inner)),
+                })
+        waiting = {name: np.concatenate([part[name] for part in parts]) for name in waiting}
+    query, column, key, trail = (np.concatenate(part) for part in zip(*found))
+    stay = key >= best.min(axis=1)[query] * slack
+    return query[stay], column[stay], trail[stay], scored
+
+
 def score_leaves(
     queries: DataFrame, tree: SharedTree, n_buckets: int, score: str = "conditional"
 ) -> DataFrame:
@@ -285,10 +403,10 @@ def score_leaves(
 
     Rows are ``(query_id, path, path_key, probs)``. A bucket whose first sort
     key is below that of the ``n_buckets``-th best is not handed on: it cannot
-    rank among them.
+    rank among them. Nodes that lead to no such bucket are not scored.
     """
     shared, leaves = tree.models, tree.leaves
-    slice_rows = max(1, min(SLICE_ROWS, TILE_CELLS // tree.n_leaves))
+    wanted = min(n_buckets, tree.n_leaves)
 
     def score_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, (paths, children) = shared.value, leaves.value
@@ -298,23 +416,10 @@ def score_leaves(
         for batch in batches:
             ids = batch.column("query_id").to_numpy()
             vectors = to_matrix(batch.column("v"))
-            for start in range(0, len(ids), slice_rows):
-                part = slice(start, start + slice_rows)
-                # One matrix per step of the paths; its columns are the buckets.
-                steps = np.full((depth, len(ids[part]), len(paths)), np.nan)
-                for (level, key), (columns, classes) in children.items():
-                    probs = forward(*models[key], vectors[part])
-                    steps[level][:, columns] = probs[:, classes]
-                first = np.nanprod(steps, axis=0) if score == "joint" else np.nanmin(steps, axis=0)
-                if n_buckets < len(paths):
-                    at = len(paths) - n_buckets
-                    least = np.partition(first, at, axis=1)[:, at : at + 1]
-                    # The product here and in the ranking may differ in the last bits.
-                    slack = 1 - 1e-9 if score == "joint" else 1.0
-                    rows, columns = np.nonzero(first >= least * slack)
-                else:
-                    rows, columns = (i.ravel() for i in np.indices(first.shape))
-                probs = steps[:, rows, columns].T
+            for start in range(0, len(ids), SLICE_ROWS):
+                part = slice(start, start + SLICE_ROWS)
+                rows, columns, probs, _ = reach_leaves(
+                    vectors[part], models, children, wanted, score, depth)
                 valid = ~np.isnan(probs)
                 offsets = np.concatenate([[0], np.cumsum(valid.sum(axis=1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -1,30 +1,33 @@
 """Building an index: one model per node, level by level.
 
-The models are fitted by Spark jobs that the driver starts, several nodes at
-once. Each level reads the objects twice: to count the objects of its nodes,
-and to write the rows its models train on, one folder per node, so that a fit
-reads only its own rows and a lost executor costs no earlier work. Placing the
-objects is a pass over the finished models without a shuffle.
+Each level clusters all rows of all its nodes together, fits all classifiers in
+one grouped job whose tasks hand on finished nodes, and places every row once;
+the next level goes on from that placement. Nodes go in batches whose centres
+and weights may be broadcast. So the number of jobs depends on the number of
+levels and batches, not on the number of nodes, and the driver holds one batch
+of centres and a row of counts a node.
 """
 
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from nearpath.functions.paths import ROOT_KEY
-from nearpath.operators.knn import CATALOG_ROWS
-from nearpath.operators.score import NODE_SCHEMA, assign_paths
+from nearpath.functions.vectors import as_doubles
+from nearpath.operators.kernel import to_matrix
+from nearpath.operators.knn import broadcast_catalog
+from nearpath.operators.score import NODE_SCHEMA, step_down
+from nearpath.plans.clustering import LABEL
 from nearpath.plans.config import BuildConfig, ModelParameters
 from nearpath.plans.index import (
     BUCKET_SCHEMA,
     BUCKETS,
-    FILE_ROWS,
     META,
     META_SCHEMA,
     NODES,
@@ -34,56 +37,120 @@ from nearpath.plans.index import (
     load_index,
     write_clustered,
 )
-from nearpath.plans.models import Node, fit_node
-from nearpath.sources.workdir import work_dir
+from nearpath.plans.kmeans import fit_centres, with_clusters
+from nearpath.plans.models import fit_node, hidden_layers, node_rows
+from nearpath.sources.workdir import discard, settle, work_dir
 
+# Centres, or weights, of the nodes that are worked on together, in bytes.
+BATCH_BYTES = 64 << 20
 
-def _training_rows(
-    placed: DataFrame, counts: dict[str, int], train_rows: int | None, folder: str
-) -> None:
-    """Write the training rows ``(id, v)`` of every node of a level, by node."""
-    spark = placed.sparkSession
-    scale = 1 << 30
-    rows = [
-        (key, scale if train_rows is None else min(scale, train_rows * scale // n),
-         max(1, min(n, train_rows or n) // FILE_ROWS))
-        for key, n in counts.items()
-    ]
-    shares = spark.createDataFrame(rows, "path_key string, share long, tasks int")
-    if len(rows) <= CATALOG_ROWS:
-        shares = F.broadcast(shares)
-    (
-        placed.join(shares, "path_key")
-        .filter(F.pmod(F.xxhash64("id"), F.lit(scale)) < F.col("share"))
-        .repartition("path_key", F.pmod(F.xxhash64("id", F.lit(1)), F.col("tasks")))
-        .select("id", "v", "path_key")
-        .sortWithinPartitions("path_key", "id")
-        .write.partitionBy("path_key")
-        .parquet(folder)
+
+def node_sizes(placed: DataFrame, n_categories: int) -> DataFrame:
+    """The nodes of a level: ``(path_key, path, n_rows, n_requested)``."""
+    n = F.col("n_rows")
+    asked = (
+        F.when(n < 2, 1)
+        .when(n < n_categories, F.greatest(F.lit(2), F.floor(n / 5)))
+        .otherwise(n_categories)
     )
+    return placed.groupBy("path_key", "path").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "n_requested", asked.cast("int"))
+
+
+def cluster_level(
+    rows: DataFrame, labelled: DataFrame, asked: dict[str, int], parameters: ModelParameters,
+    seed: int,
+) -> DataFrame:
+    """Cluster all ``rows`` (id, v, path_key) of the nodes in ``asked``, and give
+    the rows of ``labelled``, of the same nodes, their ``cluster``."""
+    algorithm = parameters.clustering_algorithm
+    if algorithm.make is None:
+        return with_clusters(labelled, fit_centres(rows, asked, algorithm.iterations, seed))
+    features = F.col("features")
+    parts = []
+    for key, k in asked.items():
+        own, wanted = (
+            part.filter(F.col("path_key") == key)
+            .withColumn("features", array_to_vector(as_doubles("v")))
+            for part in (rows, labelled)
+        )
+        if k < 2:
+            wanted = wanted.withColumn(LABEL, F.lit(0))
+        else:
+            wanted = algorithm.make(k).fit(own.select(features)).transform(wanted)
+        parts.append(wanted.select(*labelled.columns, F.col(LABEL).cast("int").alias(LABEL)))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _fit_level(
-    spark: SparkSession,
-    folder: str,
-    schema: StructType,
-    paths: dict[str, tuple[int, ...]],
-    counts: dict[str, int],
-    parameters: ModelParameters,
-    config: BuildConfig,
-    dimension: int,
-) -> list[Node]:
-    """Fit the nodes of a level, several at once, on the rows written for them."""
-    train_rows = config.train_rows
+def _training_rows(rows: DataFrame, sizes: DataFrame, train_rows: int) -> DataFrame:
+    """About ``train_rows`` rows of each larger node, by hash of the id, and all
+    rows of the others."""
+    scale = 1 << 30
+    share = F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("n_rows"))
+    known = broadcast_catalog(sizes.select(F.col("path_key"), share.alias("_share")))
+    place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale))
+    return rows.join(known, "path_key").filter(place < F.col("_share") * scale).select("id", "v", "path_key")
+
+
+def _fit_nodes(labelled: DataFrame, sizes: DataFrame, parameters: ModelParameters) -> DataFrame:
+    """One grouped fit a node."""
+    rows = labelled.join(broadcast_catalog(sizes.select("path_key", "path", "n_requested")), "path_key")
+    weights = dict(parameters.class_weights)
+
+    def fit(group: pa.Table) -> pa.Table:
+        # One order, so that a node does not depend on how its rows arrived.
+        group = group.sort_by("id")
+        return node_rows([fit_node(
+            tuple(group.column("path")[0].as_py()), to_matrix(group.column("v")),
+            group.column("cluster").to_numpy(), group.column("n_requested")[0].as_py(),
+            parameters, weights,
+        )])
+
+    return rows.select("id", "v", "path_key", "path", "n_requested", "cluster").groupBy(
+        "path_key").applyInArrow(fit, NODE_SCHEMA)
+
+
+def _batches(sizes: list, bytes_per_class: int, fixed: int) -> list[list]:
+    """Nodes in batches of at most ``BATCH_BYTES``."""
+    out, room = [[]], BATCH_BYTES
+    for row in sizes:
+        need = row["n_requested"] * bytes_per_class + fixed
+        if out[-1] and need > room:
+            out.append([])
+            room = BATCH_BYTES
+        out[-1].append(row)
+        room -= need
+    return out
 
-    def fit(key: str) -> Node:
-        n = counts[key] if train_rows is None else min(counts[key], train_rows)
-        vectors = spark.read.schema(schema).parquet(f"{folder}/path_key={key}")
-        return fit_node(vectors, paths[key], parameters, n, dimension)
 
-    workers = max(1, min(config.parallel_fits, len(counts)))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(fit, sorted(counts)))
+def _fit_level(
+    spark: SparkSession, placed: DataFrame, parameters: ModelParameters, config: BuildConfig,
+    dimension: int, target: str, clustered: str,
+) -> float:
+    """Write the nodes of a level to ``target``; the seconds spent on clusters."""
+    sizes = settle(node_sizes(placed, parameters.n_categories), "node-sizes")
+    hidden = hidden_layers(parameters.model_type)
+    wide = (hidden or [dimension])[-1] + 1
+    fixed = 8 * sum((a + 1) * b for a, b in zip([dimension, *hidden], hidden)) + 256
+    batches = _batches(sizes.orderBy("path_key").collect(), 8 * (dimension + wide), fixed)
+    rows = placed.select("id", "v", "path_key")
+    if len(batches) > 1:
+        # By node, so that a batch reads only its own folders.
+        write_clustered(rows, sizes.select("path_key", F.col("n_rows").alias("n_objects")),
+                        clustered, dimension)
+        rows = spark.read.schema(rows.schema).parquet(clustered)
+    cluster_s = 0.0
+    for batch in batches:
+        asked = {row["path_key"]: row["n_requested"] for row in batch}
+        own = rows
+        if len(batches) > 1:
+            own = rows.filter(F.col("path_key").isin(list(asked)))
+        started = time.time()
+        sample = _training_rows(own, sizes, config.train_rows)
+        labelled = cluster_level(own, sample, asked, parameters, config.seed)
+        cluster_s += time.time() - started
+        _fit_nodes(labelled, sizes, parameters).write.mode("append").parquet(target)
+    return cluster_s
 
 
 def build_index(
@@ -101,49 +168,47 @@ def build_index(
     spark = objects.sparkSession
     started = time.time()
     folder = folder or work_dir(spark, "index")
-    first = objects.select(F.size("v").alias("d")).first()
-    if first is None:
+    first = objects.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    if not first["n"]:
         raise ValueError("there are no objects to index")
-    dimension = first["d"]
+    dimension, scratch = first["d"], work_dir(spark, "build")
 
-    cluster_s, size = 0.0, 0
-    tables: list[DataFrame] = []
+    cluster_s = 0.0
+    placed = objects.select(
+        "id", "v", F.expr("cast(array() as array<int>)").alias("path"),
+        F.lit(ROOT_KEY).alias("path_key"),
+    )
     for level, parameters in enumerate(config.levels):
-        if level == 0:
-            placed = objects.select(
-                "id", "v", F.expr("cast(array() as array<int>)").alias("path"),
-                F.lit(ROOT_KEY).alias("path_key"),
-            )
-        else:
-            placed = assign_paths(objects, reduce(DataFrame.unionByName, tables))
-        # One row per node of the level.
-        rows = placed.groupBy("path", "path_key").count().collect()
-        counts = {row["path_key"]: row["count"] for row in rows}
-        paths = {row["path_key"]: tuple(row["path"]) for row in rows}
-        training = work_dir(spark, "training")
-        _training_rows(placed, counts, config.train_rows, training)
-        schema = objects.select("id", "v").schema
-        nodes = _fit_level(
-            spark, training, schema, paths, counts, parameters, config, dimension
-        )
-        cluster_s += sum(node.cluster_s for node in nodes)
-        size += sum(len(node.weights) * 8 + 256 for node in nodes)
         target = f"{folder}/{NODES}/fit_level={level}"
-        spark.createDataFrame([node.row() for node in nodes], NODE_SCHEMA).write.parquet(target)
-        tables.append(spark.read.schema(NODE_SCHEMA).parquet(target))
-
-    placed = assign_paths(objects, reduce(DataFrame.unionByName, tables))
-    placements = placed.select("id", "path", "path_key")
+        cluster_s += _fit_level(
+            spark, placed, parameters, config, dimension, target, f"{scratch}/by-node-{level}")
+        nodes = spark.read.schema(NODE_SCHEMA).parquet(target)
+        if not config.allow_missing:
+            missing = nodes.filter("n_predicted < n_classes").count()
+            if missing:
+                raise RuntimeError(f"{missing} nodes of level {level} do not predict all their classes")
+        # Placed once, and read from there by everything that follows.
+        where = f"{scratch}/placed-{level}"
+        step_down(placed, nodes).write.parquet(where)
+        placed = spark.read.schema(placed.schema).parquet(where)
+
+    bucket_catalog(placed.select("path", "path_key")).coalesce(1).write.parquet(f"{folder}/{BUCKETS}")
+    buckets = spark.read.schema(BUCKET_SCHEMA).parquet(f"{folder}/{BUCKETS}")
+    stored = placed
     if search_objects is not None:
         # The placements are narrow; they are joined with the wide vectors once.
-        placed = search_objects.select("id", "v").join(placements, "id")
-    bucket_catalog(placements).coalesce(1).write.parquet(f"{folder}/{BUCKETS}")
-    buckets = spark.read.schema(BUCKET_SCHEMA).parquet(f"{folder}/{BUCKETS}")
-    write_clustered(placed, buckets, f"{folder}/{OBJECTS}")
-    totals = buckets.agg(F.sum("n_objects").alias("n"), F.count(F.lit(1)).alias("b")).first()
+        stored = search_objects.select("id", "v").join(
+            placed.select("id", "path", "path_key"), "id")
+    write_clustered(stored, buckets, f"{folder}/{OBJECTS}", dimension)
+    written = spark.read.parquet(f"{folder}/{OBJECTS}").count()
+    if search_objects is None and written != first["n"]:
+        raise RuntimeError(f"{written} of {first['n']} objects were written")
+    discard(spark, scratch)
+    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/{NODES}")
+    size = nodes.agg(F.sum(F.size("weights") * 8 + 256)).first()[0]
     meta = (
-        config.n_levels, totals["n"], totals["b"], size,
-        placed.schema["v"].dataType.elementType.simpleString(), time.time() - started, cluster_s,
+        config.n_levels, written, buckets.count(), size,
+        stored.schema["v"].dataType.elementType.simpleString(), time.time() - started, cluster_s,
     )
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.parquet(f"{folder}/{META}")
     return load_index(spark, folder)

@@ -8,36 +8,37 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator
 from pyspark.ml.clustering import KMeans
 
-SEED = 2023
-MAX_ITERATIONS = 25
+from nearpath.plans.kmeans import MAX_ITERATIONS, SEED
 
 LABEL = "cluster"
 
 
 @dataclass(frozen=True)
 class ClusteringAlgorithm:
-    """``make(k)`` gives an estimator from column ``features`` to column ``cluster``.
+    """How the rows of a node are clustered; always all of them.
 
-    ``points_per_cluster`` bounds the rows the centres are fitted on, for
-    algorithms that work on a sample by design. Labels always cover every row.
+    Without ``make`` it is the k-means that fits all nodes of a level at once.
+    ``make(k)`` gives an estimator from column ``features`` to column
+    ``cluster`` instead, which is fitted node by node: for few nodes.
     """
 
-    make: Callable[[int], Estimator]
-    points_per_cluster: int | None = None
+    make: Callable[[int], Estimator] | None = None
+    iterations: int = MAX_ITERATIONS
 
 
 def k_means(k: int) -> KMeans:
+    """An estimator for ``make``."""
     return KMeans(
         k=k, initMode="random", maxIter=MAX_ITERATIONS, seed=SEED,
         featuresCol="features", predictionCol=LABEL,
     )
 
 
-# The names a configuration may use. The first variant is known
-# to train on at most 256 points per cluster, the second on all of them.
+# The names a configuration may use. Both are k-means from random
+# rows with 25 iterations.
 ALGORITHMS: dict[str, ClusteringAlgorithm] = {
-    "faiss_kmeans": ClusteringAlgorithm(k_means, points_per_cluster=256),
-    "scikit_kmeans": ClusteringAlgorithm(k_means),
+    "faiss_kmeans": ClusteringAlgorithm(),
+    "scikit_kmeans": ClusteringAlgorithm(),
 }
 
 

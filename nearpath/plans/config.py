@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from nearpath.plans.clustering import ClusteringAlgorithm, clustering_algorithm
+from nearpath.plans.kmeans import SEED
 
-# Rows a node model is trained on at most, so that the cost of training does
-# not grow with the data; about what 200 epochs of one batch of 256 rows see.
-# The model then places every row. ``None`` trains on all rows.
+# Labelled rows a node's classifier is trained on at most, so that a fit is one
+# task. Clusters come from all rows, and the classifier then places every row.
 TRAIN_ROWS = 50_000
 MIN_TRAIN_ROWS = 32
 
+SOLVERS = ("adam", "gd")
+
 
 @dataclass(frozen=True)
 class ModelParameters:
@@ -21,7 +23,8 @@ class ModelParameters:
     epochs: int
     lr: float
     n_categories: int
-    solver: str = "l-bfgs"
+    solver: str = "adam"
+    class_weights: tuple[tuple[int, float], ...] = ()
 
 
 def _per_level(name: str, value, n_levels: int) -> list:
@@ -39,7 +42,9 @@ class BuildConfig:
     """Parameters of a build; single values stand for every level.
 
     The first four are either all lists (of length one, or one value per
-    level) or all single values. ``lr`` is used by the solver ``gd`` only.
+    level) or all single values. ``class_weights`` weighs the classes of every
+    node while it is trained. ``allow_missing`` accepts nodes that predict fewer
+    classes than they were trained with; otherwise the build fails.
     """
 
     clustering_algorithms: str | ClusteringAlgorithm | Sequence
@@ -47,32 +52,37 @@ class BuildConfig:
     model_types: str | Sequence[str]
     lrs: float | Sequence[float]
     n_categories: Sequence[int]
-    solver: str = "l-bfgs"
-    train_rows: int | None = TRAIN_ROWS
-    parallel_fits: int = 16
+    solver: str = "adam"
+    train_rows: int = TRAIN_ROWS
+    class_weights: dict[int, float] | None = None
+    allow_missing: bool = False
+    seed: int = SEED
     levels: list[ModelParameters] = field(init=False, repr=False)
 
     def __post_init__(self):
         from nearpath.plans.models import hidden_layers
 
         self.n_categories = list(self.n_categories)
-        if not self.n_categories:
-            raise ValueError("n_categories must name at least one level")
-        if any(n < 1 for n in self.n_categories):
-            raise ValueError("n_categories must be positive")
-        if self.train_rows is not None and self.train_rows < MIN_TRAIN_ROWS:
+        if not self.n_categories or min(self.n_categories) < 1:
+            raise ValueError("an index needs one or more levels, each of one or more classes")
+        if self.train_rows < MIN_TRAIN_ROWS:
             raise ValueError(f"train_rows must be at least {MIN_TRAIN_ROWS}")
+        if self.solver not in SOLVERS:
+            raise ValueError(f"unknown solver {self.solver!r}, expected one of {SOLVERS}")
         names = ("clustering_algorithms", "epochs", "model_types", "lrs")
         given = [getattr(self, name) for name in names]
         lists = [isinstance(value, (list, tuple)) for value in given]
         if any(lists) and not all(lists):
-            raise ValueError(f"{', '.join(names)} must be all lists or all single values")
+            raise ValueError(f"mixed lists and single values: {', '.join(names)}")
         for name, value in zip(names, given):
             setattr(self, name, _per_level(name, value, self.n_levels))
         for model_type in self.model_types:
             hidden_layers(model_type)
         self.levels = [
-            ModelParameters(clustering_algorithm(algorithm), model_type, epochs, lr, n, self.solver)
+            ModelParameters(
+                clustering_algorithm(algorithm), model_type, epochs, lr, n, self.solver,
+                tuple(sorted((self.class_weights or {}).items())),
+            )
             for algorithm, model_type, epochs, lr, n in zip(
                 self.clustering_algorithms, self.model_types, self.epochs, self.lrs,
                 self.n_categories,

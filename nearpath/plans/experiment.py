@@ -15,7 +15,7 @@ from nearpath.operators.knn import knn_brute_force
 from nearpath.operators.recall import recall_sweep
 from nearpath.plans.build import build_index
 from nearpath.plans.config import BuildConfig
-from nearpath.sources.results import append_runs, write_neighbors
+from nearpath.sources.results import append_runs, write_neighbors, write_neighbors_of_runs
 from nearpath.sources.workdir import settle
 
 INDEX_TYPES = ("baseline", "learned-index")
@@ -68,7 +68,8 @@ def run_experiment(
     ``objects`` is (id, v) and ``queries`` is (query_id, v). Without ``truth``
     the recall is measured against a brute-force search. Returns the run rows,
     one per number of buckets. Only one search is made for all of them: it
-    navigates once, and each number reuses the candidates within its reach.
+    navigates once, and each number reuses the candidates within its reach. Its
+    seconds are the ``sweep_s`` of every run; ``query_s`` stays empty.
     """
     spark = objects.sparkSession
     if (objects_search is None) != (queries_search is None):
@@ -95,7 +96,7 @@ def run_experiment(
         if truth is not None:
             everything = found.withColumn("n_buckets", F.lit(1).cast("long"))
             recall = recall_sweep(everything, truth, [1], config.k).first()["recall"]
-        run = {**base, "run_id": run_id, "build_s": 0.0, "cluster_s": 0.0,
+        run = {**base, "run_id": run_id, "metric": "cosine", "build_s": 0.0, "cluster_s": 0.0,
                "query_s": query_s, "recall": recall}
         return append_runs(spark, folder, [run])
 
@@ -118,29 +119,35 @@ def run_experiment(
         ),
         "found",
     )
-    query_s = time.time() - started
+    sweep_s = time.time() - started
     recalls = {
         row["n_buckets"]: row["recall"]
         for row in recall_sweep(found, truth, numbers, config.k).collect()
     }
-    runs = []
-    for n in numbers:
-        run_id = uuid.uuid4().hex
-        write_neighbors(found.filter(F.col("n_buckets") == n), folder, run_id)
-        runs.append(
-            {
-                **base,
-                "run_id": run_id,
-                "clustering_algorithms": config.build.clustering_names,
-                "n_categories": config.build.n_categories,
-                "model_types": config.build.model_types,
-                "epochs": config.build.epochs,
-                "lrs": [float(lr) for lr in config.build.lrs],
-                "n_buckets": n,
-                "build_s": meta["build_s"],
-                "cluster_s": meta["cluster_s"],
-                "query_s": query_s,
-                "recall": recalls.get(n),
-            }
-        )
-    return append_runs(spark, folder, runs)
+    run_ids = {n: uuid.uuid4().hex for n in numbers}
+    named = F.create_map(*[F.lit(x) for pair in run_ids.items() for x in pair])
+    write_neighbors_of_runs(
+        found.withColumn("run_id", F.element_at(named, F.col("n_buckets").cast("int"))), folder)
+    build = config.build
+    return append_runs(spark, folder, [
+        {
+            **base,
+            "run_id": run_ids[n],
+            "clustering_algorithms": build.clustering_names,
+            "n_categories": build.n_categories,
+            "model_types": build.model_types,
+            "epochs": build.epochs,
+            "lrs": [float(lr) for lr in build.lrs],
+            "solver": build.solver,
+            "train_rows": build.train_rows,
+            "seed": build.seed,
+            "metric": config.metric_search,
+            "score": config.score,
+            "n_buckets": n,
+            "build_s": meta["build_s"],
+            "cluster_s": meta["cluster_s"],
+            "sweep_s": sweep_s,
+            "recall": recalls.get(n),
+        }
+        for n in numbers
+    ])

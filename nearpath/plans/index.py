@@ -22,8 +22,8 @@ META_SCHEMA = (
     "build_s double, cluster_s double"
 )
 
-# Objects that go to one task when the objects table is written.
-FILE_ROWS = 500_000
+# Bytes of objects that go to one task when the objects table is written.
+TASK_BYTES = 256 << 20
 
 
 def bucket_catalog(assignments: DataFrame) -> DataFrame:
@@ -47,14 +47,23 @@ def attach_paths(objects: DataFrame, assignments: DataFrame) -> DataFrame:
     return objects.join(assignments.select("id", "path", "path_key"), "id")
 
 
-def write_clustered(objects: DataFrame, buckets: DataFrame, folder: str) -> None:
-    """Write objects with one folder per bucket, a large bucket from many tasks."""
-    tasks = F.ceil(F.col("n_objects") / F.lit(FILE_ROWS)).cast("int").alias("tasks")
-    sizes = broadcast_catalog(buckets.select("path_key", tasks))
+def write_clustered(objects: DataFrame, buckets: DataFrame, folder: str, dimension: int) -> None:
+    """Write objects with one folder per bucket, a large bucket from many tasks.
+
+    The number of tasks follows the bytes, and parts of one bucket go to
+    different tasks.
+    """
+    row_bytes = 8 * dimension + 64
+    task_rows = max(1, TASK_BYTES // row_bytes)
+    total = buckets.agg(F.sum("n_objects")).first()[0] or 0
+    tasks = max(-(-total // task_rows), objects.sparkSession.sparkContext.defaultParallelism)
+    parts = F.ceil(F.col("n_objects") / F.lit(task_rows)).cast("int").alias("_parts")
+    sizes = broadcast_catalog(buckets.select("path_key", parts))
+    part = F.pmod(F.xxhash64("id"), F.col("_parts"))
     (
-        objects.join(sizes, "path_key")
-        .repartition("path_key", F.pmod(F.xxhash64("id"), F.col("tasks")))
-        .drop("tasks")
+        objects.join(sizes, "path_key", "left")
+        .repartition(tasks, F.pmod(F.xxhash64("path_key") + part, F.lit(tasks)))
+        .drop("_parts")
         .write.partitionBy("path_key")
         .parquet(folder)
     )
@@ -126,9 +135,7 @@ class Index:
         visits = self.bucket_order(queries, n_buckets, score)
         searched = queries if queries_search is None else queries_search
         return knn_in_buckets(
-            visits, searched, self.objects, k, metric=metric,
-            visits_per_query=min(n_buckets, self.n_buckets), buckets=self.buckets, **options,
-        )
+            visits, searched, self.objects, k, metric=metric, **options)
 
     def sweep(
         self,
@@ -144,9 +151,7 @@ class Index:
         visits = self.bucket_order(queries, max(n_buckets), score)
         searched = queries if queries_search is None else queries_search
         return knn_sweep(
-            visits, searched, self.objects, n_buckets, k, metric=metric,
-            visits_per_query=min(max(n_buckets), self.n_buckets), buckets=self.buckets, **options,
-        )
+            visits, searched, self.objects, n_buckets, k, metric=metric, **options)
 
     def save(self, folder: str) -> Index:
         """Copy the tables to another folder."""

@@ -1,20 +1,22 @@
-"""Node classifiers: presets by name, and their fit with ``pyspark.ml``."""
+"""Node classifiers: presets by name, and their fit inside grouped tasks.
+
+A node is a feed-forward net with sigmoid hidden layers and a softmax, trained
+on at most ``train_rows`` labelled rows with Adam on batches of 256. All nodes
+of a level are fitted by one grouped job, and tasks hand on finished node rows.
+"""
 
 from __future__ import annotations
 
-import time
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
 
 from nearpath.functions.paths import key_of
-from nearpath.functions.vectors import as_doubles
-from nearpath.plans.clustering import LABEL, SEED
+from nearpath.operators.kernel import forward
 from nearpath.plans.config import ModelParameters
+from nearpath.plans.kmeans import SEED
 
 # Hidden layer sizes of each preset. "logistic" has none.
 HIDDEN_LAYERS: dict[str, list[int]] = {
@@ -30,16 +32,11 @@ HIDDEN_LAYERS: dict[str, list[int]] = {
     "logistic": [],
 }
 
-# Fits of one node before fewer predicted classes are accepted.
+# Fits of one node, each going on from the last, before the nearest centre
+# decides instead: that predicts every class.
 COVERAGE_ROUNDS = 5
 
-BLOCK_ROWS = 256
-
-# Relative gain of an iteration below which a fit has converged.
-TOLERANCE = 1e-4
-
-# Rows of one task while a node is fitted, as long as there are tasks to have.
-TASK_ROWS = 5_000
+BATCH_ROWS = 256
 
 
 def hidden_layers(model_type: str) -> list[int]:
@@ -57,7 +54,7 @@ class Node:
     layers: list[int]
     weights: list[float]
     n_predicted: int
-    cluster_s: float = 0.0
+    n_requested: int = 0
 
     @property
     def n_classes(self) -> int:
@@ -66,7 +63,7 @@ class Node:
     def row(self) -> tuple:
         return (
             list(self.path), key_of(self.path), len(self.path), self.kind, self.layers,
-            self.weights, self.n_classes,
+            self.weights, self.n_classes, self.n_requested or self.n_classes, self.n_predicted,
         )
 
 
@@ -83,98 +80,109 @@ def n_clusters_for(n_rows: int, n_categories: int) -> int:
     return n_categories
 
 
-def cluster_rows(vectors: DataFrame, parameters: ModelParameters, k: int, n_rows: int) -> DataFrame:
-    """Label every row ``(id, v)`` with its cluster: adds ``features`` and ``cluster``."""
-    features = vectors.withColumn("features", array_to_vector(as_doubles("v")))
-    algorithm = parameters.clustering_algorithm
-    training = features
-    if algorithm.points_per_cluster is not None:
-        training = keep_share(features, algorithm.points_per_cluster * k / max(n_rows, 1))
-    return algorithm.make(k).fit(training.select("features")).transform(features)
-
-
-def keep_share(rows: DataFrame, share: float) -> DataFrame:
-    """A repeatable sample by the hash of the id; a share of 1 or more keeps all."""
-    if share >= 1:
-        return rows
-    buckets = 1 << 30
-    # A salt of its own: the rows may be a sample by the plain hash already.
-    return rows.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(buckets)) < int(share * buckets))
+def _first_weights(layers: list[int], rng: np.random.Generator) -> list[np.ndarray]:
+    out = []
+    for n_in, n_out in zip(layers, layers[1:]):
+        spread = np.sqrt(6 / (n_in + n_out))
+        out += [rng.uniform(-spread, spread, (n_in, n_out)), np.zeros(n_out)]
+    return out
+
+
+def _gradients(
+    weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, importance: np.ndarray
+) -> list[np.ndarray]:
+    """Of the weighted cross-entropy of a batch."""
+    states = [x]
+    for depth in range(0, len(weights) - 2, 2):
+        states.append(1 / (1 + np.exp(-(states[-1] @ weights[depth] + weights[depth + 1]))))
+    odds = states[-1] @ weights[-2] + weights[-1]
+    odds = np.exp(odds - odds.max(axis=1, keepdims=True))
+    error = odds / odds.sum(axis=1, keepdims=True)
+    error[np.arange(len(y)), y] -= 1
+    error *= (importance / importance.sum())[:, None]
+    out: list[np.ndarray] = []
+    for depth in range(len(weights) - 2, -1, -2):
+        state = states[depth // 2]
+        out = [state.T @ error, error.sum(axis=0), *out]
+        if depth:
+            error = (error @ weights[depth].T) * state * (1 - state)
+    return out
+
+
+def train(
+    weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, importance: np.ndarray,
+    parameters: ModelParameters, rng: np.random.Generator,
+) -> None:
+    """``epochs`` passes in shuffled batches, in place: Adam, or plain descent (``gd``)."""
+    first = [np.zeros_like(w) for w in weights]
+    second = [np.zeros_like(w) for w in weights]
+    step = 0
+    for _ in range(parameters.epochs):
+        order = rng.permutation(len(x))
+        for start in range(0, len(x), BATCH_ROWS):
+            rows = order[start : start + BATCH_ROWS]
+            step += 1
+            for i, grad in enumerate(_gradients(weights, x[rows], y[rows], importance[rows])):
+                if parameters.solver == "gd":
+                    weights[i] -= parameters.lr * grad
+                    continue
+                first[i] += 0.1 * (grad - first[i])
+                second[i] += 0.001 * (grad * grad - second[i])
+                weights[i] -= parameters.lr * (first[i] / (1 - 0.9**step)) / (
+                    np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+
+
+def _flat(weights: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in weights])
+
+
+def nearest_centre_weights(centres: np.ndarray) -> np.ndarray:
+    """A softmax over minus half the squared distances, as a net without hidden layers."""
+    return np.concatenate([centres.T.ravel(), -(centres * centres).sum(axis=1) / 2])
 
 
 def fit_node(
-    vectors: DataFrame, path: tuple[int, ...], parameters: ModelParameters, n_rows: int,
-    dimension: int, class_weights: dict[int, float] | None = None,
+    path: tuple[int, ...], x: np.ndarray, y: np.ndarray, requested: int,
+    parameters: ModelParameters, class_weights: dict[int, float] | None = None,
 ) -> Node:
-    """Cluster the vectors of a node and fit a classifier that predicts the cluster.
+    """A classifier of the rows' clusters.
 
-    Fitting goes on from the last weights until every class is predicted for
-    some row; after a few rounds a logistic regression is tried, and the fit
-    that predicts the most classes is kept.
+    Clusters without rows are left out. Fitting goes on until every class is
+    predicted for some row; after some rounds the centres of the classes decide.
     """
-    k = n_clusters_for(n_rows, parameters.n_categories)
-    if k == 1:
-        return constant_node(path, dimension)
-    tasks = min(-(-n_rows // TASK_ROWS), vectors.sparkSession.sparkContext.defaultParallelism)
-    if tasks > 1:
-        vectors = vectors.repartition(tasks, "id")
-    started = time.time()
-    labelled = cluster_rows(vectors, parameters, k, n_rows).select("features", LABEL).persist()
-    try:
-        present = sorted(row[LABEL] for row in labelled.select(LABEL).distinct().collect())
-        cluster_s = time.time() - started
-        if len(present) == 1:
-            return replace(constant_node(path, dimension), cluster_s=cluster_s)
-        dense = F.array_position(F.array(*[F.lit(c) for c in present]), F.col(LABEL)) - 1
-        training = labelled.select("features", dense.cast("double").alias("label"))
-        if class_weights:
-            weight = F.element_at(
-                F.create_map(*[F.lit(x) for pair in class_weights.items() for x in pair]),
-                F.col("label").cast("int"),
-            )
-            training = training.withColumn("weight", F.coalesce(weight, F.lit(1.0)))
-        node = _fit_classifier(
-            training, path, parameters, dimension, len(present), bool(class_weights)
-        )
-        return replace(node, cluster_s=cluster_s)
-    finally:
-        labelled.unpersist()
-
-
-def _predicted(model, training: DataFrame) -> int:
-    return model.transform(training).select("prediction").distinct().count()
-
-
-def _fit_classifier(
-    training: DataFrame, path: tuple[int, ...], parameters: ModelParameters, dimension: int,
-    n_classes: int, weighted: bool,
-) -> Node:
-    hidden = hidden_layers(parameters.model_type)
-    if weighted and hidden:
-        raise ValueError("class weights need the model type 'logistic'")
-    best = None
-    if hidden:
-        layers = [dimension, *hidden, n_classes]
-        estimator = MultilayerPerceptronClassifier(
-            layers=layers, maxIter=parameters.epochs, blockSize=BLOCK_ROWS, seed=SEED,
-            solver=parameters.solver, stepSize=parameters.lr, tol=TOLERANCE,
-        )
-        for _ in range(COVERAGE_ROUNDS):
-            model = estimator.fit(training)
-            node = Node(path, "mlp", layers, model.weights.toArray().tolist(),
-                        _predicted(model, training))
-            if best is None or node.n_predicted > best.n_predicted:
-                best = node
-            if best.n_predicted == n_classes:
-                return best
-            estimator = estimator.copy()
-            estimator.setInitialWeights(model.weights)
-    estimator = LogisticRegression(family="multinomial", maxIter=max(parameters.epochs, 50))
-    if weighted:
-        estimator = estimator.setWeightCol("weight")
-    model = estimator.fit(training)
-    coefficients = model.coefficientMatrix.toArray()
-    weights = np.concatenate([coefficients.ravel(order="F"), model.interceptVector.toArray()])
-    node = Node(path, "logistic", [dimension, n_classes], weights.tolist(),
-                _predicted(model, training))
-    return node if best is None or node.n_predicted > best.n_predicted else best
+    dimension = x.shape[1]
+    present, y = np.unique(y, return_inverse=True)
+    if len(present) < 2:
+        return Node(path, "constant", [dimension, 1], [], 1, requested)
+    n_classes = len(present)
+    wanted = np.array([(class_weights or {}).get(c, 1.0) for c in range(n_classes)])
+    layers = [dimension, *hidden_layers(parameters.model_type), n_classes]
+    rng = np.random.default_rng([SEED, *path])
+    weights = _first_weights(layers, rng)
+    for _ in range(COVERAGE_ROUNDS):
+        train(weights, x, y, wanted[y], parameters, rng)
+        flat = _flat(weights)
+        predicted = len(np.unique(forward(layers, flat, x).argmax(axis=1)))
+        if predicted == n_classes:
+            kind = "mlp" if len(layers) > 2 else "logistic"
+            return Node(path, kind, layers, flat.tolist(), predicted, requested)
+    centres = np.stack([x[y == c].mean(axis=0) for c in range(n_classes)])
+    flat = nearest_centre_weights(centres)
+    layers = [dimension, n_classes]
+    predicted = len(np.unique(forward(layers, flat, x).argmax(axis=1)))
+    return Node(path, "logistic", layers, flat.tolist(), predicted, requested)
+
+
+NODE_ARROW = pa.schema([
+    ("path", pa.list_(pa.int32())), ("path_key", pa.string()), ("level", pa.int32()),
+    ("kind", pa.string()), ("layers", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64())),
+    ("n_classes", pa.int32()), ("n_requested", pa.int32()), ("n_predicted", pa.int32()),
+])
+
+
+def node_rows(nodes: Iterator[Node]) -> pa.Table:
+    columns = list(zip(*(node.row() for node in nodes))) or [[]] * len(NODE_ARROW)
+    return pa.Table.from_arrays(
+        [pa.array(column, field.type) for column, field in zip(columns, NODE_ARROW)],
+        schema=NODE_ARROW,
+    )

@@ -1,7 +1,8 @@
 """The registered queries, each with the SQL that must give the same rows.
 
 Every query reads the whole ``embeddings`` table: each vector is an object and
-a query. Distances and probabilities are reported to six decimals.
+a query. Neighbours rank by exact distance; distances and probabilities are
+reported to six decimals, for the comparison only.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from nearpath.operators.navigate import leaf_probabilities, navigate, rank_bucke
 from nearpath.operators.recall import recall_at_k, recall_sweep
 from nearpath.operators.score import assign_paths, predict, predict_proba
 from nearpath.operators.topk import merge_top_k
-from nearpath.plans.build import build_index
+from nearpath.plans.build import _fit_nodes, _training_rows, build_index, node_sizes
+from nearpath.plans.clustering import ClusteringAlgorithm, k_means
 from nearpath.plans.config import BuildConfig
 from nearpath.plans.experiment import ExperimentConfig, buckets_to_visit, run_experiment
 from nearpath.plans.index import Index, attach_paths, bucket_catalog, load_index, node_catalog
-from nearpath.plans.models import cluster_rows
+from nearpath.plans.kmeans import fit_centres, with_clusters
+from nearpath.plans.models import HIDDEN_LAYERS
 from nearpath.sources.results import write_neighbors
 from nearpath.sources.vectors import align_vectors, read_ground_truth, read_vectors, with_row_ids
-from nearpath.sources.workdir import work_dir
+from nearpath.sources.workdir import settle, work_dir
 
 K = 10
 N_BUCKETS = 4
@@ -69,7 +72,7 @@ def _six(column) -> Column:
 E = """
 e AS (
   SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label AS c1,
-         vec_id % 3 AS c2, (vec_id // 3) % 2 AS c3
+         vec_id % 3 AS c2, (vec_id // 3) % 2 AS c3, (vec_id // 6) % 2 AS c4
   FROM embeddings)"""
 
 # The reduced representation, under the same columns.
@@ -133,6 +136,9 @@ visits AS (SELECT * FROM r {limit})"""
 FLAT = "p1 DESC"
 TWO_LEVEL = "least(p1, p2) DESC, p2 DESC"
 THREE_LEVEL = "least(p1, p2, p3) DESC, least(p2, p3) DESC, p3 DESC"
+FOUR_LEVEL = (
+    "least(p1, p2, p3, p4) DESC, least(p2, p3, p4) DESC, least(p3, p4) DESC, p4 DESC"
+)
 JOINT = "p1 * p2 DESC"
 
 PLACED = "o AS (SELECT id, v, 'b' || c1 || '_' || c2 AS path_key FROM e)"
@@ -149,10 +155,10 @@ NEIGHBORS = "query_id, rank, neighbor_id, distance"
 def _brute(name: str, table: str, distance: str) -> str:
     return f"""
 {name} AS (
-  SELECT * FROM (
-    SELECT query_id, neighbor_id, distance,
-           row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank
-    FROM (SELECT q.id AS query_id, o.id AS neighbor_id, {_zero(distance)} AS distance
+  SELECT query_id, neighbor_id, rank, {_zero("exact")} AS distance FROM (
+    SELECT query_id, neighbor_id, exact,
+           row_number() OVER (PARTITION BY query_id ORDER BY exact, neighbor_id) AS rank
+    FROM (SELECT q.id AS query_id, o.id AS neighbor_id, {distance} AS exact
           FROM {table} AS q, {table} AS o) AS d) AS t
   WHERE rank <= {K})"""
 
@@ -161,10 +167,10 @@ def _bucketed(name: str, distance: str, queries: str = "e", objects: str = "o",
               condition: str = "TRUE", by: str = "") -> str:
     return f"""
 {name} AS (
-  SELECT * FROM (
-    SELECT {by}query_id, neighbor_id, distance,
-           row_number() OVER (PARTITION BY {by}query_id ORDER BY distance, neighbor_id) AS rank
-    FROM (SELECT {by}visits.query_id, o.id AS neighbor_id, {_zero(distance)} AS distance
+  SELECT {by}query_id, neighbor_id, rank, {_zero("exact")} AS distance FROM (
+    SELECT {by}query_id, neighbor_id, exact,
+           row_number() OVER (PARTITION BY {by}query_id ORDER BY exact, neighbor_id) AS rank
+    FROM (SELECT {by}visits.query_id, o.id AS neighbor_id, {distance} AS exact
           FROM visits JOIN {objects} AS o USING (path_key)
                JOIN {queries} AS q ON q.id = visits.query_id
                {"JOIN n ON visits.bucket_rank <= n.n_buckets" if by else ""}) AS d) AS t
@@ -174,6 +180,11 @@ def _bucketed(name: str, distance: str, queries: str = "e", objects: str = "o",
 BRUTE_COSINE = f"WITH {E},{_brute('t', 'e', COSINE)} SELECT {NEIGHBORS} FROM t"
 VISITS_TWO = _visits(2, TWO_LEVEL, N_BUCKETS)
 
+
+def _reported(found: DataFrame) -> DataFrame:
+    return found.withColumn("distance", _six("distance"))
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 
@@ -223,9 +234,9 @@ def ground_truth(spark, sf_dir):
 def store_results(spark, sf_dir):
     objects = fx.objects(spark, sf_dir)
     found = knn_brute_force(fx.as_queries(objects), objects, K)
-    return write_neighbors(found, work_dir(spark, "results"), "brute").select(
+    return _reported(write_neighbors(found, work_dir(spark, "results"), "brute").select(
         "query_id", "rank", "neighbor_id", "distance"
-    )
+    ))
 
 
 @_register("row_ids", """
@@ -370,7 +381,7 @@ def assigned(spark, sf_dir):
 
 
 def _order(visits: DataFrame, n_levels: int) -> DataFrame:
-    probs = [_six(F.col("probs")[i]).alias(f"p{i + 1}") for i in range(n_levels)]
+    probs = [_six(F.get("probs", F.lit(i))).alias(f"p{i + 1}") for i in range(n_levels)]
     return visits.select("query_id", "bucket_rank", "path_key", *probs)
 
 
@@ -410,6 +421,43 @@ def nav_order_three_level(spark, sf_dir):
     return _order(navigate(tree.queries, tree.nodes, tree.buckets, 6), 3)
 
 
+@_register("nav_order_four_level", _order_sql(4, FOUR_LEVEL, 6))
+def nav_order_four_level(spark, sf_dir):
+    tree = fx.FixtureTree(spark, sf_dir, 4)
+    return _order(navigate(tree.queries, tree.nodes, tree.buckets, 6), 4)
+
+
+# Even labels are buckets, odd ones go on.
+RAGGED = f"""
+WITH {E},{_level(1)},{_level(2)},
+leaves AS (
+  SELECT query_id, 'b' || c1 AS path_key, c1, NULL AS c2, p1, NULL AS p2 FROM p1 WHERE c1 % 2 = 0
+  UNION ALL
+  SELECT query_id, 'b' || c1 || '_' || c2, c1, c2, p1, p2
+  FROM p1 JOIN p2 USING (query_id, c1) WHERE c1 % 2 = 1),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY least(p1, coalesce(p2, p1)) DESC, p2 DESC NULLS LAST, c1, c2) AS bucket_rank
+  FROM leaves)
+SELECT query_id, bucket_rank, path_key, {_zero("p1")} AS p1, {_zero("p2")} AS p2
+FROM r WHERE bucket_rank <= 8"""
+
+
+@_register("nav_order_ragged", RAGGED)
+def nav_order_ragged(spark, sf_dir):
+    """Buckets that end at different levels, from the scan of whole paths."""
+    tree = fx.FixtureTree(spark, sf_dir, 2, ragged=True)
+    return _order(navigate(tree.queries, tree.nodes, tree.buckets, 8), 2)
+
+
+@_register("nav_order_ragged_joined", RAGGED)
+def nav_order_ragged_joined(spark, sf_dir):
+    """The same from the form for trees too large to broadcast."""
+    tree = fx.FixtureTree(spark, sf_dir, 2, ragged=True)
+    scores = predict_proba(tree.queries, tree.nodes, broadcast_bytes=2_000)
+    return _order(rank_buckets(leaf_probabilities(scores, tree.buckets, 2), 8), 2)
+
+
 @_register("nav_order_joint", _order_sql(2, JOINT, 6))
 def nav_order_joint(spark, sf_dir):
     tree = fx.FixtureTree(spark, sf_dir, 2)
@@ -422,21 +470,51 @@ def nav_order_joint(spark, sf_dir):
 @_register("knn_brute_cosine", BRUTE_COSINE)
 def knn_brute_cosine(spark, sf_dir):
     objects = fx.objects(spark, sf_dir)
-    return knn_brute_force(fx.as_queries(objects), objects, K)
+    return _reported(knn_brute_force(fx.as_queries(objects), objects, K))
 
 
 @_register("knn_brute_inner_product",
            f"WITH {SCALED},{_brute('t', 's', INNER)} SELECT {NEIGHBORS} FROM t")
 def knn_brute_inner_product(spark, sf_dir):
     objects = fx.scaled_objects(spark, sf_dir)
-    return knn_brute_force(fx.as_queries(objects), objects, K, metric="inner_product")
+    return _reported(knn_brute_force(fx.as_queries(objects), objects, K, metric="inner_product"))
 
 
 @_register("knn_brute_grid", BRUTE_COSINE)
 def knn_brute_grid(spark, sf_dir):
-    """The form for query sets too large to broadcast, over small cells."""
+    """The form for query sets too large for one broadcast, over small blocks."""
     objects = fx.objects(spark, sf_dir)
-    return knn_brute_force(fx.as_queries(objects), objects, K, broadcast_bytes=0, cell_rows=256)
+    return _reported(
+        knn_brute_force(fx.as_queries(objects), objects, K, broadcast_bytes=100_000))
+
+
+TINY = """
+s AS (
+  SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 5e-4) AS v
+  FROM embeddings)"""
+
+NEAR = """
+f AS (SELECT CAST(embedding AS DOUBLE[]) AS f FROM embeddings ORDER BY vec_id LIMIT 1),
+s AS (
+  SELECT vec_id AS id,
+         list_transform(list_zip(f.f, CAST(embedding AS DOUBLE[])), lambda x: x[1] + x[2] * 3e-4) AS v
+  FROM embeddings, f)"""
+
+
+@_register("knn_brute_tiny_norms",
+           f"WITH {TINY},{_brute('t', 's', INNER)} SELECT {NEIGHBORS} FROM t")
+def knn_brute_tiny_norms(spark, sf_dir):
+    """All distances are 1 to six decimals; the order is still the exact one."""
+    objects = fx.tiny_objects(spark, sf_dir)
+    return _reported(knn_brute_force(fx.as_queries(objects), objects, K, metric="inner_product"))
+
+
+@_register("knn_brute_near_copies",
+           f"WITH {NEAR},{_brute('t', 's', COSINE)} SELECT {NEIGHBORS} FROM t")
+def knn_brute_near_copies(spark, sf_dir):
+    """All distances are 0 to six decimals; the order is still the exact one."""
+    objects = fx.near_copies(spark, sf_dir)
+    return _reported(knn_brute_force(fx.as_queries(objects), objects, K))
 
 
 @_register("objects_in_buckets", f"""
@@ -460,9 +538,7 @@ def candidates(spark, sf_dir):
 def _fixture_search(tree: fx.FixtureTree, **options) -> DataFrame:
     visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(tree.vectors, tree.assignments)
-    return knn_in_buckets(
-        visits, tree.queries, placed, K, visits_per_query=N_BUCKETS, **options
-    )
+    return _reported(knn_in_buckets(visits, tree.queries, placed, K, **options))
 
 
 BUCKETED = f"WITH {VISITS_TWO}, {PLACED},{_bucketed('t', COSINE)} SELECT {NEIGHBORS} FROM t"
@@ -475,19 +551,41 @@ def knn_bucketed(spark, sf_dir):
 
 @_register("knn_bucketed_grid", BUCKETED)
 def knn_bucketed_grid(spark, sf_dir):
-    """The form for query sets too large to broadcast; hot buckets are cut up."""
-    return _fixture_search(fx.FixtureTree(spark, sf_dir, 2), broadcast_bytes=0, cell_rows=16)
+    """The form for query sets too large for one broadcast."""
+    return _fixture_search(fx.FixtureTree(spark, sf_dir, 2), broadcast_bytes=100_000)
+
+
+def _partial(spark, sf_dir, **options) -> DataFrame:
+    """More visits than queries: each visit once more, for a query that is not there."""
+    tree = fx.FixtureTree(spark, sf_dir, 2)
+    visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS).select(
+        "query_id", "bucket_rank", "path_key")
+    absent = [visits.withColumn("query_id", F.col("query_id") * sign + 1_000_003 * sign)
+              for sign in (1, -1)]
+    visits = visits.unionByName(absent[0]).unionByName(absent[1])
+    placed = attach_paths(tree.vectors, tree.assignments)
+    return _reported(knn_in_buckets(visits, tree.queries, placed, K, **options))
+
+
+@_register("knn_partial_queries", BUCKETED)
+def knn_partial_queries(spark, sf_dir):
+    return _partial(spark, sf_dir)
+
+
+@_register("knn_partial_queries_blocks", BUCKETED)
+def knn_partial_queries_blocks(spark, sf_dir):
+    return _partial(spark, sf_dir, broadcast_bytes=100_000)
 
 
 @_register("knn_single_bucket", f"""
 WITH {VISITS_TWO}, {PLACED},
 t AS (
-  SELECT * FROM (
-    SELECT query_id, bucket_rank, neighbor_id, distance,
+  SELECT query_id, bucket_rank, rank, neighbor_id, {_zero("exact")} AS distance FROM (
+    SELECT query_id, bucket_rank, neighbor_id, exact,
            row_number() OVER (PARTITION BY query_id, bucket_rank
-                              ORDER BY distance, neighbor_id) AS rank
+                              ORDER BY exact, neighbor_id) AS rank
     FROM (SELECT visits.query_id, visits.bucket_rank, o.id AS neighbor_id,
-                 {_zero(COSINE)} AS distance
+                 {COSINE} AS exact
           FROM visits JOIN o USING (path_key) JOIN e AS q ON q.id = visits.query_id) AS d) AS w
   WHERE rank <= {K})
 SELECT query_id, bucket_rank, rank, neighbor_id, distance FROM t""")
@@ -496,10 +594,8 @@ def knn_single_bucket(spark, sf_dir):
     tree = fx.FixtureTree(spark, sf_dir, 2)
     visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(tree.vectors, tree.assignments)
-    found = bucket_candidates(
-        visits, tree.queries, placed, K, per_bucket=True, visits_per_query=N_BUCKETS
-    )
-    return merge_top_k(found, K, "query_id", "bucket_rank")
+    found = bucket_candidates(visits, tree.queries, placed, K, per_bucket=True)
+    return _reported(merge_top_k(found, K, "query_id", "bucket_rank"))
 
 
 @_register("knn_two_space", f"""
@@ -513,10 +609,8 @@ def knn_two_space(spark, sf_dir):
     compared = fx.scaled_objects(spark, sf_dir)
     visits = navigate(tree.queries, tree.nodes, tree.buckets, N_BUCKETS)
     placed = attach_paths(compared, tree.assignments)
-    return knn_in_buckets(
-        visits, fx.as_queries(compared), placed, K, metric="inner_product",
-        visits_per_query=N_BUCKETS,
-    )
+    return _reported(
+        knn_in_buckets(visits, fx.as_queries(compared), placed, K, metric="inner_product"))
 
 
 # --- recall --------------------------------------------------------------------
@@ -549,9 +643,7 @@ def sweep(spark, sf_dir):
     numbers = buckets_to_visit(PERCENTAGES, tree.buckets.count())
     visits = navigate(tree.queries, tree.nodes, tree.buckets, max(numbers))
     placed = attach_paths(tree.vectors, tree.assignments)
-    found = knn_sweep(
-        visits, tree.queries, placed, numbers, K, visits_per_query=max(numbers)
-    )
+    found = knn_sweep(visits, tree.queries, placed, numbers, K)
     truth = knn_brute_force(tree.queries, tree.vectors, K)
     return recall_sweep(found, truth, numbers, K)
 
@@ -569,12 +661,116 @@ def learned_index(spark: SparkSession, sf_dir: str) -> Index:
     return _BUILT[key]
 
 
-@_register("kmeans_partition")
+def _kmeans(spark, sf_dir, name: str) -> DataFrame:
+    """Each row with its cluster, and whether no other centre is nearer."""
+    rows = fx.objects(spark, sf_dir).withColumn("path_key", F.lit("b"))
+    config = BuildConfig(name, 1, "logistic", 0.01, [5])
+    algorithm = config.levels[0].clustering_algorithm
+    centres = fit_centres(rows, {"b": 5}, algorithm.iterations)
+    v = vectors.as_doubles("v")
+    distances = F.array(*(
+        F.aggregate(F.zip_with(v, F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b)),
+                    F.lit(0.0), lambda total, x: total + x)
+        for centre in centres["b"].tolist()
+    ))
+    own = F.element_at(distances, F.col("cluster") + 1)
+    return with_clusters(rows, centres).select(
+        "id", (own <= F.array_min(distances) + 1e-9).alias("nearest"))
+
+
+NEAREST = "SELECT vec_id AS id, TRUE AS nearest FROM embeddings"
+
+
+@_register("kmeans_partition", NEAREST)
 def kmeans_partition(spark, sf_dir):
-    objects = fx.objects(spark, sf_dir)
-    parameters = LEARNED.levels[0]
-    labelled = cluster_rows(objects, parameters, parameters.n_categories, objects.count())
-    return labelled.select("id", "cluster")
+    return _kmeans(spark, sf_dir, "scikit_kmeans")
+
+
+@_register("kmeans_partition_first", NEAREST)
+def kmeans_partition_first(spark, sf_dir):
+    return _kmeans(spark, sf_dir, "faiss_kmeans")
+
+
+@_register("node_requests", """
+SELECT 'b' || label AS path_key, count(*) AS n_rows,
+       CAST(CASE WHEN count(*) < 2 THEN 1
+                 WHEN count(*) < 60 THEN greatest(2, count(*) // 5) ELSE 60 END AS INTEGER)
+         AS n_requested
+FROM embeddings GROUP BY label""")
+def node_requests(spark, sf_dir):
+    """How many classes each node is asked for: fewer where it holds few rows."""
+    return node_sizes(fx.assignments(spark, sf_dir, 1), 60).drop("path")
+
+
+def _labelled(spark, sf_dir):
+    """All embeddings as one node whose clusters are their labels."""
+    rows = fx.embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("v"),
+        F.expr("cast(array() as array<int>)").alias("path"), F.lit("b").alias("path_key"),
+        F.col("label").cast("int").alias("cluster"))
+    sizes = node_sizes(rows, 10)
+    sample = _training_rows(rows, sizes, 50_000).join(rows.select("id", "cluster"), "id")
+    return rows, sizes, sample
+
+
+@_register("model_presets", f"""
+SELECT p.preset, p.hidden || (SELECT count(DISTINCT label) FROM embeddings) AS layers, TRUE AS covered
+FROM (VALUES {", ".join(
+    f"('{name}', '" + "".join(f"{n}," for n in hidden) + "')" for name, hidden in HIDDEN_LAYERS.items())})
+  AS p(preset, hidden)""")
+def model_presets(spark, sf_dir):
+    """Every preset fitted on all embeddings; each predicts every class."""
+    _, sizes, sample = _labelled(spark, sf_dir)
+    out = None
+    for name in HIDDEN_LAYERS:
+        parameters = BuildConfig("scikit_kmeans", 80, name, 0.03, [10]).levels[0]
+        nodes = _fit_nodes(sample, sizes, parameters).select(
+            F.lit(name).alias("preset"),
+            F.concat_ws(",", F.slice("layers", 2, F.size("layers") - 1).cast("array<string>"))
+            .alias("layers"),
+            (F.col("n_predicted") == F.col("n_classes")).alias("covered"))
+        out = nodes if out is None else out.unionByName(nodes)
+    return out
+
+
+@_register("class_weights", "SELECT TRUE AS more_rows, count(*) AS n FROM embeddings")
+def class_weights(spark, sf_dir):
+    """A class with a large weight is predicted for more rows."""
+    rows, sizes, sample = _labelled(spark, sf_dir)
+    counts = []
+    for weights in (None, {0: 200.0}):
+        config = BuildConfig("scikit_kmeans", 20, "logistic", 0.01, [10], class_weights=weights)
+        nodes = _fit_nodes(sample, sizes, config.levels[0])
+        found = predict(rows.select(F.col("id").alias("query_id"), "v"), nodes)
+        counts.append(found.agg(
+            F.count_if(F.col("class") == 0).alias(f"n{len(counts)}"), F.count("*").alias(f"all{len(counts)}")))
+    return counts[0].join(F.broadcast(counts[1])).select(
+        (F.col("n1") > F.col("n0")).alias("more_rows"), F.col("all0").alias("n"))
+
+
+@_register("index_single_level", """
+SELECT count(*) AS n_objects, CAST(1 AS INTEGER) AS n_levels, TRUE AS two_classes FROM embeddings""")
+def index_single_level(spark, sf_dir):
+    """One level, with a registered clustering that knows two clusters only."""
+    halves = ClusteringAlgorithm(lambda k: k_means(2))
+    index = build_index(fx.objects(spark, sf_dir), BuildConfig(halves, 5, "logistic", 0.01, [4]))
+    return index.buckets.agg(
+        F.sum("n_objects").alias("n_objects"), F.max(F.size("path")).alias("n_levels"),
+        (F.count("*") == 2).alias("two_classes"))
+
+
+@_register("index_per_level", """
+SELECT level, n_nodes, asked, covered FROM (VALUES
+  (CAST(0 AS INTEGER), TRUE, CAST(3 AS INTEGER), TRUE), (1, TRUE, 2, TRUE)) AS t(level, n_nodes, asked, covered)""")
+def index_per_level(spark, sf_dir):
+    """Parameters of their own at each level; every node predicts what it was trained with."""
+    config = BuildConfig(
+        ["scikit_kmeans", "faiss_kmeans"], [10, 5], ["MLP-8", "logistic"], [0.01, 0.02], [3, 2])
+    nodes = build_index(fx.objects(spark, sf_dir), config).nodes
+    return nodes.groupBy("level").agg(
+        (F.count("*") <= F.when(F.col("level") == 0, 1).otherwise(3)).alias("n_nodes"),
+        F.max("n_requested").alias("asked"),
+        F.every(F.col("n_predicted") == F.col("n_classes")).alias("covered"))
 
 
 @_register("index_build", """
@@ -609,10 +805,38 @@ def learned_assignment(spark, sf_dir):
     )
 
 
-@_register("learned_search")
+@_register("learned_search", """
+SELECT vec_id AS query_id, TRUE AS inside, TRUE AS complete, TRUE AS right_distance
+FROM embeddings""")
 def learned_search(spark, sf_dir):
+    """Of each query: its neighbours lie in visited buckets, every true neighbour
+    that does was found, and the distances are those of the vectors."""
     index = learned_index(spark, sf_dir)
-    return index.search(fx.as_queries(fx.objects(spark, sf_dir)), N_BUCKETS, K)
+    objects = fx.objects(spark, sf_dir)
+    queries = fx.as_queries(objects)
+    found = settle(index.search(queries, N_BUCKETS, K), "found")
+    truth = knn_brute_force(queries, objects, K)
+    visits = settle(index.bucket_order(queries, N_BUCKETS), "visits").select("query_id", "path_key")
+    homes = index.assignments.select(F.col("id").alias("neighbor_id"), "path_key")
+    hit = F.lit(True)
+
+    def visited(rows):
+        return rows.join(homes, "neighbor_id").join(
+            visits.withColumn("_visited", hit), ["query_id", "path_key"], "left")
+
+    inside = visited(found).groupBy("query_id").agg(
+        F.every(F.coalesce("_visited", F.lit(False))).alias("inside"))
+    reachable = visited(truth).filter("_visited").join(
+        found.select("query_id", "neighbor_id", hit.alias("_found")), ["query_id", "neighbor_id"], "left")
+    complete = reachable.groupBy("query_id").agg(
+        F.every(F.coalesce("_found", F.lit(False))).alias("complete"))
+    pairs = found.join(queries, "query_id").join(
+        objects.select(F.col("id").alias("neighbor_id"), F.col("v").alias("w")), "neighbor_id")
+    right = pairs.groupBy("query_id").agg(
+        F.every(F.abs(F.col("distance") - vectors.cosine_distance("v", "w")) < 1e-9)
+        .alias("right_distance"))
+    return inside.join(complete, "query_id", "left").join(right, "query_id").select(
+        "query_id", "inside", F.coalesce("complete", F.lit(True)).alias("complete"), "right_distance")
 
 
 @_register("learned_search_all_buckets", BRUTE_COSINE)
@@ -620,7 +844,7 @@ def learned_search_all_buckets(spark, sf_dir):
     """Visiting every bucket of a trained index is an exact search."""
     index = learned_index(spark, sf_dir)
     queries = fx.as_queries(fx.objects(spark, sf_dir))
-    return index.search(queries, index.n_buckets, K)
+    return _reported(index.search(queries, index.n_buckets, K))
 
 
 @_register("learned_two_space", f"""
@@ -629,10 +853,10 @@ def learned_two_space(spark, sf_dir):
     """Train and navigate on reduced vectors, compare full ones, all buckets."""
     reduced, full = fx.folded_objects(spark, sf_dir), fx.scaled_objects(spark, sf_dir)
     index = build_index(reduced, LEARNED, search_objects=full)
-    return index.search(
+    return _reported(index.search(
         fx.as_queries(reduced), index.n_buckets, K,
         queries_search=fx.as_queries(full), metric="inner_product",
-    )
+    ))
 
 
 @_register("index_save_load", BRUTE_COSINE)
@@ -640,37 +864,56 @@ def index_save_load(spark, sf_dir):
     folder = work_dir(spark, "saved")
     learned_index(spark, sf_dir).save(folder)
     index = load_index(spark, folder)
-    return index.search(fx.as_queries(fx.objects(spark, sf_dir)), index.n_buckets, K)
+    return _reported(index.search(fx.as_queries(fx.objects(spark, sf_dir)), index.n_buckets, K))
 
 
-@_register("learned_recall_sweep")
+@_register("learned_recall_sweep", """
+SELECT TRUE AS non_decreasing, CAST(1.0 AS DOUBLE) AS recall_at_all, count(*) AS n_queries
+FROM embeddings""")
 def learned_recall_sweep(spark, sf_dir):
+    """Recall grows with the number of buckets and is whole for all of them."""
     index = learned_index(spark, sf_dir)
     objects = fx.objects(spark, sf_dir)
     queries = fx.as_queries(objects)
     numbers = buckets_to_visit(PERCENTAGES, index.n_buckets, [1])
     truth = knn_brute_force(queries, objects, K)
-    return recall_sweep(index.sweep(queries, numbers, K), truth, numbers, K)
-
-
-@_register("run_experiment")
+    swept = recall_sweep(index.sweep(queries, numbers, K), truth, numbers, K)
+    # a row for each number of buckets
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("n_buckets", "recall"))), lambda r: r["recall"])
+    return swept.agg(in_order.alias("r"), F.max("n_queries").alias("n_queries")).select(
+        (F.col("r") == F.array_sort("r")).alias("non_decreasing"),
+        F.element_at("r", -1).alias("recall_at_all"), "n_queries")
+
+
+@_register("run_experiment", f"""
+SELECT 'learned-index' AS algo, 'embeddings' AS data, CAST(n AS INTEGER) AS n_buckets,
+       CAST({K} AS INTEGER) AS k, 'adam' AS solver, CAST(50000 AS INTEGER) AS train_rows,
+       'inner_product' AS metric, 'conditional' AS score, CAST(2023 AS INTEGER) AS seed,
+       TRUE AS timed, TRUE AS measured
+FROM (SELECT unnest([1, 2, 4]) AS n) AS t""")
 def experiment(spark, sf_dir):
     objects = fx.objects(spark, sf_dir)
-    config = ExperimentConfig(LEARNED, n_buckets_perc=PERCENTAGES, data="embeddings")
+    config = ExperimentConfig(LEARNED, n_buckets_perc=(), n_buckets=(1, 2, 4), data="embeddings")
     runs = run_experiment(
         objects, fx.as_queries(objects), config, work_dir(spark, "experiment")
     )
-    return runs.select("algo", "data", "n_buckets", "k", "recall")
+    return runs.select(
+        "algo", "data", "n_buckets", "k", "solver", "train_rows", "metric", "score", "seed",
+        ((F.col("build_s") > 0) & (F.col("sweep_s") > 0) & F.col("query_s").isNull()).alias("timed"),
+        F.col("recall").between(0.01, 1.0).alias("measured"))
 
 
 @_register("run_baseline", f"""
+WITH {SCALED},{_brute('t', 's', INNER)},{_brute('f', 's', COSINE)}
 SELECT 'baseline' AS algo, 'embeddings' AS data, CAST({K} AS INTEGER) AS k,
-       CAST(1.0 AS DOUBLE) AS recall""")
+       count(f.neighbor_id) / (count(DISTINCT t.query_id) * {K}.0) AS recall
+FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.neighbor_id = t.neighbor_id""")
 def baseline(spark, sf_dir):
-    objects = fx.objects(spark, sf_dir)
+    """The cosine search, measured against the neighbours by inner product."""
+    objects = fx.scaled_objects(spark, sf_dir)
     queries = fx.as_queries(objects)
-    config = ExperimentConfig(LEARNED, index_type="baseline", data="embeddings")
-    truth = knn_brute_force(queries, objects, K, broadcast_bytes=0, cell_rows=256)
+    config = ExperimentConfig(LEARNED, index_type="baseline", data="embeddings", normalize=False)
+    truth = knn_brute_force(queries, objects, K, metric="inner_product")
     runs = run_experiment(
         objects, queries, config, work_dir(spark, "baseline"), truth=truth
     )

@@ -19,12 +19,20 @@ RUN_SCHEMA = T.StructType(
         T.StructField("model_types", T.ArrayType(T.StringType())),
         T.StructField("epochs", T.ArrayType(T.IntegerType())),
         T.StructField("lrs", T.ArrayType(T.DoubleType())),
+        T.StructField("solver", T.StringType()),
+        T.StructField("train_rows", T.IntegerType()),
+        T.StructField("seed", T.IntegerType()),
+        T.StructField("metric", T.StringType()),
+        T.StructField("score", T.StringType()),
         T.StructField("normalized", T.BooleanType()),
         T.StructField("n_buckets", T.IntegerType()),
         T.StructField("k", T.IntegerType()),
         T.StructField("build_s", T.DoubleType()),
         T.StructField("cluster_s", T.DoubleType()),
+        # Seconds of a search of its own; a sweep answers several runs at once
+        # and has the seconds of all of them together.
         T.StructField("query_s", T.DoubleType()),
+        T.StructField("sweep_s", T.DoubleType()),
         T.StructField("recall", T.DoubleType()),
     ]
 )
@@ -39,6 +47,12 @@ def write_neighbors(neighbors: DataFrame, folder: str, run_id: str) -> DataFrame
     return neighbors.sparkSession.read.parquet(target)
 
 
+def write_neighbors_of_runs(neighbors: DataFrame, folder: str) -> None:
+    """Store rows of several runs, told apart by ``run_id``, in one write."""
+    neighbors.select("query_id", "rank", "neighbor_id", "distance", "run_id").write.mode("append").partitionBy("run_id").parquet(
+        f"{folder}/{NEIGHBORS}")
+
+
 def read_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{NEIGHBORS}")
 

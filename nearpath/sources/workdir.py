@@ -16,7 +16,8 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # not local-cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="nearpath-")
     return f"{root.rstrip('/')}/nearpath-{label}-{uuid.uuid4().hex}"
@@ -27,3 +28,9 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
     folder = work_dir(rows.sparkSession, label)
     rows.write.parquet(folder)
     return rows.sparkSession.read.parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a table of the working folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,18 +1,12 @@
 """Vector and path functions, ids, sources and sinks."""
 
-import math
-
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nearpath.functions import paths, vectors
-from nearpath.operators.kernel import round_half_up
 from nearpath.sources.results import append_runs, read_neighbors, read_runs, write_neighbors
 from nearpath.sources.vectors import read_ground_truth, read_vectors, with_row_ids
-from nearpath.sources.workdir import work_dir
+from nearpath.sources.workdir import discard, work_dir
 
 
 def one(spark, column):
@@ -70,18 +64,6 @@ def test_path_key_survives_partition_folders(spark):
     assert sorted(r["path_key"] for r in back.collect()) == ["b4", "b4_1", "b4_10"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.floats(-1e6, 1e6))
-def test_rounding_is_decimal_and_positive_zero(x):
-    got = float(round_half_up(np.array([x]), 6)[0])
-    assert abs(got - x) <= 0.5000001e-6 * max(1, abs(x))
-    assert not (got == 0 and math.copysign(1, got) < 0)
-
-
-def test_rounding_of_halves():
-    assert round_half_up(np.array([0.0078125, -0.0078125]), 6).tolist() == [0.007813, -0.007813]
-
-
 def test_row_ids_count_on(spark):
     rows = spark.range(1000).select((999 - F.col("id")).alias("key"), F.lit("x").alias("payload"))
     got = with_row_ids(rows, "key").orderBy("id").collect()
@@ -110,6 +92,12 @@ def test_sources_and_sinks(spark):
 def test_work_dirs_are_new_and_follow_the_session(spark):
     first, second = work_dir(spark, "x"), work_dir(spark, "x")
     assert first != second
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        assert first.startswith(root)
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_tables_can_be_discarded(spark):
+    folder = work_dir(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    discard(spark, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)

@@ -6,11 +6,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nearpath.operators import kernel
-from nearpath.operators.kernel import RunningTopK, nearest, round_half_up
-from nearpath.operators.knn import candidate_counts, knn_brute_force, knn_in_buckets, knn_sweep
+from nearpath.operators.kernel import RunningTopK, nearest
+from nearpath.operators.knn import (
+    candidate_counts, knn_brute_force, knn_in_buckets, knn_sweep, without_self,
+)
 from nearpath.operators.recall import recall_at_k, recall_sweep
 
-GRID = {"broadcast_bytes": 0, "cell_rows": 7}
+BLOCKS = {"broadcast_bytes": 300}
 
 
 def vectors(spark, matrix, name, first=0):
@@ -20,17 +22,17 @@ def vectors(spark, matrix, name, first=0):
 
 def enumerate_pairs(queries, objects, k, metric, reach=None):
     """{query: [(distance, id)]} by looking at every pair."""
+    def unit(x):
+        length = np.sqrt((x * x).sum())
+        return x / length if length and metric == "cosine" else x
+
     found = {}
     for q, x in enumerate(queries):
         pairs = []
         for i, y in enumerate(objects):
             if reach is not None and i not in reach[q]:
                 continue
-            similarity = float(np.dot(x, y))
-            if metric == "cosine":
-                length = float(np.linalg.norm(x) * np.linalg.norm(y))
-                similarity = similarity / length if length else 0.0
-            pairs.append((float(round_half_up(np.array([1 - similarity]), 6)[0]), i))
+            pairs.append((float(1 - (unit(x) * unit(y)).sum()), i))
         found[q] = sorted(pairs)[:k]
     return {q: rows for q, rows in found.items() if rows}
 
@@ -56,7 +58,7 @@ def small():
 
 
 @pytest.mark.parametrize("metric", ["cosine", "inner_product"])
-@pytest.mark.parametrize("options", [{}, GRID])
+@pytest.mark.parametrize("options", [{}, BLOCKS])
 @pytest.mark.parametrize("k", [1, 10, 100])
 def test_brute_force(spark, small, metric, options, k):
     queries, objects = small
@@ -89,7 +91,7 @@ def bucketed(spark, small, n_visits=3):
     return vectors(spark, queries, "query_id"), placed, visits, reach
 
 
-@pytest.mark.parametrize("options", [{}, GRID, {"visits_per_query": 3}])
+@pytest.mark.parametrize("options", [{}, BLOCKS, {"broadcast_bytes": 3000}])
 @pytest.mark.parametrize("k", [1, 4, 30])
 def test_bucketed(spark, small, options, k):
     queries, placed, visits, reach = bucketed(spark, small)
@@ -97,7 +99,7 @@ def test_bucketed(spark, small, options, k):
     assert as_dict(got) == enumerate_pairs(*small, k, "inner_product", reach(3))
 
 
-@pytest.mark.parametrize("options", [{}, GRID])
+@pytest.mark.parametrize("options", [{}, BLOCKS])
 def test_sweep_equals_single_searches(spark, small, options):
     queries, placed, visits, reach = bucketed(spark, small, 6)
     found = knn_sweep(visits, queries, placed, [1, 2, 4, 6], 5, **options).collect()
@@ -115,7 +117,7 @@ def test_many_visited_buckets_use_a_join(spark, small, monkeypatch):
     assert as_dict(got) == enumerate_pairs(*small, 4, "cosine", reach(3))
 
 
-def test_hot_bucket_becomes_many_cells(spark):
+def test_hot_bucket_of_equal_vectors(spark):
     """Nine tenths of the objects share one bucket and one vector."""
     rng = np.random.default_rng(2)
     objects = rng.normal(size=(400, 4))
@@ -124,15 +126,57 @@ def test_hot_bucket_becomes_many_cells(spark):
     placed = spark.createDataFrame(
         [(i, objects[i].tolist(), "b0" if i < 360 else "b1") for i in range(400)],
         "id long, v array<double>, path_key string",
-    )
+    ).repartition(7)
     visits = spark.createDataFrame(
         [(q, r, f"b{r - 1}") for q in range(len(queries)) for r in (1, 2)],
         "query_id long, bucket_rank long, path_key string",
     )
-    got = knn_in_buckets(
-        visits, vectors(spark, queries, "query_id"), placed, 10, broadcast_bytes=0, cell_rows=20
-    )
-    assert as_dict(got) == enumerate_pairs(queries, objects, 10, "cosine")
+    for options in ({}, {"broadcast_bytes": 500}):
+        got = knn_in_buckets(visits, vectors(spark, queries, "query_id"), placed, 10, **options)
+        assert as_dict(got) == enumerate_pairs(queries, objects, 10, "cosine")
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 600}])
+def test_distances_that_differ_behind_the_sixth_decimal(spark, options):
+    rng = np.random.default_rng(6)
+    tiny = rng.normal(size=(200, 8))
+    tiny *= 5e-4 / np.linalg.norm(tiny, axis=1, keepdims=True)
+    near = rng.normal(size=8) + 3e-4 * rng.normal(size=(200, 8))
+    for matrix, metric in ((tiny, "inner_product"), (near, "cosine")):
+        got = knn_brute_force(
+            vectors(spark, matrix, "query_id"), vectors(spark, matrix, "id").repartition(5), 5,
+            metric, **options)
+        got = {q: [i for _, i in rows] for q, rows in as_dict(got).items()}
+        wanted = enumerate_pairs(matrix, matrix, 5, metric)
+        assert got == {q: [i for _, i in rows] for q, rows in wanted.items()}
+        if metric == "cosine":
+            assert all(q in found for q, found in got.items())
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 600}])
+def test_visits_without_their_query_find_nothing(spark, small, options):
+    queries, placed, visits, reach = bucketed(spark, small)
+    some = queries.filter("query_id % 3 = 1")
+    got = as_dict(knn_in_buckets(visits, some, placed, 4, **options))
+    assert got == {q: rows for q, rows in enumerate_pairs(*small, 4, "cosine", reach(3)).items()
+                   if q % 3 == 1}
+    assert knn_in_buckets(visits, queries.filter("query_id > 99"), placed, 4, **options).count() == 0
+
+
+def test_objects_are_not_shuffled(spark, small, capsys):
+    queries, placed, visits, _ = bucketed(spark, small)
+    knn_in_buckets(visits, queries, placed, 4).explain()
+    plan = capsys.readouterr().out
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "Join" not in below
+
+
+def test_without_self(spark, small):
+    queries, objects = small
+    found = knn_brute_force(vectors(spark, objects, "query_id"), vectors(spark, objects, "id"), 4)
+    got = as_dict(without_self(found, 3))
+    for q, rows in enumerate_pairs(objects, objects, 4, "cosine").items():
+        assert got[q] == [r for r in rows if r[1] != q][:3]
 
 
 def test_candidate_counts(spark, small):
@@ -178,19 +222,19 @@ def test_recall(spark):
 @given(st.integers(1, 40), st.integers(1, 12), st.integers(1, 9), st.integers(0, 10_000))
 def test_nearest_does_not_depend_on_the_split(n, k, pieces, seed):
     rng = np.random.default_rng(seed)
-    objects = rng.integers(-1, 2, size=(n, 3)).astype(float)
-    queries = rng.integers(-1, 2, size=(5, 3)).astype(float)
+    objects = rng.integers(-1, 2, size=(n, 3)) / 3.0
+    queries = rng.integers(-1, 2, size=(5, 3)) / 7.0
     ids = rng.permutation(n)
-    whole = RunningTopK(5, k, 6)
-    rows, found, distance = nearest(queries, ids, objects, k, 6)
+    whole = RunningTopK(5, k)
+    rows, found, distance = nearest(queries, ids, objects, k)
     whole.add(rows, found, distance)
-    split = RunningTopK(5, k, 6, limit=20)
+    split = RunningTopK(5, k, limit=20)
     parts = []
     for part in np.array_split(np.arange(n), pieces):
-        split.add(*nearest(queries, ids[part], objects[part], k, 6, split.bounds))
+        split.add(*nearest(queries, ids[part], objects[part], k, split.bounds))
         parts += list(split.settle())
     parts += list(split.finish())
-    merged = RunningTopK(5, k, 6)
+    merged = RunningTopK(5, k)
     for part in parts:
         merged.add(*part)
     for a, b in zip(whole.compact(), merged.compact()):
@@ -200,7 +244,7 @@ def test_nearest_does_not_depend_on_the_split(n, k, pieces, seed):
 def test_small_tiles_give_the_same(monkeypatch):
     rng = np.random.default_rng(3)
     objects, queries = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
-    wanted = nearest(queries, np.arange(50), objects, 5, 6)
+    wanted = nearest(queries, np.arange(50), objects, 5)
     monkeypatch.setattr(kernel, "TILE_CELLS", 60)
-    for a, b in zip(wanted, nearest(queries, np.arange(50), objects, 5, 6)):
+    for a, b in zip(wanted, nearest(queries, np.arange(50), objects, 5)):
         assert a.tolist() == b.tolist()

@@ -20,16 +20,19 @@ LEAVES = "query_id long, path array<int>, path_key string, probs array<double>"
 
 
 def random_tree(rng, depth, width):
-    """{path: probabilities of its children} with every inner path to a depth."""
-    tree, open_paths = {}, [()]
-    for _ in range(depth):
+    """{path: probabilities of its children}, and the leaves, at any depth."""
+    tree, open_paths, leaves = {}, [()], []
+    for level in range(depth):
         grown = []
         for path in open_paths:
+            if level and rng.random() < 0.25:
+                leaves.append(path)
+                continue
             p = rng.random(rng.integers(1, width + 1)) + 1e-3
             tree[path] = p / p.sum()
             grown += [path + (c,) for c in range(len(p))]
         open_paths = grown
-    return tree, open_paths
+    return tree, leaves + open_paths
 
 
 def walk(tree, leaves):
@@ -103,8 +106,8 @@ def test_joint_order_differs_and_ties_fall_to_the_path(spark):
 
 
 def random_nodes(spark, rng, dimension, fan):
-    """A full tree of random nodes; some perceptrons, some logistic, one constant."""
-    nodes = []
+    """Random nodes: perceptrons, logistic and constant ones; paths end at any level."""
+    nodes, ended = [], []
     paths = [()]
     for level, width in enumerate(fan):
         grown = []
@@ -113,6 +116,9 @@ def random_nodes(spark, rng, dimension, fan):
                 nodes.append(Node(path, "constant", [dimension, 1], [], 1))
                 grown.append(path + (0,))
                 continue
+            if level and path[-1] == 1:
+                ended.append(path)
+                continue
             hidden = [6] if len(nodes) % 2 else []
             layers = [dimension, *hidden, width]
             size = sum(a * b + b for a, b in zip(layers, layers[1:]))
@@ -120,6 +126,7 @@ def random_nodes(spark, rng, dimension, fan):
             nodes.append(Node(path, kind, layers, rng.normal(size=size).tolist(), width))
             grown += [path + (c,) for c in range(width)]
         paths = grown
+    paths = sorted(paths + ended)
     frame = spark.createDataFrame([n.row() for n in nodes], score.NODE_SCHEMA)
     buckets = spark.createDataFrame(
         [(list(p), key_of(p)) for p in paths], "path array<int>, path_key string"
@@ -153,17 +160,18 @@ def test_probabilities_sum_to_one_and_are_ranked(tree):
         assert [r["class_rank"] for r in group] == list(range(1, len(group) + 1))
 
 
-def test_grouped_scoring_equals_broadcast_scoring(tree, monkeypatch):
+def test_scoring_in_parts_equals_one_broadcast(tree):
     _, frame, _, _, _, queries = tree
-    monkeypatch.setattr(score, "GROUP_ROWS", 8)
 
     def rows(**options):
         scored = score.predict_proba(queries, frame, **options).collect()
-        return sorted(
-            (r["query_id"], r["parent_key"], r["class"], round(r["prob"], 9)) for r in scored
-        )
+        return sorted((r["query_id"], r["parent_key"], r["class"], r["prob"]) for r in scored)
 
-    assert rows() == rows(broadcast_bytes=0)
+    assert len(score.node_batches(frame, 2000)) > 1
+    assert rows() == rows(broadcast_bytes=2000)
+    best = {(q, k): c for q, k, c, p in sorted(rows(), key=lambda r: (r[3], -r[2]))}
+    got = score.predict(queries, frame, broadcast_bytes=2000).collect()
+    assert {(r["query_id"], r["parent_key"]): r["class"] for r in got} == best
 
 
 def descend(nodes, x):
@@ -206,6 +214,44 @@ def test_pruned_scan_equals_the_joined_levels(tree, monkeypatch, order, n):
     assert len(scanned) == 50 * min(n, len(paths) - 1)
 
 
+@pytest.mark.parametrize("order", ["conditional", "joint"])
+def test_only_reached_nodes_are_scored(order):
+    """A wide tree: few pairs of query and node are scored, and the best leaves found."""
+    rng = np.random.default_rng(12)
+    models, children, paths = {}, {}, []
+    n = 12
+    for path in [()] + [(a,) for a in range(n)] + [(a, b) for a in range(n) for b in range(n)]:
+        models[key_of(path)] = ([6, n], 3 * rng.normal(size=7 * n))
+        ends = [len(paths) + c if len(path) == 2 else -1 for c in range(n)]
+        if len(path) == 2:
+            paths += [path + (c,) for c in range(n)]
+        children[key_of(path)] = (np.arange(n), np.array(ends), [key_of(path + (c,)) for c in range(n)])
+    x = rng.normal(size=(40, 6))
+    rows, columns, probs, scored = score.reach_leaves(x, models, children, 3, order, 3)
+    assert scored < 40 * len(models) / 4
+    for q in range(40):
+        steps = {path: [forward(*models[key_of(path[:i])], x[q : q + 1])[0][path[i]] for i in range(3)]
+                 for path in paths}
+        key = (lambda p: np.prod(p)) if order == "joint" else min
+        wanted = sorted(paths, key=lambda path: -key(steps[path]))[:3]
+        got = {paths[c]: p for r, c, p in zip(rows, columns, probs) if r == q}
+        assert set(wanted) <= set(got)
+        assert all(np.allclose(p, steps[path]) for path, p in got.items())
+
+
+def test_step_down_equals_assignment(tree, monkeypatch):
+    nodes, frame, _, _, matrix, queries = tree
+    objects = queries.withColumnRenamed("query_id", "id")
+    wanted = {r["id"]: r["path_key"] for r in score.assign_paths(objects, frame).collect()}
+    for limit in (1 << 28, 2000):
+        monkeypatch.setattr(score, "NODE_BYTES", limit)
+        placed = objects.select("id", "v", F.expr("cast(array() as array<int>)").alias("path"),
+                                F.lit("b").alias("path_key"))
+        for level in range(3):
+            placed = score.step_down(placed, frame.filter(F.col("level") == level))
+        assert {r["id"]: r["path_key"] for r in placed.collect()} == wanted
+
+
 def test_scan_hands_on_few_rows(tree):
     _, frame, _, buckets, _, queries = tree
     shared = score.share_tree(frame, buckets)
