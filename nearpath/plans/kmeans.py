@@ -73,7 +73,9 @@ def _sums(rows: DataFrame, shared) -> DataFrame:
                     sums[key] = (np.zeros(len(centres), np.int64), np.zeros(centres.shape))
                 n, total = sums[key]
                 n += np.bincount(label, minlength=len(centres))
-                np.add.at(total, label, own)
+                order = np.argsort(label, kind="stable")
+                heads = np.flatnonzero(np.diff(label[order], prepend=-1))
+                total[label[order][heads]] += np.add.reduceat(own[order], heads, axis=0)
         for key, (n, total) in sums.items():
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({
