@@ -27,9 +27,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from nearpath.llm.rows import slices
+from nearpath.llm.rows import input_tasks, slices
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 REQUESTS = "block binary, shard int, payload binary"
 DOCUMENTS = "block binary, payload binary"
@@ -125,8 +125,17 @@ def with_answers(
         ]
         return pa.Table.from_batches(out, schema)
 
+    # as many tasks as the input has, whatever the session's setting
+    tasks = input_tasks(docs)
     return (
-        packed_blocks(docs).groupBy("block")
-        .cogroup(answers.groupBy("block"))
+        packed_blocks(docs).repartition(tasks, "block").groupBy("block")
+        .cogroup(answers.repartition(tasks, "block").groupBy("block"))
         .applyInArrow(run, spark_schema)
     )
+
+
+def by_shard_group(
+    asked: DataFrame, shards: int, answer: Callable[[pa.Table], pa.Table], schema: str
+) -> DataFrame:
+    """``answer`` gets all requests of a shard together."""
+    return asked.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, schema)

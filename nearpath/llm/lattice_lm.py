@@ -188,7 +188,7 @@ def lattice_scores(
         })
 
     asked = settle(exchange.requests(docs, ask), "word-requests")
-    sums = asked.groupBy("shard").applyInArrow(count_pieces, "piece long, n long")
+    sums = exchange.by_shard_group(asked, shards, count_pieces, "piece long, n long")
     # a row for each piece of the vocabulary
     counts = {r["piece"]: r["n"] for r in sums.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS
@@ -241,7 +241,7 @@ def lattice_scores(
             [pa.array(list(column), f.type) for column, f in zip(zip(*out), SCORED)],
             schema=SCORED)
 
-    answers = asked.groupBy("shard").applyInArrow(answer, exchange.REQUESTS)
+    answers = exchange.by_shard_group(asked, shards, answer, exchange.REQUESTS)
     scored = exchange.with_answers(docs, answers, finish, SCORED, spark_schema(SCORED))
     norm = math.log10(n_train + SMOOTHING * (n_distinct + 1))
     return scored.select(

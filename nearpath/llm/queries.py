@@ -40,8 +40,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select(
+    encoded = bpe.encode(
+        documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, with_decoded=True)
+    return encoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
@@ -55,7 +56,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_blank = F.regexp_replace("kept_text", "[\\x20\\x09-\\x0D]+", " ")
-    return repeated_passages(documents(spark, sf_dir)).select(
+    return repeated_passages(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.trim(one_blank), 256).alias("kept_sha256"))
 
 

@@ -6,9 +6,9 @@ side by side mostly share one: about a fifth as many keys as words.
 
 1. Blocks of documents ask key shards which keys occur in two documents.
 2. Stretches of windows with such a key are candidate passages. Each block
-   names its distinct ones with the smallest and largest document holding
-   them; they are summed up per text before anything is grouped, so a passage
-   of a third of all documents is one row a block and then one row.
+   sends its distinct ones, packed, with the smallest and largest document
+   holding them, to the shards of their keys; a passage of a third of all
+   documents is sent once a block.
 3. Each shard confirms the windows found in two documents, compiles them into
    an Aho-Corasick automaton over word numbers, with the smallest document of
    each, and streams its passages through it to locate every occurrence.
@@ -23,9 +23,10 @@ as it is and removes nothing; rows of one id remove nothing from each other.
 from __future__ import annotations
 
 import pickle
+import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
@@ -43,14 +44,16 @@ from nearpath.sources.workdir import work_dir
 
 WINDOW = 13
 RUN = 5
+#: Of the words' hashes: an odd number, and the bytes hashed at once.
+BASE = 0x9E3779B97F4A7C15
+PIECE = 1 << 20
 
 DOCUMENT, PASSAGE, BLOCK = 0, 1, 2
 
 #: One table for what the blocks find: finished documents, passages, and the
 #: documents of a block that hold passages.
 FOUND = pa.schema([
-    ("kind", pa.int32()), ("block", pa.binary()), ("passage", pa.binary()), ("shard", pa.int32()),
-    ("place", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("payload", pa.binary()),
+    ("kind", pa.int32()), ("block", pa.binary()), ("shard", pa.int32()), ("payload", pa.binary()),
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
     ("kept_text", pa.string()), ("rest", pa.string()),
 ])
@@ -77,23 +80,131 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(keys))[: len(first)] - 1
 
 
-def keys_of_block(texts: list[str]) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    words = [text.encode().split() for text in texts]
-    number = defaultdict(count().__next__)
-    codes = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words]
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
-    return words, [window_keys(hashes[c]) for c in codes]
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from running sums of its bytes' powers."""
+    parts = [_word_hashes(text[a:b]) for a, b in _pieces(text)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def asked_keys(keys: list[np.ndarray], shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By shard the distinct keys of a block, and which two of its documents share."""
-    own = [np.unique(k) for k in keys]
-    distinct, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
-    home = (distinct % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(home[order]) != 0)[: len(order)])
-    for part in np.split(order, starts[1:]) if len(order) else []:
-        yield int(home[part[0]]), distinct[part], n[part] > 1
+def _pieces(text: bytes) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about ``PIECE`` bytes that end between words."""
+    start = 0
+    while start < len(text):
+        end = start + PIECE
+        blank = _BLANK.search(text, end) if end < len(text) else None
+        end = blank.start() if blank else len(text)
+        yield start, end
+        start = end
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_IS_BLANK[data]
+    edge = inside[1:] != inside[:-1]
+    bounds = np.flatnonzero(edge)
+    starts, ends = bounds[::2], bounds[1::2]
+    up, down = _powers(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+#: Filled by the task that needs them.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    kept = _POWERS
+    if len(kept[0]) < n + 1:
+        size = max(1 << 16, 1 << (n + 1).bit_length())
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            with np.errstate(over="ignore"):
+                kept[i] = np.cumprod(factors)
+    return kept
+
+
+class Keys:
+    """The runs of windows of a block's documents that share a key."""
+
+    def __init__(self, texts: list[str]):
+        self.first, self.last, keys, owner = [], [], [], []
+        for i, text in enumerate(texts):
+            own = window_keys(word_hashes(text.encode()))
+            first, last = runs(own)
+            self.first.append(first)
+            self.last.append(last)
+            keys.append(own[first])
+            owner.append(np.full(len(first), i))
+        self.owner = np.concatenate(owner or [np.zeros(0, np.int64)])
+        self.keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
+        self.ends = np.cumsum([len(first) for first in self.first])
+
+    def asked(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By shard the distinct keys, and which two of the documents share."""
+        order = np.argsort(self.keys, kind="stable")
+        keys, owner = self.keys[order], self.owner[order]
+        head = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        group = np.cumsum(head) - 1
+        distinct = keys[head]
+        shared = np.zeros(len(distinct), bool)
+        shared[group[owner != owner[head][group]]] = True
+        home = (distinct % np.uint64(shards)).astype(np.int64)
+        by_home = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[by_home])) + 1
+        for part in np.split(by_home, cuts) if len(by_home) else []:
+            yield int(home[part[0]]), distinct[part], shared[part]
+
+
+def shared_windows(
+    codes: list[list[int]], lows: np.ndarray, highs: np.ndarray
+) -> list[tuple[int, int]]:
+    """Passage and place of the windows that, by their hashes, two documents have."""
+    sizes = np.array([len(code) for code in codes])
+    flat = np.fromiter(chain.from_iterable(codes), np.uint64, int(sizes.sum()))
+    if len(flat) < WINDOW:
+        return []
+    with np.errstate(over="ignore"):
+        hashes = mix(rolling(mix(flat + np.uint64(1)), WINDOW))
+    owner = np.repeat(np.arange(len(codes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = np.flatnonzero(place[: len(hashes)] + WINDOW <= sizes[owner[: len(hashes)]])
+    order = whole[np.argsort(hashes[whole], kind="stable")]
+    head = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
+    low = np.minimum.reduceat(lows[owner[order]], head)
+    high = np.maximum.reduceat(highs[owner[order]], head)
+    two = np.repeat(low < high, np.diff(np.append(head, len(order))))
+    return list(zip(owner[order][two].tolist(), place[order][two].tolist()))
+
+
+def pack_passages(own: list[bytes], passages: dict[bytes, list]) -> bytes:
+    """Texts, of which none has a line feed, with the smallest and largest
+    document of each."""
+    held = np.array([[len(own), len(own)], *(passages[passage][2:] for passage in own)], np.int64)
+    return zstandard.compress(held.tobytes() + b"\n".join(own), 3)
+
+
+def unpack_passages(packed: bytes) -> tuple[list[bytes], list[int], list[int]]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    low, high = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(n, 2).T.tolist()
+    return raw[16 * (n + 1):].split(b"\n"), low, high
+
+
+def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    """A batch with these columns; the others are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type)
+         for f in schema], schema=schema)
 
 
 def repeated_passages(
@@ -106,9 +217,10 @@ def repeated_passages(
     """
     docs = id_and_text(docs, id_col, text_col, carry=True)
     shards = input_tasks(docs)
+    passage_shards = 4 * shards
 
     def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        asked = list(asked_keys(keys_of_block(rows.column("text").to_pylist())[1], shards))
+        asked = list(Keys(rows.column("text").to_pylist()).asked(shards))
         for shard, keys, here in asked or [(0, np.zeros(0, np.uint64), np.zeros(0, bool))]:
             yield shard, zstandard.compress(pickle.dumps((keys, np.packbits(here))), 1)
 
@@ -126,76 +238,100 @@ def repeated_passages(
 
     def candidates(rows: pa.Table, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, texts, rests = (rows.column(n).to_pylist() for n in ("doc_id", "text", "rest"))
-        words, keys = keys_of_block(texts)
+        keys = Keys(texts)
         again = [np.zeros(0, np.uint64)]
-        for shard, own, _ in asked_keys(keys, shards):
+        for shard, own, _ in keys.asked(shards):
             bits = np.unpackbits(np.frombuffer(got[shard], np.uint8), count=len(own))
             again.append(own[bits.astype(bool)])
         again = np.sort(np.concatenate(again))
-        out = {name: [] for name in FOUND.names}
-
-        def add(**values) -> None:
-            for name in FOUND.names:
-                out[name].append(values.get(name))
-
+        known = np.zeros(len(keys.keys), bool)
+        if len(again):
+            known = again[np.minimum(np.searchsorted(again, keys.keys), len(again) - 1)] == keys.keys
+        finished, held = [], []
         passages: dict[bytes, list] = {}
-        held = []
-        for doc_id, text, rest, own, key in zip(ids, texts, rests, words, keys):
+        sent: dict[int, list] = {}
+        for i, (doc_id, text, rest) in enumerate(zip(ids, texts, rests)):
+            words = text.encode().split()
+            mine = slice(keys.ends[i] - len(keys.first[i]), keys.ends[i])
+            hits = np.flatnonzero(known[mine])
+            if doc_id is None or not len(hits):
+                finished.append((DOCUMENT, doc_id, len(words), 0, text, rest))
+                continue
             refs = []
-            if doc_id is not None and len(key) and len(again):
-                first, last = runs(key)
-                at = np.minimum(np.searchsorted(again, key[first]), len(again) - 1)
-                known = again[at] == key[first]
-                for a, b in zip(first[known].tolist(), last[known].tolist()):
-                    passage = b" ".join(own[a:b + WINDOW])
-                    name = xxhash.xxh3_128_digest(passage)
-                    seen = passages.setdefault(
-                        name, [len(passages), int(key[a] % np.uint64(shards)), doc_id, doc_id, passage])
-                    seen[2], seen[3] = min(seen[2], doc_id), max(seen[3], doc_id)
-                    refs.append((a, seen[0]))
-            if refs:
-                held.append((doc_id, text, rest, refs))
-            else:
-                add(kind=DOCUMENT, doc_id=doc_id, n_words=len(own), n_removed=0, kept_text=text,
-                    rest=rest)
+            homes = (keys.keys[mine][hits] % np.uint64(passage_shards)).tolist()
+            for a, b, home in zip(keys.first[i][hits].tolist(), keys.last[i][hits].tolist(), homes):
+                passage = b" ".join(words[a:b + WINDOW])
+                seen = passages.get(passage)
+                if seen is None:
+                    own = sent.setdefault(home, [])
+                    seen = passages[passage] = [home, len(own), doc_id, doc_id]
+                    own.append(passage)
+                elif doc_id < seen[2]:
+                    seen[2] = doc_id
+                elif doc_id > seen[3]:
+                    seen[3] = doc_id
+                refs.append((a, seen[0], seen[1]))
+            held.append((doc_id, text, rest, refs))
+        if finished:
+            yield batch(FOUND, dict(zip(
+                ("kind", "doc_id", "n_words", "n_removed", "kept_text", "rest"), zip(*finished))))
         if held:
-            block = xxhash.xxh3_128_digest(b"".join(passages) + pickle.dumps([h[0] for h in held]))
-            add(kind=BLOCK, block=block, payload=zstandard.compress(pickle.dumps(held), 3))
-            for name, (place, shard, low, high, passage) in passages.items():
-                add(kind=PASSAGE, block=block, passage=name, shard=shard, place=place, low=low,
-                    high=high, payload=passage)
-        yield table(FOUND, out)
+            packed = zstandard.compress(pickle.dumps(held), 3)
+            block = xxhash.xxh3_128_digest(packed)
+            yield batch(FOUND, {"kind": [BLOCK], "block": [block], "payload": [packed]})
+            payloads = [pack_passages(own, passages) for own in sent.values()]
+            yield batch(FOUND, {
+                "kind": [PASSAGE] * len(sent), "block": [block] * len(sent), "shard": list(sent),
+                "payload": payloads})
 
     def locate(group: pa.Table) -> pa.Table:
-        names, texts = group.column("passage").to_pylist(), group.column("payload").to_pylist()
-        lows, highs = group.column("low").to_pylist(), group.column("high").to_pylist()
+        index: dict[bytes, int] = {}
+        lows, highs, asked = [], [], []
+        for payload in group.column("payload").to_pylist():
+            own, low, high = unpack_passages(payload)
+            places = []
+            for passage, a, b in zip(own, low, high):
+                at = index.setdefault(passage, len(index))
+                if at == len(lows):
+                    lows.append(a)
+                    highs.append(b)
+                else:
+                    lows[at], highs[at] = min(lows[at], a), max(highs[at], b)
+                places.append(at)
+            asked.append(places)
         number = defaultdict(count().__next__)
-        codes = [tuple(map(number.__getitem__, text.split())) for text in texts]
+        codes = [list(map(number.__getitem__, passage.split())) for passage in index]
         holders: dict[tuple, list[int]] = {}
-        for code, low, high in zip(codes, lows, highs):
-            for i in range(len(code) - WINDOW + 1):
-                seen = holders.setdefault(code[i:i + WINDOW], [low, high])
-                seen[0], seen[1] = min(seen[0], low), max(seen[1], high)
+        chosen = shared_windows(codes, np.array(lows, np.int64), np.array(highs, np.int64))
+        for i, place in chosen:
+            window = tuple(codes[i][place:place + WINDOW])
+            seen = holders.setdefault(window, [lows[i], highs[i]])
+            seen[0], seen[1] = min(seen[0], lows[i]), max(seen[1], highs[i])
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, (low, high) in holders.items():
             if low < high:  # confirmed: two documents
                 automaton.add_word(window, low)
-        out_names, out_places = [], []
+        located: dict[int, np.ndarray] = {}
         if len(automaton):
             automaton.make_automaton()
-            for name, code, high in zip(names, codes, highs):
-                places = [(end - WINDOW + 1, low) for end, low in automaton.iter(code) if low < high]
+            for i in sorted({i for i, _ in chosen}):
+                places = [(end - WINDOW + 1, low) for end, low in automaton.iter(tuple(codes[i]))
+                          if low < highs[i]]
                 if places:
-                    out_names.append(name)
-                    out_places.append(pickle.dumps(np.array(places, np.int64)))
-        return pa.table({"located": pa.array(out_names, pa.binary()),
-                         "places": pa.array(out_places, pa.binary())})
+                    located[i] = np.array(places, np.int64)
+        answers = [
+            zstandard.compress(pickle.dumps(
+                {k: located[at] for k, at in enumerate(places) if at in located}), 1)
+            for places in asked
+        ]
+        return pa.table({"to_block": group.column("block"), "shard": group.column("shard"),
+                         "places": pa.array(answers, pa.binary())})
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
         places = {
-            place: pickle.loads(found)
-            for place, found in zip(right.column("place").to_pylist(),
-                                    right.column("places").to_pylist())
+            home: pickle.loads(zstandard.decompress(found))
+            for home, found in zip(right.column("shard").to_pylist(),
+                                   right.column("places").to_pylist())
         }
         out = {name: [] for name in KEPT.names}
         for payload in left.column("payload").to_pylist():
@@ -203,7 +339,7 @@ def repeated_passages(
                 words = text.encode().split()
                 starts = [
                     at + found[found[:, 1] < doc_id, 0]
-                    for at, place in refs if (found := places.get(place)) is not None
+                    for at, home, place in refs if (found := places[home].get(place)) is not None
                 ]
                 starts = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
                 gone = covered(starts, np.full(len(starts), WINDOW), len(words))
@@ -217,25 +353,20 @@ def repeated_passages(
                     out[name].append(value)
         return pa.Table.from_batches([table(KEPT, out)])
 
-    answers = exchange.requests(docs, ask).groupBy("shard").applyInArrow(recurring, exchange.REQUESTS)
+    answers = exchange.by_shard_group(
+        exchange.requests(docs, ask), shards, recurring, exchange.REQUESTS)
     found = exchange.with_answers(docs, answers, candidates, FOUND, spark_schema(FOUND))
     folder = work_dir(docs.sparkSession, "passages")
     found.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
     found = docs.sparkSession.read.schema(found.schema).parquet(folder)
 
-    passages = found.where(F.col("kind") == PASSAGE)
-    located = (
-        passages.groupBy("passage")
-        .agg(F.first("payload").alias("payload"), F.first("shard").alias("shard"),
-             F.min("low").alias("low"), F.max("high").alias("high"))
-        .groupBy("shard").applyInArrow(locate, "located binary, places binary")
-    )
-    to_blocks = passages.select("passage", "block", "place").join(
-        located, F.col("passage") == F.col("located")
-    ).select(F.col("block").alias("to_block"), "place", "places")
+    located = exchange.by_shard_group(
+        found.where(F.col("kind") == PASSAGE).select("block", "shard", "payload"),
+        passage_shards, locate, "to_block binary, shard int, places binary")
     changed = (
-        found.where(F.col("kind") == BLOCK).select("block", "payload").groupBy("block")
-        .cogroup(to_blocks.groupBy("to_block"))
+        found.where(F.col("kind") == BLOCK).select("block", "payload")
+        .repartition(shards, "block").groupBy("block")
+        .cogroup(located.repartition(shards, "to_block").groupBy("to_block"))
         .applyInArrow(take_out, spark_schema(KEPT))
     )
     return found.where(F.col("kind") == DOCUMENT).select(*KEPT.names).unionByName(changed)

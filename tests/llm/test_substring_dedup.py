@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from nearpath.llm import substring_dedup as dedup
 from nearpath.llm.rows import unpack_rest
 from nearpath.llm.substring_dedup import WINDOW, repeated_passages
 
@@ -60,6 +61,20 @@ def test_two_words_only(make_docs):
     assert result(repeated_passages(make_docs(rows))) == sorted(map(repr, plain(rows)))
 
 
+def test_word_hashes_are_those_of_the_words():
+    text = ("the cat\n the\tthe x " * 400 + "é 中 cat").encode()
+    hashes = dedup.word_hashes(text)
+    words = text.split()
+    assert len(hashes) == len(words)
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+    whole = dedup.PIECE
+    try:
+        dedup.PIECE = 50
+        assert dedup.word_hashes(text).tolist() == hashes.tolist()
+    finally:
+        dedup.PIECE = whole
+
+
 def test_odd_rows_and_other_columns(make_docs, odd_rows):
     docs = make_docs(odd_rows, extra="kept_text rest block kind")
     out = repeated_passages(docs)
