@@ -7,7 +7,7 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpath.llm.jaccard_join import jaccard_classes
@@ -41,15 +41,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class of near copies."""
+    def keyed(rows: DataFrame, key: Column) -> DataFrame:
+        row_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+        return rows.withColumn("_id", row_id).withColumn("_key", key)
+
     classes = jaccard_classes(docs)
     first = (
         classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
-        .select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key"))
     )
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key"))
-    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    first = keyed(first.select("kept.*"), F.col("text_key")).select("_id", "_key")
+    # one shuffle serves the join and the rows that repeat
+    return (
+        keyed(docs, F.xxhash64(F.coalesce("text", F.lit(""))))
+        .join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+        .drop("_id", "_key")
+    )
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
