@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearpath.sources.workdir import settle
+from nearpath.sources.workdir import discard, settle_in
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,17 +17,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and a join, never in one list, so a node may have any number of them. Each
     round is written to the shared folder, which also cuts the lineage.
     """
-    edges = settle(
+    edges, folder = settle_in(
         edges.where(F.col("u") != F.col("v"))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "edges",
     )
     before = None
-    while (now := _state(edges)) != before:
-        before = now
-        if not now[0]:
-            break
-        edges = settle(_small_star(_large_star(edges)), "edges")
+    while (now := _state(edges)) != before and now[0]:
+        before, old = now, folder
+        edges, folder = settle_in(_small_star(_large_star(edges)), "edges")
+        discard(edges.sparkSession, old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
