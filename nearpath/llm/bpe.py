@@ -33,6 +33,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WIDE = re.compile(f"[{SPACE}] [{SPACE}]|^ (?:[{SPACE}]|$)|[{SPACE}] $|\0")
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+ROWS_AT_ONCE = 512
+
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
@@ -50,15 +52,23 @@ def words(text: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+def token_bytes(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    """The bytes of a document's tokens. An id without a token is an error."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(
     docs: DataFrame,
     ranks: dict[bytes, int],
     pattern: str,
+    with_decoded: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id`` and ``ids``, little-endian unsigned 32-bit integers."""
+    """``doc_id`` and ``ids``, little-endian unsigned 32-bit integers. With
+    ``with_decoded`` the ids are decoded again where they are made."""
     docs = id_and_text(docs, id_col, text_col)
+    schema = DECODED if with_decoded else ENCODED
     shards = input_tasks(docs)
 
     def distinct(texts: list[str]) -> dict[int, list[bytes]]:
@@ -95,16 +105,22 @@ def encode(
         known: dict[str, bytes] = {}
         for shard, own in distinct(texts).items():
             known.update(zip(map(bytes.decode, own), exchange.unpack_bytes(got[shard])))
-        out = [b"".join(map(known.__getitem__, words(text))) for text in texts]
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").combine_chunks(), pa.array(out, pa.binary())], schema=ENCODED)
+        tokens = {rank: token for token, rank in ranks.items()}
+        doc_ids = rows.column("doc_id").combine_chunks()
+        for start in range(0, len(texts), ROWS_AT_ONCE):
+            part = slice(start, start + ROWS_AT_ONCE)
+            ids = [b"".join(map(known.__getitem__, words(text))) for text in texts[part]]
+            columns = [doc_ids[part], pa.array(ids, pa.binary())]
+            if with_decoded:
+                columns.append(pa.array([token_bytes(i, tokens) for i in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     answers = (
         exchange.requests(docs, ask)
         .repartition(shards, "shard")
         .mapInArrow(answer, exchange.REQUESTS)
     )
-    return exchange.with_answers(docs, answers, finish, ENCODED, spark_schema(ENCODED))
+    return exchange.with_answers(docs, answers, finish, schema, spark_schema(schema))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -114,10 +130,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in ranks.items()}
         for batch in batches:
-            out = [
-                b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for ids in batch.column("ids").to_pylist()
-            ]
+            out = [token_bytes(ids, tokens) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, pa.binary())], schema=DECODED)
 
