@@ -25,9 +25,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 def settle(rows: DataFrame, label: str) -> DataFrame:
     """Write rows to the working folder and read them back: they are computed once."""
+    return settle_in(rows, label)[0]
+
+
+def settle_in(rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """:func:`settle`, and the folder, for a caller that discards it later."""
     folder = work_dir(rows.sparkSession, label)
     rows.write.parquet(folder)
-    return rows.sparkSession.read.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder), folder
 
 
 def discard(spark: SparkSession, folder: str) -> None:
