@@ -70,7 +70,7 @@ def by_shard(words: Iterable[bytes], shards: int) -> dict[int, list[bytes]]:
 
 def pack_rows(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
     with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
         writer.write_batch(rows)
     return sink.getvalue().to_pybytes()

@@ -136,9 +136,11 @@ class Keys:
     """The runs of windows of a block's documents that share a key."""
 
     def __init__(self, texts: list[str]):
-        self.first, self.last, keys, owner = [], [], [], []
+        self.n_words, self.first, self.last, keys, owner = [], [], [], [], []
         for i, text in enumerate(texts):
-            own = window_keys(word_hashes(text.encode()))
+            hashes = word_hashes(text.encode())
+            self.n_words.append(len(hashes))
+            own = window_keys(hashes)
             first, last = runs(own)
             self.first.append(first)
             self.last.append(last)
@@ -164,6 +166,17 @@ class Keys:
             yield int(home[part[0]]), distinct[part], shared[part]
 
 
+def shorten(keys: np.ndarray) -> bytes:
+    """The upper six bytes of each key: enough to choose candidates by."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def lengthen(short: bytes) -> np.ndarray:
+    out = np.zeros((len(short) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(short, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def shared_windows(
     codes: list[list[int]], lows: np.ndarray, highs: np.ndarray
 ) -> list[tuple[int, int]]:
@@ -222,10 +235,13 @@ def repeated_passages(
     def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         asked = list(Keys(rows.column("text").to_pylist()).asked(shards))
         for shard, keys, here in asked or [(0, np.zeros(0, np.uint64), np.zeros(0, bool))]:
-            yield shard, zstandard.compress(pickle.dumps((keys, np.packbits(here))), 1)
+            yield shard, zstandard.compress(pickle.dumps((shorten(keys), np.packbits(here))), 1)
 
     def recurring(group: pa.Table) -> pa.Table:
-        asked = [pickle.loads(zstandard.decompress(p)) for p in group.column("payload").to_pylist()]
+        asked = [
+            (lengthen(keys), here) for keys, here in (
+                pickle.loads(zstandard.decompress(p)) for p in group.column("payload").to_pylist())
+        ]
         everything = np.concatenate([keys for keys, _ in asked])
         shared = np.concatenate([np.unpackbits(bits, count=len(keys)) for keys, bits in asked])
         _, inverse, n = np.unique(everything, return_inverse=True, return_counts=True)
@@ -251,13 +267,12 @@ def repeated_passages(
         passages: dict[bytes, list] = {}
         sent: dict[int, list] = {}
         for i, (doc_id, text, rest) in enumerate(zip(ids, texts, rests)):
-            words = text.encode().split()
             mine = slice(keys.ends[i] - len(keys.first[i]), keys.ends[i])
             hits = np.flatnonzero(known[mine])
             if doc_id is None or not len(hits):
-                finished.append((DOCUMENT, doc_id, len(words), 0, text, rest))
+                finished.append((DOCUMENT, doc_id, keys.n_words[i], 0, text, rest))
                 continue
-            refs = []
+            words, refs = text.encode().split(), []
             homes = (keys.keys[mine][hits] % np.uint64(passage_shards)).tolist()
             for a, b, home in zip(keys.first[i][hits].tolist(), keys.last[i][hits].tolist(), homes):
                 passage = b" ".join(words[a:b + WINDOW])
