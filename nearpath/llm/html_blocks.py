@@ -6,20 +6,24 @@ import html
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Mark-up, or a stretch of text. What scripts and styles hold is never text.
-TOKEN = re.compile(
+#: Comments, and elements that hold raw text up to their end tag. None is text.
+RAW = (
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|title|textarea|iframe)\b.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-    r"|</?[a-z][^>]*>"
-    r"|[^<]+|<",
-    re.S | re.I,
+    r"|<(script|style|title|textarea|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
 )
+ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+#: Mark-up, or a stretch of text.
+TOKEN = re.compile(
+    RAW + r"|<[!?][^>]*>|</?[a-z]" + ATTRIBUTES + r"|</?[a-z][^>]*>|[^<]+|<", re.S | re.I)
+#: Elements whose inside is mark-up but never text.
+HIDDEN = frozenset(("svg", "template", "noscript"))
+HIDDEN_TAG = re.compile(
+    RAW + r"|<(/?)(svg|template|noscript)(?=[\s/>])" + ATTRIBUTES, re.S | re.I)
 TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
@@ -49,6 +53,38 @@ class Leaf:
     link_chars: int
 
 
+def hidden_ends(page: str) -> dict[int, int]:
+    """Where each closed hidden element starts and ends. A self-closed svg is
+    closed; any other without an end tag hides nothing but its own tag."""
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {name: [] for name in HIDDEN}
+    for match in HIDDEN_TAG.finditer(page):
+        if match.group(3) is None:
+            continue
+        name = match.group(3).lower()
+        if match.group(2):
+            if waiting[name]:
+                ends[waiting[name].pop()] = match.end()
+        elif name != "svg" or not match.group().endswith("/>"):
+            waiting[name].append(match.start())
+    return ends
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """The page's tokens without hidden elements."""
+    at, ends = 0, None
+    while at < len(page):
+        match = TOKEN.match(page, at)
+        at = match.end()
+        tag = TAG.match(match.group()) if match.group()[0] == "<" else None
+        if tag and tag.group(2).lower() in HIDDEN:
+            if ends is None:
+                ends = hidden_ends(page)
+            at = ends.get(match.start(), at)
+            continue
+        yield match
+
+
 def leaves(page: str) -> list[Leaf]:
     """The blocks with text, in page order."""
     out: list[Leaf] = []
@@ -64,7 +100,7 @@ def leaves(page: str) -> list[Leaf]:
         pieces.clear()
         state["links"] = 0
 
-    for match in TOKEN.finditer(page):
+    for match in tokens(page):
         token = match.group()
         if token[0] != "<" or len(token) == 1:
             text = html.unescape(token)

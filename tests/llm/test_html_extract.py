@@ -42,6 +42,22 @@ def test_broken_pages(page):
     leaves(page)
 
 
+@pytest.mark.parametrize("page, wanted", [
+    ("<article><p>a</p><svg/><p>b</p></article>", ["a", "b"]),
+    ('<p>a</p><svg class="x" viewBox="0 0 1 1" /><p>b</p><svg><text>no</text></svg><p>c', ["a", "b", "c"]),
+    ("<p>a</p><svg-icon name=x></svg-icon><title-bar>b</title-bar><template-x>c</template-x><p>d", list("abcd")),
+    ("<p>a</p><svg><p>b</p><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><template><p>b</p>", ["a", "b"]),
+    ("<p>a</p><noscript><p>b</p>", ["a", "b"]),
+    ("<p>a</p><svg><p>b</p><svg><text>no</text></svg><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><template>no<template>no</template>no</template><noscript>no</noscript><p>b", ["a", "b"]),
+    ('<p>a</p><svg><p>b</p><script>"</svg>"</script ><p>c</p>', ["a", "b", "c"]),
+    ("<title>no</title><p>a</p><style>no</style><iframe>no</iframe><textarea>no</textarea><p>b", ["a", "b"]),
+])
+def test_hidden_elements_take_no_text_along(page, wanted):
+    assert [b.text for b in leaves(page)] == wanted
+
+
 def test_gradients():
     model, rng = BiLSTM(5, 4), np.random.default_rng(0)
     model.weights = {k: w.astype(np.float64) for k, w in model.weights.items()}
