@@ -38,20 +38,45 @@ INLINE = frozenset(
 #: Elements that an element of the same kind ends.
 ENDED_BY_SIBLING = frozenset("p li dt dd tr td th option".split())
 
-PATH_SIZE, WORD_SIZE, NUMBERS = 128, 24, 6
-SIZE = PATH_SIZE + WORD_SIZE + NUMBERS
-DEPTH = 8
+#: Buckets of the words of all open elements, of the ``NEAR`` innermost ones
+#: once more, and of the block's words.
+PATH_SIZE, NEAR_SIZE, WORD_SIZE, NUMBERS = 256, 128, 24, 6
+SIZE = PATH_SIZE + NEAR_SIZE + WORD_SIZE + NUMBERS
+NEAR = 4
 KNOWN = 300_000
 
 
+class Place:
+    """An open element that is not inside a line, and through ``parent`` all around it."""
+
+    __slots__ = ("parent", "words", "depth", "marks")
+
+    def __init__(self, parent: Place | None, words: tuple[str, ...]):
+        self.parent, self.words = parent, words
+        self.depth = parent.depth + 1 if parent else 1
+        self.marks: np.ndarray | None = None
+
+    def inwards(self, n: int | None = None) -> list[tuple[str, ...]]:
+        """The words of the ``n`` innermost elements, or of all, outermost first."""
+        out, place = [], self
+        while place and (n is None or len(out) < n):
+            out.append(place.words)
+            place = place.parent
+        return out[::-1]
+
+
 @dataclass
 class Leaf:
-    """A block's text, the elements around it, and how much of it is links."""
+    """A block's text, the innermost element around it, and how much of it is links."""
 
     text: str
-    path: tuple[tuple[str, ...], ...]
+    place: Place | None
     link_chars: int
 
+    @property
+    def path(self) -> tuple[tuple[str, ...], ...]:
+        return tuple(self.place.inwards()) if self.place else ()
+
 
 def hidden_ends(page: str) -> dict[int, int]:
     """Where each closed hidden element starts and ends. A self-closed svg is
@@ -86,20 +111,28 @@ def tokens(page: str) -> Iterator[re.Match]:
 
 
 def leaves(page: str) -> list[Leaf]:
-    """The blocks with text, in page order."""
+    """The blocks with text, in page order. All open elements are kept, however
+    many, so an end tag ends its own element."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Place | None]] = []
+    where: dict[str, list[int]] = {}  # of each name the open elements' places in the stack
+    blocks: list[int] = []  # of those that are not inside a line
     pieces: list[str] = []
     state = {"links": 0, "link": 0}
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
-            path = tuple(words for tag, words in stack if tag not in INLINE)
-            out.append(Leaf(text, path, min(state["links"], len(text))))
+            out.append(Leaf(text, stack[-1][1] if stack else None, min(state["links"], len(text))))
         pieces.clear()
         state["links"] = 0
 
+    def close(at: int) -> None:
+        while len(stack) > at:
+            where[stack.pop()[0]].pop()
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
+
     for match in tokens(page):
         token = match.group()
         if token[0] != "<" or len(token) == 1:
@@ -119,20 +152,18 @@ def leaves(page: str) -> list[Leaf]:
         if name in VOID:
             continue
         if tag.group(1):
-            open_tags = [t for t, _ in stack]
-            if name in open_tags:
-                del stack[len(open_tags) - 1 - open_tags[::-1].index(name):]
+            if where.get(name):
+                close(where[name][-1])
             continue
-        if name in ENDED_BY_SIBLING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if len(stack) < 256:
+        if name in ENDED_BY_SIBLING and blocks and stack[blocks[-1]][0] == name:
+            close(blocks[-1])
+        place = stack[-1][1] if stack else None
+        where.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            blocks.append(len(stack))
             names = NAME_WORD.findall(" ".join(NAMES.findall(token)).lower())
-            stack.append((name, (f"<{name}>", *names[:8])))
+            place = Place(place, (f"<{name}>", *names))
+        stack.append((name, place))
     flush()
     return out
 
@@ -141,32 +172,57 @@ def bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
+def buckets(words: tuple[str, ...], known: dict) -> tuple[list[int], list[int]]:
+    """Where an element's words stand among all open elements, and among the near ones."""
+    found = known.get(words)
+    if found is None:
+        found = known[words] = (
+            [bucket(word, PATH_SIZE) for word in words],
+            [PATH_SIZE + bucket(word, NEAR_SIZE) for word in words])
+    return found
+
+
+def path_marks(place: Place | None, known: dict) -> np.ndarray:
+    """Marks of all open elements, made from those of the nearest element around
+    that has them."""
+    fresh = []
+    while place and place.marks is None:
+        fresh.append(place)
+        place = place.parent
+    marks = place.marks if place else np.zeros(PATH_SIZE, np.float32)
+    if fresh:
+        marks = marks.copy()
+        for inner in fresh:
+            marks[buckets(inner.words, known)[0]] = 1.0
+        fresh[0].marks = marks
+    return marks
+
+
 def vectors(blocks: list[Leaf], known: dict) -> np.ndarray:
     """One row a block: hashed tag path, hashed words, six numbers.
 
-    ``known`` keeps the vectors of paths and the buckets of words seen before.
+    ``known`` keeps the buckets of elements and of words seen before.
     """
     out = np.zeros((len(blocks), SIZE), np.float32)
     if len(known) > KNOWN:
         known.clear()
+    first_word = PATH_SIZE + NEAR_SIZE
     for i, block in enumerate(blocks):
-        path = known.get(block.path)
-        if path is None:
-            path = np.zeros(PATH_SIZE, np.float32)
-            for words in block.path[-DEPTH:]:
-                for word in words:
-                    path[bucket(word, PATH_SIZE)] = 1.0
-            known[block.path] = path
-        out[i, :PATH_SIZE] = path
+        place = block.place
+        if place:
+            out[i, :PATH_SIZE] = path_marks(place, known)
+            for words in place.inwards(NEAR):
+                out[i, buckets(words, known)[1]] = 1.0
         words = block.text[:80].lower().split(" ")[:8]
         for word in words:
-            place = known.get(word)
-            if place is None:
-                place = known[word] = PATH_SIZE + bucket(word, WORD_SIZE)
-            out[i, place] += 0.5 / len(words)
+            at = known.get(word)
+            if at is None:
+                at = known[word] = first_word + bucket(word, WORD_SIZE)
+            out[i, at] += 0.5 / len(words)
         n = len(block.text)
-        out[i, PATH_SIZE + WORD_SIZE:] = (
+        out[i, first_word + WORD_SIZE:] = (
             math.log1p(n) / 8, block.link_chars / n, len(words) / 8,
-            (block.text[-1] in ".!?…") * 1.0, i / len(blocks), len(block.path) / 16,
+            (block.text[-1] in ".!?…") * 1.0, i / len(blocks),
+            math.log1p(place.depth if place else 0) / 4,
         )
     return out

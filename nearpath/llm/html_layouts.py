@@ -24,6 +24,8 @@ REST_NAMES = {
     "comments": ["comments", "comment-list", "comment", "reply", "disqus", "reader-comments"],
     "share": ["share", "social", "tags", "meta", "pagination", "author-box"],
 }
+#: Of containers that stand around any part.
+PLAIN_NAMES = ["", "", "", "wrapper", "container", "row", "col", "inner", "page", "box", "grid", "block"]
 YES, NO = "\x01", "\x02"
 
 
@@ -122,15 +124,30 @@ class Maker:
             name = "content"
         return f"<{tag}{self.attributes(name)}>{''.join(parts)}</{tag}>"
 
+    def nested(self, part: str) -> str:
+        """The part's inside below up to 30 more containers, some never closed."""
+        rng = self.rng
+        if rng.random() < 0.6:
+            return part
+        start, end = part.index(">") + 1, part.rindex("</")
+        n = rng.choice([1, 2, 4, 8, 15, 30])
+        kept = n if rng.random() < 0.9 else rng.randint(0, n)
+        opened = "".join(f"<div{self.attributes(rng.choice(PLAIN_NAMES))}>" for _ in range(n))
+        return part[:start] + opened + part[start:end] + "</div>" * kept + part[end:]
+
     def page(self) -> str:
         rng = self.rng
         before = rng.sample(["nav", "header", "notice", "ad", "form", "aside"], rng.randint(0, 4))
         after = rng.sample(["footer", "comments", "aside", "ad", "form", "share", "notice", "nav"],
                            rng.randint(0, 4))
-        middle = self.article()
+        middle = self.nested(self.article())
         if rng.random() < 0.3:
             middle = f"<div{self.attributes(rng.choice(['page', 'wrapper', 'container', 'row']))}>{middle}"
         comment = f"<!-- {rng.choice(['ad', 'start', 'menu'])} {rng.randint(0, 99)} -->"
-        body = "".join(map(self.rest, before)) + comment + middle + "".join(map(self.rest, after))
+        around = [[self.nested(self.rest(kind)) for kind in kinds] for kinds in (before, after)]
+        body = "".join(around[0]) + comment + middle + "".join(around[1])
+        if rng.random() < 0.3:
+            n = rng.choice([1, 3, 6, 12, 24])
+            body = "".join(f"<div{self.attributes(rng.choice(PLAIN_NAMES))}>" for _ in range(n)) + body
         return (f"<!DOCTYPE html><html><head><title>{self.phrase(1, 6)}</title></head><body>{body}"
                 + ("</body></html>" if rng.random() < 0.8 else ""))

@@ -58,6 +58,27 @@ def test_hidden_elements_take_no_text_along(page, wanted):
     assert [b.text for b in leaves(page)] == wanted
 
 
+def test_whole_path_counts():
+    deep = "<div>" * 20
+    nav, article = (vectors(leaves(f"<{tag}>{deep}<p>one"), {}) for tag in ("nav", "article"))
+    assert not np.array_equal(nav, article)
+    many = " ".join(f"col{chr(97 + i)}" for i in range(12))
+    one, other = (vectors(leaves(f'<div class="{many} {name}">one'), {}) for name in ("comments", "story"))
+    assert not np.array_equal(one, other)
+
+
+def test_elements_left_open():
+    page = "<body><main>" + "<div><font>" * 3000 + "<p>a</p><footer><section>b</section>c</footer><article>d"
+    got = leaves(page)
+    assert [b.text for b in got] == list("abcd")
+    tags = [[words[0] for words in b.path if words[0] != "<div>"] for b in got]
+    assert tags == [["<body>", "<main>", "<p>"], ["<body>", "<main>", "<footer>", "<section>"],
+                    ["<body>", "<main>", "<footer>"], ["<body>", "<main>", "<article>"]]
+    many = leaves("<div>x<font>" * 50_000 + "<p>y</p>" * 50_000)
+    assert len(many) == 100_000 and len(many[-1].path) == 50_001
+    assert vectors(many, {}).shape[0] == 100_000
+
+
 def test_gradients():
     model, rng = BiLSTM(5, 4), np.random.default_rng(0)
     model.weights = {k: w.astype(np.float64) for k, w in model.weights.items()}
@@ -91,6 +112,18 @@ def test_held_out_layouts(model, words):
     assert right / n > 0.97
 
 
+def test_deep_layouts(model, words):
+    maker = Maker(words, 5)
+    deep = "<div>" * 12
+    wrong = 0
+    for _ in range(20):
+        inside, outside = maker.sentences(3, 6), maker.sentences(3, 6)
+        page = (f"<body><article>{deep}<p>{inside}</p>{'</div>' * 12}</article>"
+                f'<div class="comments">{deep}<p>{outside}</p>{"</div>" * 12}</div></body>')
+        wrong += text_of(model, page) != inside
+    assert wrong <= 1
+
+
 def test_pages_of_the_table(spark, sf_dir):
     """The pages' article element, read another way."""
     import html
