@@ -71,6 +71,7 @@ class BiLSTM:
             grad = np.zeros_like(matrix)
             dh = np.zeros((x.shape[1], h_size), np.float32)
             dc = np.zeros_like(dh)
+            deltas = np.zeros((*x.shape[:2], 4 * h_size), x.dtype)
             for t, h, c, i, f, o, g, bent, m in reversed(runs[name][1]):
                 dh = dh + d_states[t][:, k * h_size:(k + 1) * h_size]
                 d_fresh = np.where(m, dc + dh * o * (1 - bent ** 2), 0)
@@ -78,11 +79,12 @@ class BiLSTM:
                     d_fresh * g * i * (1 - i), d_fresh * c * f * (1 - f),
                     np.where(m, dh * bent, 0) * o * (1 - o), d_fresh * i * (1 - g ** 2),
                 ], axis=1)
-                grad[: self.size] += x[t].T @ d_gates
+                deltas[t] = d_gates
                 grad[self.size:-1] += h.T @ d_gates
                 grad[-1] += d_gates.sum(axis=0)
                 dh = np.where(m, 0, dh) + d_gates @ matrix[self.size:-1].T
                 dc = np.where(m, d_fresh * f, dc)
+            grad[: self.size] = x.reshape(-1, self.size).T @ deltas.reshape(-1, 4 * h_size)
             out[name] = grad
         return float(loss), out
 

@@ -27,6 +27,7 @@ HIDDEN_TAG = re.compile(
 TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"\w+")
 
 #: Fixed values of the HTML standard: elements without content, and elements
 #: that stand inside a line of text.
@@ -40,7 +41,7 @@ ENDED_BY_SIBLING = frozenset("p li dt dd tr td th option".split())
 
 #: Buckets of the words of all open elements, of the ``NEAR`` innermost ones
 #: once more, and of the block's words.
-PATH_SIZE, NEAR_SIZE, WORD_SIZE, NUMBERS = 256, 128, 24, 6
+PATH_SIZE, NEAR_SIZE, WORD_SIZE, NUMBERS = 256, 128, 512, 6
 SIZE = PATH_SIZE + NEAR_SIZE + WORD_SIZE + NUMBERS
 NEAR = 4
 KNOWN = 300_000
@@ -199,7 +200,8 @@ def path_marks(place: Place | None, known: dict) -> np.ndarray:
 
 
 def vectors(blocks: list[Leaf], known: dict) -> np.ndarray:
-    """One row a block: hashed tag path, hashed words, six numbers.
+    """One row a block: hashed tag path, counts of all its hashed words as a
+    vector of length 1/2, six numbers.
 
     ``known`` keeps the buckets of elements and of words seen before.
     """
@@ -213,15 +215,18 @@ def vectors(blocks: list[Leaf], known: dict) -> np.ndarray:
             out[i, :PATH_SIZE] = path_marks(place, known)
             for words in place.inwards(NEAR):
                 out[i, buckets(words, known)[1]] = 1.0
-        words = block.text[:80].lower().split(" ")[:8]
+        words, found = WORD.findall(block.text.lower()), []
         for word in words:
             at = known.get(word)
             if at is None:
-                at = known[word] = first_word + bucket(word, WORD_SIZE)
-            out[i, at] += 0.5 / len(words)
+                at = known[word] = bucket(word, WORD_SIZE)
+            found.append(at)
+        if found:
+            counts = np.bincount(found, minlength=WORD_SIZE)
+            out[i, first_word:first_word + WORD_SIZE] = counts / (2 * math.sqrt(counts @ counts))
         n = len(block.text)
         out[i, first_word + WORD_SIZE:] = (
-            math.log1p(n) / 8, block.link_chars / n, len(words) / 8,
+            math.log1p(n) / 8, block.link_chars / n, math.log1p(len(words)) / 8,
             (block.text[-1] in ".!?…") * 1.0, i / len(blocks),
             math.log1p(place.depth if place else 0) / 4,
         )

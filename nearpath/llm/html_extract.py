@@ -1,13 +1,16 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is read as the sequence of its leaf blocks. A bidirectional LSTM sees
-each block's tag path (names of elements and their classes), hashed words and a
-few numbers, and with all blocks before and after it decides whether the block
+each block's tag path (names of elements and their classes), all its words,
+hashed and counted, and a few numbers, and with all blocks before and after it decides whether the block
 is part of the article. The article's blocks are joined in page order.
 
 The labeller is trained when the operator is built: on ``TRAIN_PAGES`` pages
-laid out at random with known parts, whose words come from about
-``WORD_PAGES`` pages of the table. Both bounds are parameters. Everything else
+laid out at random with known parts. Their words come from the first
+``WORD_CHARS`` characters of about ``WORD_PAGES`` pages of the table: where a
+page's marks tell that a block is article, menu, advert and so on, its words
+train the same kind of part. What words cannot tell, the layout has to. The
+bounds of the sample limit only what is learned, never what is extracted. Everything else
 is done page by page in the tasks that read them, without a shuffle.
 
 A null or empty html, or one without article blocks, gives an empty text.
@@ -24,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpath.llm.bilstm import BiLSTM, padded
-from nearpath.llm.html_blocks import SIZE, leaves, vectors
-from nearpath.llm.html_layouts import NO, YES, Maker
+from nearpath.llm.html_blocks import SIZE, Leaf, leaves, vectors
+from nearpath.llm.html_layouts import NO, YES, Maker, PartWords
 from nearpath.llm.rows import spark_schema, table
 
 TRAIN_PAGES = 2000
-WORD_PAGES = 50
+WORD_PAGES = 100
+WORD_CHARS = 100_000
 PAGES_AT_ONCE = 256
 STEPS_AT_ONCE = 1 << 15
+BLOCKS_AT_ONCE = 1 << 14
 
 SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()),
@@ -49,7 +54,7 @@ def made_example(page: str, known: dict) -> tuple[np.ndarray, np.ndarray]:
     return vectors(blocks, known), labels
 
 
-def train(words: list[str], pages: int = TRAIN_PAGES, seed: int = 3) -> BiLSTM:
+def train(words: PartWords | list[str], pages: int = TRAIN_PAGES, seed: int = 3) -> BiLSTM:
     maker, known = Maker(words, seed), {}
     examples = [made_example(maker.page(), known) for _ in range(pages)]
     model = BiLSTM(SIZE)
@@ -71,20 +76,28 @@ def label(model: BiLSTM, sequences: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def sample_words(pages: DataFrame, n: int = WORD_PAGES) -> list[str]:
-    """Words of about ``n`` pages, chosen by the hash of their ids; at most twice
-    as many rows come to the driver, each cut at 20,000 characters."""
+def sample_words(pages: DataFrame, n: int = WORD_PAGES) -> PartWords:
+    """Words of about ``n`` pages by part, chosen by the hash of their ids; at most
+    twice as many rows come to the driver, each cut at ``WORD_CHARS`` characters."""
     place = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30))
     share = n / max(1, pages.count())
     rows = (
         pages.where(place < min(1.0, share) * (1 << 30))
-        .select(F.substring("html", 1, 20_000).alias("html")).limit(2 * n).collect()
+        .select(F.substring("html", 1, WORD_CHARS).alias("html")).limit(2 * n).collect()
     )
-    words: set[str] = set()
-    for row in rows:
-        for block in leaves(row["html"] or ""):
-            words.update(w for w in block.text.split()[:400] if len(w) < 30 and "<" not in w and "&" not in w)
-    return sorted(words)
+    return PartWords(leaves(page) for page in sorted(row["html"] or "" for row in rows))
+
+
+def parts_of(pages: list[str]) -> Iterator[tuple[int, list[list[Leaf]]]]:
+    """The pages' blocks, some pages at a time: no more than ``PAGES_AT_ONCE``, and
+    no more after ``BLOCKS_AT_ONCE`` blocks; with the first page's place."""
+    start, found, n = 0, [], 0
+    for i, page in enumerate(pages):
+        found.append(leaves(page))
+        n += len(found[-1])
+        if len(found) == PAGES_AT_ONCE or n >= BLOCKS_AT_ONCE or i == len(pages) - 1:
+            yield start, found
+            start, found, n = i + 1, [], 0
 
 
 def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
@@ -96,9 +109,8 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
-                part = batch.slice(start, PAGES_AT_ONCE)
-                found = [leaves(page) for page in part.column("html").to_pylist()]
+            for start, found in parts_of(batch.column("html").to_pylist()):
+                part = batch.slice(start, len(found))
                 chosen = label(model, [vectors(blocks, known) for blocks in found])
                 texts = [
                     " ".join(b.text for b, yes in zip(blocks, picks.tolist()) if yes)

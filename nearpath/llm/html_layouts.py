@@ -1,13 +1,20 @@
 """Pages of known parts, made to train the block labeller.
 
 A page is laid out at random from parts that are article and parts that are
-not; texts come from the words of real pages. Each made block carries its
-label as a mark at its start, which is taken off before the page is read.
+not; texts come from the words of real pages, on most pages those that stand in
+the same kind of part there. Each made block carries its label as a mark at its
+start, which is taken off before the page is read.
 """
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
+from collections.abc import Iterable
+from itertools import accumulate
+
+from nearpath.llm.html_blocks import Leaf
 
 #: Usual names of the containers of an article and of the rest.
 ARTICLE = ["article", "main", "section", "div"]
@@ -29,13 +36,77 @@ PLAIN_NAMES = ["", "", "", "wrapper", "container", "row", "col", "inner", "page"
 YES, NO = "\x01", "\x02"
 
 
+#: Elements and class words that tell the kind of part a block of a real page is in.
+TELLING = {f"<{kind}>": kind for kind in ("nav", "header", "footer", "aside", "form")}
+TELLING |= {name: kind for kind, names in REST_NAMES.items() for name in names if name.isalpha()}
+TELLING |= {"<article>": "article", "<main>": "article"}
+TELLING |= {name: "article" for name in ARTICLE_NAMES if name.isalpha()}
+#: A kind's words tell it from the article if, by counts of half of the pages, a
+#: word of the other half is so much likelier (as a logarithm) in its own kind.
+TOLD_APART = 0.3
+
+
+def part_of(block: Leaf) -> str | None:
+    """The kind of the innermost part around the block whose marks tell it."""
+    place = block.place
+    while place:
+        for word in place.words:
+            if word in TELLING:
+                return TELLING[word]
+        place = place.parent
+    return None
+
+
+class PartWords:
+    """How often each word stands in each kind of part of some pages."""
+
+    def __init__(self, pages: Iterable[list[Leaf]] = ()):
+        halves: tuple[dict[str, Counter], dict[str, Counter]] = ({}, {})
+        everything: set[str] = set()
+        for i, blocks in enumerate(pages):
+            for block in blocks:
+                words = [w for w in block.text.split() if len(w) < 30 and "<" not in w and "&" not in w]
+                everything.update(words)
+                kind = part_of(block)
+                if kind:
+                    halves[i % 2].setdefault(kind, Counter()).update(words)
+        self.all = sorted(everything)
+        self.parts: dict[str, Counter] = {}
+        for half in halves:
+            for kind, counts in half.items():
+                self.parts.setdefault(kind, Counter()).update(counts)
+        self.told = {kind for kind in self.parts if kind != "article" and self._told(halves, kind)}
+
+    def _told(self, halves: tuple[dict[str, Counter], dict[str, Counter]], kind: str) -> bool:
+        for one, other in (halves, halves[::-1]):
+            for own, against in ((kind, "article"), ("article", kind)):
+                seen = [one.get(k, Counter()) for k in (own, against)]
+                sizes = [sum(counts.values()) + len(self.all) for counts in seen]
+                fresh = other.get(own, Counter())
+                gain = sum(
+                    n * math.log((seen[0][w] + 1) / sizes[0] * sizes[1] / (seen[1][w] + 1))
+                    for w, n in fresh.items())
+                if gain <= TOLD_APART * sum(fresh.values()):
+                    return False
+        return True
+
+
 class Maker:
-    def __init__(self, words: list[str], seed: int):
-        self.words = words or ["word"]
+    def __init__(self, words: PartWords | list[str], seed: int):
+        known = isinstance(words, PartWords)
+        self.words = (words.all if known else words) or ["word"]
+        self.parts = {
+            kind: (list(counts), list(accumulate(counts.values())))
+            for kind, counts in sorted(words.parts.items()) if counts} if known else {}
+        self.told = words.told if known else set()
+        self.kind, self.own_words = "", False
         self.rng = random.Random(seed)
 
     def phrase(self, low: int, high: int) -> str:
         n = self.rng.randint(low, high)
+        if self.own_words and self.kind in self.parts:
+            words, sums = self.parts[self.kind]
+            return " ".join(self.rng.choices(words, cum_weights=sums, k=n))
         return " ".join(self.rng.choice(self.words) for _ in range(n))
 
     def sentences(self, low: int = 1, high: int = 6) -> str:
@@ -77,6 +148,17 @@ class Maker:
         return f"<div>{mark}{text}</div>"
 
     def rest(self, kind: str) -> str:
+        """A part that is not article; sometimes only its words tell that."""
+        around, self.kind = self.kind, kind
+        if self.own_words and kind in self.told and self.rng.random() < 0.35:
+            made = "".join(f"<p>{NO}{self.phrase(8, 40).capitalize()}.</p>" for _ in range(self.rng.randint(1, 4)))
+            made = f"<div>{made}</div>"
+        else:
+            made = self.marked_rest(kind)
+        self.kind = around
+        return made
+
+    def marked_rest(self, kind: str) -> str:
         rng = self.rng
         name = rng.choice(REST_NAMES[kind])
         plain = kind in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.6
@@ -108,7 +190,7 @@ class Maker:
         return f"<{tag}{attributes}>{body}</{tag}>"
 
     def article(self) -> str:
-        rng = self.rng
+        rng, self.kind = self.rng, "article"
         parts = [f"<h1>{YES}{self.phrase(1, 10)}</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.choice([1, 2, 4, 8, 14])):
             parts.append(self.paragraph(YES))
@@ -122,6 +204,8 @@ class Maker:
             name = ""
         elif not name:
             name = "content"
+        if self.own_words and self.told and rng.random() < 0.25:
+            tag, name = "div", ""  # no mark tells the article either
         return f"<{tag}{self.attributes(name)}>{''.join(parts)}</{tag}>"
 
     def nested(self, part: str) -> str:
@@ -137,6 +221,7 @@ class Maker:
 
     def page(self) -> str:
         rng = self.rng
+        self.own_words = rng.random() < 0.6
         before = rng.sample(["nav", "header", "notice", "ad", "form", "aside"], rng.randint(0, 4))
         after = rng.sample(["footer", "comments", "aside", "ad", "form", "share", "notice", "nav"],
                            rng.randint(0, 4))

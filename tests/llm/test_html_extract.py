@@ -79,6 +79,39 @@ def test_elements_left_open():
     assert vectors(many, {}).shape[0] == 100_000
 
 
+def test_all_words_count():
+    start = "the of and to in is you that it he was for on are as with his they at be this have from "
+    rows = [vectors(leaves(f"<p>{start}{end} end"), {}) for end in ("cookie policy", "policy cookie", "garden hedges")]
+    assert np.array_equal(rows[0], rows[1])
+    assert not np.array_equal(rows[0], rows[2])
+
+
+def test_words_tell_parts_without_marks():
+    """Parts in plain containers, known by the words of pages that mark them."""
+    rng = random.Random(8)
+    said = {kind: [f"{kind}{rng.choice('aeiou')}{chr(97 + i % 26)}{i}" for i in range(60)]
+            for kind in ("art", "ad", "cookie", "reply")}
+    marked = {"art": "<article>{}</article>", "ad": '<div class="ad">{}</div>',
+              "cookie": '<div class="notice">{}</div>', "reply": '<div class="comments">{}</div>'}
+
+    def text(kind):
+        return " ".join(rng.choice(said[kind]) for _ in range(rng.randint(10, 30))).capitalize() + "."
+
+    pages = ["<body>" + "".join(marked[kind].format(f"<p>{text(kind)}</p>") for kind in marked)
+             for _ in range(60)]
+    words = he.PartWords(map(leaves, pages))
+    assert words.told == {"ad", "notice", "comments"}
+    model = he.train(words, 1000)
+    right = 0
+    for _ in range(50):
+        parts = [(kind, text(kind)) for kind in rng.sample(["cookie", "ad"], 2) + ["art", "art", "reply"]]
+        page = "<body>" + "".join(f"<div><p>{t}</p></div>" for _, t in parts)
+        right += text_of(model, page) == " ".join(t for kind, t in parts if kind == "art")
+    assert right >= 45
+    same = [f"<article>{text('art')}</article><div class=ad>{text('art')}</div>" for _ in range(60)]
+    assert not he.PartWords(map(leaves, same)).told
+
+
 def test_gradients():
     model, rng = BiLSTM(5, 4), np.random.default_rng(0)
     model.weights = {k: w.astype(np.float64) for k, w in model.weights.items()}
