@@ -2,8 +2,9 @@
 
 Four independent kinds of evidence add up as logarithms for each language:
 
-- the text: a naive Bayes model of hashed byte trigrams, fitted on at most
-  ``SAMPLE`` labelled documents a language (a documented bound),
+- the text: a naive Bayes model of hashed byte trigrams, fitted on all rows that
+  declare a language, whatever their number; the tasks count, and only the
+  counts by language reach the driver,
 - the language its mark-up declares,
 - the suffix of its address,
 - a prior of its host, smoothed towards its domain's, which is smoothed towards
@@ -37,7 +38,10 @@ from nearpath.llm.rows import spark_schema
 from nearpath.sources.workdir import settle
 
 SAMPLE = 400
-MAX_LANGUAGES = 64
+#: Languages whose counts a task holds before it hands them on, and how many
+#: probabilities are gathered at once.
+LABELS_AT_ONCE = 64
+GATHERED = 1 << 22
 BUCKETS = 1 << 15
 #: Overlapping trigrams repeat each other; a text counts as this share of them.
 INDEPENDENT = 1 / 3
@@ -76,30 +80,73 @@ class TextModel:
     def score(self, text: str) -> tuple[np.ndarray, int]:
         found = trigrams(text)
         total = np.zeros(len(self.languages))
-        for start in range(0, len(found), 1 << 20):
-            total += self.table[found[start:start + (1 << 20)]].sum(axis=0)
+        step = max(1, GATHERED // max(1, len(self.languages)))
+        for start in range(0, len(found), step):
+            total += self.table[found[start:start + step]].sum(axis=0)
         return total, len(found)
 
 
-def fit_text_model(rows: Sequence[tuple[str, str]]) -> TextModel:
-    """From (language, text) pairs."""
-    languages = sorted({language for language, _ in rows})
-    counts = np.full((BUCKETS, max(1, len(languages))), 0.05)
-    for language, text in rows:
-        counts[:, languages.index(language)] += np.bincount(trigrams(text), minlength=BUCKETS)
-    table = np.log(counts / counts.sum(axis=0))
-    own = np.exp(table)
-    usual = (own * table).sum(axis=0)
-    return TextModel(languages, table.astype(np.float32), usual)
+COUNTED = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+
+
+def counted(rows: DataFrame, markup: bool = False) -> DataFrame:
+    """Trigrams of the rows by declared language: ``label, bucket, n``, several
+    rows of a bucket. A language without any trigram has a row of 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for label, counts in held.items():
+                places = np.flatnonzero(counts)
+                places = places if len(places) else np.zeros(1, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * len(places), pa.string()),
+                     pa.array(places.astype(np.int32)), pa.array(counts[places])], schema=COUNTED)
+            held.clear()
+
+        for batch in batches:
+            for label, text in zip(*(batch.column(k).to_pylist() for k in ("declared", "text"))):
+                if label not in held:
+                    if len(held) == LABELS_AT_ONCE:
+                        yield from handed_on()
+                    held[label] = np.zeros(BUCKETS, np.int64)
+                text = text or ""
+                places, n = np.unique(trigrams(MARKUP.sub(" ", text) if markup else text), return_counts=True)
+                held[label][places] += n
+        yield from handed_on()
+
+    declared = rows.where(F.col("declared").isNotNull()).select("declared", "text")
+    return declared.mapInArrow(run, "label string, bucket int, n long")
+
+
+def fit_text_model(counts: DataFrame) -> TextModel:
+    """From ``label, bucket, n``: every label is a language."""
+    found = (
+        counts.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+        .groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
+        .orderBy("label").toArrow()
+    )
+    languages = found.column("label").to_pylist()
+    table = np.zeros((BUCKETS, max(1, len(languages))), np.float32)
+    usual = np.zeros(max(1, len(languages)))
+    for i in range(len(languages)):
+        own = found.column("counts")[i].values
+        dense = np.full(BUCKETS, 0.05)
+        dense[own.field("bucket").to_numpy()] += own.field("n").to_numpy()
+        logs = np.log(dense / dense.sum())
+        table[:, i] = logs
+        usual[i] = (np.exp(logs) * logs).sum()
+    return TextModel(languages, table, usual)
 
 
 def labelled_sample(
     docs: DataFrame, text_col: str, label_col: str, id_col: str, n: int = SAMPLE
 ) -> list[tuple[str, str]]:
-    """About ``n`` documents of each language, at most twice as many, by hash of the id."""
+    """About ``n`` documents of each language, by hash of the id: to look at, as no
+    model is fitted on it. Rows of one id come or stay away together."""
     counts = (
         docs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label"))
-        .count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+        .count().orderBy(F.desc("count"), "label").collect()
     )
     rows = []
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).cast("double") / (1 << 30)
@@ -137,7 +184,8 @@ def score_texts(rows: DataFrame, text_col: str, model: TextModel, markup: bool =
                 n_trigrams.append(n)
                 logs.append(weighted.tolist())
                 shares.append(share.tolist())
-                like.append((total[best] / n - noise) / (model.usual[best] - noise) if n else 0.0)
+                known = model.usual[best] - noise  # 0 for a language without any trigram
+                like.append((total[best] / n - noise) / known if n and known > 1e-9 else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(name) for name in others] + [
                     pa.array(n_trigrams, pa.int64()), pa.array(logs, pa.list_(pa.float64())),
@@ -231,24 +279,34 @@ def page_rows(pages: DataFrame, *keep: str) -> DataFrame:
         F.col("html").alias("text"))
 
 
+def unlabelled(rows: DataFrame) -> DataFrame:
+    """The result where no row declares a language: nothing to learn from."""
+    return rows.drop("text").select(
+        "*", F.lit(0).cast("long").alias("n_trigrams"), F.lit(0.0).alias("like_text"),
+        missing().alias("language"), F.lit(0.0).alias("posterior"),
+        missing().alias("text_language"), F.lit(True).alias("kept"))
+
+
 def identify_documents(
-    docs: DataFrame, *keep: str, sample: int = SAMPLE, wanted: Sequence[str] | None = None
+    docs: DataFrame, *keep: str, wanted: Sequence[str] | None = None
 ) -> DataFrame:
     """Language and verdict of each document, with the columns named in ``keep``."""
-    model = fit_text_model(labelled_sample(docs, "text", "lang", "doc_id", sample))
-    if not model.languages:  # nothing to learn from
-        return document_rows(docs, *keep).drop("text").select(
-            "*", F.lit(0).cast("long").alias("n_trigrams"), F.lit(0.0).alias("like_text"),
-            missing().alias("language"), F.lit(0.0).alias("posterior"),
-            missing().alias("text_language"), F.lit(True).alias("kept"))
-    scored = settle(score_texts(document_rows(docs, *keep), "text", model), "text-evidence")
+    rows = document_rows(docs, *keep)
+    model = fit_text_model(counted(document_rows(docs)))
+    if not model.languages:
+        return unlabelled(rows)
+    scored = settle(score_texts(rows, "text", model), "text-evidence")
     return fuse(scored, model.languages, wanted)
 
 
-def identify(docs: DataFrame, pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents and web pages together: ``doc_id`` or ``page_id`` says which."""
-    model = fit_text_model(labelled_sample(docs, "text", "lang", "doc_id", sample))
-    of_docs = score_texts(document_rows(docs, "doc_id"), "text", model)
-    of_pages = score_texts(page_rows(pages, "page_id"), "text", model, markup=True)
-    scored = settle(of_docs.unionByName(of_pages, allowMissingColumns=True), "text-evidence")
+    of_docs, of_pages = document_rows(docs, "doc_id"), page_rows(pages, "page_id")
+    model = fit_text_model(counted(of_docs).unionByName(counted(of_pages, markup=True)))
+    if not model.languages:
+        return unlabelled(of_docs.unionByName(of_pages, allowMissingColumns=True))
+    scored = settle(
+        score_texts(of_docs, "text", model).unionByName(
+            score_texts(of_pages, "text", model, markup=True), allowMissingColumns=True),
+        "text-evidence")
     return fuse(scored, model.languages)

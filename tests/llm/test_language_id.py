@@ -106,6 +106,30 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert not any(r["kept"] for r in got if r["n_trigrams"] == 0)
 
 
+def test_every_declared_language_is_fitted(spark):
+    """Seventy languages in documents, and one that only pages declare."""
+    def text(i):
+        return f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 40
+
+    docs = spark.createDataFrame(
+        [(i, text(i), f"l{i:02}", "s") for i in range(70)], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame(
+        [(i, None, f'<html lang="{lang}"><p>' + "wxyz vwxy " * 40) for i, lang in enumerate(["zz", "zz", ""])],
+        "page_id long, url string, html string")
+    got = li.identify(docs, pages).collect()
+    assert len(got) == 73
+    assert all(r["language"] == r["declared"] for r in got if r["doc_id"] is not None)
+    assert {r["language"] for r in got if r["page_id"] is not None} == {"zz"}
+
+
+def test_no_language_declared(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s")], "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(2, None, "<html><p>more words")], "page_id long, url string, html string")
+    got = li.identify(docs, pages).collect()
+    assert sorted((r["doc_id"] or 0, r["page_id"] or 0, r["language"], r["kept"]) for r in got) == [
+        (0, 2, None, True), (1, 0, None, True)]
+
+
 def test_sample_is_bounded(spark, tables):
     rows = li.labelled_sample(tables[0], "text", "lang", "doc_id", 20)
     assert len(rows) <= 4 * 45
