@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from nearpath import fixtures as fx  # noqa: E402
-from nearpath.operators.knn import knn_brute_force  # noqa: E402
+from nearpath.operators.knn import candidate_counts, knn_brute_force, without_self  # noqa: E402
 from nearpath.operators.recall import recall_at_k  # noqa: E402
 from nearpath.plans.build import build_index  # noqa: E402
 from nearpath.plans.config import BuildConfig  # noqa: E402
