@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearpath.llm import bpe
+from nearpath.llm import bpe, centroid_clusters
 from nearpath.llm.fingerprint import edited_fingerprints
 from nearpath.llm.html_extract import extract_main_text
 from nearpath.llm.jaccard_join import jaccard_classes
@@ -99,6 +99,52 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages(spark, sf_dir))
 
 
+@register
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    clusters, centroids = centroid_clusters.centroid_clusters(embeddings)
+    digests = spark.createDataFrame(
+        list(enumerate(centroid_clusters.centroid_digests(centroids))),
+        "cluster int, centroid_sha256 string")
+    return clusters.join(F.broadcast(digests), "cluster")  # one row a centroid
+
+
+def _clusters_sql(k: int, rounds: int, dimension: int, scale: int, seed: int) -> str:
+    """Every round as two tables: who is nearest to which centroid, and the centroids."""
+    squared = "list_sum(list_transform(list_zip(w.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    tables = [f"""w AS MATERIALIZED (
+      SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = {dimension}
+        AND len(list_filter(embedding, lambda x: isfinite(x))) = {dimension})""",
+        f"""c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v
+      FROM w WHERE vec_id IS NOT NULL QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        tables.append(f"""a{i} AS MATERIALIZED (
+      SELECT r, min((d, c)) AS best FROM (SELECT r, c.c, CAST({squared} AS BIGINT) AS d FROM w, c{i} AS c)
+      GROUP BY r)""")
+        if i < rounds:
+            tables.append(f"""c{i + 1} AS MATERIALIZED (
+      SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN (
+        SELECT c, list(x ORDER BY i) AS v FROM (
+          SELECT c, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+          FROM (SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i
+                FROM w JOIN a{i} USING (r))
+          GROUP BY c, i) GROUP BY c) AS m ON m.c = c.c)""")
+    return " ".join(f"""WITH {", ".join(tables)}
+    SELECT w.vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+      CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+      CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM w JOIN a{rounds} USING (r) JOIN c{rounds} AS c ON c.c = best[2]""".split())
+
+
+SQL["op12_centroid_clusters"] = _clusters_sql(
+    centroid_clusters.K, centroid_clusters.ROUNDS, centroid_clusters.DIMENSION,
+    centroid_clusters.SCALE, centroid_clusters.SEED)
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
