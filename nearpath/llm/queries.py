@@ -15,6 +15,7 @@ from nearpath.llm.html_extract import extract_main_text
 from nearpath.llm.jaccard_join import jaccard_classes
 from nearpath.llm.language_id import identify
 from nearpath.llm.lattice_lm import lattice_scores
+from nearpath.llm.lexical_search import TOP, lexical_search
 from nearpath.llm.license_scan import license_scan
 from nearpath.llm.packing import pack_documents
 from nearpath.llm.quality_rules import quality_rules
@@ -99,6 +100,40 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages(spark, sf_dir))
 
 
+@register
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search(documents(spark, sf_dir), items).drop("item_number")
+
+
+def _search_sql(k: int) -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = (r"unnest(regexp_extract_all(" + lower +
+             r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))")
+    return " ".join(f"""WITH
+    d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+    b AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+    t AS MATERIALIZED (SELECT r, term, count(*) AS tf
+      FROM (SELECT r, {words.format("text")} AS term FROM d) GROUP BY r, term),
+    q AS MATERIALIZED (SELECT i, term, count(*) AS n
+      FROM (SELECT i, {words.format("text")} AS term FROM b) GROUP BY i, term),
+    s AS MATERIALIZED (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY r),
+    a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM s),
+    m AS (SELECT r, 25 + (75 * n * docs) // terms AS m FROM s, a),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM t, a GROUP BY term, docs),
+    f AS (SELECT i, r, CAST(sum(q.n * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, r)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+      SELECT item_id, doc_id, score, row_number() OVER (
+        PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM f JOIN d USING (r) JOIN b USING (i) WHERE score > 0)
+    WHERE rank <= {k}""".split())
+
+
+SQL["op11_lexical_search"] = _search_sql(TOP)
+
+
 @register
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
