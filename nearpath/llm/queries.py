@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearpath.llm import bpe, centroid_clusters
+from nearpath.llm.byte_dedup import without_repeats
 from nearpath.llm.fingerprint import edited_fingerprints
 from nearpath.llm.html_extract import extract_main_text
 from nearpath.llm.jaccard_join import jaccard_classes
@@ -180,6 +181,13 @@ SQL["op12_centroid_clusters"] = _clusters_sql(
     centroid_clusters.SCALE, centroid_clusters.SEED)
 
 
+@register
+def op13_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
