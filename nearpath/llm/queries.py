@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearpath.llm import bpe, centroid_clusters
-from nearpath.llm.byte_dedup import without_repeats
+from nearpath.llm.byte_dedup import LENGTH, without_repeats
 from nearpath.llm.fingerprint import edited_fingerprints
 from nearpath.llm.html_extract import extract_main_text
 from nearpath.llm.jaccard_join import jaccard_classes
@@ -188,6 +188,32 @@ def op13_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _repeats_sql(length: int) -> str:
+    """All windows, by their digests; the texts as two hexadecimal digits a byte."""
+    return " ".join(f"""WITH
+    d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+      hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS MATERIALIZED (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * length})) AS m
+      FROM (SELECT r, h, unnest(range(len(h) // 2 - {length} + 1)) AS i FROM d)),
+    x AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -{length} - 1) + {length} AS new
+      FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+    s AS (SELECT r, g, min(i) AS a, max(i) + {length} AS b
+      FROM (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS g FROM x)
+      GROUP BY r, g),
+    p AS (SELECT r, g, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY g), 0) AS after FROM s),
+    k AS (SELECT p.r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+        string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY g) AS front
+      FROM p JOIN d USING (r) GROUP BY p.r)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes,
+      CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+      CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+      sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)""".split())
+
+
+SQL["op13_byte_dedup"] = _repeats_sql(LENGTH)
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
