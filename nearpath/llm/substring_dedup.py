@@ -9,13 +9,17 @@ side by side mostly share one: about a fifth as many keys as words.
    sends its distinct ones, packed, with the smallest and largest document
    holding them, to the shards of their keys; a passage of a third of all
    documents is sent once a block.
-3. Each shard confirms the windows found in two documents, compiles them into
-   an Aho-Corasick automaton over word numbers, with the smallest document of
+3. Each shard confirms the phrases found in two documents (a window, or a
+   stretch of windows that only one passage has), compiles them into an
+   Aho-Corasick automaton over word numbers, with the smallest document of
    each, and streams its passages through it to locate every occurrence.
 4. The places go back to the blocks, where words covered by a window of a
    smaller document are taken out.
 
-Keys only choose candidates; windows are compared word by word. White space is
+Keys only choose candidates; windows are compared word by word. A key that more
+than ``HOT`` documents have would bring all their passages to one shard: its
+windows are dealt one by one, by the hash of all their words, so that a five-word
+run in a third of all documents, amid different words, spreads over all shards. White space is
 that of ASCII. Null and empty texts keep no words. A row without an id is left
 as it is and removes nothing; rows of one id remove nothing from each other.
 """
@@ -26,7 +30,7 @@ import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -44,11 +48,13 @@ from nearpath.sources.workdir import work_dir
 
 WINDOW = 13
 RUN = 5
+HOT = 4096
 #: Of the words' hashes: an odd number, and the bytes hashed at once.
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20
 
 DOCUMENT, PASSAGE, BLOCK = 0, 1, 2
+SHARED, CUT = 1, 2
 
 #: One table for what the blocks find: finished documents, passages, and the
 #: documents of a block that hold passages.
@@ -151,19 +157,19 @@ class Keys:
         self.ends = np.cumsum([len(first) for first in self.first])
 
     def asked(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """By shard the distinct keys, and which two of the documents share."""
-        order = np.argsort(self.keys, kind="stable")
+        """By shard the distinct keys, and how many documents have each (255: or more)."""
+        order = np.argsort(self.keys, kind="stable")  # owners ascend within a key
         keys, owner = self.keys[order], self.owner[order]
         head = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-        group = np.cumsum(head) - 1
+        another = head | np.append(True, owner[1:] != owner[:-1])[: len(keys)]
         distinct = keys[head]
-        shared = np.zeros(len(distinct), bool)
-        shared[group[owner != owner[head][group]]] = True
+        n = np.bincount(np.cumsum(head) - 1, another, len(distinct))
+        n = np.minimum(n, 255).astype(np.uint8)
         home = (distinct % np.uint64(shards)).astype(np.int64)
         by_home = np.argsort(home, kind="stable")
         cuts = np.flatnonzero(np.diff(home[by_home])) + 1
         for part in np.split(by_home, cuts) if len(by_home) else []:
-            yield int(home[part[0]]), distinct[part], shared[part]
+            yield int(home[part[0]]), distinct[part], n[part]
 
 
 def shorten(keys: np.ndarray) -> bytes:
@@ -177,25 +183,45 @@ def lengthen(short: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def shared_windows(
-    codes: list[list[int]], lows: np.ndarray, highs: np.ndarray
-) -> list[tuple[int, int]]:
-    """Passage and place of the windows that, by their hashes, two documents have."""
-    sizes = np.array([len(code) for code in codes])
-    flat = np.fromiter(chain.from_iterable(codes), np.uint64, int(sizes.sum()))
-    if len(flat) < WINDOW:
-        return []
-    with np.errstate(over="ignore"):
-        hashes = mix(rolling(mix(flat + np.uint64(1)), WINDOW))
-    owner = np.repeat(np.arange(len(codes)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = np.flatnonzero(place[: len(hashes)] + WINDOW <= sizes[owner[: len(hashes)]])
-    order = whole[np.argsort(hashes[whole], kind="stable")]
-    head = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0))
-    low = np.minimum.reduceat(lows[owner[order]], head)
-    high = np.maximum.reduceat(highs[owner[order]], head)
-    two = np.repeat(low < high, np.diff(np.append(head, len(order))))
-    return list(zip(owner[order][two].tolist(), place[order][two].tolist()))
+class Phrases:
+    """What the passages of a shard have in common, by the hashes of their words.
+
+    ``windows`` are the passage and place of windows that several passages hold,
+    two documents together; ``stretches`` the passage, first and last place of
+    neighbouring windows that no other passage holds, of passages in two documents.
+    """
+
+    def __init__(self, passages: list[bytes], lows: np.ndarray, highs: np.ndarray):
+        words = word_hashes(b"\n".join(passages))
+        sizes = words_in(passages)
+        self.windows, self.stretches = [], []
+        if len(words) < WINDOW:
+            return
+        with np.errstate(over="ignore"):
+            hashes = mix(rolling(words, WINDOW))
+        owner = np.repeat(np.arange(len(passages)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole = np.flatnonzero(place[: len(hashes)] + WINDOW <= sizes[owner[: len(hashes)]])
+        order = whole[np.argsort(hashes[whole])]
+        head = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0)[: len(order)])
+        if not len(head):
+            return
+        own = owner[order]
+        single = np.minimum.reduceat(own, head) == np.maximum.reduceat(own, head)
+        two = np.minimum.reduceat(lows[own], head) < np.maximum.reduceat(highs[own], head)
+        n = np.diff(np.append(head, len(order)))
+        mixed = np.repeat(two & ~single, n)
+        self.windows = list(zip(own[mixed].tolist(), place[order][mixed].tolist()))
+        alone = np.sort(order[np.repeat(two & single, n)])
+        first = np.append(True, (np.diff(alone) != 1) | (np.diff(owner[alone]) != 0))[: len(alone)]
+        last = np.append(first[1:], True)[: len(alone)]
+        self.stretches = list(zip(owner[alone[first]].tolist(), place[alone[first]].tolist(),
+                                  place[alone[last]].tolist()))
+
+
+def words_in(passages: list[bytes]) -> np.ndarray:
+    """Words of each passage; blanks stand singly between them."""
+    return np.fromiter((p.count(b" ") + 1 for p in passages), np.int64, len(passages))
 
 
 def pack_passages(own: list[bytes], passages: dict[bytes, list]) -> bytes:
@@ -234,58 +260,71 @@ def repeated_passages(
 
     def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         asked = list(Keys(rows.column("text").to_pylist()).asked(shards))
-        for shard, keys, here in asked or [(0, np.zeros(0, np.uint64), np.zeros(0, bool))]:
-            yield shard, zstandard.compress(pickle.dumps((shorten(keys), np.packbits(here))), 1)
+        for shard, keys, n in asked or [(0, np.zeros(0, np.uint64), np.zeros(0, np.uint8))]:
+            yield shard, zstandard.compress(shorten(keys) + n.tobytes(), 1)
+
+    def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw = zstandard.decompress(payload)
+        n = len(raw) // 7
+        return lengthen(raw[: 6 * n]), np.frombuffer(raw, np.uint8, n, 6 * n)
 
     def recurring(group: pa.Table) -> pa.Table:
-        asked = [
-            (lengthen(keys), here) for keys, here in (
-                pickle.loads(zstandard.decompress(p)) for p in group.column("payload").to_pylist())
-        ]
+        asked = [unpack(p) for p in group.column("payload").to_pylist()]
         everything = np.concatenate([keys for keys, _ in asked])
-        shared = np.concatenate([np.unpackbits(bits, count=len(keys)) for keys, bits in asked])
-        _, inverse, n = np.unique(everything, return_inverse=True, return_counts=True)
-        again = (n > 1) | (np.bincount(inverse, shared, len(n)) > 0)
-        parts = np.split(again[inverse], np.cumsum([len(keys) for keys, _ in asked])[:-1])
+        _, inverse = np.unique(everything, return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([n for _, n in asked]))
+        flags = np.where(total > HOT, CUT, np.where(total > 1, SHARED, 0)).astype(np.uint8)
+        parts = np.split(flags[inverse], np.cumsum([len(keys) for keys, _ in asked])[:-1])
         return pa.table({
             "block": group.column("block"), "shard": group.column("shard"),
-            "payload": pa.array([np.packbits(part).tobytes() for part in parts], pa.binary()),
+            "payload": pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary()),
         })
 
     def candidates(rows: pa.Table, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, texts, rests = (rows.column(n).to_pylist() for n in ("doc_id", "text", "rest"))
         keys = Keys(texts)
-        again = [np.zeros(0, np.uint64)]
+        asked, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for shard, own, _ in keys.asked(shards):
-            bits = np.unpackbits(np.frombuffer(got[shard], np.uint8), count=len(own))
-            again.append(own[bits.astype(bool)])
-        again = np.sort(np.concatenate(again))
-        known = np.zeros(len(keys.keys), bool)
-        if len(again):
-            known = again[np.minimum(np.searchsorted(again, keys.keys), len(again) - 1)] == keys.keys
+            asked.append(own)
+            flags.append(np.frombuffer(zstandard.decompress(got[shard]), np.uint8))
+        asked, flags = np.concatenate(asked), np.concatenate(flags)
+        if len(asked):
+            order = np.argsort(asked)
+            flags = flags[order][np.searchsorted(asked[order], keys.keys)]
         finished, held = [], []
         passages: dict[bytes, list] = {}
         sent: dict[int, list] = {}
+
+        def ref(passage: bytes, home: int, doc_id: int) -> tuple[int, int]:
+            """Shard and number of a passage that goes there with its documents."""
+            seen = passages.get(passage)
+            if seen is None:
+                own = sent.setdefault(home, [])
+                seen = passages[passage] = [home, len(own), doc_id, doc_id]
+                own.append(passage)
+            elif doc_id < seen[2]:
+                seen[2] = doc_id
+            elif doc_id > seen[3]:
+                seen[3] = doc_id
+            return seen[0], seen[1]
+
         for i, (doc_id, text, rest) in enumerate(zip(ids, texts, rests)):
             mine = slice(keys.ends[i] - len(keys.first[i]), keys.ends[i])
-            hits = np.flatnonzero(known[mine])
+            hits = np.flatnonzero(flags[mine])
             if doc_id is None or not len(hits):
                 finished.append((DOCUMENT, doc_id, keys.n_words[i], 0, text, rest))
                 continue
             words, refs = text.encode().split(), []
             homes = (keys.keys[mine][hits] % np.uint64(passage_shards)).tolist()
-            for a, b, home in zip(keys.first[i][hits].tolist(), keys.last[i][hits].tolist(), homes):
-                passage = b" ".join(words[a:b + WINDOW])
-                seen = passages.get(passage)
-                if seen is None:
-                    own = sent.setdefault(home, [])
-                    seen = passages[passage] = [home, len(own), doc_id, doc_id]
-                    own.append(passage)
-                elif doc_id < seen[2]:
-                    seen[2] = doc_id
-                elif doc_id > seen[3]:
-                    seen[3] = doc_id
-                refs.append((a, seen[0], seen[1]))
+            for a, b, home, flag in zip(keys.first[i][hits].tolist(), keys.last[i][hits].tolist(),
+                                        homes, flags[mine][hits].tolist()):
+                if flag == SHARED:
+                    refs.append((a, *ref(b" ".join(words[a:b + WINDOW]), home, doc_id)))
+                    continue
+                for place in range(a, b + 1):
+                    window = b" ".join(words[place:place + WINDOW])
+                    home = xxhash.xxh3_64_intdigest(window) % passage_shards
+                    refs.append((place, *ref(window, home, doc_id)))
             held.append((doc_id, text, rest, refs))
         if finished:
             yield batch(FOUND, dict(zip(
@@ -314,23 +353,29 @@ def repeated_passages(
                     lows[at], highs[at] = min(lows[at], a), max(highs[at], b)
                 places.append(at)
             asked.append(places)
+        everything = list(index)
+        phrases = Phrases(everything, np.array(lows, np.int64), np.array(highs, np.int64))
         number = defaultdict(count().__next__)
-        codes = [list(map(number.__getitem__, passage.split())) for passage in index]
+        codes = {
+            i: tuple(map(number.__getitem__, everything[i].split()))
+            for i in sorted({i for i, _ in phrases.windows} | {i for i, _, _ in phrases.stretches})
+        }
         holders: dict[tuple, list[int]] = {}
-        chosen = shared_windows(codes, np.array(lows, np.int64), np.array(highs, np.int64))
-        for i, place in chosen:
-            window = tuple(codes[i][place:place + WINDOW])
+        for i, place in phrases.windows:
+            window = codes[i][place:place + WINDOW]
             seen = holders.setdefault(window, [lows[i], highs[i]])
             seen[0], seen[1] = min(seen[0], lows[i]), max(seen[1], highs[i])
+        for i, first, last in phrases.stretches:
+            holders[codes[i][first:last + WINDOW]] = [lows[i], highs[i]]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, (low, high) in holders.items():
+        for phrase, (low, high) in holders.items():
             if low < high:  # confirmed: two documents
-                automaton.add_word(window, low)
+                automaton.add_word(phrase, (len(phrase), low))
         located: dict[int, np.ndarray] = {}
         if len(automaton):
             automaton.make_automaton()
-            for i in sorted({i for i, _ in chosen}):
-                places = [(end - WINDOW + 1, low) for end, low in automaton.iter(tuple(codes[i]))
+            for i, own in codes.items():
+                places = [(end - n + 1, end + 1, low) for end, (n, low) in automaton.iter(own)
                           if low < highs[i]]
                 if places:
                     located[i] = np.array(places, np.int64)
@@ -352,17 +397,17 @@ def repeated_passages(
         for payload in left.column("payload").to_pylist():
             for doc_id, text, rest, refs in pickle.loads(zstandard.decompress(payload)):
                 words = text.encode().split()
-                starts = [
-                    at + found[found[:, 1] < doc_id, 0]
+                spans = [
+                    at + found[found[:, 2] < doc_id, :2]
                     for at, home, place in refs if (found := places[home].get(place)) is not None
                 ]
-                starts = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-                gone = covered(starts, np.full(len(starts), WINDOW), len(words))
+                spans = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+                gone = covered(spans[:, 0], spans[:, 1] - spans[:, 0], len(words))
                 kept = [word for word, off in zip(words, gone.tolist()) if not off]
                 for name, value in (
                     ("doc_id", doc_id), ("n_words", len(words)),
                     ("n_removed", len(words) - len(kept)),
-                    ("kept_text", b" ".join(kept).decode() if len(starts) else text),
+                    ("kept_text", b" ".join(kept).decode() if len(spans) else text),
                     ("rest", rest),
                 ):
                     out[name].append(value)

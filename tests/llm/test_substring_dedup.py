@@ -55,6 +55,18 @@ def test_random_documents(make_docs, seed):
     assert result(repeated_passages(make_docs(rows))) == sorted(map(repr, plain(rows)))
 
 
+def test_one_run_in_all_documents_amid_different_words(make_docs, monkeypatch):
+    """A hot key is dealt by whole windows; no shard gets the passages of all."""
+    monkeypatch.setattr(dedup, "HOT", 10)
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"v{rng.randint(0, 5000)}" for _ in range(n))
+    hot = "these five words are everywhere"
+    rows = [(i, f"{words(20)} {hot} {words(20)}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1][rows[i][1].index(hot) - 30:] + " " + words(3)) for i in range(20)]
+    rows += [(2000 + i, rows[5][1]) for i in range(30)]
+    assert result(repeated_passages(make_docs(rows))) == sorted(map(repr, plain(rows)))
+
+
 def test_two_words_only(make_docs):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice("ab") for _ in range(60))) for i in range(12)]
