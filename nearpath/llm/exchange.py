@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from nearpath.llm.rows import input_tasks, slices
 
@@ -111,10 +112,11 @@ def with_answers(
     docs: DataFrame,
     answers: DataFrame,
     finish: Callable[[pa.Table, dict[int, bytes]], Iterator[pa.RecordBatch]],
-    schema: pa.Schema,
-    spark_schema: str,
+    schema: pa.Schema | None,
+    spark_schema: str | StructType,
 ) -> DataFrame:
-    """``finish`` gets the rows of a block and the answers by shard."""
+    """``finish`` gets the rows of a block and the answers by shard. ``schema`` may
+    be left out if it gives at least one batch a block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist()))

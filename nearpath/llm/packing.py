@@ -31,13 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from nearpath.llm.rows import id_and_text, spark_schema, table
+from nearpath.llm.rows import id_and_text, slices, spark_schema, table
 
 LENGTH = 2048
 END_ID = 1
 STRIDE = 256
-LINE_TOKENS = 1 << 21
-CACHE_WORDS = 1 << 20
+LINE_TOKENS = 1 << 20
+#: Bytes of words and ids that are remembered: twice this at most.
+CACHE_BYTES = 48 << 20
+#: What a remembered word takes beside its bytes and ids.
+ENTRY_BYTES = 150
+SLICE_BYTES = 1 << 20
 SMALLEST_POWER = 64
 #: What a cut costs, in tokens of padding.
 IN_SENTENCE, AFTER_SENTENCE, AFTER_DOCUMENT = 64, 8, 0
@@ -97,6 +101,8 @@ class WordEncoder:
         self.exact = Tokenizer.from_str(vocabulary)
         self.merges = self._merges()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.room = CACHE_BYTES
         self.end = np.uint32(end_id).tobytes()
 
     #: Letters that are their own composed form, with one lower-case letter each.
@@ -131,11 +137,12 @@ class WordEncoder:
             return [b""], [np.array(self.exact.encode(text, add_special_tokens=False).ids,
                                     "<u4").tobytes()]
         words = text.encode().split()
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if self.room < 0:  # words not met since the last time are forgotten
+            self.known, self.older, self.room = {}, self.known, CACHE_BYTES
+        known, older = self.known, self.older
         for word in set(words).difference(known):
-            known[word] = self.word(word)
+            ids = known[word] = older.get(word) or self.word(word)
+            self.room -= len(word) + len(ids) + ENTRY_BYTES
         return words, list(map(known.__getitem__, words))
 
 
@@ -234,14 +241,15 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(vocabulary, end_id)
         line, sequence = Line(length), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for part in (part for batch in batches for part in slices(batch, "text", SLICE_BYTES)):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words, ids = encoder.words(text)
                 line.add(doc_id, b"".join(ids) + encoder.end, sentence_ends(words, ids))
                 if line.tokens >= LINE_TOKENS:
                     out, n = line.pack(sequence, schema)
                     line, sequence = Line(length), sequence + n
                     yield table(schema, out)
+                    del out
         if line.documents:
             yield table(schema, line.pack(sequence, schema)[0])
 

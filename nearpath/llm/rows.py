@@ -9,34 +9,52 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 
 def id_and_text(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
 ) -> DataFrame:
     """Only ``doc_id`` and ``text``: other columns, whatever their names, stay out.
-    A null text is an empty one. ``carry`` packs the whole row but its text into
-    ``rest``, for an operator that gives all columns back."""
+    A null text is an empty one. ``carry`` holds the whole row but its text in the
+    struct ``rest``, for an operator that gives all columns back."""
     columns = [
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ]
     if carry:
         others = [F.col(f"`{name}`") for name in docs.columns if name != text_col]
-        columns.append(F.to_json(F.struct(*others)).alias("rest"))
+        columns.append(F.struct(*others).alias("rest"))
     return docs.select(*columns)
 
 
 def unpack_rest(rows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` of ``text`` and ``rest`` with the columns of ``docs`` again."""
-    others = StructType([f for f in docs.schema if f.name != text_col])
-    return rows.withColumn("rest", F.from_json("rest", others)).select(*(
+    return rows.select(*(
         F.col("text").alias(name) if name == text_col else F.col(f"rest.`{name}`").alias(name)
         for name in docs.columns
     ))
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere: what rows that went through Arrow have."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
+def unused_name(frame: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_tasks(frame: DataFrame, least: int = 8) -> int:
     """How many tasks scan the frame: follows its bytes, costs no job."""
     return max(least, frame.rdd.getNumPartitions())

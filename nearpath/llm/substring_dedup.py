@@ -39,10 +39,12 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from nearpath.llm import exchange
 from nearpath.llm.fingerprint import mix, rolling
-from nearpath.llm.rows import id_and_text, input_tasks, spark_schema, table
+from nearpath.llm.rows import id_and_text, input_tasks, nullable, spark_schema, table
 from nearpath.llm.suffixes import covered
 from nearpath.sources.workdir import work_dir
 
@@ -61,9 +63,9 @@ SHARED, CUT = 1, 2
 FOUND = pa.schema([
     ("kind", pa.int32()), ("block", pa.binary()), ("shard", pa.int32()), ("payload", pa.binary()),
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-    ("kept_text", pa.string()), ("rest", pa.string()),
+    ("kept_text", pa.string()),
 ])
-KEPT = pa.schema([FOUND.field(n) for n in ("doc_id", "n_words", "n_removed", "kept_text", "rest")])
+KEPT = pa.schema([FOUND.field(n) for n in ("doc_id", "n_words", "n_removed", "kept_text")])
 
 
 def window_keys(hashes: np.ndarray) -> np.ndarray:
@@ -238,12 +240,15 @@ def unpack_passages(packed: bytes) -> tuple[list[bytes], list[int], list[int]]:
     return raw[16 * (n + 1):].split(b"\n"), low, high
 
 
-def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    """A batch with these columns; the others are null."""
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type)
-         for f in schema], schema=schema)
+def found_rows(rest: pa.Array, columns: dict) -> pa.RecordBatch:
+    """Rows of ``FOUND`` with these columns, others null, and ``rest``."""
+    made = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(rest), f.type)
+            for f in FOUND]
+    return pa.RecordBatch.from_arrays([*made, rest], names=[*FOUND.names, "rest"])
+
+
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def repeated_passages(
@@ -252,11 +257,13 @@ def repeated_passages(
     """Every row with its text less the words of repeated passages.
 
     ``kept_text`` joins the kept words by one blank; a text of which nothing is
-    taken stays as it is. ``rest`` holds the other columns as JSON.
+    taken stays as it is. ``rest`` holds the other columns, as they are.
     """
     docs = id_and_text(docs, id_col, text_col, carry=True)
     shards = input_tasks(docs)
     passage_shards = 4 * shards
+    rest_type = nullable(docs.schema["rest"].dataType)
+    rest_arrow = to_arrow_type(rest_type)
 
     def ask(rows: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         asked = list(Keys(rows.column("text").to_pylist()).asked(shards))
@@ -281,7 +288,8 @@ def repeated_passages(
         })
 
     def candidates(rows: pa.Table, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        ids, texts, rests = (rows.column(n).to_pylist() for n in ("doc_id", "text", "rest"))
+        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+        rests = one_array(rows.column("rest")).cast(rest_arrow)
         keys = Keys(texts)
         asked, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for shard, own, _ in keys.asked(shards):
@@ -291,7 +299,7 @@ def repeated_passages(
         if len(asked):
             order = np.argsort(asked)
             flags = flags[order][np.searchsorted(asked[order], keys.keys)]
-        finished, held = [], []
+        finished, held, done, waiting = [], [], [], []
         passages: dict[bytes, list] = {}
         sent: dict[int, list] = {}
 
@@ -308,11 +316,12 @@ def repeated_passages(
                 seen[3] = doc_id
             return seen[0], seen[1]
 
-        for i, (doc_id, text, rest) in enumerate(zip(ids, texts, rests)):
+        for i, (doc_id, text) in enumerate(zip(ids, texts)):
             mine = slice(keys.ends[i] - len(keys.first[i]), keys.ends[i])
             hits = np.flatnonzero(flags[mine])
             if doc_id is None or not len(hits):
-                finished.append((DOCUMENT, doc_id, keys.n_words[i], 0, text, rest))
+                finished.append((DOCUMENT, doc_id, keys.n_words[i], 0, text))
+                done.append(i)
                 continue
             words, refs = text.encode().split(), []
             homes = (keys.keys[mine][hits] % np.uint64(passage_shards)).tolist()
@@ -325,16 +334,19 @@ def repeated_passages(
                     window = b" ".join(words[place:place + WINDOW])
                     home = xxhash.xxh3_64_intdigest(window) % passage_shards
                     refs.append((place, *ref(window, home, doc_id)))
-            held.append((doc_id, text, rest, refs))
+            held.append((doc_id, text, refs))
+            waiting.append(i)
         if finished:
-            yield batch(FOUND, dict(zip(
-                ("kind", "doc_id", "n_words", "n_removed", "kept_text", "rest"), zip(*finished))))
+            yield found_rows(rests.take(pa.array(done)), dict(zip(
+                ("kind", "doc_id", "n_words", "n_removed", "kept_text"), zip(*finished))))
         if held:
-            packed = zstandard.compress(pickle.dumps(held), 3)
+            rest = pa.RecordBatch.from_arrays([rests.take(pa.array(waiting))], ["rest"])
+            packed = zstandard.compress(pickle.dumps((held, exchange.pack_rows(rest))), 3)
             block = xxhash.xxh3_128_digest(packed)
-            yield batch(FOUND, {"kind": [BLOCK], "block": [block], "payload": [packed]})
+            yield found_rows(pa.nulls(1, rests.type), {
+                "kind": [BLOCK], "block": [block], "payload": [packed]})
             payloads = [pack_passages(own, passages) for own in sent.values()]
-            yield batch(FOUND, {
+            yield found_rows(pa.nulls(len(sent), rests.type), {
                 "kind": [PASSAGE] * len(sent), "block": [block] * len(sent), "shard": list(sent),
                 "payload": payloads})
 
@@ -393,9 +405,11 @@ def repeated_passages(
             for home, found in zip(right.column("shard").to_pylist(),
                                    right.column("places").to_pylist())
         }
-        out = {name: [] for name in KEPT.names}
+        out, rests = {name: [] for name in KEPT.names}, []
         for payload in left.column("payload").to_pylist():
-            for doc_id, text, rest, refs in pickle.loads(zstandard.decompress(payload)):
+            held, rest = pickle.loads(zstandard.decompress(payload))
+            rests.append(one_array(exchange.unpack_rows(rest).column("rest")))
+            for doc_id, text, refs in held:
                 words = text.encode().split()
                 spans = [
                     at + found[found[:, 2] < doc_id, :2]
@@ -408,14 +422,16 @@ def repeated_passages(
                     ("doc_id", doc_id), ("n_words", len(words)),
                     ("n_removed", len(words) - len(kept)),
                     ("kept_text", b" ".join(kept).decode() if len(spans) else text),
-                    ("rest", rest),
                 ):
                     out[name].append(value)
-        return pa.Table.from_batches([table(KEPT, out)])
+        made = pa.Table.from_batches([table(KEPT, out)])
+        return made.append_column("rest", pa.concat_arrays(rests))
 
     answers = exchange.by_shard_group(
         exchange.requests(docs, ask), shards, recurring, exchange.REQUESTS)
-    found = exchange.with_answers(docs, answers, candidates, FOUND, spark_schema(FOUND))
+    found = exchange.with_answers(
+        docs, answers, candidates, None,
+        StructType.fromDDL(spark_schema(FOUND)).add("rest", rest_type))
     folder = work_dir(docs.sparkSession, "passages")
     found.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
     found = docs.sparkSession.read.schema(found.schema).parquet(folder)
@@ -427,6 +443,6 @@ def repeated_passages(
         found.where(F.col("kind") == BLOCK).select("block", "payload")
         .repartition(shards, "block").groupBy("block")
         .cogroup(located.repartition(shards, "to_block").groupBy("to_block"))
-        .applyInArrow(take_out, spark_schema(KEPT))
+        .applyInArrow(take_out, StructType.fromDDL(spark_schema(KEPT)).add("rest", rest_type))
     )
-    return found.where(F.col("kind") == DOCUMENT).select(*KEPT.names).unionByName(changed)
+    return found.where(F.col("kind") == DOCUMENT).select(*KEPT.names, "rest").unionByName(changed)

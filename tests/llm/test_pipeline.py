@@ -87,10 +87,14 @@ def test_run(spark, sf_dir, steps):
 @pytest.mark.parametrize("number", range(5))
 def test_odd_input(spark, make_docs, odd_rows, number, sf_dir):
     stage = cp.STAGES[number][1]
-    docs = settle(make_docs(odd_rows, extra="kept node_2 class"), "odd")
+    docs = settle(make_docs(odd_rows, extra="kept node_2 class _id _key own_id _row row").withColumn(
+        "m", F.create_map(F.lit(1), F.col("lang"))).withColumn(
+        "at", F.timestamp_micros(F.lit(1700000000123456))), "odd")
     out = stage(spark, docs, sf_dir)
     if number < 4:
         assert out.dtypes == docs.dtypes
+        assert out.where("_id = 'x' AND _key = 'x' AND m[1] = 'en'"
+                         " AND unix_micros(at) = 1700000000123456").count() == out.count()
     got = out.collect()
     assert len(got) > 0
     if number == 3:

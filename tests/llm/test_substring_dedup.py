@@ -96,6 +96,23 @@ def test_odd_rows_and_other_columns(make_docs, odd_rows):
     assert back.where("source LIKE 'src%' AND kept_text = 'x' AND lang = 'en'").count() == len(odd_rows)
 
 
+def test_other_columns_come_back_as_they_are(spark):
+    """Timestamps to the microsecond, decimals, maps with any keys, structs, nulls."""
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.sql(f"""
+        SELECT id AS doc_id, IF(id % 2 = 0, '{text}', concat(id, ' {text} ', id)) AS text,
+          timestamp_micros(1700000000123456 + id) AS at, CAST(id / 7 AS DECIMAL(20, 9)) AS d,
+          map(id, 'a', id + 1, NULL) AS m, named_struct('x', id, 'a b', NULL) AS `odd.name`,
+          unhex('00ff') AS b, CAST(NULL AS STRING) AS _id, id AS _key
+        FROM range(12)""")
+    back = unpack_rest(repeated_passages(docs).withColumnRenamed("kept_text", "text"), docs)
+    assert back.dtypes == docs.dtypes
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    key = lambda f: sorted(map(repr, f.select(*others).collect()))
+    assert key(back) == key(docs)
+    assert back.where("text = ''").count() > 0
+
+
 def test_whole_table(spark, sf_dir):
     from nearpath.llm.queries import op3_substring_dedup
 
