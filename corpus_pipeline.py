@@ -14,9 +14,9 @@ from nearpath.llm.jaccard_join import jaccard_classes
 from nearpath.llm.language_id import identify_documents
 from nearpath.llm.packing import pack_documents
 from nearpath.llm.quality_rules import keep_good
-from nearpath.llm.rows import unpack_rest
+from nearpath.llm.rows import unpack_rest, unused_name
 from nearpath.llm.substring_dedup import repeated_passages
-from nearpath.sources.workdir import settle
+from nearpath.sources.workdir import discard, settle, settle_in
 
 #: No stage can be written in SQL; tests hold each against a plain version.
 ORACLE_SQL = None
@@ -24,13 +24,15 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose text is in none of the languages."""
-    key = F.xxhash64(*(F.col(f"`{name}`") for name in docs.columns))
+    # the verdict depends on these columns only
+    key = F.xxhash64("text", "lang", "source")
+    row, gone_id, gone_row = (unused_name(docs, n) for n in ("row", "gone_id", "gone_row"))
     rejected = settle(
-        identify_documents(docs.withColumn("_row", key), "doc_id", "_row").where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_rejected_id"), F.col("_row").alias("_rejected_row")).distinct(),
+        identify_documents(docs.withColumn(row, key), "doc_id", row).where(~F.col("kept"))
+        .select(F.col("doc_id").alias(gone_id), F.col(row).alias(gone_row)).distinct(),
         "rejected",
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_rejected_id")) & (key == F.col("_rejected_row"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (key == F.col(gone_row))
     return docs.join(rejected, same, "left_anti")
 
 
@@ -41,21 +43,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each class of near copies."""
+    own_id, own_key = unused_name(docs, "own_id"), unused_name(docs, "own_key")
+
     def keyed(rows: DataFrame, key: Column) -> DataFrame:
         row_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-        return rows.withColumn("_id", row_id).withColumn("_key", key)
+        return rows.withColumn(own_id, row_id).withColumn(own_key, key)
 
     classes = jaccard_classes(docs)
     first = (
         classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class")
         .agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
     )
-    first = keyed(first.select("kept.*"), F.col("text_key")).select("_id", "_key")
+    first = keyed(first.select("kept.*"), F.col("text_key")).select(own_id, own_key)
     # one shuffle serves the join and the rows that repeat
     return (
         keyed(docs, F.xxhash64(F.coalesce("text", F.lit(""))))
-        .join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-        .drop("_id", "_key")
+        .join(first, [own_id, own_key], "left_semi").dropDuplicates([own_id, own_key])
+        .select(*(f"`{name}`" for name in docs.columns))
     )
 
 
@@ -81,7 +85,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, folder = settle_in(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            discard(spark, before)  # nothing reads the stage before the last any more
+        before = folder
     return docs
