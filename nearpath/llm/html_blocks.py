@@ -11,19 +11,20 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Comments, and elements that hold raw text up to their end tag. None is text.
-RAW = (
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-)
-ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-#: Mark-up, or a stretch of text.
-TOKEN = re.compile(
-    RAW + r"|<[!?][^>]*>|</?[a-z]" + ATTRIBUTES + r"|</?[a-z][^>]*>|[^<]+|<", re.S | re.I)
+#: Elements that hold raw text up to their end tag. It is not text of the page.
+RAW = "script|style|title|textarea|iframe"
+RAW_START = re.compile(rf"<({RAW})(?=[\s/>])", re.I)
+RAW_END = {
+    name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW.split("|")
+}
+OPENING = re.compile(r"</?[a-z]", re.I)
+STOP = re.compile("[\"'>]")
 #: Elements whose inside is mark-up but never text.
 HIDDEN = frozenset(("svg", "template", "noscript"))
-HIDDEN_TAG = re.compile(
-    RAW + r"|<(/?)(svg|template|noscript)(?=[\s/>])" + ATTRIBUTES, re.S | re.I)
+#: Where a hidden element's tag, a comment or a raw element begins.
+HIDDEN_START = re.compile(
+    rf"<!--|<(?P<raw>{RAW})(?=[\s/>])|<(?P<slash>/?)(?P<hidden>svg|template|noscript)(?=[\s/>])",
+    re.I)
 TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
@@ -79,36 +80,114 @@ class Leaf:
         return tuple(self.place.inwards()) if self.place else ()
 
 
+class Markup:
+    """Where tags, comments and raw elements of a page end.
+
+    One pass forward, also over broken pages: what cannot be closed any more is
+    known from the last ``>`` and quotes, and places between attributes from
+    which no end was found are not tried again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.dead: set[int] = set()
+        self.searched, self.stop = 0, -1
+
+    def end(self, at: int) -> tuple[int, bool]:
+        """The end of the token that ``<`` begins, and whether it is a raw element.
+        A ``<`` that begins nothing is a token of its own."""
+        page = self.page
+        if page.startswith("<!--", at):
+            return self._after("-->", at + 4), False
+        raw = RAW_START.match(page, at)
+        if raw:
+            return self.raw_end(raw.group(1).lower(), raw.end()), True
+        if page.startswith(("<!", "<?"), at):
+            end = self._closing(at + 2)
+        else:
+            opening = OPENING.match(page, at)
+            end = self.attributes_end(opening.end()) if opening else -1
+            if opening and end < 0:
+                end = self._closing(opening.end())
+        return (end, False) if end > 0 else (at + 1, False)
+
+    def _after(self, text: str, at: int) -> int:
+        end = self.page.find(text, at)
+        return len(self.page) if end < 0 else end + len(text)
+
+    def _closing(self, at: int) -> int:
+        return self.page.find(">", at) + 1 if at <= self.last[">"] else -1
+
+    def raw_end(self, name: str, at: int) -> int:
+        end = RAW_END[name].search(self.page, at)
+        end = self._closing(end.end()) if end else -1
+        return end if end > 0 else len(self.page)
+
+    def attributes_end(self, at: int) -> int:
+        """After the ``>`` that ends a tag's attributes, quoted ones whole; -1 if none does."""
+        tried = []
+        while at not in self.dead:
+            tried.append(at)
+            if not self.searched <= at <= self.stop:
+                found = STOP.search(self.page, at)
+                self.searched, self.stop = at, found.start() if found else len(self.page)
+            stop = self.stop
+            if stop == len(self.page):
+                break
+            mark = self.page[stop]
+            if mark == ">":
+                return stop + 1
+            if stop >= self.last[mark]:
+                break  # a quote without its partner
+            at = self.page.find(mark, stop + 1) + 1
+        self.dead.update(tried)
+        return -1
+
+
 def hidden_ends(page: str) -> dict[int, int]:
     """Where each closed hidden element starts and ends. A self-closed svg is
     closed; any other without an end tag hides nothing but its own tag."""
     ends: dict[int, int] = {}
     waiting: dict[str, list[int]] = {name: [] for name in HIDDEN}
-    for match in HIDDEN_TAG.finditer(page):
-        if match.group(3) is None:
+    markup, at = Markup(page), 0
+    while match := HIDDEN_START.search(page, at):
+        if match.group("hidden") is None:
+            at, _ = markup.end(match.start())
             continue
-        name = match.group(3).lower()
-        if match.group(2):
+        end = markup.attributes_end(match.end())
+        at = end if end > 0 else match.start() + 1
+        if end < 0:
+            continue
+        name = match.group("hidden").lower()
+        if match.group("slash"):
             if waiting[name]:
-                ends[waiting[name].pop()] = match.end()
-        elif name != "svg" or not match.group().endswith("/>"):
+                ends[waiting[name].pop()] = end
+        elif name != "svg" or not page.endswith("/>", match.start(), end):
             waiting[name].append(match.start())
     return ends
 
 
-def tokens(page: str) -> Iterator[re.Match]:
-    """The page's tokens without hidden elements."""
-    at, ends = 0, None
+def tokens(page: str) -> Iterator[tuple[str, bool]]:
+    """The page's tags, comments and stretches of text without hidden elements, and
+    whether each is a raw element."""
+    markup, at, ends = Markup(page), 0, None
     while at < len(page):
-        match = TOKEN.match(page, at)
-        at = match.end()
-        tag = TAG.match(match.group()) if match.group()[0] == "<" else None
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = len(page) if stop < 0 else stop
+            yield page[at:stop], False
+            at = stop
+            continue
+        stop, raw = markup.end(at)
+        tag = TAG.match(page, at, stop)
         if tag and tag.group(2).lower() in HIDDEN:
             if ends is None:
                 ends = hidden_ends(page)
-            at = ends.get(match.start(), at)
+            at = ends.get(at, stop)
             continue
-        yield match
+        yield page[at:stop], raw
+        at = stop
 
 
 def leaves(page: str) -> list[Leaf]:
@@ -134,8 +213,7 @@ def leaves(page: str) -> list[Leaf]:
         while blocks and blocks[-1] >= at:
             blocks.pop()
 
-    for match in tokens(page):
-        token = match.group()
+    for token, raw in tokens(page):
         if token[0] != "<" or len(token) == 1:
             text = html.unescape(token)
             pieces.append(text)
@@ -143,7 +221,7 @@ def leaves(page: str) -> list[Leaf]:
                 state["links"] += len(text.strip())
             continue
         tag = TAG.match(token)
-        if tag is None or match.group(1):
+        if tag is None or raw:
             continue
         name = tag.group(2).lower()
         if name == "a":

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -197,3 +198,19 @@ def test_odd_rows(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert he.extract_main_text(pages, train_pages=50).count() == 0
+
+
+@pytest.mark.parametrize("piece", [
+    "<a ", "<p x='", "<!", "</script ", "<svg x='", "<template>", "<p x=\"'>", "<script "])
+@pytest.mark.parametrize("end", ["", "'>", "'>\"> the end"])
+def test_a_megabyte_of_broken_tags(piece, end):
+    """One pass forward: seconds, not hours, and the text behind a closed tag stays."""
+    started = time.time()
+    found = leaves(piece * (1_000_000 // len(piece)) + end)
+    assert time.time() - started < 10
+    assert all(leaf.text for leaf in found)
+
+
+def test_broken_tags_keep_the_text():
+    page = "<p>one</p><a href='x <p>two</p> <b title=\"three>four</b><p>five"
+    assert " ".join(leaf.text for leaf in leaves(page)) == "one two four five"
