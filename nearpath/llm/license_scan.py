@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -119,7 +120,10 @@ class Scanner:
                 for match in self.patterns[i].finditer(joined, max(low, 0), min(high, len(joined))):
                     spans.add((match.start(), match.end(), notice.label,
                                1 - sum(match.fuzzy_counts) / len(notice.words)))
-        starts = [joined.count(" ", 0, at) for at, _ in base]
+        blanks = np.zeros(0, np.int64)  # words are numbered once, by the blanks before them
+        if base or spans:
+            blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 0x20)
+        starts = np.searchsorted(blanks, [at for at, _ in base]).tolist()
         base_labels = {label for _, label in base}
         labels = base_labels | {label for _, _, label, _ in spans}
         scores = [s for *_, s in spans] + [1.0] * bool(base)
@@ -133,7 +137,7 @@ class Scanner:
             "score": max(scores, default=0.0),
             # words from and up to, label
             "spans": ";".join(
-                f"{max(joined.count(' ', 0, a + 1) - 1, 0)}-{joined.count(' ', 0, b)}:{label}"
+                f"{max(int(np.searchsorted(blanks, a + 1)) - 1, 0)}-{np.searchsorted(blanks, b)}:{label}"
                 for a, b, label, _ in sorted(spans)
             ),
         }

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -76,3 +77,11 @@ def test_every_single_edit_is_found(scanner):
 
 def test_empty_table(make_docs):
     assert license_scan(make_docs([])).count() == 0
+
+
+def test_a_megabyte_of_phrases(scanner):
+    started = time.time()
+    found = scanner.scan("cc by " * 170_000)
+    assert time.time() - started < 20
+    assert found["n_words"] == 340_000 and found["n_base"] == 170_000
+    assert found["first_word"] == 0 and found["last_word"] == 339_998
