@@ -46,14 +46,20 @@ class QualityRules:
     ``min_repeat``: words a repeated passage needs to count.
     ``max_fraction``: share of the word characters in repeated passages.
     ``max_longest``: words of the longest repeated passage.
+    ``max_longest_share``: the same as a share of all words.
     ``max_symbols``: symbols per word character.
+
+    The limits act beside the base rule, which counts words: repeated passages of
+    long words fail by their characters, one long passage in a short text by its
+    share, in a long one by its words.
     """
 
     min_words: int = 10
     max_repeat_percent: int = 20
     min_repeat: int = 5
-    max_fraction: float = 0.3
+    max_fraction: float = 0.18
     max_longest: int = 250
+    max_longest_share: float = 0.1
     max_symbols: float = 0.1
 
 
@@ -97,6 +103,7 @@ def judge(ids: list, texts: list[str], rules: QualityRules) -> pa.RecordBatch:
         ~base_failed
         & (fraction <= rules.max_fraction)
         & (longest <= rules.max_longest)
+        & (longest <= rules.max_longest_share * n_words)
         & (n_symbols <= rules.max_symbols * chars)
     )
     return pa.RecordBatch.from_arrays(

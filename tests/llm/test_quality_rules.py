@@ -96,3 +96,31 @@ def test_clean_documents_stay(spark, sf_dir):
 def test_empty_table(make_docs):
     assert quality_rules(make_docs([])).count() == 0
     assert keep_good(make_docs([])).count() == 0
+
+
+def test_the_suffix_array_decides():
+    """Repeats reject documents that the base rule keeps: by their characters, and
+    by one long passage in a short text."""
+    rng = random.Random(12)
+    words = lambda n, size=4: " ".join(
+        "".join(rng.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+    wide = words(8, 20)
+    passage = words(11)
+    texts = [f"{words(60)} {wide} {words(60)} {wide}", f"{words(60)} {passage} {words(40)} {passage}",
+             words(150)]
+    rows = judge(list(range(3)), texts, QualityRules()).to_pylist()
+    assert [r["base_failed"] for r in rows] == [False] * 3
+    assert [r["kept"] for r in rows] == [False, False, True]
+
+
+def test_limits_bind_and_clean_documents_stay(spark, sf_dir):
+    from nearpath.llm.queries import op4_quality_rules
+
+    rows = op4_quality_rules(spark, sf_dir).collect()
+    by_repeats = [r for r in rows if not r["base_failed"] and (
+        r["repeat_fraction"] > 0.18 or r["longest_repeat"] > 0.1 * r["n_words"])]
+    assert by_repeats and not any(r["kept"] for r in by_repeats)
+    clean = {r["doc_id"] for r in
+             spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    lost = [r for r in rows if r["doc_id"] in clean and not r["base_failed"] and not r["kept"]]
+    assert len(lost) <= 0.002 * len(clean)
