@@ -189,7 +189,7 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     return (
         ranged.withColumn("is_next", F.lit(False)).unionByName(copies)
-        .repartition(n, "range")
+        .repartitionById(n, F.pmod("range", F.lit(n)))
         .sortWithinPartitions("range", "is_next", F.asc_nulls_last("doc_id"), "text")
     )
 

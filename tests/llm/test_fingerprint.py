@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearpath.llm import fingerprint as fp
 
@@ -96,3 +97,10 @@ def test_fingerprints(make_docs, odd_rows):
     assert len(rows) == len(odd_rows)
     same = [r["fingerprint"] for r in rows if r["doc_id"] in (9, 10)]
     assert same[0] == same[1] != ""
+
+
+def test_ranges_do_not_collide(make_docs):
+    """Each range has a task of its own."""
+    rows = fp.with_successors(make_docs([(i, f"text {i}") for i in range(400)]))
+    tasks = rows.select("range", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == len({r["range"] for r in tasks}) == len({r["task"] for r in tasks}) > 4
