@@ -120,13 +120,15 @@ class RunningTopK:
     """Candidates of one task, kept at k per group and handed on when too many.
 
     ``bounds`` holds, per group, the distance that a further candidate must
-    not exceed to be among its k best.
+    not exceed to be among its k best; what is known of it may be given.
     """
 
-    def __init__(self, n_groups: int, k: int, limit: int = 2_000_000):
+    def __init__(
+        self, n_groups: int, k: int, limit: int = 2_000_000, bounds: np.ndarray | None = None
+    ):
         self.k = k
         self.limit = limit
-        self.bounds = np.full(n_groups, np.inf)
+        self.bounds = np.full(n_groups, np.inf) if bounds is None else bounds.copy()
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.compacted = True
 

@@ -5,16 +5,26 @@ bucket key, and a brute-force search has one bucket that holds everything.
 Queries are broadcast, in blocks of a checked size, and the objects are scanned
 where they lie; no object is shuffled. A task hands on at most k rows per group
 of a query, never a row per pair.
+
+Many tasks would still hand on k rows each. So a search of n tasks first runs
+about sqrt(n) of them, spread evenly, and merges what they find. The k-th best
+distance of a few objects is an upper bound of the k-th best of all; broadcast
+to the scan, it leaves to every task only what reaches it. Both merges then see
+about sqrt(n) times k rows of a query instead of n times k, and the answer is
+the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearpath.functions.paths import ROOT_KEY
 from nearpath.operators.kernel import RunningTopK, nearest, rows_by_key, to_matrix, unit_rows
@@ -32,6 +42,9 @@ VISIT_BYTES = 64
 # Visited buckets that are listed in a filter, by which an index prunes folders.
 LISTED_KEYS = 200_000
 
+# Tasks of a scan from which on a few of them are run first, for bounds.
+SEEDED_TASKS = 64
+
 # Bucket statistics that may be broadcast, in bytes.
 CATALOG_BYTES = 64 << 20
 
@@ -62,6 +75,16 @@ def broadcast_catalog(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if size <= CATALOG_BYTES else rows
 
 
+def scan_tasks(frame: DataFrame) -> int:
+    """How many tasks a frame has that is only read and mapped; costs no job.
+
+    0 for one with a shuffle of its own: running a few of its tasks first would
+    run that shuffle twice.
+    """
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return 0 if "Exchange" in plan else frame.rdd.getNumPartitions()
+
+
 def _scan_candidates(
     visits: DataFrame | None, queries: DataFrame, objects: DataFrame, k: int, metric: str,
     per_bucket: bool, reach: Sequence[int] | None,
@@ -102,9 +125,9 @@ def _scan_candidates(
         groups, n_groups = visiting, len(query_ids)
     shared = spark.sparkContext.broadcast((query_ids, matrix, visiting, ranks, groups, by_bucket))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch], known: np.ndarray | None):
         query_ids, matrix, visiting, ranks, groups, by_bucket = shared.value
-        best = RunningTopK(n_groups, k)
+        best = RunningTopK(n_groups, k, bounds=known)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             vectors = _vectors(batch.column("v"), metric)
@@ -131,7 +154,29 @@ def _scan_candidates(
     objects = objects.select("id", "v", "path_key")
     if visits is not None:
         objects = _visited(objects, [key for key, rows in by_bucket.items() if len(rows)])
-    return objects.mapInArrow(scan, CANDIDATES)
+    n_tasks = scan_tasks(objects)
+    if n_tasks < SEEDED_TASKS:
+        return objects.mapInArrow(lambda batches: scan(batches, None), CANDIDATES)
+
+    every = math.isqrt(n_tasks)
+
+    def scan_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the other tasks end without reading their rows
+        return scan(batches if TaskContext.get().partitionId() % every == 0 else iter(()), None)
+
+    by = ("query_id", "bucket_rank") if per_bucket or reach is not None else ("query_id",)
+    kth = (
+        merge_top_k(objects.mapInArrow(scan_some, CANDIDATES), k, *by)
+        .filter(F.col("rank") == k).select(*by, "distance").toArrow()  # a row a group
+    )
+    group_of = {}
+    for group, query, rank in zip(groups.tolist(), query_ids[visiting].tolist(), ranks.tolist()):
+        group_of[(query, rank)[: len(by)]] = group
+    bounds = np.full(n_groups, np.inf)
+    keys = zip(*(kth.column(name).to_pylist() for name in by))
+    bounds[[group_of[key] for key in keys]] = kth.column("distance").to_numpy()
+    seeds = spark.sparkContext.broadcast(bounds)
+    return objects.mapInArrow(lambda batches: scan(batches, seeds.value), CANDIDATES)
 
 
 def _visited(objects: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,8 +191,13 @@ def _visited(objects: DataFrame, keys: list[str]) -> DataFrame:
     return objects.join(broadcast_catalog(visited), "path_key", "left_semi")
 
 
-def _blocks(frame: DataFrame, n: int, number: int) -> DataFrame:
-    return frame.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number)
+def _by_block(frame: DataFrame, n: int, label: str) -> DataFrame:
+    """The rows written once, in a folder for each block of queries."""
+    folder = work_dir(frame.sparkSession, label)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+    frame.withColumn("block", block).write.partitionBy("block").parquet(folder)
+    schema = T.StructType([*frame.schema.fields, T.StructField("block", T.IntegerType())])
+    return frame.sparkSession.read.schema(schema).parquet(folder)
 
 
 def bucket_candidates(
@@ -188,10 +238,13 @@ def bucket_candidates(
     if n_blocks == 1:
         return finish(_scan_candidates(visits, queries, objects, k, metric, per_bucket, reach))
     folder = work_dir(objects.sparkSession, "blocks")
+    queries = _by_block(queries.select("query_id", "v"), n_blocks, "queries")
+    if visits is not None:
+        visits = _by_block(visits, n_blocks, "visits")
     for number in range(n_blocks):
-        part = None if visits is None else _blocks(visits, n_blocks, number)
+        part = None if visits is None else visits.filter(F.col("block") == number)
         found = finish(_scan_candidates(
-            part, _blocks(queries, n_blocks, number), objects, k, metric, per_bucket, reach))
+            part, queries.filter(F.col("block") == number), objects, k, metric, per_bucket, reach))
         schema = found.schema
         found.write.mode("append").parquet(folder)
     return objects.sparkSession.read.schema(schema).parquet(folder)

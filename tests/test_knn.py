@@ -5,10 +5,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearpath.operators import kernel
+from pyspark.sql import functions as F
+
+from nearpath.operators import kernel, knn
 from nearpath.operators.kernel import RunningTopK, nearest
 from nearpath.operators.knn import (
-    candidate_counts, knn_brute_force, knn_in_buckets, knn_sweep, without_self,
+    bucket_candidates, candidate_counts, knn_brute_force, knn_in_buckets, knn_sweep, scan_tasks,
+    without_self,
 )
 from nearpath.operators.recall import recall_at_k, recall_sweep
 
@@ -46,6 +49,13 @@ def as_dict(result):
     return found
 
 
+def assert_same(got, wanted):
+    assert got.keys() == wanted.keys()
+    for query, rows in wanted.items():
+        assert [i for _, i in got[query]] == [i for _, i in rows]
+        assert [d for d, _ in got[query]] == pytest.approx([d for d, _ in rows], abs=1e-12)
+
+
 @pytest.fixture(scope="module")
 def small():
     rng = np.random.default_rng(1)
@@ -117,6 +127,61 @@ def test_many_visited_buckets_use_a_join(spark, small, monkeypatch):
     assert as_dict(got) == enumerate_pairs(*small, 4, "cosine", reach(3))
 
 
+@pytest.fixture()
+def many_tasks(spark, tmp_path):
+    """3,000 objects in 100 files, so that a scan has 100 tasks, and 30 queries."""
+    rng = np.random.default_rng(5)
+    objects, queries = rng.normal(size=(3000, 8)), rng.normal(size=(30, 8))
+    objects[700:900] = objects[3]
+    folder = str(tmp_path / "objects")
+    (vectors(spark, objects, "id").withColumn("path_key", F.concat(F.lit("b"), F.col("id") % 7))
+     .repartition(100).write.parquet(folder))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes",
+                                             "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10k")
+    yield queries, objects, spark.read.parquet(folder)
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 4000}])
+def test_bounds_from_a_few_tasks_change_nothing(spark, many_tasks, options):
+    queries, matrix, objects = many_tasks
+    assert scan_tasks(objects) >= 64
+    frame = vectors(spark, queries, "query_id")
+    got = as_dict(knn_brute_force(frame, objects.drop("path_key"), 10, **options))
+    assert_same(got, enumerate_pairs(queries, matrix, 10, "cosine"))
+    reach = {q: {i for i in range(3000) if i % 7 in (q % 7, (q + 1) % 7)} for q in range(30)}
+    visits = spark.createDataFrame(
+        [(q, r + 1, f"b{(q + r) % 7}") for q in range(30) for r in range(2)],
+        "query_id long, bucket_rank long, path_key string")
+    got = as_dict(knn_in_buckets(visits, frame, objects, 10, **options))
+    assert_same(got, enumerate_pairs(queries, matrix, 10, "cosine", reach))
+    swept = knn_sweep(visits, frame, objects, [1, 2], 10, **options)
+    assert_same(as_dict(swept.where("n_buckets = 2").drop("n_buckets")), got)
+    one = {q: {i for i in range(3000) if i % 7 == q % 7} for q in range(30)}
+    assert_same(as_dict(swept.where("n_buckets = 1").drop("n_buckets")),
+                enumerate_pairs(queries, matrix, 10, "cosine", one))
+
+
+def test_bounds_from_a_few_tasks_keep_the_merge_small(spark, many_tasks, monkeypatch):
+    queries, _, objects = many_tasks
+    frame = vectors(spark, queries, "query_id")
+    everything = objects.withColumn("path_key", F.lit("b"))
+    tasks = scan_tasks(everything)
+    seeded = bucket_candidates(None, frame, everything, 10).count()
+    monkeypatch.setattr(knn, "SEEDED_TASKS", 10**9)
+    unseeded = bucket_candidates(None, frame, everything, 10).count()
+    assert unseeded > 0.9 * tasks * len(queries) * 10
+    assert seeded < 0.25 * unseeded
+
+
+def test_a_shuffled_frame_is_not_run_twice(spark, many_tasks):
+    _, _, objects = many_tasks
+    assert scan_tasks(objects.repartition(200)) == 0
+
+
 def test_hot_bucket_of_equal_vectors(spark):
     """Nine tenths of the objects share one bucket and one vector."""
     rng = np.random.default_rng(2)
