@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from nearpath.functions.paths import ROOT_KEY, path_key
 from nearpath.operators.knn import broadcast_catalog
-from nearpath.operators.score import SharedTree, predict_proba, score_leaves, share_tree
+from nearpath.operators.score import (
+    SharedTree, broadcast_queries, expand, score_leaves, share_tree,
+)
+from nearpath.sources.workdir import settle
 
 SCORES = ("conditional", "joint")
 
@@ -78,6 +81,64 @@ def rank_buckets(
     )
 
 
+def walk_levels(
+    queries: DataFrame, nodes: DataFrame, buckets: DataFrame, n_buckets: int,
+    score: str = "conditional",
+) -> DataFrame:
+    """The leaves that can be among each query's best, for a tree of any size.
+
+    No leaf below a node sorts before the node's own bound: the smallest
+    probability (or, for ``joint``, the product) down to it. A first walk goes
+    down with the ``n_buckets`` best nodes of each query and level; the n-th best
+    leaf it finds is a lower bound of the n-th best of all. The second walk
+    expands every node that reaches it and drops the others with all that lies
+    below them. Rows are ``(query_id, path, path_key, probs)``; at each level a
+    query has rows for the children of its waiting nodes only.
+    """
+    levels = [row[0] for row in nodes.select("level").distinct().orderBy("level").collect()]
+    queries = broadcast_queries(queries.select("query_id", "v"))
+    inner = broadcast_catalog(nodes.select("path_key"))
+    ends = broadcast_catalog(buckets.select("path_key"))
+    held = broadcast_catalog(
+        nodes.select("path_key").unionByName(buckets.select("path_key")).distinct())
+    root = queries.select(
+        "query_id", F.expr("cast(array() as array<int>)").alias("path"),
+        F.lit(ROOT_KEY).alias("path_key"), F.expr("cast(array() as array<double>)").alias("probs"),
+        F.lit(1.0).alias("bound"))
+    # the same leaf, scored beside other rows, may differ in the last bits
+    slack = 1 - 1e-9
+    best = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "path")
+
+    def down(keep) -> DataFrame:
+        """Every leaf reached when ``keep`` chooses among the children of a level."""
+        found, frontier = None, root
+        for level in levels:
+            children = settle(
+                keep(expand(frontier, queries, nodes.filter(F.col("level") == level), score)),
+                "frontier")
+            leaves = children.join(ends, "path_key", "left_semi")
+            found = leaves if found is None else found.unionByName(leaves)
+            frontier = children.join(inner, "path_key", "left_semi")
+        return found
+
+    def beam(children: DataFrame) -> DataFrame:
+        known = children.join(held, "path_key", "left_semi")
+        return known.withColumn("_rank", F.row_number().over(best)).filter(
+            F.col("_rank") <= n_buckets).drop("_rank")
+
+    first = down(beam).withColumn("_rank", F.row_number().over(best))
+    least = settle(
+        first.filter(F.col("_rank") == n_buckets)
+        .select("query_id", (F.col("bound") * slack).alias("least")), "least")
+
+    def reaching(children: DataFrame) -> DataFrame:
+        # a query whose first walk found fewer leaves keeps everything
+        return children.join(least, "query_id", "left").filter(
+            F.col("bound") >= F.coalesce("least", F.lit(-1.0))).drop("least")
+
+    return down(reaching).select("query_id", "path", "path_key", "probs")
+
+
 def navigate(
     queries: DataFrame, nodes: DataFrame, buckets: DataFrame, n_buckets: int,
     score: str = "conditional", tree: SharedTree | None = None,
@@ -85,7 +146,7 @@ def navigate(
     """Rank the buckets of an index for every query, keeping ``n_buckets``.
 
     A tree that can be broadcast is scored in one pass over the queries; a
-    larger one is scored node by node and its levels are joined.
+    larger one by two walks from level to level (:func:`walk_levels`).
     """
     if n_buckets < 1:
         raise ValueError("n_buckets must be at least 1")
@@ -93,6 +154,5 @@ def navigate(
     if tree is not None:
         leaves = score_leaves(queries, tree, n_buckets, score)
     else:
-        n_levels = buckets.agg(F.max(F.size("path"))).first()[0]
-        leaves = leaf_probabilities(predict_proba(queries, nodes), buckets, n_levels)
+        leaves = walk_levels(queries, nodes, buckets, n_buckets, score)
     return rank_buckets(leaves, n_buckets, score)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearpath.functions.paths import ROOT_KEY, key_of, path_key
-from nearpath.operators.kernel import forward, rows_by_key, to_matrix
+from nearpath.operators.kernel import forward, rows_by_key, to_matrix, to_vector_column
 from nearpath.operators.knn import broadcast_catalog
 from nearpath.sources.workdir import settle
 
@@ -41,9 +41,15 @@ NODE_SCHEMA = T.StructType(
 # Node weights that may be broadcast, in bytes.
 NODE_BYTES = 256 << 20
 
+# Queries that may be broadcast to the nodes they wait at, in bytes.
+QUERY_BYTES = 128 << 20
+
 # Buckets whose probabilities one task may hold for a slice of queries.
 LEAF_COLUMNS = 100_000
 
+# Doubles that a task may hold for the best leaves of a slice of queries.
+BEST_CELLS = 4_000_000
+
 # Vectors of one node placed by one group of the grouped join.
 GROUP_ROWS = 8192
 
@@ -416,8 +422,10 @@ def score_leaves(
         for batch in batches:
             ids = batch.column("query_id").to_numpy()
             vectors = to_matrix(batch.column("v"))
-            for start in range(0, len(ids), SLICE_ROWS):
-                part = slice(start, start + SLICE_ROWS)
+            # many wanted buckets go with few queries at once
+            step = max(1, min(SLICE_ROWS, BEST_CELLS // wanted))
+            for start in range(0, len(ids), step):
+                part = slice(start, start + step)
                 rows, columns, probs, _ = reach_leaves(
                     vectors[part], models, children, wanted, score, depth)
                 valid = ~np.isnan(probs)
@@ -433,3 +441,72 @@ def score_leaves(
                 )
 
     return queries.select("query_id", "v").mapInArrow(score_batch, LEAVES)
+
+
+FRONTIER = (
+    "query_id long, path array<int>, path_key string, probs array<double>, bound double"
+)
+
+
+def expand(frontier: DataFrame, queries: DataFrame, nodes: DataFrame, score: str) -> DataFrame:
+    """The children of every waiting node, each under its probability.
+
+    ``frontier`` is ``(query_id, path, path_key, probs, bound)``; the result has the
+    same columns, one row a class of the node; ``queries`` may carry a broadcast
+    hint (:func:`broadcast_queries`). Nodes too large for one broadcast
+    go part by part, each with the rows that wait at its nodes.
+    """
+    parts = node_batches(nodes, NODE_BYTES)
+    waiting = frontier.join(queries, "query_id")
+
+    def step(number: int, part: DataFrame) -> DataFrame:
+        shared = _share_nodes(part)
+        own = waiting
+        if len(parts) > 1:
+            own = own.filter(F.pmod(F.xxhash64("path_key"), F.lit(len(parts))) == number)
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE_ROWS):
+                    rows = batch.slice(start, SLICE_ROWS)
+                    for key, at in rows_by_key(rows.column("path_key")).items():
+                        if key in shared.value:
+                            yield _children(rows.take(pa.array(at)), shared.value[key], score)
+
+        return own.mapInArrow(follow, FRONTIER)
+
+    return reduce(DataFrame.unionByName, [step(i, part) for i, part in enumerate(parts)])
+
+
+def broadcast_queries(queries: DataFrame) -> DataFrame:
+    """Queries, to be broadcast if their checked size allows it."""
+    size = queries.agg(F.sum(F.size("v") * 8 + 64)).first()[0] or 0
+    return F.broadcast(queries) if size <= QUERY_BYTES else queries
+
+
+def _children(rows: pa.RecordBatch, model, score: str) -> pa.RecordBatch:
+    """All classes of one node, for the rows that wait there."""
+    probs = forward(*model, to_matrix(rows.column("v")))
+    n, classes = probs.shape
+    bound = rows.column("bound").to_numpy()[:, None]
+    bound = bound * probs if score == "joint" else np.minimum(bound, probs)
+
+    parent = tuple(rows.column("path")[0].as_py())  # all rows wait at one node
+
+    def appended(column: pa.Array, last: np.ndarray) -> pa.Array:
+        """Each list ``classes`` times, with one more value."""
+        values = column.flatten().to_numpy(zero_copy_only=False).reshape(n, len(parent))
+        grown = np.concatenate([np.repeat(values, classes, axis=0), last.reshape(-1, 1)], axis=1)
+        return to_vector_column(grown.astype(last.dtype), column.type.value_type)
+
+    step = np.tile(np.arange(classes, dtype=np.int32), n)
+    path = appended(rows.column("path"), step)
+    keys = pa.array([key_of((*parent, c)) for c in range(classes)], pa.string())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.repeat(rows.column("query_id").to_numpy(), classes)),
+            path, keys.take(pa.array(step)),
+            appended(rows.column("probs"), probs.ravel()), pa.array(bound.ravel()),
+        ],
+        names=["query_id", "path", "path_key", "probs", "bound"],
+    )

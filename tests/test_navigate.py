@@ -258,6 +258,55 @@ def test_scan_hands_on_few_rows(tree):
     assert score.score_leaves(queries, shared, 2).count() < 50 * 5
 
 
+@pytest.mark.parametrize("order", ["conditional", "joint"])
+@pytest.mark.parametrize("n", [1, 4, 1000])
+def test_the_level_walk_equals_the_broadcast_tree(tree, monkeypatch, order, n):
+    _, nodes, _, buckets, _, queries = tree
+    key = lambda f: sorted(
+        (r["query_id"], r["bucket_rank"], r["path_key"], round(r["probs"][-1], 9))
+        for r in f.collect())
+    wanted = key(nav.navigate(queries, nodes, buckets, n, order))
+    monkeypatch.setattr(score, "NODE_BYTES", 10)  # several parts a level
+    assert key(nav.navigate(queries, nodes, buckets, n, order)) == wanted
+
+
+def test_the_level_walk_expands_few_nodes(spark, monkeypatch):
+    """No row for each query and node: only for children of nodes that can lead to
+    a wanted bucket."""
+    rng = np.random.default_rng(9)
+    paths = [()] + [(a,) for a in range(12)] + [(a, b) for a in range(12) for b in range(12)]
+    rows = []
+    for path in paths:
+        weights = (6 * rng.normal(size=9 * 12)).tolist()
+        rows.append((list(path), key_of(path), len(path), "linear", [8, 12], weights, 12, 12, 12))
+    nodes = spark.createDataFrame(rows, score.NODE_SCHEMA)
+    buckets = spark.createDataFrame(
+        [([a, b, c], key_of((a, b, c)), 1) for a in range(12) for b in range(12) for c in range(12)],
+        "path array<int>, path_key string, n_objects long")
+    queries = spark.createDataFrame(
+        [(i, rng.normal(size=8).tolist()) for i in range(40)], "query_id long, v array<double>")
+    expanded = []
+    plain = nav.expand
+    monkeypatch.setattr(nav, "expand", lambda *a: expanded.append(plain(*a)) or expanded[-1])
+    leaves = nav.walk_levels(queries, nodes, buckets, 5)
+    ranked = {(r["query_id"], r["bucket_rank"]): r["path_key"]
+              for r in nav.rank_buckets(leaves, 5).collect()}
+    wanted = {(r["query_id"], r["bucket_rank"]): r["path_key"]
+              for r in nav.navigate(queries, nodes, buckets, 5).collect()}
+    assert ranked == wanted and len(ranked) == 200
+    handed_on = sum(frame.count() for frame in expanded)
+    assert handed_on < 0.25 * 40 * len(paths) * 12
+
+
+def test_many_wanted_buckets_go_with_few_queries(tree, monkeypatch):
+    _, nodes, _, buckets, _, queries = tree
+    wanted = [tuple(r) for r in nav.navigate(queries, nodes, buckets, 50).sort(
+        "query_id", "bucket_rank").select("query_id", "path_key").collect()]
+    monkeypatch.setattr(score, "BEST_CELLS", 60)
+    assert [tuple(r) for r in nav.navigate(queries, nodes, buckets, 50).sort(
+        "query_id", "bucket_rank").select("query_id", "path_key").collect()] == wanted
+
+
 def test_too_large_trees_are_not_broadcast(tree, monkeypatch):
     _, frame, _, buckets, _, _ = tree
     monkeypatch.setattr(score, "NODE_BYTES", 10)
