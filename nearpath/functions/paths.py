@@ -1,8 +1,8 @@
 """Bucket paths: the class numbers from the root of the index down to a bucket.
 
 A path is an ``ARRAY<INT>`` as long as its depth. Two text forms exist: the
-dotted one for people, and the key ``b4_10`` for joins and partition folders
-(a dotted folder name such as ``4.10`` would be read back as the number 4.1).
+dotted one for people, and the key ``b4_10`` for joins and columns
+(a dotted name such as ``4.10`` could be read back as the number 4.1).
 """
 
 from __future__ import annotations
@@ -49,6 +49,11 @@ def key_of(path: Sequence[int]) -> str:
     return ROOT_KEY + "_".join(str(step) for step in path)
 
 
+def path_of(key: str) -> list[int]:
+    """The path of a key."""
+    return [int(step) for step in key.removeprefix(ROOT_KEY).split("_") if step]
+
+
 def path_literal(path: Sequence[int]) -> Column:
     return F.array(*[F.lit(int(step)) for step in path]).cast("array<int>")
 

@@ -45,6 +45,10 @@ LISTED_KEYS = 200_000
 # Tasks of a scan from which on a few of them are run first, for bounds.
 SEEDED_TASKS = 64
 
+# Visited buckets that are listed beside a choice of files, to skip rows before
+# they reach the scan.
+FILTERED_KEYS = 1_000
+
 # Bucket statistics that may be broadcast, in bytes.
 CATALOG_BYTES = 64 << 20
 
@@ -88,6 +92,7 @@ def scan_tasks(frame: DataFrame) -> int:
 def _scan_candidates(
     visits: DataFrame | None, queries: DataFrame, objects: DataFrame, k: int, metric: str,
     per_bucket: bool, reach: Sequence[int] | None,
+    prune: Callable[[list[str]], DataFrame] | None,
 ) -> DataFrame:
     """Broadcast the (size-checked) queries and scan the objects in place."""
     spark = objects.sparkSession
@@ -153,7 +158,11 @@ def _scan_candidates(
 
     objects = objects.select("id", "v", "path_key")
     if visits is not None:
-        objects = _visited(objects, [key for key, rows in by_bucket.items() if len(rows)])
+        keys = [key for key, rows in by_bucket.items() if len(rows)]
+        if prune:  # the scan drops the other objects of the files that are left
+            objects = prune(keys).select("id", "v", "path_key")
+        if not prune or len(keys) <= FILTERED_KEYS:
+            objects = _visited(objects, keys)
     n_tasks = scan_tasks(objects)
     if n_tasks < SEEDED_TASKS:
         return objects.mapInArrow(lambda batches: scan(batches, None), CANDIDATES)
@@ -210,6 +219,7 @@ def bucket_candidates(
     reach: Sequence[int] | None = None,
     broadcast_bytes: int | None = None,
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    prune: Callable[[list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """Local winners ``(query_id, bucket_rank, neighbor_id, distance)`` of a search.
 
@@ -219,7 +229,8 @@ def bucket_candidates(
     ``per_bucket`` the k best of every visited bucket are kept; with ``reach``,
     numbers of buckets, the k best of what each number reaches beyond the next
     smaller one, which is then the ``bucket_rank``. The ids of each side must be
-    unique. Visits without their query find nothing.
+    unique. Visits without their query find nothing. ``prune`` gives, for the
+    visited keys, a part of ``objects`` that holds all of theirs.
 
     A query set above ``broadcast_bytes`` is searched block by block: each block
     scans the objects, and its rows, after ``finish``, are written before the
@@ -236,7 +247,7 @@ def bucket_candidates(
         total += visits.count() * VISIT_BYTES
     n_blocks = min(max(1, -(-total // limit)), max(1, size["n"]))
     if n_blocks == 1:
-        return finish(_scan_candidates(visits, queries, objects, k, metric, per_bucket, reach))
+        return finish(_scan_candidates(visits, queries, objects, k, metric, per_bucket, reach, prune))
     folder = work_dir(objects.sparkSession, "blocks")
     queries = _by_block(queries.select("query_id", "v"), n_blocks, "queries")
     if visits is not None:
@@ -244,7 +255,7 @@ def bucket_candidates(
     for number in range(n_blocks):
         part = None if visits is None else visits.filter(F.col("block") == number)
         found = finish(_scan_candidates(
-            part, queries.filter(F.col("block") == number), objects, k, metric, per_bucket, reach))
+            part, queries.filter(F.col("block") == number), objects, k, metric, per_bucket, reach, prune))
         schema = found.schema
         found.write.mode("append").parquet(folder)
     return objects.sparkSession.read.schema(schema).parquet(folder)

@@ -35,6 +35,7 @@ from nearpath.plans.index import (
     Index,
     bucket_catalog,
     load_index,
+    store_objects,
     write_clustered,
 )
 from nearpath.plans.kmeans import fit_centres, with_clusters
@@ -135,9 +136,10 @@ def _fit_level(
     batches = _batches(sizes.orderBy("path_key").collect(), 8 * (dimension + wide), fixed)
     rows = placed.select("id", "v", "path_key")
     if len(batches) > 1:
-        # By node, so that a batch reads only its own folders.
-        write_clustered(rows, sizes.select("path_key", F.col("n_rows").alias("n_objects")),
-                        clustered, dimension)
+        # By node, so that a batch skips what lies between others.
+        write_clustered(rows, sizes.select(
+            F.col("path_key").alias("path"), "path_key", F.col("n_rows").alias("n_objects")),
+            clustered, dimension)
         rows = spark.read.schema(rows.schema).parquet(clustered)
     cluster_s = 0.0
     for batch in batches:
@@ -153,16 +155,41 @@ def _fit_level(
     return cluster_s
 
 
+def both_spaces(
+    search_objects: DataFrame, placed: DataFrame, allow_unmatched: bool, folder: str
+) -> DataFrame:
+    """The vectors to compare with the paths of their ids, joined once and audited."""
+    spark = placed.sparkSession
+    placements = placed.select("id", "path", "path_key", F.lit(True).alias("placed"))
+    vectors = search_objects.select("id", "v", F.lit(True).alias("given"))
+    joined = vectors.join(placements, "id", "full")
+    joined.write.parquet(folder)
+    joined = spark.read.schema(joined.schema).parquet(folder)
+    matched = F.col("placed").isNotNull() & F.col("given").isNotNull()
+    if not allow_unmatched:
+        lost = joined.agg(
+            F.count_if(F.col("given").isNull()).alias("navigation"),
+            F.count_if(F.col("placed").isNull()).alias("search"),
+            F.min(F.when(~matched, F.col("id"))).alias("id")).first()
+        if lost["navigation"] or lost["search"]:
+            raise ValueError(
+                f"{lost['navigation']} ids are only in objects and {lost['search']} only in "
+                f"search_objects, the smallest is {lost['id']}; allow_unmatched leaves them out")
+    return joined.filter(matched).select("id", "v", "path", "path_key")
+
+
 def build_index(
     objects: DataFrame,
     config: BuildConfig,
     folder: str | None = None,
     search_objects: DataFrame | None = None,
+    allow_unmatched: bool = False,
 ) -> Index:
     """Cluster, train and store an index over ``objects`` (id, v).
 
     ``search_objects`` is a second representation of the same ids that the
-    search compares, while ``objects`` decides the buckets. The tables go to
+    search compares, while ``objects`` decides the buckets. An id that only one of
+    them has is an error, or with ``allow_unmatched`` left out. The tables go to
     ``folder``, or to a new one in the shared working folder.
     """
     spark = objects.sparkSession
@@ -192,16 +219,14 @@ def build_index(
         step_down(placed, nodes).write.parquet(where)
         placed = spark.read.schema(placed.schema).parquet(where)
 
-    bucket_catalog(placed.select("path", "path_key")).coalesce(1).write.parquet(f"{folder}/{BUCKETS}")
-    buckets = spark.read.schema(BUCKET_SCHEMA).parquet(f"{folder}/{BUCKETS}")
     stored = placed
     if search_objects is not None:
-        # The placements are narrow; they are joined with the wide vectors once.
-        stored = search_objects.select("id", "v").join(
-            placed.select("id", "path", "path_key"), "id")
-    write_clustered(stored, buckets, f"{folder}/{OBJECTS}", dimension)
-    written = spark.read.parquet(f"{folder}/{OBJECTS}").count()
-    if search_objects is None and written != first["n"]:
+        stored = both_spaces(search_objects, placed, allow_unmatched, f"{scratch}/both")
+        first = {"n": stored.count()}
+    bucket_catalog(stored.select("path", "path_key")).coalesce(1).write.parquet(f"{folder}/{BUCKETS}")
+    buckets = spark.read.schema(BUCKET_SCHEMA).parquet(f"{folder}/{BUCKETS}")
+    written = store_objects(stored, buckets, folder)
+    if written != first["n"]:
         raise RuntimeError(f"{written} of {first['n']} objects were written")
     discard(spark, scratch)
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/{NODES}")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearpath import fixtures as fx
+from nearpath.functions.paths import path_key
 from nearpath.operators.knn import knn_brute_force, knn_in_buckets
 from nearpath.operators.kernel import forward
 from nearpath.operators.score import NODE_SCHEMA
@@ -13,7 +14,9 @@ from nearpath.plans.build import _training_rows, build_index, cluster_level, nod
 from nearpath.plans.clustering import ALGORITHMS, ClusteringAlgorithm, k_means
 from nearpath.plans.config import BuildConfig
 from nearpath.plans.experiment import ExperimentConfig, buckets_to_visit, run_experiment
-from nearpath.plans.index import load_index, node_catalog
+from nearpath.plans.index import (
+    FileRanges, Index, bucket_catalog, load_index, node_catalog, store_objects,
+)
 from nearpath.plans.kmeans import fit_centres
 from nearpath.plans.models import Node
 from nearpath.sources.results import read_neighbors, read_runs
@@ -117,12 +120,70 @@ def test_save_and_load(index, queries, spark):
     assert rows(again.search(queries, 3)) == rows(index.search(queries, 3))
 
 
-def test_visited_buckets_prune_folders(index, queries, capsys):
-    visited = [r["path_key"] for r in index.bucket_order(queries.filter("query_id = 7"), 1).collect()]
-    index.search(queries.filter("query_id = 7"), 1).explain()
-    plan = capsys.readouterr().out
-    filters = plan.split("PartitionFilters:")[1].split("]")[0]
-    assert f"= {visited[0]}" in filters or f"IN ({visited[0]})" in filters or "INSET" in filters
+def test_visited_buckets_prune_files(index, queries, monkeypatch):
+    """A search reads only files that hold a visited bucket."""
+    read = []
+    plain = Index.objects_of
+    monkeypatch.setattr(Index, "objects_of", lambda self, keys: read.append(plain(self, keys)) or read[-1])
+    one = queries.filter("query_id = 7")
+    key = index.bucket_order(one, 1).first()["path_key"]
+    found = index.search(one, 1)
+    assert {r["neighbor_id"] for r in found.collect()} <= {
+        r["id"] for r in index.objects.filter(F.col("path_key") == key).collect()}
+    files = {f.rsplit("/", 1)[1] for f in read[0].inputFiles()}
+    assert 0 < len(files) < len(index.files.files)
+    held = {r["f"] for r in index.objects.filter(F.col("path_key") == key).select(
+        F.col("_metadata.file_name").alias("f")).distinct().collect()}
+    assert held <= files
+
+
+def test_files_are_even_and_a_hot_bucket_has_many(spark, monkeypatch):
+    """A third of all rows in one bucket, and thousands of small buckets in few files."""
+    monkeypatch.setattr("nearpath.plans.index.TASK_BYTES", 72 * 300)
+    rows = spark.range(9000).select(
+        "id", F.array(F.col("id").cast("double")).alias("v"),
+        F.when(F.col("id") % 3 == 0, F.array(F.lit(5), F.lit(5))).otherwise(
+            F.array((F.col("id") % 10).cast("int"), (F.col("id") % 1000).cast("int"))).alias("path"),
+    ).withColumn("path_key", path_key("path"))
+    folder = work_dir(spark, "even")
+    assert store_objects(rows, bucket_catalog(rows), folder) == 9000
+    files = spark.read.parquet(f"{folder}/files").collect()
+    assert len(files) == 30
+    assert max(f["n_objects"] for f in files) < 2 * 300
+    ranges = FileRanges(files)
+    assert len(ranges.holding([[5, 5]])) >= 9
+    assert 1 <= len(ranges.holding([[0, 10]])) <= 2
+    everything = spark.read.parquet(f"{folder}/objects")
+    for path in ([5, 5], [0, 10], [9, 999], [5, 4], [7, 77]):
+        names = ranges.holding([path])
+        held = everything.where(F.col("path") == F.array(*map(F.lit, path))).select(
+            F.col("_metadata.file_name")).distinct().collect()
+        assert {r[0] for r in held} <= set(names)
+
+
+def test_a_million_buckets_still_prune():
+    """300,000 visited buckets choose the files they are in, and need no folders."""
+    rows = [{"file": f"f{i}", "first_path": [i, 0], "last_path": [i, 999], "n_objects": 1}
+            for i in range(1000)]
+    ranges = FileRanges(rows)
+    chosen = ranges.holding([a, b] for a in range(300) for b in range(1000))
+    assert chosen == [f"f{i}" for i in range(300)]
+    hot = FileRanges([{"file": f"h{i}", "first_path": [1] if i else [0], "last_path": [1], "n_objects": 1}
+                      for i in range(5)])
+    assert len(hot.holding([[1]])) == 5 and hot.holding([[0]]) == ["h0"] and not hot.holding([[2]])
+
+
+@pytest.mark.parametrize("extra, message", [
+    ("objects", "1 ids are only in objects and 0 only in search_objects"),
+    ("search", "0 ids are only in objects and 1 only in search_objects")])
+def test_an_id_of_one_space_only_is_an_error(spark, objects, extra, message):
+    more = objects.unionByName(objects.limit(1).withColumn("id", F.lit(999_999).cast("long")))
+    config = BuildConfig("scikit_kmeans", 3, "MLP-6", 0.01, [3])
+    sides = (more, objects) if extra == "objects" else (objects, more)
+    with pytest.raises(ValueError, match=message):
+        build_index(sides[0], config, search_objects=sides[1])
+    built = build_index(sides[0], config, search_objects=sides[1], allow_unmatched=True)
+    assert built.objects.count() == objects.count()
 
 
 def test_many_visited_buckets_prune_folders(spark, capsys):
