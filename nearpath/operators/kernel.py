@@ -9,6 +9,12 @@ import pyarrow.compute as pc
 # Cells of a distance matrix held at once by one task (32 MB of doubles).
 TILE_CELLS = 4_000_000
 
+# Products of lengths that single precision can hold with room to spare.
+LARGEST = 1e15
+
+# Objects beyond four times k that a query may have left for exact comparison.
+CROWD = 256
+
 # Values of vectors gathered at once when pairs are compared one by one.
 PAIR_VALUES = 4_000_000
 
@@ -82,31 +88,34 @@ def nearest(
 
     Returns query row numbers, ids and distances. ``bounds`` holds, per query,
     a distance above which an object cannot be among its best; those are left
-    out. A matrix product shortlists, with room for its rounding errors, and the
-    few pairs left are compared one by one, so the answer does not depend on how
-    the objects were split over tasks. Never holds more than ``TILE_CELLS``
-    distances.
+    out. A single-precision matrix product shortlists, with room for its
+    rounding errors; queries it leaves too many objects for, all nearly as far
+    away, are shortlisted again in double precision. The few pairs left are
+    compared one by one, so the answer does not depend on how the objects were
+    split over tasks. Never holds more than ``TILE_CELLS`` distances.
     """
     order = np.argsort(ids, kind="stable")
     ids, objects = ids[order], objects[order]
     step = max(1, TILE_CELLS // max(len(ids), 1))
     longest = np.sqrt((objects * objects).sum(axis=1)).max(initial=0.0)
+    narrow = objects.astype(np.float32) if longest < LARGEST else None
     found = []
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
-        raw = part @ objects.T if len(ids) else np.empty((len(part), 0))
-        np.subtract(1.0, raw, out=raw)
-        # What two ways of adding the same products may differ by at most.
+        known = np.full(len(part), np.inf) if bounds is None else bounds[start : start + step]
         lengths = np.sqrt((part * part).sum(axis=1)) * longest
-        slack = 2.3e-16 * ((part.shape[1] + 4) * lengths + 4)
-        limit = np.full(len(raw), np.inf)
-        if bounds is not None:
-            limit = bounds[start : start + step] + slack
-        unknown = np.flatnonzero(np.isinf(limit))
-        if len(unknown) and len(ids) > k:
-            kth = np.partition(raw[unknown], k - 1, axis=1)[:, k - 1]
-            limit[unknown] = kth + 2 * slack[unknown]
-        rows, cols = np.divmod(np.flatnonzero(raw <= limit[:, None]), max(len(ids), 1))
+        if narrow is None or lengths.max(initial=0.0) > LARGEST:
+            rows, cols = _shortlist(part, objects, k, known, lengths, 2.3e-16)
+        else:
+            rows, cols = _shortlist(part.astype(np.float32), narrow, k, known, lengths, 1.3e-7)
+            crowded = np.bincount(rows, minlength=len(part)) > 4 * k + CROWD
+            if crowded.any():
+                again = np.flatnonzero(crowded)
+                more, more_cols = _shortlist(
+                    part[again], objects, k, known[again], lengths[again], 2.3e-16)
+                stay = ~crowded[rows]
+                rows = np.concatenate([rows[stay], again[more]])
+                cols = np.concatenate([cols[stay], more_cols])
         distance = pair_distances(part, objects, rows, cols)
         order = np.lexsort((cols, distance, rows))
         order = order[rank_in_runs(rows[order]) < k]
@@ -116,6 +125,29 @@ def nearest(
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def _shortlist(
+    part: np.ndarray, objects: np.ndarray, k: int, known: np.ndarray, lengths: np.ndarray,
+    rounding: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs that can be among a query's k best.
+
+    ``lengths`` are the products of a query's length and the longest object's;
+    ``rounding`` is twice the relative error of one operation.
+    """
+    n = len(objects)
+    raw = part @ objects.T if n else np.empty((len(part), 0), part.dtype)
+    np.subtract(1, raw, out=raw)
+    # What two ways of adding the same products may differ by at most.
+    slack = rounding * ((part.shape[1] + 4) * lengths + 4)
+    limit = known + slack
+    unknown = np.flatnonzero(np.isinf(limit))
+    if len(unknown) and n > k:
+        kth = np.partition(raw[unknown], k - 1, axis=1)[:, k - 1].astype(np.float64)
+        limit[unknown] = kth + 2 * slack[unknown]
+    limit = np.nextafter(limit.astype(raw.dtype), np.inf, dtype=raw.dtype)
+    return np.divmod(np.flatnonzero(raw <= limit[:, None]), max(n, 1))
+
+
 class RunningTopK:
     """Candidates of one task, kept at k per group and handed on when too many.
 

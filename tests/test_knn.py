@@ -306,6 +306,24 @@ def test_nearest_does_not_depend_on_the_split(n, k, pieces, seed):
         assert a.tolist() == b.tolist()
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 3e-19, 1e9, 1e20])
+@pytest.mark.parametrize("copies", [False, True])
+def test_single_precision_shortlists_lose_nothing(scale, copies):
+    """Near copies and very short or long vectors: the same as all pairs in double."""
+    rng = np.random.default_rng(3)
+    objects = rng.normal(size=(900, 16))
+    if copies:
+        objects = objects[0] + 1e-5 * objects
+    objects, queries = objects * scale, rng.normal(size=(20, 16)) * scale
+    ids = rng.permutation(900)
+    rows, found, distance = nearest(queries, ids, objects, 7)
+    everything = kernel.pair_distances(
+        queries, objects, np.repeat(np.arange(20), 900), np.tile(np.arange(900), 20)).reshape(20, 900)
+    for q in range(20):
+        best = sorted(zip(everything[q], ids))[:7]
+        assert [(d, i) for d, i in zip(distance[rows == q], found[rows == q])] == best
+
+
 def test_small_tiles_give_the_same(monkeypatch):
     rng = np.random.default_rng(3)
     objects, queries = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
