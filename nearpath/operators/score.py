@@ -1,24 +1,24 @@
 """Scoring vectors with the node models of an index.
 
 A node is one row ``(path, path_key, level, kind, layers, weights, n_classes)``.
-Node tables are broadcast when their checked size allows it; otherwise each
-node meets its vectors in a grouped join.
+Node tables are broadcast when their checked size allows it; larger ones go in
+parts, each with the rows that stand at its nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearpath.functions.paths import ROOT_KEY, key_of, path_key
+from nearpath.functions.paths import ROOT_KEY, key_of
 from nearpath.operators.kernel import forward, rows_by_key, to_matrix, to_vector_column
 from nearpath.operators.knn import broadcast_catalog
 from nearpath.sources.workdir import settle
@@ -50,9 +50,6 @@ LEAF_COLUMNS = 100_000
 # Doubles that a task may hold for the best leaves of a slice of queries.
 BEST_CELLS = 4_000_000
 
-# Vectors of one node placed by one group of the grouped join.
-GROUP_ROWS = 8192
-
 # Vectors scored at once inside a task.
 SLICE_ROWS = 1024
 
@@ -60,20 +57,81 @@ SCORES = "query_id long, parent_key string, class int, prob double, class_rank l
 LEAVES = "query_id long, path array<int>, path_key string, probs array<double>"
 
 
+# Kinds of nodes that ``forward`` scores.
+BUILT_IN = ("constant", "logistic", "mlp")
+
+
+@dataclass(frozen=True)
+class ModelKind:
+    """A classifier of the user's own.
+
+    ``fit(x, y, n_classes, parameters, importance, rng)`` gives its weights as a
+    flat array, from rows, their classes and what each row weighs; it is called
+    again, with the same ``rng``, while a class is not predicted.
+    ``score(layers, weights, x)`` gives the probability of every class for every
+    row; ``layers`` is ``[dimension, n_classes]``.
+    """
+
+    fit: Callable
+    score: Callable
+
+
+# The user's kinds by the name under which a configuration asks for them and the
+# node table keeps them. They travel to the tasks by value.
+MODEL_KINDS: dict[str, ModelKind] = {}
+
+
 def node_bytes(nodes: DataFrame) -> int:
     """An upper bound of what the node table takes when broadcast."""
     return nodes.agg(F.sum(F.size("weights") * 8 + 256)).first()[0] or 0
 
 
+class Scorer:
+    """A node's model: class probabilities of the rows of a matrix.
+
+    ``code`` is the pickled scoring function of a kind that the user registered.
+    """
+
+    __slots__ = ("layers", "weights", "code")
+
+    def __init__(self, layers: list[int], weights: np.ndarray, code: bytes | None = None):
+        self.layers, self.weights, self.code = layers, weights, code
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        score = _scoring(self.code) if self.code else forward
+        return score(self.layers, self.weights, x)
+
+
+@lru_cache(maxsize=64)
+def _scoring(code: bytes) -> Callable:
+    return cloudpickle.loads(code)
+
+
+def _codes(kinds) -> dict[str, bytes | None]:
+    """The pickled scoring function of each kind; none for the built-in ones."""
+    out: dict[str, bytes | None] = {}
+    for kind in set(kinds):
+        if kind in BUILT_IN:
+            out[kind] = None
+        elif kind in MODEL_KINDS:
+            out[kind] = cloudpickle.dumps(MODEL_KINDS[kind].score)
+        else:
+            raise ValueError(f"nodes of kind {kind!r}: register it in MODEL_KINDS first")
+    return out
+
+
 def _share_nodes(nodes: DataFrame):
-    """The (size-checked) nodes as a broadcast dict path key -> (layers, weights)."""
-    rows = nodes.select("path_key", "layers", "weights").toArrow()
+    """The (size-checked) nodes as a broadcast dict path key -> scorer."""
+    rows = nodes.select("path_key", "layers", "weights", "kind").toArrow()
+    kinds = rows.column("kind").to_pylist()
+    codes = _codes(kinds)
     models = {
-        key: (layers, np.asarray(weights, dtype=np.float64))
-        for key, layers, weights in zip(
+        key: Scorer(layers, np.asarray(weights, dtype=np.float64), codes[kind])
+        for key, layers, weights, kind in zip(
             rows.column("path_key").to_pylist(),
             rows.column("layers").to_pylist(),
             (w.values.to_numpy(zero_copy_only=False) for w in rows.column("weights")),
+            kinds,
         )
     }
     return nodes.sparkSession.sparkContext.broadcast(models)
@@ -116,8 +174,8 @@ def _score_nodes(queries: DataFrame, nodes: DataFrame, rows_of, schema: str, lim
                 vectors = to_matrix(batch.column("v"))
                 for start in range(0, len(ids), SLICE_ROWS):
                     own = slice(start, start + SLICE_ROWS)
-                    for key, (layers, weights) in shared.value.items():
-                        probs = forward(layers, weights, vectors[own])
+                    for key, model in shared.value.items():
+                        probs = model(vectors[own])
                         yield pa.RecordBatch.from_pydict(rows_of(ids[own], key, probs))
 
         return queries.select("query_id", "v").mapInArrow(score, schema)
@@ -152,11 +210,6 @@ def predict(
         queries, nodes, best, "query_id long, parent_key string, class int", broadcast_bytes)
 
 
-def _model(node: pa.Table) -> tuple[list[int], np.ndarray]:
-    weights = node.column("weights")[0].values
-    return node.column("layers")[0].as_py(), np.asarray(weights, dtype=np.float64)
-
-
 def assign_paths(
     objects: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
 ) -> DataFrame:
@@ -180,7 +233,7 @@ def assign_paths(
                         for row in rows:
                             paths[row] = path
                         continue
-                    classes = forward(*model, vectors[rows]).argmax(axis=1)
+                    classes = model(vectors[rows]).argmax(axis=1)
                     for c in np.unique(classes):
                         open_rows[path + (int(c),)] = rows[classes == c]
                 yield pa.RecordBatch.from_arrays(
@@ -198,63 +251,20 @@ def assign_paths(
             descend, f"id long, v {kind}, path array<int>, path_key string"
         )
 
-    assigned = objects.select(
+    placed = objects.select(
         "id", "v", F.expr("cast(array() as array<int>)").alias("path"),
         F.lit(ROOT_KEY).alias("path_key"),
     )
-    depth = nodes.agg(F.max("level")).first()[0]
-    for level in range(depth + 1):
-        assigned = _descend_level(assigned, nodes.filter(F.col("level") == level))
-        if level < depth:
-            # The next level reads its input twice.
-            assigned = settle(assigned, "placed")
-    return assigned
-
-
-def _descend_level(assigned: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One level for node tables too large to broadcast whole.
-
-    The objects of a node are cut into bounded groups by its object count, so
-    a node that holds a third of all objects becomes many groups.
-    """
-    sizes = broadcast_catalog(settle(assigned.groupBy("path_key").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS)).cast("int").alias("blocks")
-    ), "node-sizes"))
-    left = assigned.join(sizes, "path_key").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    ).drop("blocks")
-    right = nodes.join(sizes, "path_key").select(
-        "path_key", "layers", "weights",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-    )
-    kind = assigned.schema["v"].dataType.simpleString()
-
-    def follow(rows: pa.Table, node: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return rows.select(["id", "v", "path"]).append_column(
-                "class", pa.array([], pa.int32())
-            )
-        if node.num_rows:
-            probs = forward(*_model(node), to_matrix(rows.column("v")))
-            step = pa.array(probs.argmax(axis=1).astype(np.int32))
-        else:
-            step = pa.nulls(rows.num_rows, pa.int32())
-        return rows.select(["id", "v", "path"]).append_column("class", step)
-
-    followed = (
-        left.groupBy("path_key", "block")
-        .cogroup(right.groupBy("path_key", "block"))
-        .applyInArrow(follow, f"id long, v {kind}, path array<int>, class int")
-    )
-    path = F.when(F.col("class").isNull(), F.col("path")).otherwise(
-        F.array_append("path", F.col("class"))
-    )
-    return followed.select("id", "v", path.alias("path")).withColumn(
-        "path_key", path_key("path")
-    )
+    for row in nodes.select("level").distinct().orderBy("level").collect():
+        # each part of a level reads the rows once more
+        placed = settle(
+            step_down(placed, nodes.filter(F.col("level") == row["level"]), broadcast_bytes), "placed")
+    return placed
 
 
-def step_down(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+def step_down(
+    placed: DataFrame, nodes: DataFrame, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Send each row of ``placed`` (id, v, path, path_key) one level down: its path
     gets the most probable class of its node. Rows without a node stay.
 
@@ -263,7 +273,7 @@ def step_down(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     kind = placed.schema["v"].dataType.simpleString()
     schema = f"id long, v {kind}, path array<int>, path_key string"
-    parts = node_batches(nodes, NODE_BYTES)
+    parts = node_batches(nodes, NODE_BYTES if broadcast_bytes is None else broadcast_bytes)
 
     def step(number: int, part: DataFrame) -> DataFrame:
         shared = _share_nodes(part)
@@ -278,7 +288,7 @@ def step_down(placed: DataFrame, nodes: DataFrame) -> DataFrame:
                 for key, rows in rows_by_key(batch.column("path_key")).items():
                     if key not in shared.value:
                         continue
-                    classes = forward(*shared.value[key], vectors[rows]).argmax(axis=1)
+                    classes = shared.value[key](vectors[rows]).argmax(axis=1)
                     for row, c in zip(rows.tolist(), classes.tolist()):
                         paths[row] = [*paths[row], c]
                         keys[row] = key_of(paths[row])
@@ -370,7 +380,7 @@ def reach_leaves(
             rows = now[group == number]
             query = waiting["query"][rows]
             classes, ends, keys = children[key]
-            probs = forward(*models[key], vectors[query])[:, classes]
+            probs = models[key](vectors[query])[:, classes]
             scored += len(rows)
             bound = waiting["bound"][rows][:, None]
             bounds = bound * probs if score == "joint" else np.minimum(bound, probs)
@@ -486,7 +496,7 @@ def broadcast_queries(queries: DataFrame) -> DataFrame:
 
 def _children(rows: pa.RecordBatch, model, score: str) -> pa.RecordBatch:
     """All classes of one node, for the rows that wait there."""
-    probs = forward(*model, to_matrix(rows.column("v")))
+    probs = model(to_matrix(rows.column("v")))
     n, classes = probs.shape
     bound = rows.column("bound").to_numpy()[:, None]
     bound = bound * probs if score == "joint" else np.minimum(bound, probs)

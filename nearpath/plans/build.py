@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from nearpath.functions.paths import ROOT_KEY
 from nearpath.functions.vectors import as_doubles
 from nearpath.operators.kernel import to_matrix
 from nearpath.operators.knn import broadcast_catalog
-from nearpath.operators.score import NODE_SCHEMA, step_down
+from nearpath.operators.score import MODEL_KINDS, NODE_SCHEMA, step_down
 from nearpath.plans.clustering import LABEL
 from nearpath.plans.config import BuildConfig, ModelParameters
 from nearpath.plans.index import (
@@ -31,7 +32,6 @@ from nearpath.plans.index import (
     META,
     META_SCHEMA,
     NODES,
-    OBJECTS,
     Index,
     bucket_catalog,
     load_index,
@@ -65,6 +65,8 @@ def cluster_level(
     """Cluster all ``rows`` (id, v, path_key) of the nodes in ``asked``, and give
     the rows of ``labelled``, of the same nodes, their ``cluster``."""
     algorithm = parameters.clustering_algorithm
+    if algorithm.label is not None:
+        return _label_nodes(labelled, asked, algorithm.label)
     if algorithm.make is None:
         return with_clusters(labelled, fit_centres(rows, asked, algorithm.iterations, seed))
     features = F.col("features")
@@ -83,6 +85,24 @@ def cluster_level(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _label_nodes(labelled: DataFrame, asked: dict[str, int], label) -> DataFrame:
+    """The user's function on the training rows of every node, one grouped job."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        k = asked[group.column("path_key")[0].as_py()]
+        found = np.zeros(group.num_rows, np.int64)
+        if k > 1:
+            found = np.asarray(label(to_matrix(group.column("v")), k))
+            if found.shape != (group.num_rows,) or found.min() < 0 or found.max() >= k:
+                raise ValueError(f"a clustering function must give each row a number below {k}")
+        return group.append_column(LABEL, pa.array(found.astype(np.int32)))
+
+    kind = labelled.schema["v"].dataType.simpleString()
+    return labelled.select("id", "v", "path_key").groupBy("path_key").applyInArrow(
+        run, f"id long, v {kind}, path_key string, {LABEL} int")
+
+
 def _training_rows(rows: DataFrame, sizes: DataFrame, train_rows: int) -> DataFrame:
     """About ``train_rows`` rows of each larger node, by hash of the id, and all
     rows of the others."""
@@ -97,6 +117,7 @@ def _fit_nodes(labelled: DataFrame, sizes: DataFrame, parameters: ModelParameter
     """One grouped fit a node."""
     rows = labelled.join(broadcast_catalog(sizes.select("path_key", "path", "n_requested")), "path_key")
     weights = dict(parameters.class_weights)
+    own = MODEL_KINDS.get(parameters.model_type)
 
     def fit(group: pa.Table) -> pa.Table:
         # One order, so that a node does not depend on how its rows arrived.
@@ -104,7 +125,7 @@ def _fit_nodes(labelled: DataFrame, sizes: DataFrame, parameters: ModelParameter
         return node_rows([fit_node(
             tuple(group.column("path")[0].as_py()), to_matrix(group.column("v")),
             group.column("cluster").to_numpy(), group.column("n_requested")[0].as_py(),
-            parameters, weights,
+            parameters, weights, own,
         )])
 
     return rows.select("id", "v", "path_key", "path", "n_requested", "cluster").groupBy(

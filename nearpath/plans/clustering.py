@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Estimator
 from pyspark.ml.clustering import KMeans
 
@@ -15,15 +16,20 @@ LABEL = "cluster"
 
 @dataclass(frozen=True)
 class ClusteringAlgorithm:
-    """How the rows of a node are clustered; always all of them.
-
-    Without ``make`` it is the k-means that fits all nodes of a level at once.
-    ``make(k)`` gives an estimator from column ``features`` to column
-    ``cluster`` instead, which is fitted node by node: for few nodes.
+    """How the rows of a node are clustered.
+
+    By default it is the k-means that fits all nodes of a level at once, on all
+    their rows. ``label(matrix, k)`` gives the cluster, 0 to k - 1, of every row
+    of a matrix instead; it runs inside grouped tasks, one group a node, all nodes
+    of a level in one job, on the node's training rows (all of them, or about
+    ``train_rows`` of a larger node). ``make(k)`` gives an estimator from column
+    ``features`` to column ``cluster``, which is fitted on all rows node by node:
+    for few nodes.
     """
 
     make: Callable[[int], Estimator] | None = None
     iterations: int = MAX_ITERATIONS
+    label: Callable[[np.ndarray, int], np.ndarray] | None = None
 
 
 def k_means(k: int) -> KMeans:

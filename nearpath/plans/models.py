@@ -15,6 +15,7 @@ import pyarrow as pa
 
 from nearpath.functions.paths import key_of
 from nearpath.operators.kernel import forward
+from nearpath.operators.score import MODEL_KINDS, ModelKind
 from nearpath.plans.config import ModelParameters
 from nearpath.plans.kmeans import SEED
 
@@ -40,6 +41,8 @@ BATCH_ROWS = 256
 
 
 def hidden_layers(model_type: str) -> list[int]:
+    if model_type in MODEL_KINDS:
+        return []
     if model_type not in HIDDEN_LAYERS:
         raise ValueError(f"model type {model_type!r} is not supported")
     return HIDDEN_LAYERS[model_type]
@@ -144,8 +147,9 @@ def nearest_centre_weights(centres: np.ndarray) -> np.ndarray:
 def fit_node(
     path: tuple[int, ...], x: np.ndarray, y: np.ndarray, requested: int,
     parameters: ModelParameters, class_weights: dict[int, float] | None = None,
+    own: ModelKind | None = None,
 ) -> Node:
-    """A classifier of the rows' clusters.
+    """A classifier of the rows' clusters, of the user's ``own`` kind if given.
 
     Clusters without rows are left out. Fitting goes on until every class is
     predicted for some row; after some rounds the centres of the classes decide.
@@ -156,10 +160,16 @@ def fit_node(
         return Node(path, "constant", [dimension, 1], [], 1, requested)
     n_classes = len(present)
     wanted = np.array([(class_weights or {}).get(c, 1.0) for c in range(n_classes)])
-    layers = [dimension, *hidden_layers(parameters.model_type), n_classes]
     rng = np.random.default_rng([SEED, *path])
+    hidden = [] if own else hidden_layers(parameters.model_type)
+    layers = [dimension, *hidden, n_classes]
+    for _ in range(COVERAGE_ROUNDS if own else 0):
+        flat = np.asarray(own.fit(x, y, n_classes, parameters, wanted[y], rng), np.float64).ravel()
+        predicted = len(np.unique(own.score(layers, flat, x).argmax(axis=1)))
+        if predicted == n_classes:
+            return Node(path, parameters.model_type, layers, flat.tolist(), predicted, requested)
     weights = _first_weights(layers, rng)
-    for _ in range(COVERAGE_ROUNDS):
+    for _ in range(0 if own else COVERAGE_ROUNDS):
         train(weights, x, y, wanted[y], parameters, rng)
         flat = _flat(weights)
         predicted = len(np.unique(forward(layers, flat, x).argmax(axis=1)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from nearpath.operators.knn import (
 )
 from nearpath.operators.navigate import leaf_probabilities, navigate, rank_buckets
 from nearpath.operators.recall import recall_at_k, recall_sweep
-from nearpath.operators.score import assign_paths, predict, predict_proba
+from nearpath.operators.score import (
+    MODEL_KINDS, ModelKind, assign_paths, predict, predict_proba,
+)
 from nearpath.operators.topk import merge_top_k
 from nearpath.plans.build import _fit_nodes, _training_rows, build_index, node_sizes
 from nearpath.plans.clustering import ClusteringAlgorithm, k_means
@@ -691,6 +694,37 @@ def kmeans_partition_first(spark, sf_dir):
     return _kmeans(spark, sf_dir, "faiss_kmeans")
 
 
+@_register("kmeans_fixed_point", """
+SELECT count(*) AS n_rows, TRUE AS centres_are_means, CAST(0 AS BIGINT) AS n_moved FROM embeddings""")
+def kmeans_fixed_point(spark, sf_dir):
+    """Centres that no longer move: each is the mean of the rows nearest to it, by
+    an average of their components that shares nothing with the fit."""
+    rows = fx.embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("id"), vectors.as_doubles("embedding").alias("v"),
+        F.lit("b").alias("path_key"))
+    centres = fit_centres(rows, {"b": K}, iterations=500)
+    held = spark.createDataFrame(
+        [(c, i, float(x)) for c, row in enumerate(centres["b"]) for i, x in enumerate(row)],
+        "cluster int, i int, x double")
+    labelled = with_clusters(rows, centres)
+    means = labelled.select("cluster", F.posexplode("v").alias("i", "y")).groupBy(
+        "cluster", "i").agg(F.avg("y").alias("mean"))
+    off = held.join(means, ["cluster", "i"], "full").agg(
+        F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("mean")) < 1e-9, F.lit(False))).alias("m"))
+    centre = F.collect_list(F.struct("i", "x"))
+    as_vectors = held.groupBy("cluster").agg(F.array_sort(centre)["x"].alias("c"))  # K rows
+    squared = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                          lambda total, d: total + d)
+    moved = (
+        labelled.join(F.broadcast(as_vectors.withColumnRenamed("cluster", "other")))
+        .groupBy("id", "cluster").agg(F.min_by("other", squared).alias("nearest"))
+        .agg(F.count_if(F.col("nearest") != F.col("cluster")).alias("n_moved"),
+             F.count(F.lit(1)).alias("n_rows"))
+    )
+    return moved.join(F.broadcast(off)).select(
+        "n_rows", F.col("m").alias("centres_are_means"), "n_moved")
+
+
 @_register("node_requests", """
 SELECT 'b' || label AS path_key, count(*) AS n_rows,
        CAST(CASE WHEN count(*) < 2 THEN 1
@@ -867,6 +901,40 @@ def index_save_load(spark, sf_dir):
     return _reported(index.search(fx.as_queries(fx.objects(spark, sf_dir)), index.n_buckets, K))
 
 
+def _largest_of(first: int, n: int):
+    """The place of the largest of a few components, as a clustering function and
+    as a model kind of its own."""
+    def label(x, k):
+        return x[:, first:first + n].argmax(axis=1) % k
+
+    def fit(x, y, n_classes, parameters, importance, rng):
+        return [first]
+
+    def score(layers, weights, x):
+        own = x[:, int(weights[0]):int(weights[0]) + layers[-1]]
+        odds = np.exp(20 * (own - own.max(axis=1, keepdims=True)))
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    return ClusteringAlgorithm(label=label), ModelKind(fit, score)
+
+
+@_register("registered_models", """
+SELECT vec_id AS id,
+       'b' || (list_position(embedding[1:3], list_max(embedding[1:3])) - 1) || '_'
+         || (list_position(embedding[4:5], list_max(embedding[4:5])) - 1) AS path_key
+FROM embeddings""")
+def registered_models(spark, sf_dir):
+    """Clustering functions and model kinds of the user's own, saved and loaded: where
+    the loaded nodes send every object."""
+    (first, MODEL_KINDS["largest-of-3"]), (second, MODEL_KINDS["largest-of-2"]) = (
+        _largest_of(0, 3), _largest_of(3, 2))
+    objects, folder = fx.objects(spark, sf_dir), work_dir(spark, "registered")
+    build_index(objects, BuildConfig(
+        [first, second], [1, 1], ["largest-of-3", "largest-of-2"], [0.1, 0.1], [3, 2],
+    )).save(folder)
+    return assign_paths(objects, load_index(spark, folder).nodes).select("id", "path_key")
+
+
 @_register("learned_recall_sweep", """
 SELECT TRUE AS non_decreasing, CAST(1.0 AS DOUBLE) AS recall_at_all, count(*) AS n_queries
 FROM embeddings""")

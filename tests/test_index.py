@@ -8,7 +8,7 @@ from nearpath import fixtures as fx
 from nearpath.functions.paths import path_key
 from nearpath.operators.knn import knn_brute_force, knn_in_buckets
 from nearpath.operators.kernel import forward
-from nearpath.operators.score import NODE_SCHEMA
+from nearpath.operators.score import NODE_SCHEMA, assign_paths
 from nearpath.plans import models
 from nearpath.plans.build import _training_rows, build_index, cluster_level, node_sizes
 from nearpath.plans.clustering import ALGORITHMS, ClusteringAlgorithm, k_means
@@ -463,3 +463,30 @@ def test_experiment_and_baseline(spark, objects, queries, truth):
         ExperimentConfig(build, index_type="other")
     with pytest.raises(ValueError):
         run_experiment(objects, queries, config, folder, objects_search=objects)
+
+
+def test_a_registered_function_clusters_900_nodes_in_few_jobs(spark):
+    """The number of jobs does not depend on the number of nodes."""
+    rows = spark.range(9000).selectExpr(
+        "id", "array(CAST(id % 10 AS DOUBLE), 1D) AS v", "concat('b', id % 900) AS path_key")
+    parameters = BuildConfig(
+        ClusteringAlgorithm(label=lambda x, k: (x[:, 0] >= 5).astype(int)), 1, "MLP-8", 0.1, [2]).levels[0]
+    spark.sparkContext.setJobGroup("label", "label")
+    labelled = cluster_level(rows, rows, {f"b{i}": 2 for i in range(900)}, parameters, 1)
+    assert labelled.where("cluster != CAST(id % 10 >= 5 AS INT)").count() == 0
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("label"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4
+
+
+def test_a_function_must_give_numbers_below_k(spark, objects):
+    config = BuildConfig(ClusteringAlgorithm(label=lambda x, k: np.full(len(x), k)), 1, "MLP-8", 0.1, [2])
+    with pytest.raises(Exception, match="a number below 2"):
+        build_index(objects, config)
+
+
+def test_an_unknown_kind_is_an_error(spark, objects):
+    nodes = spark.createDataFrame(
+        [([], "b", 0, "mine", [64, 2], [0.0], 2, 2, 2)], NODE_SCHEMA)
+    with pytest.raises(ValueError, match="MODEL_KINDS"):
+        assign_paths(objects, nodes)

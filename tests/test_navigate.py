@@ -184,9 +184,8 @@ def descend(nodes, x):
     return path
 
 
-def test_assignment_both_ways(tree, monkeypatch):
+def test_assignment_both_ways(tree):
     nodes, frame, _, _, matrix, queries = tree
-    monkeypatch.setattr(score, "GROUP_ROWS", 8)
     objects = queries.withColumnRenamed("query_id", "id")
     wanted = {i: descend(nodes, x) for i, x in enumerate(matrix)}
     for options in ({}, {"broadcast_bytes": 0}):
@@ -278,7 +277,7 @@ def test_the_level_walk_expands_few_nodes(spark, monkeypatch):
     rows = []
     for path in paths:
         weights = (6 * rng.normal(size=9 * 12)).tolist()
-        rows.append((list(path), key_of(path), len(path), "linear", [8, 12], weights, 12, 12, 12))
+        rows.append((list(path), key_of(path), len(path), "logistic", [8, 12], weights, 12, 12, 12))
     nodes = spark.createDataFrame(rows, score.NODE_SCHEMA)
     buckets = spark.createDataFrame(
         [([a, b, c], key_of((a, b, c)), 1) for a in range(12) for b in range(12) for c in range(12)],
