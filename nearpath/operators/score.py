@@ -86,20 +86,12 @@ def node_bytes(nodes: DataFrame) -> int:
     return nodes.agg(F.sum(F.size("weights") * 8 + 256)).first()[0] or 0
 
 
-class Scorer:
-    """A node's model: class probabilities of the rows of a matrix.
-
-    ``code`` is the pickled scoring function of a kind that the user registered.
-    """
-
-    __slots__ = ("layers", "weights", "code")
-
-    def __init__(self, layers: list[int], weights: np.ndarray, code: bytes | None = None):
-        self.layers, self.weights, self.code = layers, weights, code
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        score = _scoring(self.code) if self.code else forward
-        return score(self.layers, self.weights, x)
+def class_probabilities(model: tuple, x: np.ndarray) -> np.ndarray:
+    """Of the rows of a matrix, by a node's layers and weights and, for a kind that
+    the user registered, its pickled scoring function."""
+    layers, weights, *code = model
+    score = _scoring(code[0]) if code and code[0] else forward
+    return score(layers, weights, x)
 
 
 @lru_cache(maxsize=64)
@@ -121,12 +113,12 @@ def _codes(kinds) -> dict[str, bytes | None]:
 
 
 def _share_nodes(nodes: DataFrame):
-    """The (size-checked) nodes as a broadcast dict path key -> scorer."""
+    """The (size-checked) nodes as a broadcast dict path key -> model."""
     rows = nodes.select("path_key", "layers", "weights", "kind").toArrow()
     kinds = rows.column("kind").to_pylist()
     codes = _codes(kinds)
     models = {
-        key: Scorer(layers, np.asarray(weights, dtype=np.float64), codes[kind])
+        key: (layers, np.asarray(weights, dtype=np.float64), codes[kind])
         for key, layers, weights, kind in zip(
             rows.column("path_key").to_pylist(),
             rows.column("layers").to_pylist(),
@@ -175,7 +167,7 @@ def _score_nodes(queries: DataFrame, nodes: DataFrame, rows_of, schema: str, lim
                 for start in range(0, len(ids), SLICE_ROWS):
                     own = slice(start, start + SLICE_ROWS)
                     for key, model in shared.value.items():
-                        probs = model(vectors[own])
+                        probs = class_probabilities(model, vectors[own])
                         yield pa.RecordBatch.from_pydict(rows_of(ids[own], key, probs))
 
         return queries.select("query_id", "v").mapInArrow(score, schema)
@@ -233,7 +225,7 @@ def assign_paths(
                         for row in rows:
                             paths[row] = path
                         continue
-                    classes = model(vectors[rows]).argmax(axis=1)
+                    classes = class_probabilities(model, vectors[rows]).argmax(axis=1)
                     for c in np.unique(classes):
                         open_rows[path + (int(c),)] = rows[classes == c]
                 yield pa.RecordBatch.from_arrays(
@@ -288,7 +280,7 @@ def step_down(
                 for key, rows in rows_by_key(batch.column("path_key")).items():
                     if key not in shared.value:
                         continue
-                    classes = shared.value[key](vectors[rows]).argmax(axis=1)
+                    classes = class_probabilities(shared.value[key], vectors[rows]).argmax(axis=1)
                     for row, c in zip(rows.tolist(), classes.tolist()):
                         paths[row] = [*paths[row], c]
                         keys[row] = key_of(paths[row])
@@ -380,7 +372,7 @@ def reach_leaves(
             rows = now[group == number]
             query = waiting["query"][rows]
             classes, ends, keys = children[key]
-            probs = models[key](vectors[query])[:, classes]
+            probs = class_probabilities(models[key], vectors[query])[:, classes]
             scored += len(rows)
             bound = waiting["bound"][rows][:, None]
             bounds = bound * probs if score == "joint" else np.minimum(bound, probs)
@@ -496,7 +488,7 @@ def broadcast_queries(queries: DataFrame) -> DataFrame:
 
 def _children(rows: pa.RecordBatch, model, score: str) -> pa.RecordBatch:
     """All classes of one node, for the rows that wait there."""
-    probs = model(to_matrix(rows.column("v")))
+    probs = class_probabilities(model, to_matrix(rows.column("v")))
     n, classes = probs.shape
     bound = rows.column("bound").to_numpy()[:, None]
     bound = bound * probs if score == "joint" else np.minimum(bound, probs)
