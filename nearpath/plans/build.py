@@ -1,8 +1,8 @@
 """Building an index: one model per node, level by level.
 
 Each level clusters all rows of all its nodes together, fits all classifiers in
-one grouped job whose tasks hand on finished nodes, and places every row once;
-the next level goes on from that placement. Nodes go in batches whose centres
+one grouped job whose tasks hand on finished nodes (or, on all rows, by one job
+an evaluation), and places every row once; the next level goes on from that placement. Nodes go in batches whose centres
 and weights may be broadcast. So the number of jobs depends on the number of
 levels and batches, not on the number of nodes, and the driver holds one batch
 of centres and a row of counts a node.
@@ -26,6 +26,7 @@ from nearpath.operators.knn import broadcast_catalog
 from nearpath.operators.score import MODEL_KINDS, NODE_SCHEMA, step_down
 from nearpath.plans.clustering import LABEL
 from nearpath.plans.config import BuildConfig, ModelParameters
+from nearpath.plans.full_fit import HELD, fit_on_all_rows
 from nearpath.plans.index import (
     BUCKET_SCHEMA,
     BUCKETS,
@@ -40,7 +41,7 @@ from nearpath.plans.index import (
 )
 from nearpath.plans.kmeans import fit_centres, with_clusters
 from nearpath.plans.models import fit_node, hidden_layers, node_rows
-from nearpath.sources.workdir import discard, settle, work_dir
+from nearpath.sources.workdir import discard, settle, settle_in, work_dir
 
 # Centres, or weights, of the nodes that are worked on together, in bytes.
 BATCH_BYTES = 64 << 20
@@ -154,7 +155,9 @@ def _fit_level(
     hidden = hidden_layers(parameters.model_type)
     wide = (hidden or [dimension])[-1] + 1
     fixed = 8 * sum((a + 1) * b for a, b in zip([dimension, *hidden], hidden)) + 256
-    batches = _batches(sizes.orderBy("path_key").collect(), 8 * (dimension + wide), fixed)
+    held = HELD if config.train_rows is None else 1
+    batches = _batches(
+        sizes.orderBy("path_key").collect(), 8 * held * (dimension + wide), held * fixed)
     rows = placed.select("id", "v", "path_key")
     if len(batches) > 1:
         # By node, so that a batch skips what lies between others.
@@ -169,6 +172,14 @@ def _fit_level(
         if len(batches) > 1:
             own = rows.filter(F.col("path_key").isin(list(asked)))
         started = time.time()
+        if config.train_rows is None:
+            labelled, folder = settle_in(cluster_level(own, own, asked, parameters, config.seed).select(
+                "v", "path_key", "cluster"), "labelled")
+            cluster_s += time.time() - started
+            fitted = fit_on_all_rows(labelled, batch, parameters, dimension)
+            fitted.write.mode("append").parquet(target)
+            discard(spark, folder)
+            continue
         sample = _training_rows(own, sizes, config.train_rows)
         labelled = cluster_level(own, sample, asked, parameters, config.seed)
         cluster_s += time.time() - started

@@ -9,7 +9,8 @@ from nearpath.plans.clustering import ClusteringAlgorithm, clustering_algorithm
 from nearpath.plans.kmeans import SEED
 
 # Labelled rows a node's classifier is trained on at most, so that a fit is one
-# task. Clusters come from all rows, and the classifier then places every row.
+# task; None trains on all rows. Clusters come from all rows either way, and the
+# classifier then places every row.
 TRAIN_ROWS = 50_000
 MIN_TRAIN_ROWS = 32
 
@@ -43,7 +44,9 @@ class BuildConfig:
 
     The first four are either all lists (of length one, or one value per
     level) or all single values. ``class_weights`` weighs the classes of every
-    node while it is trained. ``allow_missing`` accepts nodes that predict fewer
+    node while it is trained. ``train_rows=None`` trains every node on all of its
+    rows: ``epochs`` then counts evaluations of a full-batch descent, and ``solver``
+    and ``lr`` have no say. ``allow_missing`` accepts nodes that predict fewer
     classes than they were trained with; otherwise the build fails.
     """
 
@@ -53,19 +56,20 @@ class BuildConfig:
     lrs: float | Sequence[float]
     n_categories: Sequence[int]
     solver: str = "adam"
-    train_rows: int = TRAIN_ROWS
+    train_rows: int | None = TRAIN_ROWS
     class_weights: dict[int, float] | None = None
     allow_missing: bool = False
     seed: int = SEED
     levels: list[ModelParameters] = field(init=False, repr=False)
 
     def __post_init__(self):
+        from nearpath.operators.score import MODEL_KINDS
         from nearpath.plans.models import hidden_layers
 
         self.n_categories = list(self.n_categories)
         if not self.n_categories or min(self.n_categories) < 1:
             raise ValueError("an index needs one or more levels, each of one or more classes")
-        if self.train_rows < MIN_TRAIN_ROWS:
+        if self.train_rows is not None and self.train_rows < MIN_TRAIN_ROWS:
             raise ValueError(f"train_rows must be at least {MIN_TRAIN_ROWS}")
         if self.solver not in SOLVERS:
             raise ValueError(f"unknown solver {self.solver!r}, expected one of {SOLVERS}")
@@ -89,6 +93,13 @@ class BuildConfig:
             )
         ]
 
+        if self.train_rows is None:
+            # a user's own function needs the rows of a node in one task
+            if any(level.model_type in MODEL_KINDS for level in self.levels):
+                raise ValueError("train_rows=None needs one of the model presets")
+            if any(level.clustering_algorithm.label is not None for level in self.levels):
+                raise ValueError("train_rows=None needs a clustering of all rows, not a function")
+
     @property
     def n_levels(self) -> int:
         return len(self.n_categories)

@@ -3,6 +3,7 @@
 A node is a feed-forward net with sigmoid hidden layers and a softmax, trained
 on at most ``train_rows`` labelled rows with Adam on batches of 256. All nodes
 of a level are fitted by one grouped job, and tasks hand on finished node rows.
+``full_fit.py`` trains the same nets on all rows instead.
 """
 
 from __future__ import annotations
@@ -70,8 +71,8 @@ class Node:
         )
 
 
-def constant_node(path: tuple[int, ...], dimension: int) -> Node:
-    return Node(path, "constant", [dimension, 1], [], 1)
+def constant_node(path: tuple[int, ...], dimension: int, requested: int = 0) -> Node:
+    return Node(path, "constant", [dimension, 1], [], 1, requested)
 
 
 def n_clusters_for(n_rows: int, n_categories: int) -> int:
@@ -83,7 +84,7 @@ def n_clusters_for(n_rows: int, n_categories: int) -> int:
     return n_categories
 
 
-def _first_weights(layers: list[int], rng: np.random.Generator) -> list[np.ndarray]:
+def first_weights(layers: list[int], rng: np.random.Generator) -> list[np.ndarray]:
     out = []
     for n_in, n_out in zip(layers, layers[1:]):
         spread = np.sqrt(6 / (n_in + n_out))
@@ -91,25 +92,36 @@ def _first_weights(layers: list[int], rng: np.random.Generator) -> list[np.ndarr
     return out
 
 
-def _gradients(
+def loss_and_gradients(
     weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, importance: np.ndarray
-) -> list[np.ndarray]:
-    """Of the weighted cross-entropy of a batch."""
+) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """Of the weighted cross-entropy, summed over a batch; and the classes predicted."""
     states = [x]
     for depth in range(0, len(weights) - 2, 2):
         states.append(1 / (1 + np.exp(-(states[-1] @ weights[depth] + weights[depth + 1]))))
     odds = states[-1] @ weights[-2] + weights[-1]
-    odds = np.exp(odds - odds.max(axis=1, keepdims=True))
-    error = odds / odds.sum(axis=1, keepdims=True)
+    odds -= odds.max(axis=1, keepdims=True)
+    predicted, own = odds.argmax(axis=1), odds[np.arange(len(y)), y]
+    odds = np.exp(odds)
+    whole = odds.sum(axis=1, keepdims=True)
+    loss = float(importance @ (np.log(whole[:, 0]) - own))
+    error = odds / whole
     error[np.arange(len(y)), y] -= 1
-    error *= (importance / importance.sum())[:, None]
+    error *= importance[:, None]
     out: list[np.ndarray] = []
     for depth in range(len(weights) - 2, -1, -2):
         state = states[depth // 2]
         out = [state.T @ error, error.sum(axis=0), *out]
         if depth:
             error = (error @ weights[depth].T) * state * (1 - state)
-    return out
+    return loss, out, predicted
+
+
+def _gradients(
+    weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, importance: np.ndarray
+) -> list[np.ndarray]:
+    """Of the weighted mean cross-entropy of a batch."""
+    return loss_and_gradients(weights, x, y, importance / importance.sum())[1]
 
 
 def train(
@@ -135,10 +147,20 @@ def train(
                     np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
 
 
-def _flat(weights: list[np.ndarray]) -> np.ndarray:
+def flattened(weights: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([w.ravel() for w in weights])
 
 
+def shaped(layers: list[int], values: np.ndarray) -> list[np.ndarray]:
+    """The matrices and offsets that :func:`flattened` put together."""
+    out, at = [], 0
+    for n_in, n_out in zip(layers, layers[1:]):
+        out += [values[at : at + n_in * n_out].reshape(n_in, n_out),
+                values[at + n_in * n_out : at + (n_in + 1) * n_out]]
+        at += (n_in + 1) * n_out
+    return out
+
+
 def nearest_centre_weights(centres: np.ndarray) -> np.ndarray:
     """A softmax over minus half the squared distances, as a net without hidden layers."""
     return np.concatenate([centres.T.ravel(), -(centres * centres).sum(axis=1) / 2])
@@ -168,10 +190,10 @@ def fit_node(
         predicted = len(np.unique(own.score(layers, flat, x).argmax(axis=1)))
         if predicted == n_classes:
             return Node(path, parameters.model_type, layers, flat.tolist(), predicted, requested)
-    weights = _first_weights(layers, rng)
+    weights = first_weights(layers, rng)
     for _ in range(0 if own else COVERAGE_ROUNDS):
         train(weights, x, y, wanted[y], parameters, rng)
-        flat = _flat(weights)
+        flat = flattened(weights)
         predicted = len(np.unique(forward(layers, flat, x).argmax(axis=1)))
         if predicted == n_classes:
             kind = "mlp" if len(layers) > 2 else "logistic"

@@ -807,6 +807,21 @@ def index_per_level(spark, sf_dir):
         F.every(F.col("n_predicted") == F.col("n_classes")).alias("covered"))
 
 
+@_register("index_all_rows", """
+SELECT vec_id AS id, CAST(2 AS INTEGER) AS depth, TRUE AS covered, TRUE AS has_path FROM embeddings""")
+def index_all_rows(spark, sf_dir):
+    """Classifiers trained on all rows of their nodes predict every class, and place
+    every object where they predict it."""
+    objects = fx.objects(spark, sf_dir)
+    index = build_index(objects, BuildConfig(
+        "scikit_kmeans", 15, "MLP-8", 0.01, [4, 3], train_rows=None))
+    again = assign_paths(objects, index.nodes).select("id", F.col("path_key").alias("again"))
+    covered = index.nodes.agg(F.every(F.col("n_predicted") == F.col("n_classes"))).first()[0]
+    return index.assignments.join(again, "id").select(
+        "id", F.size("path").alias("depth"), F.lit(covered).alias("covered"),
+        (F.col("path_key") == F.col("again")).alias("has_path"))
+
+
 @_register("index_build", """
 SELECT vec_id AS id, CAST(1 AS BIGINT) AS n_paths, CAST(2 AS INTEGER) AS depth,
        TRUE AS in_catalog

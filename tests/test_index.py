@@ -339,6 +339,8 @@ def test_levels_keep_their_own_values():
     ({"clustering_algorithms": "density"}, "unknown clustering"),
     ({"solver": "l-bfgs"}, "unknown solver"),
     ({"train_rows": 3}, "train_rows"),
+    ({"train_rows": None, "clustering_algorithms": ClusteringAlgorithm(label=lambda x, k: None)},
+     "clustering of all rows"),
 ])
 def test_bad_configurations(changed, message):
     good = {"clustering_algorithms": "scikit_kmeans", "epochs": 5, "model_types": "MLP", "lrs": 0.1,
@@ -390,10 +392,10 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(5)
     x, y, importance = rng.normal(size=(7, 3)), rng.integers(0, 4, 7), rng.random(7) + 0.5
     layers = [3, 5, 6, 4]
-    weights = models._first_weights(layers, rng)
+    weights = models.first_weights(layers, rng)
 
     def loss():
-        p = forward(layers, models._flat(weights), x)[np.arange(7), y]
+        p = forward(layers, models.flattened(weights), x)[np.arange(7), y]
         return -(np.log(p) * importance).sum() / importance.sum()
 
     for w, grad in zip(weights, models._gradients(weights, x, y, importance)):
