@@ -7,11 +7,13 @@ probability of 5e-8. Inside a band's bucket the MinHash values of each pair are
 compared 16 at a time; with m of n equal and a flat prior the similarity
 follows Beta(m + 1, n - m + 1), and once the chance of reaching the threshold
 is below ``TOLERANCE`` the pair is dropped. The others tie their nodes together,
-and inside each tied group all pairs are verified on the whole sets.
+and inside each tied group the pairs that pass the same test are verified on the
+whole sets.
 
-No pair becomes a row. A bucket or group of more than ``CHUNK`` nodes is dealt
-into chunks, each two chunks meet in a task of their own, and a task hands on
-one row a node: how many documents it is linked with, and one of them.
+No pair becomes a row. A bucket or group of more than ``CHUNK`` nodes, or whose
+sets take more than ``CHUNK_BYTES``, is dealt into chunks; each two chunks are a
+tile. Tiles stream through sorted tasks, one in memory at a time, and hand on one
+row a linked node: how many documents it is linked with, and one of them.
 
 A text without words has an empty set; such texts are copies of each other and
 linked with no other. Rows of one id are separate documents.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from nearpath.llm.components import connected_components
 from nearpath.llm.fingerprint import mix, rolling
-from nearpath.llm.rows import id_and_text, input_tasks, spark_schema
+from nearpath.llm.rows import id_and_text, input_tasks, spark_schema, table
 from nearpath.sources.workdir import settle
 
 WIDTH = 5
@@ -39,6 +41,8 @@ HASHES, BANDS = 128, 32
 STEP = 16
 TOLERANCE = 1e-8
 CHUNK = 256
+CHUNK_BYTES = 16 << 20
+HANDED_ON = 10_000
 PIECE = 4096
 
 _RANDOM = np.random.default_rng(20230)
@@ -50,6 +54,8 @@ SIGNED = pa.schema([
     ("signature", pa.binary()),
 ])
 SETS = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
+TIES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+LINKS = pa.schema([*TIES, ("links", pa.int64())])
 
 
 class Shingler:
@@ -127,40 +133,58 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def tiles(rows: DataFrame, group: list[str], size: Column, parts: int) -> DataFrame:
+def tiles(rows: DataFrame, group: str, chunks: Column, parts: int) -> DataFrame:
     """Deal the rows of each group to chunks, and each pair of chunks to a tile.
 
-    Adds ``chunk``, ``a``, ``b`` (the tile) and ``task``: many tiles, chosen by
-    hash, share a task. Without more than ``CHUNK`` rows a group is one tile.
+    Adds ``chunk``, ``a`` and ``b`` (the tile). Many tiles, chosen by hash, share a
+    task, where their rows follow each other.
     """
-    chunks = F.ceil(size / CHUNK).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn(
+    rows = rows.withColumn("chunks", chunks.cast("int")).withColumn(
         "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     return (
         rows.withColumn("other", other)
         .withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other"))
-        .withColumn("task", F.pmod(F.xxhash64(*group, "a", "b"), F.lit(parts)).cast("int"))
         .drop("chunks", "other")
+        .repartitionById(parts, F.pmod(F.xxhash64(group, "a", "b"), F.lit(parts)).cast("int"))
+        .sortWithinPartitions(group, "a", "b", "chunk", "node")
     )
 
 
-def each_tile(rows: pa.Table, group: list[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+def each_tile(
+    batches: Iterator[pa.RecordBatch], group: str
+) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
     """Columns, and the pairs (left, right) to look at, of each tile of a task."""
-    rows = rows.sort_by([(name, "ascending") for name in (*group, "a", "b", "chunk", "node")])
-    columns = {name: rows.column(name).to_pylist() for name in rows.column_names}
-    keys = list(zip(*(columns[name] for name in (*group, "a", "b"))))
-    start = 0
-    for stop in range(1, len(keys) + 1):
-        if stop < len(keys) and keys[stop] == keys[start]:
-            continue
-        own = {name: column[start:stop] for name, column in columns.items()}
-        n, first = stop - start, own["chunk"].count(own["a"][0])
-        if own["a"][0] == own["b"][0]:
-            yield own, *np.triu_indices(n, 1)
-        else:
-            yield own, np.repeat(np.arange(first), n - first), np.tile(np.arange(first, n), first)
-        start = stop
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(name).to_pylist() for name in (group, "a", "b"))))
+        start = 0
+        for stop, key in enumerate(keys):
+            if key == last:
+                continue
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+            if held:
+                yield one_tile(held)
+            held, start, last = [], stop, key
+        if keys:
+            held.append(batch.slice(start))
+    if held:
+        yield one_tile(held)
+
+
+def one_tile(held: list[pa.RecordBatch]) -> tuple[dict, np.ndarray, np.ndarray]:
+    rows = pa.Table.from_batches(held)
+    own = {name: rows.column(name).to_pylist() for name in rows.column_names}
+    n, first = rows.num_rows, own["chunk"].count(own["a"][0])
+    if own["a"][0] == own["b"][0]:
+        return own, *np.triu_indices(n, 1)
+    return own, np.repeat(np.arange(first), n - first), np.tile(np.arange(first, n), first)
+
+
+def signatures(own: dict) -> np.ndarray:
+    return np.frombuffer(b"".join(own["signature"]), np.uint16).reshape(-1, HASHES)
 
 
 def shared_shingles(sets: list[np.ndarray], block: int = 8192) -> np.ndarray:
@@ -218,6 +242,7 @@ def jaccard_classes(
     signed = settle(docs.mapInArrow(sign, spark_schema(SIGNED)), "signed")
     nodes = settle(signed.groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies"),
+        F.min(F.struct("doc_id", "text_key")).alias("sample"),
         F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
     ), "nodes")
 
@@ -231,25 +256,27 @@ def jaccard_classes(
     members = bands.join(full, F.col("bucket") == F.col("full")).select("node", "bucket", "size")
     members = members.join(nodes.select("node", "signature"), "node")
 
-    def tie(rows: pa.Table) -> pa.Table:
-        out = {"u": [], "v": []}
-        for own, left, right in each_tile(rows, ["bucket"]):
-            values = np.frombuffer(b"".join(own["signature"]), np.uint16).reshape(-1, HASHES)
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {name: [] for name in TIES.names}
+        for own, left, right in each_tile(batches, "bucket"):
+            values = signatures(own)
             label = roots(len(values), *prune(values, left, right, limits))
             for i in np.flatnonzero(label != np.arange(len(label))).tolist():
                 out["u"].append(own["node"][i])
                 out["v"].append(own["node"][label[i]])
-        return pa.table({name: pa.array(column, pa.binary()) for name, column in out.items()})
+            if len(out["u"]) >= HANDED_ON:
+                yield table(TIES, out)
+                out = {name: [] for name in TIES.names}
+        yield table(TIES, out)
 
-    ties = (
-        tiles(members, ["bucket"], F.col("size"), parts)
-        .groupBy("task").applyInArrow(tie, "u binary, v binary")
-    )
+    ties = tiles(members, "bucket", F.ceil(F.col("size") / CHUNK), parts).mapInArrow(
+        tie, spark_schema(TIES))
     tied = settle(connected_components(ties), "tied")
 
     # whole sets of the tied nodes, from one document each
     wanted = tied.join(nodes, "node").select(
-        "node", "component", "copies", "n_shingles", F.col("first_id").alias("wanted_id"))
+        "node", "component", "copies", "n_shingles", "signature",
+        F.col("sample.doc_id").alias("wanted_id"), F.col("sample.text_key").alias("wanted_key"))
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -261,35 +288,46 @@ def jaccard_classes(
             ], schema=SETS)
 
     sets = (
-        docs.join(wanted.select("wanted_id").distinct(),
-                  F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        docs.join(wanted.select("wanted_id", "wanted_key").distinct(),
+                  (F.col("text_key") == F.col("wanted_key"))
+                  & F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
         .select("text").mapInArrow(read_sets, spark_schema(SETS))
         .groupBy("node").agg(F.first("shingles").alias("shingles"))
     )
-    sizes = tied.groupBy(F.col("component").alias("sized")).agg(F.count("*").alias("size"))
+    sizes = wanted.groupBy(F.col("component").alias("sized")).agg(F.greatest(
+        F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n_shingles") * 8 / CHUNK_BYTES)).alias("size"))
     verified = wanted.join(sets, "node").join(sizes, F.col("component") == F.col("sized"))
 
-    def verify(rows: pa.Table) -> pa.Table:
-        out = {"u": [], "v": [], "links": []}
-        for own, left, right in each_tile(rows, ["component"]):
-            n = np.array(own["n_shingles"])
-            shared = shared_shingles([np.frombuffer(s, np.uint64) for s in own["shingles"]])
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {name: [] for name in LINKS.names}
+        for own, left, right in each_tile(batches, "component"):
+            left, right = prune(signatures(own), left, right, limits)
+            if not len(left):
+                continue
+            # only the nodes of the pairs left
+            used, places = np.unique(np.concatenate([left, right]), return_inverse=True)
+            left, right = np.split(places, 2)
+            shared = shared_shingles([np.frombuffer(own["shingles"][i], np.uint64) for i in used])
+            n = np.array(own["n_shingles"])[used]
             both = shared[left, right]
             linked = both >= threshold * (n[left] + n[right] - both) - 1e-9
             left, right = left[linked], right[linked]
-            copies = np.array(own["copies"])
+            copies = np.array(own["copies"])[used]
             links = np.bincount(left, copies[right], len(n)) + np.bincount(right, copies[left], len(n))
-            label = roots(len(n), left, right)
-            out["u"] += own["node"]
-            out["v"] += [own["node"][i] for i in label.tolist()]
+            label = used[roots(len(n), left, right)]
+            out["u"] += [own["node"][i] for i in used]
+            out["v"] += [own["node"][i] for i in label]
             out["links"] += links.astype(np.int64).tolist()
-        return pa.table({"u": pa.array(out["u"], pa.binary()), "v": pa.array(out["v"], pa.binary()),
-                         "links": pa.array(out["links"], pa.int64())})
+            if len(out["u"]) >= HANDED_ON:
+                yield table(LINKS, out)
+                out = {name: [] for name in LINKS.names}
+        yield table(LINKS, out)
 
     links = settle(
-        tiles(verified.select("node", "component", "copies", "n_shingles", "shingles", "size"),
-              ["component"], F.col("size"), parts)
-        .groupBy("task").applyInArrow(verify, "u binary, v binary, links long"),
+        tiles(verified.select(
+            "node", "component", "copies", "n_shingles", "signature", "shingles", "size"),
+            "component", F.col("size"), parts)
+        .mapInArrow(verify, spark_schema(LINKS)),
         "links",
     )
     classes = connected_components(links.select("u", "v"))
