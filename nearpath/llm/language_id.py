@@ -4,7 +4,8 @@ Four independent kinds of evidence add up as logarithms for each language:
 
 - the text: a naive Bayes model of hashed byte trigrams, fitted on all rows that
   declare a language, whatever their number; the tasks count, and only the
-  counts by language reach the driver,
+  counts of ``LANGUAGES_AT_ONCE`` languages reach the driver and the tasks at a
+  time (texts are read once more for each further part of the languages),
 - the language its mark-up declares,
 - the suffix of its address,
 - a prior of its host, smoothed towards its domain's, which is smoothed towards
@@ -24,6 +25,7 @@ from the other evidence. Equal rows get equal results.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -31,16 +33,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearpath.llm.rows import spark_schema
-from nearpath.sources.workdir import settle
+from nearpath.sources.workdir import discard, settle, settle_in
 
-SAMPLE = 400
 #: Languages whose counts a task holds before it hands them on, and how many
 #: probabilities are gathered at once.
 LABELS_AT_ONCE = 64
+#: Languages of one part of the text model: 128 KB each in every Python worker.
+LANGUAGES_AT_ONCE = 256
 GATHERED = 1 << 22
 BUCKETS = 1 << 15
 #: Overlapping trigrams repeat each other; a text counts as this share of them.
@@ -82,7 +86,7 @@ class TextModel:
         total = np.zeros(len(self.languages))
         step = max(1, GATHERED // max(1, len(self.languages)))
         for start in range(0, len(found), step):
-            total += self.table[found[start:start + step]].sum(axis=0)
+            total += self.table[found[start:start + step]].sum(axis=0, dtype=np.float64)
         return total, len(found)
 
 
@@ -127,8 +131,8 @@ def fit_text_model(counts: DataFrame) -> TextModel:
         .orderBy("label").toArrow()
     )
     languages = found.column("label").to_pylist()
-    table = np.zeros((BUCKETS, max(1, len(languages))), np.float32)
-    usual = np.zeros(max(1, len(languages)))
+    table = np.zeros((BUCKETS, len(languages)), np.float32)
+    usual = np.zeros(len(languages))
     for i in range(len(languages)):
         own = found.column("counts")[i].values
         dense = np.full(BUCKETS, 0.05)
@@ -139,92 +143,149 @@ def fit_text_model(counts: DataFrame) -> TextModel:
     return TextModel(languages, table, usual)
 
 
-def labelled_sample(
-    docs: DataFrame, text_col: str, label_col: str, id_col: str, n: int = SAMPLE
-) -> list[tuple[str, str]]:
-    """About ``n`` documents of each language, by hash of the id: to look at, as no
-    model is fitted on it. Rows of one id come or stay away together."""
-    counts = (
-        docs.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).alias("label"))
-        .count().orderBy(F.desc("count"), "label").collect()
-    )
-    rows = []
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    for row in counts:
-        own = docs.where((F.col(label_col) == row["label"]) & (place < n / row["count"]))
-        rows += [(row["label"], r["text"] or "") for r in
-                 own.select(F.col(text_col).alias("text")).collect()]
-    return rows
+class TextModels:
+    """The text model in parts of ``LANGUAGES_AT_ONCE`` languages. The counts are a
+    written table; the driver holds the names and the parts it is asked for."""
 
+    def __init__(self, counts: DataFrame):
+        self.counts = settle(
+            counts.groupBy("label", "bucket").agg(F.sum("n").alias("n")), "language-counts")
+        found = self.counts.select("label").distinct().orderBy("label")
+        self.languages: list[str] = found.toArrow().column("label").to_pylist()
+        self.held: TextModel | None = None
 
-SCORED = pa.schema([("n_trigrams", pa.int64()), ("text_logs", pa.list_(pa.float64())),
-                    ("share", pa.list_(pa.float64())), ("like_text", pa.float64())])
+    def parts(self) -> Iterator[TextModel]:
+        if len(self.languages) <= LANGUAGES_AT_ONCE:
+            # one part serves documents and pages
+            self.held = self.held or fit_text_model(self.counts)
+            yield self.held
+            return
+        for start in range(0, len(self.languages), LANGUAGES_AT_ONCE):
+            own = self.languages[start:start + LANGUAGES_AT_ONCE]
+            yield fit_text_model(self.counts.where(F.col("label").between(own[0], own[-1])))
 
 
-def score_texts(rows: DataFrame, text_col: str, model: TextModel, markup: bool = False) -> DataFrame:
-    """``rows`` without their text, with its evidence by language: ``text_logs``,
-    the posterior ``share`` under a flat prior, and ``like_text``, where its
-    trigrams stand between noise (0) and the likeliest language (1)."""
-    others = [name for name in rows.columns if name != text_col]
-    schema = rows.select(*others).schema
+def score_part(
+    rows: DataFrame, text_col: str, model: TextModel, markup: bool, usual: np.ndarray | None
+) -> DataFrame:
+    """One reading of the texts: ``text_logs`` grows by the sums of the model's
+    languages. With ``usual``, that of all languages, it is the last reading."""
+    before = "text_logs" in rows.columns
+    others = [name for name in rows.columns if name not in (text_col, "n_trigrams", "text_logs")]
+    carried = others if usual is not None else [*others, text_col]
+    schema = rows.select(*carried).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         noise = -math.log(BUCKETS)
         for batch in batches:
             n_trigrams, logs, shares, like = [], [], [], []
-            for text in batch.column(text_col).to_pylist():
+            earlier = batch.column("text_logs") if before else None
+            for i, text in enumerate(batch.column(text_col).to_pylist()):
                 text = text or ""
                 if markup:
                     text = MARKUP.sub(" ", text)
                 total, n = model.score(text)
+                if before:
+                    total = np.concatenate([earlier[i].values.to_numpy(), total])
+                n_trigrams.append(n)
+                if usual is None:
+                    logs.append(total)
+                    continue
                 weighted = total * INDEPENDENT
                 share = np.exp(weighted - weighted.max())
-                share = share / share.sum()
                 best = int(np.argmax(total))
-                n_trigrams.append(n)
-                logs.append(weighted.tolist())
-                shares.append(share.tolist())
-                known = model.usual[best] - noise  # 0 for a language without any trigram
+                logs.append(weighted)
+                shares.append(share / share.sum())
+                known = usual[best] - noise  # 0 for a language without any trigram
                 like.append((total[best] / n - noise) / known if n and known > 1e-9 else 0.0)
+            columns = [batch.column(name) for name in carried] + [
+                pa.array(n_trigrams, pa.int64()), pa.array(logs, pa.list_(pa.float64()))]
+            if usual is not None:
+                columns += [pa.array(shares, pa.list_(pa.float64())), pa.array(like, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(name) for name in others] + [
-                    pa.array(n_trigrams, pa.int64()), pa.array(logs, pa.list_(pa.float64())),
-                    pa.array(shares, pa.list_(pa.float64())), pa.array(like, pa.float64())],
-                names=[*others, *SCORED.names])
+                columns, names=[*carried, *SCORED.names[:len(columns) - len(carried)]])
 
-    added = "n_trigrams long, text_logs array<double>, share array<double>, like_text double"
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.select(*others, text_col).mapInArrow(run, f"{names}, {added}")
+    added = "n_trigrams long, text_logs array<double>"
+    if usual is not None:
+        added += ", share array<double>, like_text double"
+    names = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
+    read = [*others, text_col, *(["text_logs"] if before else [])]
+    return rows.select(*read).mapInArrow(run, names + added)
 
 
-def sums(rows: DataFrame, key: str, n: int) -> DataFrame:
+SCORED = pa.schema([("n_trigrams", pa.int64()), ("text_logs", pa.list_(pa.float64())),
+                    ("share", pa.list_(pa.float64())), ("like_text", pa.float64())])
+
+
+def score_texts(
+    rows: DataFrame, text_col: str, models: TextModels, markup: bool = False
+) -> DataFrame:
+    """``rows`` without their text, with its evidence by language: ``text_logs``,
+    the posterior ``share`` under a flat prior, and ``like_text``, where its
+    trigrams stand between noise (0) and the likeliest language (1)."""
+    usual = np.zeros(0)
+    folder = None
+    for model in models.parts():
+        usual = np.concatenate([usual, model.usual])
+        last = len(usual) == len(models.languages)
+        rows = score_part(rows, text_col, model, markup, usual if last else None)
+        if not last:
+            before = folder
+            rows, folder = settle_in(rows, "part-evidence")
+            if before:
+                discard(rows.sparkSession, before)
+    return rows
+
+
+def sums(rows: DataFrame, key: str) -> DataFrame:
     """For each value of ``key`` the posterior shares of its rows, summed by language."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.array(*(F.sum(F.col("share")[i]) for i in range(n))).alias(f"{key}_sums"))
+        summed("share").alias(f"{key}_sums"))
+
+
+def summed(column: str) -> Column:
+    return vector_to_array(Summarizer.sum(array_to_vector(column)))
+
+
+def literal(values: list, kind: str) -> Column:
+    """A constant array, however long, as one expression."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once a row, also where ``use`` has it
+    inside a function of an array's elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def normalised(values: Column) -> Column:
+    return once(values, lambda held: once(total(held), lambda whole: F.transform(
+        held, lambda x: x / whole)))
+
+
 def fuse(scored: DataFrame, languages: list[str], wanted: Sequence[str] | None = None) -> DataFrame:
     """Adds ``language``, ``posterior``, ``text_language`` and ``kept`` to rows of
     ``declared, suffix, host, domain`` (each may be null) and the text's evidence."""
     n = len(languages)
-    whole = scored.agg(*(F.sum(F.col("share")[i]) for i in range(n)), F.count("*")).first()
-    counts = [float(x or 0) for x in whole[:n]]
+    # grouped, as an empty table has no sums
+    whole = scored.groupBy(F.lit("all")).agg(summed("share").alias("sums")).first()
+    counts = [float(x) for x in whole["sums"]] if whole else [0.0] * n
     everything = [(c + SMOOTHING) / (sum(counts) + SMOOTHING * n) for c in counts]
-    prior = F.array(*map(F.lit, everything))
-    names = F.array(*map(F.lit, languages))
+    prior = literal(everything, "double")
+    names = literal(languages, "string")
     rows = scored
     for key in ("declared", "suffix", "domain", "host"):
-        rows = rows.join(sums(scored, key, n), key, "left")
+        rows = rows.join(sums(scored, key), key, "left")
     # values of a kind of evidence: one more stands for those never seen
     kinds = scored.agg(F.count_distinct("declared"), F.count_distinct("suffix")).first()
 
     def evidence(key: str, n_values: int) -> Column:
         """log P(value | language), smoothed over the values; 0 if missing."""
-        found = F.zip_with(f"{key}_sums", F.array(*map(F.lit, counts)), lambda a, b: F.log(
+        found = F.zip_with(f"{key}_sums", literal(counts, "double"), lambda a, b: F.log(
             (a + SMOOTHING) / (b + SMOOTHING * (n_values + 1))))
         return F.coalesce(found, F.array_repeat(F.lit(0.0), n))
 
@@ -232,24 +293,28 @@ def fuse(scored: DataFrame, languages: list[str], wanted: Sequence[str] | None =
         """The key's other rows, with ``weight`` rows of the wider prior."""
         others = F.zip_with(f"{key}_sums", "share", lambda a, b: F.greatest(a - b, F.lit(0.0)))
         mixed = F.zip_with(others, towards, lambda a, b: a + weight * b)
-        return F.coalesce(F.transform(mixed, lambda x: x / total(mixed)), towards)
+        return F.coalesce(normalised(mixed), towards)
 
-    host_prior = smoothed("host", smoothed("domain", prior, DOMAIN_WEIGHT), HOST_WEIGHT)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    host_prior = once(
+        once(prior, lambda p: smoothed("domain", p, DOMAIN_WEIGHT)),
+        lambda p: smoothed("host", p, HOST_WEIGHT))
+    logs = add(
+        add(F.col("text_logs"), F.transform(host_prior, lambda x: F.log(x))),
+        add(evidence("declared", kinds[0]), evidence("suffix", kinds[1])))
+    verdict = once(logs, lambda held: once(F.array_max(held), lambda best: F.struct(
+        F.array_position(held, best).cast("int").alias("place"),
+        (1 / total(F.transform(held, lambda x: F.exp(x - best)))).alias("posterior"))))
     rows = (
-        rows.withColumn("host_prior", host_prior)
-        .withColumn("logs", add(
-            add(F.col("text_logs"), F.transform("host_prior", lambda x: F.log(x))),
-            add(evidence("declared", kinds[0]), evidence("suffix", kinds[1]))))
-        .withColumn("best", F.array_max("logs"))
-        .withColumn("language", F.element_at(names, F.array_position("logs", F.col("best")).cast("int")))
-        .withColumn("posterior", 1 / total(F.transform("logs", lambda x: F.exp(x - F.col("best")))))
+        rows.withColumn("verdict", verdict)
+        .withColumn("language", F.element_at(names, F.col("verdict.place")))
+        .withColumn("posterior", F.col("verdict.posterior"))
         .withColumn("text_language", F.when(F.col("n_trigrams") > 0, F.element_at(
             names, F.array_position("share", F.array_max("share")).cast("int"))))
         .withColumn("kept", (F.col("n_trigrams") > 0) & (F.col("like_text") >= NOISE_SHARE)
-                    & F.col("language").isin(*(languages if wanted is None else wanted)))
+                    & (F.lit(True) if wanted is None else F.col("language").isin(*wanted)))
     )
-    return rows.drop("logs", "best", "host_prior", "share", "text_logs",
+    return rows.drop("verdict", "share", "text_logs",
                      *(f"{k}_sums" for k in ("declared", "suffix", "domain", "host")))
 
 
@@ -292,21 +357,21 @@ def identify_documents(
 ) -> DataFrame:
     """Language and verdict of each document, with the columns named in ``keep``."""
     rows = document_rows(docs, *keep)
-    model = fit_text_model(counted(document_rows(docs)))
-    if not model.languages:
+    models = TextModels(counted(document_rows(docs)))
+    if not models.languages:
         return unlabelled(rows)
-    scored = settle(score_texts(rows, "text", model), "text-evidence")
-    return fuse(scored, model.languages, wanted)
+    scored = settle(score_texts(rows, "text", models), "text-evidence")
+    return fuse(scored, models.languages, wanted)
 
 
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents and web pages together: ``doc_id`` or ``page_id`` says which."""
     of_docs, of_pages = document_rows(docs, "doc_id"), page_rows(pages, "page_id")
-    model = fit_text_model(counted(of_docs).unionByName(counted(of_pages, markup=True)))
-    if not model.languages:
+    models = TextModels(counted(of_docs).unionByName(counted(of_pages, markup=True)))
+    if not models.languages:
         return unlabelled(of_docs.unionByName(of_pages, allowMissingColumns=True))
     scored = settle(
-        score_texts(of_docs, "text", model).unionByName(
-            score_texts(of_pages, "text", model, markup=True), allowMissingColumns=True),
+        score_texts(of_docs, "text", models).unionByName(
+            score_texts(of_pages, "text", models, markup=True), allowMissingColumns=True),
         "text-evidence")
-    return fuse(scored, model.languages)
+    return fuse(scored, models.languages)

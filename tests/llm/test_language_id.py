@@ -130,9 +130,65 @@ def test_no_language_declared(spark):
         (0, 2, None, True), (1, 0, None, True)]
 
 
-def test_sample_is_bounded(spark, tables):
-    rows = li.labelled_sample(tables[0], "text", "lang", "doc_id", 20)
-    assert len(rows) <= 4 * 45
+def plain_model(texts):
+    """From (text, declared) to the languages' log probabilities and usual values."""
+    counts = {}
+    for text, label in texts:
+        if label is not None:
+            own = counts.setdefault(label, np.full(li.BUCKETS, 0.05))
+            for i in li.trigrams(text or ""):
+                own[i] += 1
+    logs = {label: np.log(own / own.sum()) for label, own in sorted(counts.items())}
+    return logs, {label: sum(math.exp(x) * x for x in own) for label, own in logs.items()}
+
+
+@pytest.mark.parametrize("at_once", [256, 3])
+def test_text_model_against_a_plain_one(spark, tables, monkeypatch, at_once):
+    """Counts, sums, usual values and ``like_text``, in one part or in several."""
+    monkeypatch.setattr(li, "LANGUAGES_AT_ONCE", at_once)
+    docs = tables[0].where("doc_id < 400").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame(
+        [(900, "", "xx", "s"), (901, None, None, "s"), (902, "ab", "yy", "s")],
+        "doc_id long, text string, lang string, source string")
+    docs = docs.unionByName(odd)
+    rows = docs.collect()
+    logs, usual = plain_model([(r["text"], r["lang"]) for r in rows])
+    models = li.TextModels(li.counted(li.document_rows(docs)))
+    assert models.languages == list(logs)
+    got = {r["doc_id"]: r for r in
+           li.score_texts(li.document_rows(docs, "doc_id"), "text", models).collect()}
+    noise = -math.log(li.BUCKETS)
+    assert len(got) == len(rows)
+    for r in rows:
+        found = li.trigrams(r["text"] or "")
+        total = [own[found].sum() for own in logs.values()]
+        best = int(np.argmax(total))
+        assert got[r["doc_id"]]["n_trigrams"] == len(found)
+        assert np.allclose(got[r["doc_id"]]["text_logs"], np.array(total) / 3, rtol=1e-4, atol=1e-3)
+        known = list(usual.values())[best] - noise
+        like = (total[best] / len(found) - noise) / known if len(found) and known > 1e-9 else 0
+        assert got[r["doc_id"]]["like_text"] == pytest.approx(like, abs=1e-3)
+
+
+def test_parts_of_the_languages_give_the_same(spark, tables, monkeypatch):
+    docs = tables[0].where("doc_id < 300").select("doc_id", "text", "lang", "source")
+    columns = ("doc_id", "language", "text_language", "kept")
+    whole = li.identify_documents(docs, "doc_id").select(*columns).collect()
+    monkeypatch.setattr(li, "LANGUAGES_AT_ONCE", 2)
+    parts = li.identify_documents(docs, "doc_id").select(*columns).collect()
+    assert sorted(whole) == sorted(parts) and len(whole) == docs.count()
+
+
+def test_junk_languages_by_the_thousand(spark, monkeypatch):
+    """One page each: the plan does not grow with the languages."""
+    monkeypatch.setattr(li, "LANGUAGES_AT_ONCE", 500)
+    pages = spark.createDataFrame(
+        [(i, f"http://h{i % 9}.x{i % 40}/", f'<html lang="q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'
+          f'{chr(97 + i // 676)}"><p>' + f"word{i} other{i} " * 9) for i in range(1200)],
+        "page_id long, url string, html string")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    got = li.identify(docs, pages).collect()
+    assert len(got) == 1200 and len({r["declared"] for r in got}) == 1200
 
 
 def test_empty_tables(spark, make_docs):
