@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from nearpath.llm import jaccard_join as jj
@@ -73,24 +72,6 @@ def test_against_all_pairs(make_docs, odd_rows, chunk, monkeypatch):
     assert result(jj.jaccard_classes(docs)) == sorted(map(repr, plain(rows)))
 
 
-def test_chunks_by_bytes(make_docs, monkeypatch):
-    """Long sets go in chunks of their own; rows without an id, of equal texts too."""
-    monkeypatch.setattr(jj, "CHUNK_BYTES", 2000)
-    rows = near_copies(9, n_groups=6) + [(None, t) for _, t in near_copies(10, n_groups=4)]
-    rows += [(None, rows[0][1])] * 3 + [(7, rows[-1][1])] * 2
-    assert result(jj.jaccard_classes(make_docs(rows))) == sorted(map(repr, plain(rows)))
-
-
-@pytest.mark.parametrize("cut", [1, 3, 100])
-def test_tiles_do_not_depend_on_batches(cut):
-    rows = pa.table({
-        "g": [1] * 5 + [2] * 2, "a": [0, 0, 0, 0, 0, 0, 0], "b": [0, 0, 1, 1, 1, 0, 0],
-        "chunk": [0, 0, 0, 1, 1, 0, 0], "node": list("abaxyuv")})
-    got = [(own["node"], left.tolist(), right.tolist())
-           for own, left, right in jj.each_tile(iter(rows.to_batches(max_chunksize=cut)), "g")]
-    assert got == [(["a", "b"], [0], [1]), (["a", "x", "y"], [0, 0], [1, 2]), (["u", "v"], [0], [1])]
-
-
 def test_chains_are_one_class(make_docs):
     words = [f"w{i}" for i in range(200)]
     rows = []
