@@ -1,5 +1,7 @@
 """Search kernels against a plain enumeration of all pairs."""
 
+import uuid
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,6 +16,7 @@ from nearpath.operators.knn import (
     without_self,
 )
 from nearpath.operators.recall import recall_at_k, recall_sweep
+from nearpath.operators.topk import merge_top_k
 
 BLOCKS = {"broadcast_bytes": 300}
 
@@ -218,6 +221,48 @@ def test_distances_that_differ_behind_the_sixth_decimal(spark, options):
             assert all(q in found for q, found in got.items())
 
 
+def jobs_of(spark, run) -> int:
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_more_queries_take_no_more_jobs(spark):
+    """Beyond a broadcast the queries are dealt once, not searched block by block."""
+    matrix = np.random.default_rng(8).normal(size=(60, 4))
+    objects = vectors(spark, matrix, "id").withColumn("path_key", F.lit("b0"))
+
+    def search(n):
+        queries = vectors(spark, matrix[:n], "query_id")
+        visits = queries.selectExpr("query_id", "1L AS bucket_rank", "'b0' AS path_key")
+        brute = knn_brute_force(queries, objects.drop("path_key"), 3, **BLOCKS)
+        inside = knn_in_buckets(visits, queries, objects, 3, **BLOCKS)
+        wanted = enumerate_pairs(matrix[:n], matrix, 3, "cosine")
+        assert_same(as_dict(brute), wanted)
+        assert_same(as_dict(inside), wanted)
+
+    few, many = (jobs_of(spark, lambda n=n: search(n)) for n in (12, 60))
+    assert 0 < many <= few + 4
+
+
+def test_cells_hold_a_bounded_part_of_the_queries(spark, small, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_BYTES", 2_000)
+    monkeypatch.setattr(knn, "LEAST_CELL_BYTES", 500)
+    queries, placed, visits, reach = bucketed(spark, small, 6)
+    got = knn_in_buckets(visits, queries, placed, 4, **BLOCKS)
+    assert as_dict(got) == enumerate_pairs(*small, 4, "cosine", reach(6))
+    each = bucket_candidates(visits, queries, placed, 4, per_bucket=True, **BLOCKS)
+    whole = bucket_candidates(visits, queries, placed, 4, per_bucket=True)
+    by = ("query_id", "bucket_rank")
+    assert (sorted(merge_top_k(each, 4, *by).collect())
+            == sorted(merge_top_k(whole, 4, *by).collect()))
+    swept = knn_sweep(visits, queries, placed, [1, 4, 6], 5, **BLOCKS)
+    assert (sorted(swept.collect())
+            == sorted(knn_sweep(visits, queries, placed, [1, 4, 6], 5).collect()))
+
+
 @pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 600}])
 def test_visits_without_their_query_find_nothing(spark, small, options):
     queries, placed, visits, reach = bucketed(spark, small)
@@ -324,6 +369,47 @@ def test_single_precision_shortlists_lose_nothing(scale, copies):
         assert [(d, i) for d, i in zip(distance[rows == q], found[rows == q])] == best
 
 
+@pytest.mark.parametrize("kind", ["near", "tiny"])
+def test_close_distances_need_no_double_precision(monkeypatch, kind):
+    """Almost equal and very short vectors are told apart by the narrow shortlist."""
+    rng = np.random.default_rng(9)
+    matrix = rng.normal(size=(2000, 32))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = kernel.unit_rows(matrix[0] + 3e-4 * matrix) if kind == "near" else 5e-4 * matrix
+    types, compared, shortlist, pairs = [], [], kernel._shortlist, kernel.pair_distances
+
+    def spied(part, *rest):
+        types.append(part.dtype)
+        return shortlist(part, *rest)
+
+    def counted(queries, objects, rows, cols):
+        compared.append(len(rows))
+        return pairs(queries, objects, rows, cols)
+
+    monkeypatch.setattr(kernel, "_shortlist", spied)
+    monkeypatch.setattr(kernel, "pair_distances", counted)
+    rows, found, _ = nearest(matrix[:50], np.arange(2000), matrix, 10)
+    assert set(types) == {np.dtype(np.float32)}
+    assert sum(compared) < 50 * 100
+    everything = pairs(
+        matrix[:50], matrix, np.repeat(np.arange(50), 2000), np.tile(np.arange(2000), 50))
+    order = np.argsort(everything.reshape(50, 2000), axis=1, kind="stable")[:, :10]
+    assert found.reshape(50, 10).tolist() == order.tolist()
+
+
+def test_candidates_of_one_batch_are_compacted():
+    rng = np.random.default_rng(10)
+    best, every = RunningTopK(3, 2, limit=40), []
+    for first in range(0, 900, 9):
+        distance = rng.random(9)
+        every += [(g, d, first + i) for i, (g, d) in enumerate(zip([0, 1, 2] * 3, distance))]
+        best.add(np.array([0, 1, 2] * 3), first + np.arange(9), distance)
+        assert sum(len(part[0]) for part in best.parts) <= 40
+    group, ids, distance = best.compact()
+    wanted = [row for g in range(3) for row in sorted(r for r in every if r[0] == g)[:2]]
+    assert list(zip(group, distance, ids)) == wanted
+
+
 def test_small_tiles_give_the_same(monkeypatch):
     rng = np.random.default_rng(3)
     objects, queries = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
