@@ -9,10 +9,16 @@ windows side by side mostly share one: about one key for 85 bytes.
 1. Blocks of documents ask key shards which keys occur twice.
 2. Stretches of windows with such a key are candidate passages. Each block sends
    its distinct ones, with how often it has them, to the shards of their keys.
-3. Each shard builds an enhanced suffix array over its distinct passages, scans
-   its interval tree for maximal repeats, and answers with their spans.
+3. Each shard builds enhanced suffix arrays over its distinct passages, scans
+   their interval trees for maximal repeats, and answers with their spans.
 4. The spans go back to the blocks, where the bytes are taken out.
 
+What a task holds does not grow with the input. Windows of different keys are
+never equal, so a shard sorts its passages a few keys at a time, up to about
+``SORT_BYTES``. Texts of a block go on as rows of about ``PIECE_BYTES``, and the
+table between the steps has row groups of ``ROW_GROUP``: readers of Parquet keep
+a buffer as large as the largest column chunk outside the heap, a thread.
+
 All windows of a key meet in one shard, so no repeat is missed; keys only choose
 candidates, the suffix array compares bytes. A key of more than ``HOT`` places
 is cut: its windows are dealt by where the run stands in them, ``HOT_STEP``
@@ -27,6 +33,7 @@ repeat each other; ids play no part in what is removed and may be null.
 from __future__ import annotations
 
 import pickle
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +46,7 @@ from pyspark.sql import functions as F
 from nearpath.llm import exchange
 from nearpath.llm.fingerprint import mix, rolling
 from nearpath.llm.repeat_groups import SuffixArray
-from nearpath.llm.rows import id_and_text, input_tasks
+from nearpath.llm.rows import id_and_text, input_tasks, table
 from nearpath.llm.substring_dedup import lengthen, shorten
 from nearpath.sources.workdir import work_dir
 
@@ -49,6 +56,11 @@ RUN = 32
 CHUNK = 1 << 17
 HOT = 4096
 HOT_STEP = 8
+#: Keys of a shard fall into so many parts; a part is sorted as a whole.
+PARTS = 256
+SORT_BYTES = 1 << 19
+PIECE_BYTES = 1 << 20
+ROW_GROUP = 8 << 20
 
 DOCUMENT, PASSAGE, BLOCK = 0, 1, 2
 SHARED, CUT = 1, 2
@@ -188,44 +200,94 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets[1:] - offsets[0], np.diff(offsets)
 
 
-def repeated_spans(passages: list[bytes], counts: list[int]) -> dict[int, np.ndarray]:
-    """Of each passage the ``(start, end)`` spans of its maximal repeats, joined.
+def pack_passages(passages: list[bytes], counts: array, parts: bytes) -> bytes:
+    sizes = np.fromiter(map(len, passages), "<u4", len(passages))
+    return zstandard.compress(
+        np.uint32(len(passages)).tobytes() + sizes.tobytes()
+        + np.asarray(counts, "<u4").tobytes() + bytes(parts) + b"".join(passages), 3)
+
+
+def unpack_passages(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes, counts = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
+    ends = 4 + 9 * n + np.cumsum(sizes, dtype=np.int64)
+    passages = [raw[b - size:b] for b, size in zip(ends.tolist(), sizes.tolist())]
+    return passages, counts, np.frombuffer(raw, np.uint8, n, 4 + 8 * n)
+
+
+def pack_spans(n: np.ndarray, spans: np.ndarray) -> bytes:
+    """How many spans each passage has, and all spans in that order."""
+    return zstandard.compress(np.uint32(len(n)).tobytes() + n.astype("<u4").tobytes()
+                              + spans.astype("<u4").tobytes(), 1)
+
+
+def unpack_spans(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), "<u4")
+    n = int(raw[0])
+    return raw[1:n + 1], raw[n + 1:].reshape(-1, 2)
+
+
+def chosen_spans(
+    n: np.ndarray, spans: np.ndarray, passages: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for some of the passages, in the order given."""
+    own = n[passages].astype(np.int64)
+    first = (np.cumsum(n, dtype=np.int64) - n)[passages]
+    return own, spans[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+
+
+def portions(sizes: np.ndarray, parts: np.ndarray) -> Iterator[np.ndarray]:
+    """The passages of as many whole parts as ``SORT_BYTES`` hold, one part at least."""
+    order = np.argsort(parts, kind="stable")
+    stops = np.append(np.flatnonzero(np.diff(parts[order])) + 1, len(order))
+    reach = np.cumsum(sizes[order], dtype=np.int64)[stops - 1]
+    first = done = 0
+    while done < len(stops):
+        before = reach[done - 1] if done else 0
+        done = max(done + 1, int(np.searchsorted(reach, before + SORT_BYTES, "right")))
+        yield order[first:stops[done - 1]]
+        first = stops[done - 1]
+
+
+def repeated_spans(passages: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many spans, and the ``(start, end)`` of these, each passage has of its
+    maximal repeats, joined.
 
     A passage found twice is a repeat as a whole. Others are sorted with all
     those they may share a window with.
     """
     sizes = np.fromiter(map(len, passages), np.int64, len(passages))
     data = np.frombuffer(b"".join(passages), np.uint8)
-    spans = {i: np.array([[0, sizes[i]]]) for i, n in enumerate(counts) if n > 1}
+    whole = np.flatnonzero(counts > 1)
+    found = [(whole, np.zeros(len(whole), np.int64), sizes[whole])]
     with np.errstate(over="ignore"):
         hashes = mix(rolling(data.astype(np.uint64) + np.uint64(1), LENGTH))
     owner = np.repeat(np.arange(len(passages)), sizes)
     place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = np.flatnonzero(place[: len(hashes)] + LENGTH <= sizes[owner[: len(hashes)]])
-    order = whole[np.argsort(hashes[whole])]
+    fits = np.flatnonzero(place[: len(hashes)] + LENGTH <= sizes[owner[: len(hashes)]])
+    order = fits[np.argsort(hashes[fits])]
     same = hashes[order[1:]] == hashes[order[:-1]]
     mixed = np.zeros(len(passages), bool)
     mixed[owner[order[1:][same]]] = True
     mixed[owner[order[:-1][same]]] = True
-    if not mixed.any():
-        return spans
-    chosen = np.flatnonzero(mixed)
-    places, lengths = SuffixArray(data[mixed[owner]], sizes[chosen], LENGTH).longest()
-    begins = np.cumsum(sizes[chosen]) - sizes[chosen]
-    number = np.searchsorted(begins, places, "right") - 1
-    order = np.lexsort((places, number))
-    places, lengths, number = places[order], lengths[order], number[order]
-    ends = places + lengths
-    reach = np.maximum.accumulate(ends)  # spans of a passage end before the next one begins
-    new = np.append(True, (places[1:] > reach[:-1]) | (number[1:] != number[:-1]))[: len(places)]
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(places)) - 1
-    for h, t in zip(head.tolist(), tail.tolist()):
-        i = int(chosen[number[h]])
-        if counts[i] == 1:
-            own = np.array([[places[h], reach[t]]]) - begins[number[h]]
-            spans[i] = np.concatenate([spans[i], own]) if i in spans else own
-    return spans
+    if mixed.any():
+        chosen = np.flatnonzero(mixed)
+        places, lengths = SuffixArray(data[mixed[owner]], sizes[chosen], LENGTH).longest()
+        begins = np.cumsum(sizes[chosen]) - sizes[chosen]
+        number = np.searchsorted(begins, places, "right") - 1
+        order = np.lexsort((places, number))
+        places, lengths, number = places[order], lengths[order], number[order]
+        reach = np.maximum.accumulate(places + lengths)  # spans of a passage end before the next
+        new = np.append(True, (places[1:] > reach[:-1]) | (number[1:] != number[:-1]))
+        head = np.flatnonzero(new[: len(places)])
+        tail = np.append(head[1:], len(places))[: len(head)] - 1
+        head, tail = (x[counts[chosen[number[head]]] == 1] for x in (head, tail))
+        number = number[head]
+        found.append((chosen[number], places[head] - begins[number], reach[tail] - begins[number]))
+    at, starts, ends = map(np.concatenate, zip(*found))
+    order = np.argsort(at, kind="stable")
+    return np.bincount(at, minlength=len(passages)), np.stack([starts, ends], 1)[order]
 
 
 def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +300,29 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[head], ends[tail]
 
 
+class Rows:
+    """Rows that leave as batches of about ``PIECE_BYTES``."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema = schema
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns, self.size = {name: [] for name in self.schema.names}, 0
+
+    def add(self, size: int, **row) -> Iterator[pa.RecordBatch]:
+        for name, values in self.columns.items():
+            values.append(row.get(name))
+        self.size += size
+        if self.size >= PIECE_BYTES:
+            yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        out = table(self.schema, self.columns)
+        self.clear()
+        return out
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed``, the removed runs (``starts``,
     ``ends``, in bytes) and the bytes that are left (``kept``; a character may
@@ -282,83 +367,113 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(keys):
             flags = flags[order][np.searchsorted(keys[order], windows.keys)]
         begins = ends - sizes
-        sent: dict[int, dict[bytes, list[int]]] = {}
-        refs: dict[int, list[tuple[int, int, int]]] = {}
+        sent: dict[int, tuple[dict[bytes, int], array, bytearray]] = {}
+        owners, refs = array("q"), array("q")
         for owner, first, last, deal in windows.stretches(data, flags):
             passage, home = data[first:last + LENGTH].tobytes(), deal % passage_shards
-            own = sent.setdefault(home, {})
-            seen = own.setdefault(passage, [len(own), 0])
-            seen[1] += 1
-            refs.setdefault(owner, []).append((first - int(begins[owner]), home, seen[0]))
-        out = {name: [] for name in FOUND.names}
-
-        def add(**row) -> None:
-            for name, values in out.items():
-                values.append(row.get(name))
-
-        held = []
+            number, counts, parts = sent.setdefault(home, ({}, array("q"), bytearray()))
+            at = number.setdefault(passage, len(number))
+            if at == len(counts):
+                counts.append(0)
+                parts.append(deal // passage_shards % PARTS)
+            counts[at] += 1
+            owners.append(owner)
+            refs.extend((first - int(begins[owner]), home, at))
+        owners = np.array(owners, np.int64)
+        order = np.argsort(owners, kind="stable")
+        refs = np.array(refs, np.int64).reshape(-1, 3)[order]
+        cuts = np.searchsorted(owners[order], np.arange(len(ids) + 1))
+        name = xxhash.xxh3_128(repr(ids).encode() + sizes.tobytes())
+        name.update(data)
+        block = name.digest()
+        out = Rows(FOUND)
+        held: list[int] = []
+        waiting = 0
         for i, doc_id in enumerate(ids):
-            own = data[begins[i]:ends[i]].tobytes()
-            if i in refs:
-                held.append((doc_id, own, refs[i]))
+            if cuts[i] < cuts[i + 1]:
+                held.append(i)
+                waiting += int(sizes[i])
             else:
-                add(kind=DOCUMENT, doc_id=doc_id, n_bytes=len(own), n_removed=0, starts=[],
-                    ends=[], kept=own)
-        if held:
-            packed = zstandard.compress(pickle.dumps(held), 3)
-            block = xxhash.xxh3_128_digest(packed)
-            add(kind=BLOCK, block=block, payload=packed)
-            for home, own in sent.items():
-                payload = pickle.dumps((list(own), [n for _, n in own.values()]))
-                add(kind=PASSAGE, block=block, shard=home, payload=zstandard.compress(payload, 3))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[f.name], f.type) for f in FOUND], schema=FOUND)
+                own = data[begins[i]:ends[i]].tobytes()
+                yield from out.add(len(own), kind=DOCUMENT, doc_id=doc_id, n_bytes=len(own),
+                                   n_removed=0, starts=[], ends=[], kept=own)
+            if held and (waiting >= PIECE_BYTES or i == len(ids) - 1):
+                payload = zstandard.compress(pickle.dumps((
+                    [ids[k] for k in held], [data[begins[k]:ends[k]].tobytes() for k in held],
+                    [int(cuts[k + 1] - cuts[k]) for k in held],
+                    np.concatenate([refs[cuts[k]:cuts[k + 1]] for k in held]))), 3)
+                yield from out.add(len(payload), kind=BLOCK, block=block, payload=payload)
+                held, waiting = [], 0
+        while sent:
+            home, (number, counts, parts) = sent.popitem()
+            payload = pack_passages(list(number), counts, parts)
+            yield from out.add(len(payload), kind=PASSAGE, block=block, shard=home, payload=payload)
+        yield out.batch()
 
     def locate(group: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        counts: list[int] = []
-        asked = []
-        for payload in group.column("payload").to_pylist():
-            own, n = pickle.loads(zstandard.decompress(payload))
-            places = [number.setdefault(passage, len(number)) for passage in own]
-            counts += [0] * (len(number) - len(counts))
-            for at, times in zip(places, n):
+        counts, parts, asked = array("q"), bytearray(), []
+        for payload in group.column("payload"):
+            own, n, part = unpack_passages(payload.as_buffer())
+            places = array("q")
+            for passage, times, of in zip(own, n.tolist(), part.tolist()):
+                at = number.setdefault(passage, len(number))
+                if at == len(counts):
+                    counts.append(0)
+                    parts.append(of)
                 counts[at] += times
-            asked.append(places)
-        spans = repeated_spans(list(number), counts)
-        answers = [
-            zstandard.compress(pickle.dumps(
-                {k: spans[at] for k, at in enumerate(places) if at in spans}), 1)
-            for places in asked
-        ]
+                places.append(at)
+            asked.append(np.array(places, np.int64))
+        passages, counts = list(number), np.array(counts, np.int64)
+        sizes = np.fromiter(map(len, passages), np.int64, len(passages))
+        seen, n, spans = [], [], []
+        for portion in portions(sizes, np.frombuffer(parts, np.uint8)):
+            own = repeated_spans([passages[i] for i in portion.tolist()], counts[portion])
+            seen.append(portion)
+            n.append(own[0])
+            spans.append(own[1].astype(np.uint32))
+        slot = np.argsort(np.concatenate(seen))
+        n, spans = np.concatenate(n), np.concatenate(spans)
+        answers = [pack_spans(*chosen_spans(n, spans, slot[places])) for places in asked]
         return pa.table({"to_block": group.column("block"), "shard": group.column("shard"),
                          "spans": pa.array(answers, pa.binary())})
 
     def take_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = zip(right.column("shard").to_pylist(), right.column("spans").to_pylist())
-        found = {home: pickle.loads(zstandard.decompress(packed)) for home, packed in answers}
-        out = {name: [] for name in KEPT.names}
-        for payload in left.column("payload").to_pylist():
-            for doc_id, text, refs in pickle.loads(zstandard.decompress(payload)):
-                own = [at + spans for at, home, k in refs
-                       if (spans := found[home].get(k)) is not None]
-                spans = np.concatenate(own) if own else np.zeros((0, 2), np.int64)
-                starts, ends = joined(spans[:, 0], spans[:, 1])
-                edges = [0, *np.stack([starts, ends], 1).ravel().tolist(), len(text)]
+        base = np.full(passage_shards, -1)
+        n, spans, have = [np.zeros(0, np.uint32)], [np.zeros((0, 2), np.uint32)], 0
+        for home, packed in zip(right.column("shard").to_pylist(), right.column("spans")):
+            if base[home] < 0:  # equal blocks get equal answers
+                base[home] = have
+                own = unpack_spans(packed.as_buffer())
+                n.append(own[0])
+                spans.append(own[1])
+                have += len(own[0])
+        n, spans = np.concatenate(n), np.concatenate(spans)
+        out = Rows(KEPT)
+        batches = []
+        for payload in left.column("payload"):
+            ids, texts, n_refs, refs = pickle.loads(zstandard.decompress(payload.as_buffer()))
+            at, home, number = refs.T
+            if (base[home] < 0).any():
+                raise KeyError("a block without the answers of a shard")
+            times, found = chosen_spans(n, spans, base[home] + number)
+            found = found + np.repeat(at, times)[:, None]
+            ends = np.append(0, np.cumsum(times))[np.cumsum(n_refs)]
+            for doc_id, text, own in zip(ids, texts, np.split(found, ends[:-1])):
+                starts, stops = joined(own[:, 0], own[:, 1])
+                edges = [0, *np.stack([starts, stops], 1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                for name, value in (
-                    ("doc_id", doc_id), ("n_bytes", len(text)),
-                    ("n_removed", len(text) - len(kept)), ("starts", starts.tolist()),
-                    ("ends", ends.tolist()), ("kept", kept),
-                ):
-                    out[name].append(value)
-        return pa.table([pa.array(out[f.name], f.type) for f in KEPT], schema=KEPT)
+                batches += out.add(
+                    len(kept), doc_id=doc_id, n_bytes=len(text), n_removed=len(text) - len(kept),
+                    starts=starts.tolist(), ends=stops.tolist(), kept=kept)
+        return pa.Table.from_batches([*batches, out.batch()], KEPT)
 
     answers = exchange.by_shard_group(
         exchange.requests(docs, ask), shards, recurring, exchange.REQUESTS)
     found = exchange.with_answers(docs, answers, candidates, FOUND, FOUND_SCHEMA)
     folder = work_dir(docs.sparkSession, "byte-passages")
-    found.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    (found.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+     .option("parquet.page.size.row.check.min", 8).partitionBy("kind").parquet(folder))
     found = docs.sparkSession.read.schema(found.schema).parquet(folder)
 
     located = exchange.by_shard_group(

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 from nearpath.llm import byte_dedup
@@ -116,3 +118,52 @@ def test_whole_table(spark, sf_dir):
 
 def test_empty_table(make_docs):
     assert without_repeats(make_docs([])).count() == 0
+
+
+def test_a_shard_is_sorted_in_portions(monkeypatch):
+    """A few keys at a time give what all passages together give."""
+    rng = random.Random(9)
+    pool = [letters(rng, 700, "abcdefghij") for _ in range(20)]
+    texts = ["".join(rng.choice(pool)[rng.randint(0, 90):] + letters(rng, 40) for _ in range(4)).encode()
+             for _ in range(60)]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    windows = byte_dedup.Windows(data, np.cumsum(sizes), sizes)
+    parts, counts = {}, {}
+    for _, first, last, deal in windows.stretches(data, np.full(len(windows.keys), byte_dedup.SHARED)):
+        passage = data[first:last + LENGTH].tobytes()
+        assert parts.setdefault(passage, deal % byte_dedup.PARTS) == deal % byte_dedup.PARTS
+        counts[passage] = counts.get(passage, 0) + 1
+    passages, counts = list(parts), np.array(list(counts.values()))
+    parts, sizes = np.array(list(parts.values()), np.uint8), np.fromiter(map(len, passages), np.int64)
+    wanted = byte_dedup.chosen_spans(
+        *byte_dedup.repeated_spans(passages, counts), np.arange(len(passages)))
+    assert (counts == 1).any() and (wanted[0][counts == 1] > 0).any()
+    monkeypatch.setattr(byte_dedup, "SORT_BYTES", 20_000)
+    got = {}
+    portions = list(byte_dedup.portions(sizes, parts))
+    for portion in portions:
+        assert sizes[portion].sum() <= 20_000 or len(set(parts[portion])) == 1
+        own = byte_dedup.unpack_spans(byte_dedup.pack_spans(
+            *byte_dedup.repeated_spans([passages[i] for i in portion], counts[portion])))
+        for k, i in enumerate(portion.tolist()):
+            got[i] = byte_dedup.chosen_spans(*own, np.array([k]))[1].tolist()
+    ends = np.cumsum(wanted[0])[:-1]
+    assert [got[i] for i in range(len(passages))] == [x.tolist() for x in np.split(wanted[1], ends)]
+    assert len(portions) > 5
+
+
+def test_texts_between_the_steps_lie_in_small_rows(make_docs, monkeypatch, tmp_path):
+    """A row or a column chunk as large as a block stays in memory, a thread."""
+    monkeypatch.setattr(byte_dedup, "work_dir", lambda spark, label: str(tmp_path / label))
+    rng = np.random.default_rng(10)
+    texts = ["".join(map(chr, rng.integers(40, 120, 50_000))) for _ in range(120)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(200 + i, text) for i, text in enumerate(texts)]
+    got = without_repeats(make_docs(rows).coalesce(1))
+    assert {(r["n_bytes"], r["n_removed"]) for r in got.select("n_bytes", "n_removed").collect()} == {
+        (50_000, 50_000)}
+    files = [pq.ParquetFile(f) for f in (tmp_path / "byte-passages/kind=2").glob("*.parquet")]
+    for file in files:
+        for group in range(file.num_row_groups):
+            sizes = pc.binary_length(file.read_row_group(group, ["payload"])["payload"]).to_pylist()
+            assert max(sizes) < 2 << 20 and sum(sizes) < 2 * byte_dedup.ROW_GROUP
